@@ -49,13 +49,14 @@ def extract_spans(docs: DataFrame, patterns: dict, keep=("grp",)) -> DataFrame:
     """SPN-1: all matches of every ``{type: regex}`` with byte and char
     offsets; nested spans arise from overlapping patterns. One generator per
     document carries every type, gap pieces keep only their lengths."""
-    arrs = []
-    for t, pat in patterns.items():
-        arrs.append(F.transform(regex_parts("text", pat), lambda x, i, t=t: F.struct(
+    def tagger(t):
+        return lambda x, i: F.struct(
             F.lit(t).alias("type"), i.alias("i"),
             F.octet_length(x).cast("bigint").alias("nb"),
             F.char_length(x).cast("bigint").alias("nc"),
-            F.when(i % 2 == 1, x).alias("piece"))))
+            F.when(i % 2 == 1, x).alias("piece"))
+
+    arrs = [F.transform(regex_parts("text", pat), tagger(t)) for t, pat in patterns.items()]
     allp = arrs[0] if len(arrs) == 1 else F.concat(*arrs)
     x = docs.select("doc_id", *keep, F.explode(allp).alias("_p")).select("doc_id", *keep, "_p.*")
     w = running(["doc_id", "type"], ["i"])

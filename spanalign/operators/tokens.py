@@ -47,8 +47,10 @@ def tokens(docs: DataFrame, scheme: str = "word", keep=("grp",), covering: bool
 
 def multi_scheme_tokens(docs: DataFrame, schemes, keep=("grp",)) -> DataFrame:
     """Tokens of several covering schemes from one generator per document."""
-    arrs = [F.transform(scheme_pieces("text", sc), lambda x, i, sc=sc: F.struct(
-        F.lit(sc).alias("scheme"), i.alias("tok_id"), x.alias("piece"))) for sc in schemes]
+    def tagger(sc):
+        return lambda x, i: F.struct(F.lit(sc).alias("scheme"), i.alias("tok_id"), x.alias("piece"))
+
+    arrs = [F.transform(scheme_pieces("text", sc), tagger(sc)) for sc in schemes]
     allp = arrs[0] if len(arrs) == 1 else F.concat(*arrs)
     x = docs.select("doc_id", *keep, F.explode(allp).alias("_t")).select("doc_id", *keep, "_t.*")
     x = with_offsets(x, order=("tok_id",), parts=("doc_id", "scheme"))

@@ -71,3 +71,4 @@ def sql_group_stats(include_perfect: bool) -> str:
 GS_COLS = "grp, file_count, round(avg_score, 6) AS avg_score, total_rules, total_aligned, total_code_size, total_bytes, round(overall_alignment, 6) AS overall_alignment"
 
 from spanalign.plans import queries_core  # noqa: E402,F401  (registers plans)
+from spanalign.plans import queries_tokens  # noqa: E402,F401

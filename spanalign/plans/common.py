@@ -44,3 +44,12 @@ def pages_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.regexp_extract("url", r"/(de|en|es|fr)/", 1).alias("grp"),
                  F.col("html").alias("text"))
     return by_doc(max_bytes(drop_blank(d), MAX_BYTES))
+
+
+def conversations_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conversations turns as documents: doc_id = conv_id * 1000 + turn,
+    role is the group."""
+    c = read_table(spark, sf_dir, "conversations")
+    d = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.col("role").alias("grp"),
+                 F.col("text"))
+    return by_doc(drop_blank(d))
