@@ -14,10 +14,15 @@ MAX_BYTES = 1 << 20   # size guard (bytes, strict >)
 # Span patterns over the documents corpus (our declarative rule set).
 DOC_PATTERNS = {
     "line": r"[^\n]+",
-    "sentence": r"[^.!?\n]+[.!?]",
+    # a sentence can only start where a run of non-terminators starts; the
+    # look-behind states that, so Java's matcher rejects every other start in
+    # O(1) instead of rescanning the run (same matches as the plain form)
+    "sentence": r"(?<![^.!?\n])[^.!?\n]++[.!?]",
     "number": r"\p{N}+",
     "capword": r"\p{Lu}\p{Ll}+",
 }
+# The same patterns in RE2 syntax (no look-behind / possessive) for DuckDB.
+DOC_PATTERNS_RE2 = dict(DOC_PATTERNS, sentence=r"[^.!?\n]+[.!?]")
 # Span patterns over raw HTML pages.
 PAGE_PATTERNS = {
     "tag": r"<[^<>]+>",
@@ -53,3 +58,23 @@ def conversations_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.col("role").alias("grp"),
                  F.col("text"))
     return by_doc(drop_blank(d))
+
+
+def sql_spans(src: str, patterns: dict, keep: str = "grp") -> str:
+    """DuckDB CTEs ``sp`` (doc_id, keep, type, span_id, s, e, cs, ce, piece)
+    for regex spans: matches wrapped in U+E000, split, offsets summed."""
+    parts = []
+    for t, pat in patterns.items():
+        parts.append(
+            f"SELECT doc_id, {keep}, '{t}' AS type, unnest(a) AS x, generate_subscripts(a, 1) AS k FROM "
+            f"(SELECT doc_id, {keep}, string_split(regexp_replace(text, '({pat})', chr(57344) || '\\1' || chr(57344), 'g'), chr(57344)) AS a FROM {src})")
+    return f"""sp0 AS ({' UNION ALL '.join(parts)}),
+sp1 AS (SELECT *, sum(strlen(x)) OVER w AS e1, sum(length(x)) OVER w AS ce1 FROM sp0
+        WINDOW w AS (PARTITION BY doc_id, type ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+sp AS (SELECT doc_id, {keep}, type, CAST(k / 2 - 1 AS INTEGER) AS span_id, CAST(e1 - strlen(x) AS BIGINT) AS s,
+          CAST(e1 AS BIGINT) AS e, CAST(ce1 - length(x) AS BIGINT) AS cs, CAST(ce1 AS BIGINT) AS ce, x AS piece
+       FROM sp1 WHERE k % 2 = 0)"""
+
+
+SQL_PAGES = """pg AS (SELECT page_id AS doc_id, regexp_extract(url, '/(de|en|es|fr)/', 1) AS grp, html AS text FROM pages
+  WHERE html IS NOT NULL AND regexp_matches(html, '[^\\t\\n\\x0B\\f\\r\\x1C-\\x1F \\x85\\p{Z}]') AND strlen(html) <= 1048576)"""
