@@ -73,3 +73,4 @@ GS_COLS = "grp, file_count, round(avg_score, 6) AS avg_score, total_rules, total
 from spanalign.plans import queries_core  # noqa: E402,F401  (registers plans)
 from spanalign.plans import queries_tokens  # noqa: E402,F401
 from spanalign.plans import queries_spans  # noqa: E402,F401
+from spanalign.plans import queries_align  # noqa: E402,F401
