@@ -75,3 +75,4 @@ from spanalign.plans import queries_tokens  # noqa: E402,F401
 from spanalign.plans import queries_spans  # noqa: E402,F401
 from spanalign.plans import queries_align  # noqa: E402,F401
 from spanalign.plans import queries_filters  # noqa: E402,F401
+from spanalign.plans import queries_reports  # noqa: E402,F401
