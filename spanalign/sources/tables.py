@@ -56,8 +56,24 @@ def documents_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
                              language_col="lang", extra=("source",))
 
 
+def doc_partitions(spark: SparkSession) -> int:
+    """Partition count for the text exchange: spark.sql.shuffle.partitions
+    (sized to the corpus on a cluster, e.g. text bytes / 64 MB), and never
+    fewer than the cores available."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    try:
+        n = max(n, spark.sparkContext.defaultParallelism)
+    except Exception:  # noqa: BLE001  (no SparkContext under Connect)
+        pass
+    return n
+
+
 def by_doc(df: DataFrame, n: int | None = None) -> DataFrame:
-    """Hash-partition by doc_id once. Every later per-document window, union,
-    and doc-level aggregate reuses this partitioning (no further exchange).
-    A corpus stored bucketed by doc_id needs no call at all."""
-    return df.repartition(n, "doc_id") if n else df.repartition("doc_id")
+    """Hash-partition by doc_id once. Every later per-document window, union
+    and doc-level aggregate reuses this partitioning (no further exchange);
+    a corpus stored bucketed by doc_id needs no exchange at all.
+
+    The count is explicit on purpose: raw text is small in bytes but each
+    byte fans out into many piece rows downstream, and AQE would otherwise
+    coalesce this exchange by its byte size into a handful of tasks."""
+    return df.repartition(n or doc_partitions(df.sparkSession), "doc_id")
