@@ -140,3 +140,34 @@ def first_spans(spans: DataFrame, n: int = 5, keep=()) -> DataFrame:
     r = spans.withColumn("rank", F.row_number().over(preorder(spans)))
     return r.filter(F.col("rank") <= n).select(
         "doc_id", *keep, "rank", "type", "s", "e", show_newlines("piece").alias("text"))
+
+
+_TREE_SCHEMA = "doc_id long, type string, span_id int, s long, e long, id int, parent_id int, depth int"
+
+
+def _tree_group(pdf):
+    import pandas as pd
+    pdf = pdf.sort_values(["s", "e", "type", "span_id"], ascending=[True, False, True, True], kind="mergesort")
+    ids, parents, depths, stack = [], [], [], []   # stack of (s, e, id)
+    for k, (s, e) in enumerate(zip(pdf["s"].tolist(), pdf["e"].tolist())):
+        while stack and not (stack[-1][0] <= s and e <= stack[-1][1]):
+            stack.pop()
+        ids.append(k)
+        parents.append(stack[-1][2] if stack else None)
+        depths.append(len(stack))
+        stack.append((s, e, k))
+    out = pdf[["doc_id", "type", "span_id", "s", "e"]].copy()
+    out["id"] = ids
+    out["parent_id"] = pd.array(parents, dtype="Int32")
+    out["depth"] = depths
+    return out
+
+
+def span_tree(spans: DataFrame) -> DataFrame:
+    """SPN-5: 0-based pre-order id (s asc, e desc), parent = innermost
+    enclosing span earlier in pre-order, and depth. ERROR spans are removed
+    beforehand (spans_from_table), so their children attach to the nearest
+    kept ancestor. One document per group: grouping on doc_id reuses the
+    corpus partitioning, and a document is bounded by the size guard."""
+    x = spans.select(F.col("doc_id").cast("long"), "type", F.col("span_id").cast("int"), "s", "e")
+    return x.groupBy("doc_id").applyInPandas(_tree_group, _TREE_SCHEMA)

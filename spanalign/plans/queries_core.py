@@ -10,17 +10,18 @@ from spanalign.operators.spans import chunk_pieces
 from spanalign.plans.catalog import (GS_COLS, SQL_CHUNKS, SQL_DOC_SCORES, SQL_DOCS, r6, register,
                                      sql_group_stats)
 from spanalign.plans.common import CHUNK, docs
+from spanalign.sources.tables import spread
 
 
 def chunk_doc_scores(spark, sf):
-    return doc_scores_covering(docs(spark, sf), chunk_pieces("text", CHUNK))
+    return doc_scores_covering(spread(docs(spark, sf)), chunk_pieces("text", CHUNK))
 
 
 @register("chunk_word_split", f"""WITH {SQL_DOCS}, {SQL_CHUNKS}
 SELECT grp, count(*) AS n_chunks, count(*) FILTER (WHERE NOT ms AND NOT me) AS n_no_split FROM ch GROUP BY grp""")
 def chunk_word_split(spark, sf):
     """SPN-3 + ALN-2 fast path: chunks per language and chunks with no split word."""
-    x = docs(spark, sf).select("grp", covering_word_split(chunk_pieces("text", CHUNK)).alias("w"))
+    x = spread(docs(spark, sf)).select("grp", covering_word_split(chunk_pieces("text", CHUNK)).alias("w"))
     return x.groupBy("grp").agg(F.sum("w.n_rules").cast("bigint").alias("n_chunks"),
                                 F.sum("w.n_aligned").cast("bigint").alias("n_no_split"))
 

@@ -114,3 +114,15 @@ SELECT doc_id, CAST(rank AS INTEGER) AS rank, type, s, e, replace(piece, chr(10)
 def first_spans_q(spark, sf):
     """SPN-8: first five spans of each document in pre-order."""
     return first_spans(doc_spans(spark, sf), 5)
+
+
+@register("span_tree", f"""WITH {SQL_DOCS}, {sql_spans('d', DOC_PATTERNS_RE2)},
+o AS (SELECT doc_id, type, span_id, s, e, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s, e DESC, type, span_id) - 1 AS INTEGER) AS id FROM sp),
+p AS (SELECT x.doc_id, x.id, max(y.id) AS parent_id, count(y.id) AS depth FROM o x LEFT JOIN o y
+      ON y.doc_id = x.doc_id AND y.id < x.id AND y.s <= x.s AND x.e <= y.e GROUP BY x.doc_id, x.id)
+SELECT o.doc_id, o.type, o.span_id, o.s, o.e, o.id, p.parent_id, CAST(p.depth AS INTEGER) AS depth
+FROM o JOIN p ON p.doc_id = o.doc_id AND p.id = o.id""")
+def span_tree_q(spark, sf):
+    """SPN-5 on the nested document spans (line > sentence > word/number)."""
+    from spanalign.operators.spans import span_tree
+    return span_tree(doc_spans(spark, sf))

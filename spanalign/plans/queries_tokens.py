@@ -10,6 +10,7 @@ from spanalign.operators.tokens import (fill_missing_tokens, token_counts, token
                                         tokens_from_table)
 from spanalign.plans.catalog import SQL_DOCS, r6, register
 from spanalign.plans.common import conversations_corpus, docs, docs_by_doc
+from spanalign.sources.tables import spread
 
 SCHEMES = ["word", "piece4", "ws", "char", "pretok"]
 
@@ -29,7 +30,7 @@ def _sql_count(scheme):
     for s in SCHEMES))
 def token_counts_q(spark, sf):
     """TOK-1: pieces per language and scheme, all schemes in one scan."""
-    t = token_counts(docs(spark, sf), SCHEMES)
+    t = token_counts(spread(docs(spark, sf)), SCHEMES)
     return t.groupBy("grp", "scheme").agg(F.sum("n_tokens").cast("bigint").alias("n_tokens"))
 
 

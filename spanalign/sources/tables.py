@@ -68,6 +68,9 @@ def doc_partitions(spark: SparkSession) -> int:
     return n
 
 
+TEXT_EXCHANGE_CONF = "spanalign.textExchange"
+
+
 def by_doc(df: DataFrame, n: int | None = None) -> DataFrame:
     """Hash-partition by doc_id once. Every later per-document window, union
     and doc-level aggregate reuses this partitioning (no further exchange);
@@ -77,3 +80,13 @@ def by_doc(df: DataFrame, n: int | None = None) -> DataFrame:
     byte fans out into many piece rows downstream, and AQE would otherwise
     coalesce this exchange by its byte size into a handful of tasks."""
     return df.repartition(n or doc_partitions(df.sparkSession), "doc_id")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """For map-only plans: the same doc_id exchange, so a source that cannot
+    be split (one parquet row group) still spreads over all cores. Set the
+    session conf ``spanalign.textExchange=off`` when the corpus is already
+    read in parallel (many row groups / files) to keep such plans shuffle-free."""
+    if df.sparkSession.conf.get(TEXT_EXCHANGE_CONF, "on").lower() == "off":
+        return df
+    return by_doc(df)
