@@ -187,3 +187,29 @@ SELECT doc_id, grp, CAST(tok_id AS INTEGER) AS tok_id, CAST(e - strlen(piece) AS
 def token_table_q(spark, sf):
     """TOK-5: the per-token table of the pretok scheme on conversation turns."""
     return token_table(tokens(conversations_corpus(spark, sf), "pretok", keep=("grp",)))
+
+
+@register("locate_pieces", f"""WITH {SQL_CONV},
+t AS (SELECT doc_id, grp, CAST(k - 1 AS INTEGER) AS tok_id, CAST(e1 - strlen(x) AS BIGINT) AS s, CAST(e1 AS BIGINT) AS e FROM (
+        SELECT *, sum(strlen(x)) OVER w AS e1 FROM (
+          SELECT doc_id, grp, i AS k, x FROM (SELECT doc_id, grp, unnest(b) AS x, generate_subscripts(b, 1) AS i
+             FROM (SELECT *, regexp_extract_all(text, '[^\\t\\n\\x0B\\f\\r ]+|[\\t\\n\\x0B\\f\\r ]+') AS b FROM cv)))
+        WINDOW w AS (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+      WHERE NOT regexp_matches(x, '^[\\t\\n\\x0B\\f\\r ]')),
+lastt AS (SELECT cv.doc_id, cv.grp, strlen(cv.text) AS nb, coalesce(max(t.e), 0) AS le, count(t.tok_id) AS nt
+          FROM cv LEFT JOIN t ON t.doc_id = cv.doc_id GROUP BY cv.doc_id, cv.grp, cv.text),
+allt AS (SELECT grp, tok_id, s, e FROM t
+         UNION ALL SELECT grp, CAST(nt AS INTEGER), least(le, nb), least(le + 1, nb) FROM lastt)
+SELECT grp, count(*) AS n_tokens, CAST(sum(s) AS BIGINT) AS sum_s, CAST(sum(e) AS BIGINT) AS sum_e,
+  count(*) FILTER (WHERE e = s) AS n_empty FROM allt GROUP BY grp""")
+def locate_pieces_q(spark, sf):
+    """TOK-3: the non-space pieces of every turn plus one piece that does
+    not occur, located by the forward search; the missing piece becomes a
+    one-byte placeholder at the cursor (empty at the very end)."""
+    from spanalign.operators.tokens import locate_pieces
+    cv = conversations_corpus(spark, sf)
+    x = cv.withColumn("pieces", F.concat(F.regexp_extract_all("text", F.lit(r"[^\t\n\x0B\f\r ]+"), F.lit(0)),
+                                         F.array(F.lit("\u0001"))))
+    t = locate_pieces(x, "text", "pieces", keep=("grp",))
+    return t.groupBy("grp").agg(F.count(F.lit(1)).alias("n_tokens"), F.sum("s").cast("bigint").alias("sum_s"),
+                                F.sum("e").cast("bigint").alias("sum_e"), F.count_if(F.col("e") == F.col("s")).alias("n_empty"))
