@@ -147,7 +147,39 @@ def _as_of_targets(points: DataFrame, toks: DataFrame, extra_parts=()) -> DataFr
     return u.select("doc_id", *extra_parts, "_pt.*", F.least(d_lo, d_hi).alias("dist"), near.alias("nearest"))
 
 
-def nearest_token(rules: DataFrame, toks: DataFrame, tol: int = 1, keep=("grp",), schemes=None) -> DataFrame:
+def _as_of_covering(points: DataFrame, toks: DataFrame, extra_parts=()) -> DataFrame:
+    """Nearest border for covering tokens (contiguous, non-overlapping, in
+    id order, as every regex scheme produces): the token holding p (or
+    starting at p) is found by ONE ascending as-of window over one row per
+    token; its start and end are the only candidates on both sides, with
+    the previous token's end (= this start) and the next token's start
+    (= this end)."""
+    pcols = [c for c in points.columns if c not in ("doc_id", *extra_parts)]
+    P = points.select("doc_id", *extra_parts, F.col("p").alias("_k"), F.lit(1).alias("_kind"),
+                      F.struct(*pcols).alias("_pt"))
+    T = toks.select("doc_id", *extra_parts, F.col("s").alias("_k"), F.lit(0).alias("_kind"),
+                    F.struct("tok_id", "s", "e", "is_last").alias("_tk"))
+    w = running(["doc_id", *extra_parts], ["_k", "_kind"])
+    u = (P.unionByName(T, allowMissingColumns=True)
+          .withColumn("_t", F.last("_tk", ignorenulls=True).over(w)).filter(F.col("_kind") == 1))
+    p, t = F.col("_k"), F.col("_t")
+    d_lo, d_hi = p - t["s"], t["e"] - p
+    is_start = F.col("_pt.side") == "s"
+    # start side: candidates tok (at s) and tok+1 (at e, absent when e is the text end)
+    # end side: candidates tok-1 (at s, absent for the first token) and tok (at e)
+    lo_id = F.when(is_start, t["tok_id"]).otherwise(F.when(t["tok_id"] > 0, t["tok_id"] - 1))
+    hi_id = F.when(is_start, t["tok_id"] + 1).otherwise(t["tok_id"])
+    lo_ok = lo_id.isNotNull()
+    hi_ok = F.when(is_start, ~t["is_last"]).otherwise(F.lit(True))
+    dist = F.when(lo_ok & hi_ok, F.least(d_lo, d_hi)).when(lo_ok, d_lo).otherwise(d_hi)
+    near = (F.when(lo_ok & hi_ok, F.when(d_lo <= d_hi, lo_id).otherwise(hi_id))
+            .when(lo_ok, lo_id).otherwise(hi_id))
+    return u.select("doc_id", *extra_parts, "_pt.*", F.when(t.isNotNull(), dist).alias("dist"),
+                    F.when(t.isNotNull(), near).alias("nearest"), F.col("_t.e").alias("_te"))
+
+
+def nearest_token(rules: DataFrame, toks: DataFrame, tol: int = 1, keep=("grp",), schemes=None,
+                  covering: bool = False) -> DataFrame:
     """ALN-3/ALN-4 (M2): per rule the nearest token start to its start and the
     nearest token end to its end (ties -> lowest token id; no tokens -> null)
     and the tolerance flags |distance| <= tol.
@@ -160,7 +192,8 @@ def nearest_token(rules: DataFrame, toks: DataFrame, tol: int = 1, keep=("grp",)
     if schemes:
         pts = pts.withColumn("scheme", F.explode(F.array(*[F.lit(x) for x in schemes])))
         extra = ["scheme"]
-    x = _as_of_targets(pts, toks, extra_parts=extra)
+    fast = covering and "is_last" in toks.columns
+    x = _as_of_covering(pts, toks, extra) if fast else _as_of_targets(pts, toks, extra_parts=extra)
     side = lambda sd, c: F.max(F.when(F.col("side") == sd, F.col(c)))
     g = x.groupBy(*RULE_ID, *extra, *keep).agg(
         side("s", "nearest").alias("start_token"), side("s", "dist").alias("start_distance"),
@@ -170,9 +203,10 @@ def nearest_token(rules: DataFrame, toks: DataFrame, tol: int = 1, keep=("grp",)
              .withColumn("fully_aligned", F.col("start_aligned") & F.col("end_aligned")))
 
 
-def tolerance_align(rules: DataFrame, toks: DataFrame, tol: int = 1, keep=("grp",), schemes=None) -> DataFrame:
+def tolerance_align(rules: DataFrame, toks: DataFrame, tol: int = 1, keep=("grp",), schemes=None,
+                    covering: bool = False) -> DataFrame:
     """ALN-3 (M2) flags per rule (and scheme)."""
-    return nearest_token(rules, toks, tol=tol, keep=keep, schemes=schemes)
+    return nearest_token(rules, toks, tol=tol, keep=keep, schemes=schemes, covering=covering)
 
 
 def token_cut(rules: DataFrame, toks: DataFrame, keep=("grp",)) -> DataFrame:

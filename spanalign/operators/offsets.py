@@ -32,7 +32,8 @@ def with_offsets(pieces: DataFrame, piece: str = "piece", order=("i",), parts=("
     w = running(parts, order)
     nb = F.octet_length(piece).cast("bigint")
     out = pieces.withColumn(prefix + "b1", F.sum(nb).over(w)) \
-                .withColumn(prefix + "b0", F.col(prefix + "b1") - nb)
+                .withColumn(prefix + "b0", F.col(prefix + "b1") - nb) \
+                .withColumn(prefix + "is_last", F.lead(F.lit(1)).over(Window.partitionBy(*parts).orderBy(*order)).isNull())
     if chars:
         nc = F.char_length(piece).cast("bigint")
         out = out.withColumn(prefix + "c1", F.sum(nc).over(w)) \

@@ -37,7 +37,7 @@ def tokens(docs: DataFrame, scheme: str = "word", keep=("grp",), covering: bool
         x = with_offsets(x, order=("tok_id",), utf16=utf16)
         return x.select("doc_id", *keep, F.lit(scheme).alias("scheme"), F.col("tok_id").cast("int"),
                         F.col("b0").alias("s"), F.col("b1").alias("e"),
-                        F.col("c0").alias("cs"), F.col("c1").alias("ce"), "piece",
+                        F.col("c0").alias("cs"), F.col("c1").alias("ce"), "piece", "is_last",
                         *(["u0", "u1"] if utf16 else []))
     from spanalign.operators.spans import extract_spans
     sp = extract_spans(docs, {scheme: scheme_pattern(scheme)}, keep=keep)
@@ -53,9 +53,9 @@ def multi_scheme_tokens(docs: DataFrame, schemes, keep=("grp",)) -> DataFrame:
     arrs = [F.transform(scheme_pieces("text", sc), tagger(sc)) for sc in schemes]
     allp = arrs[0] if len(arrs) == 1 else F.concat(*arrs)
     x = docs.select("doc_id", *keep, F.explode(allp).alias("_t")).select("doc_id", *keep, "_t.*")
-    x = with_offsets(x, order=("tok_id",), parts=("doc_id", "scheme"))
+    x = with_offsets(x, order=("tok_id",), parts=("doc_id", "scheme"), chars=False)
     return x.select("doc_id", *keep, "scheme", F.col("tok_id").cast("int"),
-                    F.col("b0").alias("s"), F.col("b1").alias("e"), "piece")
+                    F.col("b0").alias("s"), F.col("b1").alias("e"), "piece", "is_last")
 
 
 def token_counts(docs: DataFrame, schemes, keep=("grp",)) -> DataFrame:

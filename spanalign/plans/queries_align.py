@@ -111,7 +111,7 @@ SELECT grp, count(*) AS n_rules, count(*) FILTER (WHERE sa) AS n_start_aligned,
 
 def _tol(spark, sf, tol):
     d = docs_by_doc(spark, sf)
-    return _flag_counts(tolerance_align(chunk_spans(d, CHUNK), tokens(d, "pretok", keep=()), tol=tol), ["grp"])
+    return _flag_counts(tolerance_align(chunk_spans(d, CHUNK), tokens(d, "pretok", keep=()), tol=tol, covering=True), ["grp"])
 
 
 @register("tolerance_scores", _tol_sql(1))
@@ -136,7 +136,7 @@ SELECT doc_id, span_id, start_token, CAST(start_distance AS BIGINT) AS start_dis
 def nearest_token_q(spark, sf):
     """ALN-4: nearest pretok token to each chunk border (ties -> lowest id)."""
     d = docs_by_doc(spark, sf)
-    n = nearest_token(chunk_spans(d, CHUNK), tokens(d, "pretok", keep=()), keep=())
+    n = nearest_token(chunk_spans(d, CHUNK), tokens(d, "pretok", keep=()), keep=(), covering=True)
     return n.select("doc_id", "span_id", "start_token", "start_distance", "end_token", "end_distance")
 
 

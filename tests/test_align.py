@@ -109,3 +109,16 @@ def test_spans_from_table_and_tree(spark):
     assert tr[("name", 4, 7)][1] == tr[("def", 2, 9)][0]
     ids = sorted((r.id, r.parent_id, r.depth) for r in out if r.type == "expr")
     assert ids[1][1] == ids[0][0]  # duplicate span: child of the earlier one
+
+
+def test_covering_as_of_equals_general(spark):
+    random.seed(11)
+    alphabet = "ab 1é.\n"
+    texts = [(i, "g", "".join(random.choice(alphabet) for _ in range(random.randint(1, 200)))) for i in range(30)]
+    d = spark.createDataFrame(texts, "doc_id long, grp string, text string").repartition(4, "doc_id")
+    rules = chunk_spans(d, 5)
+    toks = tokens(d, "pretok", keep=())
+    cols = ["doc_id", "span_id", "start_token", "start_distance", "end_token", "end_distance", "fully_aligned"]
+    fast = sorted(tuple(r) for r in nearest_token(rules, toks, covering=True).select(*cols).collect())
+    slow = sorted(tuple(r) for r in nearest_token(rules, toks, covering=False).select(*cols).collect())
+    assert fast == slow
