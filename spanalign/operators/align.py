@@ -218,12 +218,26 @@ def token_cut(rules: DataFrame, toks: DataFrame, keep=("grp",)) -> DataFrame:
     return g.withColumn("uncut", ~F.col("start_cut") & ~F.col("end_cut"))
 
 
-def align_detail(rules: DataFrame, runs: DataFrame, toks: DataFrame, keep=("grp",),
+def align_detail(rules: DataFrame, runs: DataFrame | None, toks: DataFrame, keep=("grp",),
                  token_source: str = "offset_mapping") -> DataFrame:
     """ALN-5: per-rule detail record. Word-run and token lookups share one
-    window; token context is filled for crossing sides only."""
+    window; token context is filled for crossing sides only. With
+    ``runs=None`` the rules must carry their border characters
+    (``extract_spans`` / ``chunk_spans`` with ``border_chars=True``)."""
     carry = [c for c in ("s", "e", "piece") if c in rules.columns]
-    ctx = boundary_context(boundary_points(rules, keep=keep, carry=carry), runs=runs, toks=toks)
+    if runs is None:
+        # border characters carried by regex / chunk spans decide M1 directly
+        from spanalign.functions.text import is_word_char
+        border = ["ls", "rs", "le", "re"]
+        ctx = boundary_context(boundary_points(rules, keep=keep, carry=carry + border), toks=toks)
+        st = F.col("side") == "s"
+        lc = F.when(st, F.col("ls")).otherwise(F.col("le"))
+        rc = F.when(st, F.col("rs")).otherwise(F.col("re"))
+        mid = is_word_char(lc) & is_word_char(rc)
+        ctx = (ctx.withColumn("mid_word", mid).withColumn("left_ch", F.when(mid, lc))
+                  .withColumn("right_ch", F.when(mid, rc)).drop(*border))
+    else:
+        ctx = boundary_context(boundary_points(rules, keep=keep, carry=carry), runs=runs, toks=toks)
     side = lambda sd, c: F.max(F.when(F.col("side") == sd, F.col(c)))
     ctx_tok = F.when(F.col("mid_word") & F.col("tok").isNotNull(), F.struct(
         F.col("tok.tok_id").alias("token_index"), F.col("tok.s").alias("token_start"),

@@ -45,26 +45,67 @@ def regex_parts(text, pattern: str) -> Column:
     return F.split(marked, z, -1)
 
 
-def extract_spans(docs: DataFrame, patterns: dict, keep=("grp",)) -> DataFrame:
+def _border_chars(arr, i, piece, n):
+    """Characters around the borders of element ``i`` of a covering array
+    whose odd elements are non-empty matches (or whose every element is
+    non-empty, as chunks): the neighbour of a possibly empty gap is the match
+    beyond it."""
+    def prev_last(k):
+        return F.when(k >= 0, F.when(F.get(arr, k) != "", F.right(F.get(arr, k), F.lit(1)))
+                      .when(k >= 1, F.right(F.get(arr, k - 1), F.lit(1))))
+
+    def next_first(k):
+        return F.when(k < n, F.when(F.get(arr, k) != "", F.left(F.get(arr, k), F.lit(1)))
+                      .when(k + 1 < n, F.left(F.get(arr, k + 1), F.lit(1))))
+
+    return [prev_last(i - 1).alias("ls"), F.left(piece, F.lit(1)).alias("rs"),
+            F.right(piece, F.lit(1)).alias("le"), next_first(i + 1).alias("re")]
+
+
+def with_word_split(spans: DataFrame) -> DataFrame:
+    """ALN-2 (M1) from the border characters carried by regex / chunk spans:
+    a border splits a word when both characters around it are word
+    characters. No word-run table and no extra window are needed."""
+    from spanalign.functions.text import is_word_char
+    cs = is_word_char("ls") & is_word_char("rs")
+    ce = is_word_char("le") & is_word_char("re")
+    return (spans.withColumn("crossing_start", cs).withColumn("crossing_end", ce)
+                 .withColumn("start_aligned", ~F.col("crossing_start")).withColumn("end_aligned", ~F.col("crossing_end"))
+                 .withColumn("fully_aligned", F.col("start_aligned") & F.col("end_aligned")))
+
+
+def extract_spans(docs: DataFrame, patterns: dict, keep=("grp",), border_chars: bool = False) -> DataFrame:
     """SPN-1: all matches of every ``{type: regex}`` with byte and char
     offsets; nested spans arise from overlapping patterns. One generator per
-    document carries every type, gap pieces keep only their lengths."""
-    def tagger(t):
-        return lambda x, i: F.struct(
-            F.lit(t).alias("type"), i.alias("i"),
-            F.octet_length(x).cast("bigint").alias("nb"),
-            F.char_length(x).cast("bigint").alias("nc"),
-            F.when(i % 2 == 1, x).alias("piece"))
-
-    arrs = [F.transform(regex_parts("text", pat), tagger(t)) for t, pat in patterns.items()]
+    document carries every type, gap pieces keep only their lengths. With
+    ``border_chars`` the characters around both borders of every match come
+    along (ls, rs, le, re) for the M1 test."""
+    types = list(patterns)
+    cols = {f"_parts{k}": regex_parts("text", patterns[t]) for k, t in enumerate(types)}
+    base = docs.select("doc_id", *keep, *[c.alias(n) for n, c in cols.items()])
+
+    def tagger(t, arr):
+        n = F.size(F.col(arr))
+
+        def f(x, i):
+            extra = _border_chars(F.col(arr), i, x, n) if border_chars else []
+            return F.struct(F.lit(t).alias("type"), i.alias("i"),
+                            F.octet_length(x).cast("bigint").alias("nb"),
+                            F.char_length(x).cast("bigint").alias("nc"),
+                            F.when(i % 2 == 1, x).alias("piece"),
+                            *extra)
+        return f
+
+    arrs = [F.transform(F.col(f"_parts{k}"), tagger(t, f"_parts{k}")) for k, t in enumerate(types)]
     allp = arrs[0] if len(arrs) == 1 else F.concat(*arrs)
-    x = docs.select("doc_id", *keep, F.explode(allp).alias("_p")).select("doc_id", *keep, "_p.*")
+    x = base.select("doc_id", *keep, F.explode(allp).alias("_p")).select("doc_id", *keep, "_p.*")
     w = running(["doc_id", "type"], ["i"])
+    extra = ["ls", "rs", "le", "re"] if border_chars else []
     x = (x.withColumn("e", F.sum("nb").over(w)).withColumn("ce", F.sum("nc").over(w))
           .filter(F.col("i") % 2 == 1)
           .select("doc_id", *keep, "type", ((F.col("i") - 1) / 2).cast("int").alias("span_id"),
                   (F.col("e") - F.col("nb")).alias("s"), "e",
-                  (F.col("ce") - F.col("nc")).alias("cs"), "ce", "piece"))
+                  (F.col("ce") - F.col("nc")).alias("cs"), "ce", "piece", *extra))
     return x
 
 
@@ -73,13 +114,21 @@ def chunk_pieces(text, k: int) -> Column:
     return F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % k), F.lit(0))
 
 
-def chunk_spans(docs: DataFrame, k: int = 64, keep=("grp",)) -> DataFrame:
-    """SPN-3: consecutive k-character chunks as spans (covering)."""
-    x = explode_pieces(docs, chunk_pieces("text", k), keep=keep, pos="span_id")
+def chunk_spans(docs: DataFrame, k: int = 64, keep=("grp",), border_chars: bool = False) -> DataFrame:
+    """SPN-3: consecutive k-character chunks as spans (covering). With
+    ``border_chars`` the characters around both borders come along."""
+    base = docs.select("doc_id", *keep, chunk_pieces("text", k).alias("_c"))
+    n = F.size("_c")
+    if border_chars:
+        arr = F.transform("_c", lambda x, i: F.struct(x.alias("piece"), *_border_chars(F.col("_c"), i, x, n)))
+    else:
+        arr = F.transform("_c", lambda x, i: F.struct(x.alias("piece")))
+    x = base.select("doc_id", *keep, F.posexplode(arr).alias("span_id", "_p")).select("doc_id", *keep, "span_id", "_p.*")
     x = with_offsets(x, order=("span_id",))
+    extra = ["ls", "rs", "le", "re"] if border_chars else []
     return x.select("doc_id", *keep, F.lit("chunk").alias("type"), F.col("span_id").cast("int"),
                     F.col("b0").alias("s"), F.col("b1").alias("e"),
-                    F.col("c0").alias("cs"), F.col("c1").alias("ce"), "piece")
+                    F.col("c0").alias("cs"), F.col("c1").alias("ce"), "piece", *extra)
 
 
 def spans_from_table(df: DataFrame, doc="doc_id", type_="type", s="s", e="e",

@@ -9,7 +9,7 @@ from spanalign.operators.align import (align_detail, boundary_context, boundary_
                                        rule_word_split, stab, token_cut, tolerance_align)
 from spanalign.operators.clean import only_unaligned
 from spanalign.operators.scores import unaligned_list
-from spanalign.operators.spans import chunk_spans, extract_spans
+from spanalign.operators.spans import chunk_spans, extract_spans, with_word_split
 from spanalign.operators.tokens import tokens, word_runs
 from spanalign.plans.catalog import ONE_WORD, SQL_DOCS, r6, register
 from spanalign.plans.common import CHUNK, DOC_PATTERNS, DOC_PATTERNS_RE2, docs_by_doc, sql_spans
@@ -65,6 +65,17 @@ SELECT grp, type, count(*) AS n_rules, count(*) FILTER (WHERE NOT ms) AS n_start
 FROM pr GROUP BY grp, type""")
 def mid_word_q(spark, sf):
     """ALN-2 (M1) on regex spans of documents: borders inside word runs."""
+    fl = with_word_split(extract_spans(docs_by_doc(spark, sf), DOC_PATTERNS, border_chars=True))
+    return _flag_counts(fl, ["grp", "type"])
+
+
+@register("mid_word_runs", f"""WITH {SQL_DOCS}, {sql_spans('d', DOC_PATTERNS_RE2)}, {SQL_CHARS}, {sql_points('sp')}, {SQL_MW}, {RULE_FLAGS_SQL}
+SELECT grp, type, count(*) AS n_rules, count(*) FILTER (WHERE NOT ms) AS n_start_aligned,
+  count(*) FILTER (WHERE NOT me) AS n_end_aligned, count(*) FILTER (WHERE NOT ms AND NOT me) AS n_fully
+FROM pr GROUP BY grp, type""")
+def mid_word_runs_q(spark, sf):
+    """ALN-2 (M1) general form: borders stabbed into word runs (works for
+    spans from any source, e.g. a user's span table)."""
     d = docs_by_doc(spark, sf)
     fl = rule_word_split(extract_spans(d, DOC_PATTERNS), word_runs(d), carry=())
     return _flag_counts(fl, ["grp", "type"])
@@ -158,7 +169,7 @@ def token_cut_score_q(spark, sf):
 
 def _detail(spark, sf):
     d = docs_by_doc(spark, sf)
-    return align_detail(chunk_spans(d, CHUNK), word_runs(d), tokens(d, "pretok", keep=()))
+    return align_detail(chunk_spans(d, CHUNK, border_chars=True), None, tokens(d, "pretok", keep=()))
 
 
 SQL_DETAIL = f"""WITH {SQL_DOCS}, {SQL_CHUNK_RULES}, {SQL_CHARS}, {sql_points('cr')}, {SQL_MW}, {sql_tokens('tk', 'pretok')},

@@ -122,3 +122,21 @@ def test_covering_as_of_equals_general(spark):
     fast = sorted(tuple(r) for r in nearest_token(rules, toks, covering=True).select(*cols).collect())
     slow = sorted(tuple(r) for r in nearest_token(rules, toks, covering=False).select(*cols).collect())
     assert fast == slow
+
+
+def test_border_chars_equal_word_runs(spark):
+    from spanalign.operators.spans import with_word_split
+    random.seed(5)
+    alphabet = "aB 1é字.\n_"
+    texts = [(i, "g", "".join(random.choice(alphabet) for _ in range(random.randint(0, 120)))) for i in range(30)]
+    d = spark.createDataFrame(texts, "doc_id long, grp string, text string").repartition(4, "doc_id")
+    pats = {"num": r"\p{N}+", "cap": r"\p{Lu}[^\n]{0,3}", "dot": r"[^.\n]+\."}
+    sp = extract_spans(d, pats, border_chars=True)
+    a = sorted((r.doc_id, r.type, r.span_id, r.crossing_start, r.crossing_end) for r in with_word_split(sp).collect())
+    b = sorted((r.doc_id, r.type, r.span_id, r.crossing_start, r.crossing_end)
+               for r in rule_word_split(extract_spans(d, pats), word_runs(d), carry=()).collect())
+    assert a == b
+    ch = chunk_spans(d, 4, border_chars=True)
+    c1 = sorted((r.doc_id, r.span_id, r.fully_aligned) for r in with_word_split(ch).collect())
+    c2 = sorted((r.doc_id, r.span_id, r.fully_aligned) for r in rule_word_split(chunk_spans(d, 4), word_runs(d), carry=()).collect())
+    assert c1 == c2
