@@ -187,7 +187,8 @@ def nearest_token(rules: DataFrame, toks: DataFrame, tol: int = 1, keep=("grp",)
     With ``schemes`` (a short list of names) ``toks`` holds several schemes;
     rule points are repeated per scheme by a generator over that literal
     list, never by a join, and the windows run per (doc_id, scheme)."""
-    pts = boundary_points(rules, keep=keep)
+    carry = [c for c in ("s", "e") if c in rules.columns]
+    pts = boundary_points(rules, keep=keep, carry=carry)
     extra = []
     if schemes:
         pts = pts.withColumn("scheme", F.explode(F.array(*[F.lit(x) for x in schemes])))
@@ -196,6 +197,7 @@ def nearest_token(rules: DataFrame, toks: DataFrame, tol: int = 1, keep=("grp",)
     x = _as_of_covering(pts, toks, extra) if fast else _as_of_targets(pts, toks, extra_parts=extra)
     side = lambda sd, c: F.max(F.when(F.col("side") == sd, F.col(c)))
     g = x.groupBy(*RULE_ID, *extra, *keep).agg(
+        *[F.first(c).alias(c) for c in carry],
         side("s", "nearest").alias("start_token"), side("s", "dist").alias("start_distance"),
         side("e", "nearest").alias("end_token"), side("e", "dist").alias("end_distance"))
     return (g.withColumn("start_aligned", F.coalesce(F.col("start_distance") <= tol, F.lit(False)))
@@ -212,9 +214,11 @@ def tolerance_align(rules: DataFrame, toks: DataFrame, tol: int = 1, keep=("grp"
 def token_cut(rules: DataFrame, toks: DataFrame, keep=("grp",)) -> DataFrame:
     """ALN-6 (M3 promoted): a border is cut when it lies strictly inside a
     token. One row per rule with both flags."""
-    ctx = boundary_context(boundary_points(rules, keep=keep), toks=toks)
+    carry = [c for c in ("s", "e") if c in rules.columns]
+    ctx = boundary_context(boundary_points(rules, keep=keep, carry=carry), toks=toks)
     side = lambda sd: F.max(F.when(F.col("side") == sd, F.col("in_token")))
-    g = ctx.groupBy(*RULE_ID, *keep).agg(side("s").alias("start_cut"), side("e").alias("end_cut"))
+    g = ctx.groupBy(*RULE_ID, *keep).agg(*[F.first(c).alias(c) for c in carry],
+                                         side("s").alias("start_cut"), side("e").alias("end_cut"))
     return g.withColumn("uncut", ~F.col("start_cut") & ~F.col("end_cut"))
 
 

@@ -217,3 +217,25 @@ def unaligned_list_q(spark, sf):
     return ul.select("doc_id", F.size("unaligned_rules").cast("bigint").alias("n_unaligned"),
                      F.col("unaligned_rules")[0]["rule_key"].alias("first_rule_key"),
                      F.element_at("unaligned_rules", -1)["end_byte"].alias("last_end"))
+
+
+@register("analyze_tolerance", f"""WITH {SQL_DOCS}, {sql_spans('d', {'sentence': DOC_PATTERNS_RE2['sentence']})},
+{sql_tokens('tk', 'pretok')},
+f AS (SELECT doc_id, grp,
+  EXISTS (SELECT 1 FROM tk WHERE tk.doc_id = sp.doc_id AND tk.s BETWEEN sp.s - 1 AND sp.s + 1)
+  AND EXISTS (SELECT 1 FROM tk WHERE tk.doc_id = sp.doc_id AND tk.e BETWEEN sp.e - 1 AND sp.e + 1) AS ok,
+  type || '_' || s || '_' || e AS k FROM sp),
+ds AS (SELECT d.doc_id, d.grp, count(f.k) AS n, count(f.k) FILTER (WHERE f.ok) AS a, count(DISTINCT f.k) AS nd,
+         count(DISTINCT f.k) FILTER (WHERE f.ok) AS ad, length(any_value(d.text)) AS nc, strlen(any_value(d.text)) AS nb
+       FROM d LEFT JOIN f ON f.doc_id = d.doc_id GROUP BY d.doc_id, d.grp)
+SELECT grp, count(*) AS file_count, round(avg(CASE WHEN n = 0 THEN 0.0 ELSE 100.0 * a / n END), 6) AS avg_score,
+  CAST(sum(nd) AS BIGINT) AS total_rules, CAST(sum(ad) AS BIGINT) AS total_aligned, CAST(sum(nc) AS BIGINT) AS total_code_size,
+  CAST(sum(nb) AS BIGINT) AS total_bytes, round(100.0 * sum(ad) / sum(nd), 6) AS overall_alignment FROM ds GROUP BY grp""")
+def analyze_tolerance_q(spark, sf):
+    """End-to-end run (E1/E2 flow): sentence rules, M2 against pretok
+    tokens, per-document scores (documents without sentences kept), group
+    statistics per language."""
+    from spanalign.analysis import analyze
+    from spanalign.plans.common import docs
+    a = analyze(docs(spark, sf), {"sentence": DOC_PATTERNS["sentence"]}, metric="tolerance", scheme="pretok")
+    return r6(a.group_stats)

@@ -30,3 +30,14 @@ def test_udf_plugins(spark):
     assert tk == [(0, 1), (1, 3), (3, 4), (4, 5)]
     runs = [(r.s, r.e) for r in word_class_runs(d, r"[a-z]").orderBy("s").collect()]
     assert runs == [(0, 1), (4, 5)]
+
+
+def test_analyze_metrics(spark):
+    from spanalign.analysis import analyze
+    d = spark.createDataFrame([(1, "a", "Hello world. Bye now."), (2, "b", "x")], "doc_id long, grp string, text string")
+    for metric in ("word_split", "tolerance", "token_cut"):
+        a = analyze(d, {"sent": r"[^.]+\."}, metric=metric)
+        st = {r.grp: r for r in a.group_stats.collect()}
+        assert st["a"].total_rules == 2 and st["b"].total_rules == 0 and st["b"].file_count == 1
+    w = {r.grp: r.total_aligned for r in analyze(d, 4).group_stats.collect()}
+    assert w["b"] == 1
