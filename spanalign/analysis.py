@@ -64,12 +64,12 @@ def analyze(corpus: DataFrame, rules=64, metric: str = "word_split", scheme: str
             else:
                 from spanalign.operators.align import rule_word_split
                 from spanalign.operators.tokens import word_runs
-                flags = rule_word_split(r, word_runs(docs), keep=(by,) if by in r.columns else ())
+                flags = rule_word_split(r, word_runs(docs, keep=(by,)), keep=(by,) if by in r.columns else ())
         elif metric == "tolerance":
-            flags = nearest_token(r, tokens(docs, scheme, keep=()), tol=tol, keep=(by,) if by in r.columns else (),
+            flags = nearest_token(r, tokens(docs, scheme, keep=(by,)), tol=tol, keep=(by,) if by in r.columns else (),
                                   covering=True)
         else:
-            flags = token_cut(r, tokens(docs, scheme, keep=()), keep=(by,) if by in r.columns else ()) \
+            flags = token_cut(r, tokens(docs, scheme, keep=(by,)), keep=(by,) if by in r.columns else ()) \
                 .withColumn("fully_aligned", F.col("uncut"))
         scores = doc_scores(flags, docs, keep=(by,))
     stats = group_stats(scores, by, include_perfect)
@@ -79,4 +79,4 @@ def analyze(corpus: DataFrame, rules=64, metric: str = "word_split", scheme: str
 def analyze_detail(corpus: DataFrame, rules=64, scheme: str = "pretok", partitioned: bool = False) -> DataFrame:
     """The reference's per-rule detail records (M1 with token context)."""
     docs = corpus if partitioned else by_doc(corpus)
-    return align_detail(_rules(docs, rules, border_chars=True), None, tokens(docs, scheme, keep=()))
+    return align_detail(_rules(docs, rules, border_chars=True), None, tokens(docs, scheme, keep=(by,)))

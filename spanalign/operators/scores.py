@@ -26,12 +26,19 @@ def doc_scores(rule_flags: DataFrame, docs: DataFrame, keep=("grp",), flag: str
     d = docs.select("doc_id", F.col(keep[0]).cast("string").alias("grp_") if keep else F.lit(None).cast("string").alias("grp_"),
                     F.lit(None).cast("string").alias("rule_key"), F.lit(None).cast("boolean").alias("_ok"),
                     n_chars("text").alias("_nc"), n_bytes("text").alias("_nb"))
-    g = r.unionByName(d).groupBy("doc_id").agg(
+    # distinct keys by a two-level aggregate (per key, then per document):
+    # both levels group on supersets of doc_id, so the corpus partitioning
+    # is reused; count_distinct would be rewritten with an Expand that drops
+    # the partitioning and costs another shuffle
+    per_key = r.unionByName(d).groupBy("doc_id", "rule_key").agg(
+        F.max("grp_").alias("grp_"), F.count("rule_key").alias("_n"), F.count_if(F.col("_ok")).alias("_a"),
+        F.max(F.col("_ok").cast("int")).alias("_ka"), F.max("_nc").alias("_nc"), F.max("_nb").alias("_nb"))
+    g = per_key.groupBy("doc_id").agg(
         F.max("grp_").alias(keep[0] if keep else "grp"),
-        F.count("rule_key").alias("n_rules"),
-        F.count_if(F.col("_ok")).alias("n_aligned"),
-        F.count_distinct("rule_key").alias("n_distinct_rules"),
-        F.count_distinct(F.when(F.col("_ok"), F.col("rule_key"))).alias("n_distinct_aligned"),
+        F.sum("_n").alias("n_rules"),
+        F.sum("_a").alias("n_aligned"),
+        F.count("rule_key").alias("n_distinct_rules"),
+        F.count_if(F.col("rule_key").isNotNull() & (F.col("_ka") == 1)).alias("n_distinct_aligned"),
         F.max("_nc").alias("n_chars"), F.max("_nb").alias("n_bytes"))
     return (g.withColumn("score", _pct(F.col("n_aligned"), F.col("n_rules")))
              .withColumn("is_perfect", F.col("n_aligned") == F.col("n_rules")))

@@ -99,7 +99,7 @@ def extract_spans(docs: DataFrame, patterns: dict, keep=("grp",), border_chars:
     arrs = [F.transform(F.col(f"_parts{k}"), tagger(t, f"_parts{k}")) for k, t in enumerate(types)]
     allp = arrs[0] if len(arrs) == 1 else F.concat(*arrs)
     x = base.select("doc_id", *keep, F.explode(allp).alias("_p")).select("doc_id", *keep, "_p.*")
-    w = running(["doc_id", "type"], ["i"])
+    w = running(["doc_id", *keep, "type"], ["i"])
     extra = ["ls", "rs", "le", "re"] if border_chars else []
     x = (x.withColumn("e", F.sum("nb").over(w)).withColumn("ce", F.sum("nc").over(w))
           .filter(F.col("i") % 2 == 1)
@@ -124,7 +124,7 @@ def chunk_spans(docs: DataFrame, k: int = 64, keep=("grp",), border_chars: bool
     else:
         arr = F.transform("_c", lambda x, i: F.struct(x.alias("piece")))
     x = base.select("doc_id", *keep, F.posexplode(arr).alias("span_id", "_p")).select("doc_id", *keep, "span_id", "_p.*")
-    x = with_offsets(x, order=("span_id",))
+    x = with_offsets(x, order=("span_id",), parts=("doc_id", *keep))
     extra = ["ls", "rs", "le", "re"] if border_chars else []
     return x.select("doc_id", *keep, F.lit("chunk").alias("type"), F.col("span_id").cast("int"),
                     F.col("b0").alias("s"), F.col("b1").alias("e"),

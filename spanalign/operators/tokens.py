@@ -34,7 +34,7 @@ def tokens(docs: DataFrame, scheme: str = "word", keep=("grp",), covering: bool
         covering = scheme in TOKEN_SCHEMES or scheme == RUN_PATTERN
     if covering:
         x = docs.select("doc_id", *keep, F.posexplode(scheme_pieces("text", scheme)).alias("tok_id", "piece"))
-        x = with_offsets(x, order=("tok_id",), utf16=utf16)
+        x = with_offsets(x, order=("tok_id",), parts=("doc_id", *keep), utf16=utf16)
         return x.select("doc_id", *keep, F.lit(scheme).alias("scheme"), F.col("tok_id").cast("int"),
                         F.col("b0").alias("s"), F.col("b1").alias("e"),
                         F.col("c0").alias("cs"), F.col("c1").alias("ce"), "piece", "is_last",
@@ -53,7 +53,7 @@ def multi_scheme_tokens(docs: DataFrame, schemes, keep=("grp",)) -> DataFrame:
     arrs = [F.transform(scheme_pieces("text", sc), tagger(sc)) for sc in schemes]
     allp = arrs[0] if len(arrs) == 1 else F.concat(*arrs)
     x = docs.select("doc_id", *keep, F.explode(allp).alias("_t")).select("doc_id", *keep, "_t.*")
-    x = with_offsets(x, order=("tok_id",), parts=("doc_id", "scheme"), chars=False)
+    x = with_offsets(x, order=("tok_id",), parts=("doc_id", *keep, "scheme"), chars=False)
     return x.select("doc_id", *keep, "scheme", F.col("tok_id").cast("int"),
                     F.col("b0").alias("s"), F.col("b1").alias("e"), "piece", "is_last")
 
@@ -71,7 +71,7 @@ def word_runs(docs: DataFrame, keep=()) -> DataFrame:
     targets): alternating runs cover the text, word runs are kept."""
     x = docs.select("doc_id", *keep, F.posexplode(F.regexp_extract_all(
         "text", F.lit(RUN_PATTERN), F.lit(0))).alias("i", "piece"))
-    x = with_offsets(x, chars=False)
+    x = with_offsets(x, parts=("doc_id", *keep), chars=False)
     return x.filter(F.col("piece").rlike("^" + WORD_CHAR)).select(
         "doc_id", *keep, F.col("b0").alias("s"), F.col("b1").alias("e"), "piece")
 

@@ -77,7 +77,7 @@ def mid_word_runs_q(spark, sf):
     """ALN-2 (M1) general form: borders stabbed into word runs (works for
     spans from any source, e.g. a user's span table)."""
     d = docs_by_doc(spark, sf)
-    fl = rule_word_split(extract_spans(d, DOC_PATTERNS), word_runs(d), carry=())
+    fl = rule_word_split(extract_spans(d, DOC_PATTERNS), word_runs(d, keep=("grp",)), carry=())
     return _flag_counts(fl, ["grp", "type"])
 
 
@@ -92,7 +92,7 @@ def mid_word_points_q(spark, sf):
     d = docs_by_doc(spark, sf)
     pts = d.select("doc_id", "grp", F.explode(F.sequence(F.lit(0).cast("bigint"), F.octet_length("text").cast("bigint"),
                                                          F.lit(5).cast("bigint"))).alias("p"))
-    c = boundary_context(pts, runs=word_runs(d))
+    c = boundary_context(pts, runs=word_runs(d, keep=("grp",)))
     return c.groupBy("grp").agg(F.count(F.lit(1)).alias("n_points"), F.count_if("mid_word").alias("n_mid"),
                                 F.sum(F.when(F.col("mid_word"), F.col("p"))).cast("bigint").alias("sum_mid_p"))
 
@@ -105,7 +105,7 @@ def containing_token_q(spark, sf):
     """ALN-1: for every chunk border, the piece4 token strictly containing it."""
     d = docs_by_doc(spark, sf)
     pts = boundary_points(chunk_spans(d, CHUNK))
-    r = stab(pts, tokens(d, "piece4", keep=()))
+    r = stab(pts, tokens(d, "piece4", keep=("grp",)))
     return r.groupBy("grp").agg(F.count(F.lit(1)).alias("n_points"), F.count("tok").alias("n_inside"),
                                 F.sum("tok.tok_id").cast("bigint").alias("sum_tok_id"),
                                 F.sum("tok.s").cast("bigint").alias("sum_tok_s"))
@@ -122,7 +122,7 @@ SELECT grp, count(*) AS n_rules, count(*) FILTER (WHERE sa) AS n_start_aligned,
 
 def _tol(spark, sf, tol):
     d = docs_by_doc(spark, sf)
-    return _flag_counts(tolerance_align(chunk_spans(d, CHUNK), tokens(d, "pretok", keep=()), tol=tol, covering=True), ["grp"])
+    return _flag_counts(tolerance_align(chunk_spans(d, CHUNK), tokens(d, "pretok", keep=("grp",)), tol=tol, covering=True), ["grp"])
 
 
 @register("tolerance_scores", _tol_sql(1))
@@ -147,7 +147,7 @@ SELECT doc_id, span_id, start_token, CAST(start_distance AS BIGINT) AS start_dis
 def nearest_token_q(spark, sf):
     """ALN-4: nearest pretok token to each chunk border (ties -> lowest id)."""
     d = docs_by_doc(spark, sf)
-    n = nearest_token(chunk_spans(d, CHUNK), tokens(d, "pretok", keep=()), keep=(), covering=True)
+    n = nearest_token(chunk_spans(d, CHUNK), tokens(d, "pretok", keep=("grp",)), keep=(), covering=True)
     return n.select("doc_id", "span_id", "start_token", "start_distance", "end_token", "end_distance")
 
 
@@ -161,7 +161,7 @@ SELECT grp, count(*) AS n_rules, count(*) FILTER (WHERE sc) AS n_start_cut, coun
 def token_cut_score_q(spark, sf):
     """ALN-6 (M3 as a score): chunk borders strictly inside pretok tokens."""
     d = docs_by_doc(spark, sf)
-    t = token_cut(chunk_spans(d, CHUNK), tokens(d, "pretok", keep=()))
+    t = token_cut(chunk_spans(d, CHUNK), tokens(d, "pretok", keep=("grp",)))
     g = t.groupBy("grp").agg(F.count(F.lit(1)).alias("n_rules"), F.count_if("start_cut").alias("n_start_cut"),
                              F.count_if("end_cut").alias("n_end_cut"), F.count_if("uncut").alias("n_uncut"))
     return r6(g.withColumn("uncut_pct", F.col("n_uncut") * 100.0 / F.col("n_rules")))
@@ -169,7 +169,7 @@ def token_cut_score_q(spark, sf):
 
 def _detail(spark, sf):
     d = docs_by_doc(spark, sf)
-    return align_detail(chunk_spans(d, CHUNK, border_chars=True), None, tokens(d, "pretok", keep=()))
+    return align_detail(chunk_spans(d, CHUNK, border_chars=True), None, tokens(d, "pretok", keep=("grp",)))
 
 
 SQL_DETAIL = f"""WITH {SQL_DOCS}, {SQL_CHUNK_RULES}, {SQL_CHARS}, {sql_points('cr')}, {SQL_MW}, {sql_tokens('tk', 'pretok')},

@@ -133,7 +133,7 @@ def compare_schemes_q(spark, sf):
     """AGG-16: M2 (tol=1) of chunk rules under three token schemes computed
     in one job, as a language x scheme table."""
     d = docs_by_doc(spark, sf)
-    fl = nearest_token(chunk_spans(d, CHUNK), multi_scheme_tokens(d, CMP_SCHEMES, keep=()), schemes=CMP_SCHEMES,
+    fl = nearest_token(chunk_spans(d, CHUNK), multi_scheme_tokens(d, CMP_SCHEMES, keep=("grp",)), schemes=CMP_SCHEMES,
                        covering=True)
     ds = fl.groupBy("doc_id", "grp", "scheme").agg(F.count(F.lit(1)).alias("n"), F.count_if("fully_aligned").alias("a"))
     st = ds.groupBy("grp", "scheme").agg(F.avg(F.col("a") * 100.0 / F.col("n")).alias("avg_score"),

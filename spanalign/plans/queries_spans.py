@@ -48,11 +48,11 @@ def span_keys_q(spark, sf):
     """SPN-4: type_start_end keys; one row per (doc, key) after dedup, and
     the number of distinct offset pairs across types."""
     sp = span_keys(doc_spans(spark, sf))
-    per = sp.groupBy("doc_id", "grp").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("rule_key").alias("k"),
-        F.count_distinct("s", "e").alias("p"))
-    return per.groupBy("grp").agg(F.sum("n").cast("bigint").alias("n_spans"), F.sum("k").cast("bigint").alias("n_keys"),
-                                  F.sum("p").cast("bigint").alias("n_offset_pairs"))
+    # distinct counts as nested groupings on supersets of doc_id (no Expand)
+    by_key = sp.groupBy("doc_id", "grp", "s", "e", "rule_key").agg(F.count(F.lit(1)).alias("n"))
+    by_pair = by_key.groupBy("doc_id", "grp", "s", "e").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))
+    return by_pair.groupBy("grp").agg(F.sum("n").cast("bigint").alias("n_spans"), F.sum("k").cast("bigint").alias("n_keys"),
+                                      F.count(F.lit(1)).cast("bigint").alias("n_offset_pairs"))
 
 
 @register("dedup_spans", f"""WITH {SQL_DOCS}, {sql_spans('d', {'a': DOC_PATTERNS['capword'], 'b': DOC_PATTERNS['number']})}

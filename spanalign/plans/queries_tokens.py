@@ -52,13 +52,11 @@ FROM wp JOIN lastp ON lastp.doc_id = wp.doc_id GROUP BY wp.grp""")
 def byte_offsets_q(spark, sf):
     """OFF-1: byte and character offsets of word pieces; the last piece of
     every document must end at its UTF-8 length."""
-    d = docs_by_doc(spark, sf)
-    t = tokens(d, "word", keep=("grp",))
-    nb = d.select("doc_id", F.octet_length("text").cast("bigint").alias("nb"))
-    per_doc = t.groupBy("doc_id", "grp").agg(
+    d = docs_by_doc(spark, sf).withColumn("nb", F.octet_length("text").cast("bigint"))
+    t = tokens(d, "word", keep=("grp", "nb"))
+    x = t.groupBy("doc_id", "grp").agg(
         F.count(F.lit(1)).alias("n"), F.sum("s").alias("sb0"), F.sum("e").alias("sb1"),
-        F.sum("cs").alias("sc0"), F.max("e").alias("b_end"))
-    x = per_doc.join(nb, "doc_id")
+        F.sum("cs").alias("sc0"), F.max("e").alias("b_end"), F.max("nb").alias("nb"))
     return x.groupBy("grp").agg(
         F.sum("n").cast("bigint").alias("n_pieces"), F.sum("sb0").cast("bigint").alias("sum_b0"),
         F.sum("sb1").cast("bigint").alias("sum_b1"), F.sum("sc0").cast("bigint").alias("sum_c0"),
@@ -96,7 +94,7 @@ def byte_to_char_q(spark, sf):
     pts = d.select("doc_id", "grp", F.explode(F.sequence(F.lit(0).cast("bigint"),
                                                          F.octet_length("text").cast("bigint"),
                                                          F.lit(7).cast("bigint"))).alias("p"))
-    pcs = tokens(d, "word", keep=()).select("doc_id", F.col("s").alias("b0"), F.col("cs").alias("c0"), "piece")
+    pcs = tokens(d, "word", keep=("grp",)).select("doc_id", F.col("s").alias("b0"), F.col("cs").alias("c0"), "piece")
     r = byte_to_char(pts, pcs)
     return r.groupBy("grp").agg(F.count(F.lit(1)).alias("n_points"),
                                 F.count_if(F.col("char_index").isNull()).alias("n_inside"),

@@ -45,7 +45,10 @@ def corpus_from_table(df: DataFrame, id_col: str | None = "doc_id", text_col: st
         doc = F.concat(F.lit("sample_"), F.col("_i").cast("string"))
     else:
         doc = F.col(id_col)
-    cols = [doc.alias("doc_id"), grp.alias("grp"), F.col(text_col).cast("string").alias("text")]
+    # alias only when a name changes: a self-alias makes two branches of one
+    # plan canonicalise differently and defeats exchange reuse
+    name = lambda c, src, dst: c if src == dst else c.alias(dst)
+    cols = [name(doc, id_col, "doc_id"), grp.alias("grp"), name(F.col(text_col), text_col, "text")]
     cols += [F.col(c) for c in extra]
     return df.select(*cols)
 
