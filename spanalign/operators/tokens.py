@@ -128,11 +128,17 @@ def tokens_from_table(df: DataFrame, offsets: str = "offsets", text: str = "text
 def fill_missing_tokens(docs: DataFrame, toks: DataFrame, keep=("grp",)) -> DataFrame:
     """TOK-4: documents without any token get one token per byte
     (source ``single_byte_fallback``); others keep theirs (``offset_mapping``).
-    Both sides are partitioned by doc_id, so the anti join adds no exchange."""
-    have = toks.select("doc_id").distinct()
-    missing = docs.join(have, "doc_id", "left_anti").filter(F.octet_length("text") > 0)
+
+    One marker row per document is unioned with the tokens and grouped by
+    doc_id - no join, and the grouping reuses the doc_id partitioning."""
+    marks = docs.select("doc_id", *keep, F.octet_length("text").cast("bigint").alias("_nb"),
+                        F.lit(None).cast("int").alias("_tok"))
+    have = toks.select("doc_id", *keep, F.lit(None).cast("bigint").alias("_nb"), F.col("tok_id").alias("_tok"))
+    per_doc = marks.unionByName(have).groupBy("doc_id", *keep).agg(
+        F.count("_tok").alias("_n"), F.max("_nb").alias("_nb"))
+    missing = per_doc.filter((F.col("_n") == 0) & (F.col("_nb") > 0))
     fb = missing.select("doc_id", *keep, F.posexplode(
-        F.sequence(F.lit(0).cast("bigint"), (F.octet_length("text") - 1).cast("bigint"))).alias("tok_id", "s"))
+        F.sequence(F.lit(0).cast("bigint"), F.col("_nb") - 1)).alias("tok_id", "s"))
     fb = fb.select("doc_id", *keep, F.col("tok_id").cast("int"), "s", (F.col("s") + 1).alias("e"),
                    F.lit("single_byte_fallback").alias("token_source"))
     base = toks.select("doc_id", *keep, "tok_id", "s", "e", F.lit("offset_mapping").alias("token_source"))
