@@ -45,17 +45,30 @@ def tokens(docs: DataFrame, scheme: str = "word", keep=("grp",), covering: bool
                      "s", "e", "cs", "ce", "piece")
 
 
-def multi_scheme_tokens(docs: DataFrame, schemes, keep=("grp",)) -> DataFrame:
-    """Tokens of several covering schemes from one generator per document."""
+def multi_scheme_tokens(docs: DataFrame, schemes, keep=("grp",), with_piece: bool = False) -> DataFrame:
+    """Tokens of several covering schemes from one generator per document.
+    Without ``with_piece`` the rows carry only byte lengths (computed inside
+    the generator), not the token strings."""
     def tagger(sc):
-        return lambda x, i: F.struct(F.lit(sc).alias("scheme"), i.alias("tok_id"), x.alias("piece"))
+        def f(x, i):
+            cols = [F.lit(sc).alias("scheme"), i.alias("tok_id"), F.octet_length(x).cast("bigint").alias("nb")]
+            return F.struct(*cols, *([x.alias("piece")] if with_piece else []))
+        return f
 
     arrs = [F.transform(scheme_pieces("text", sc), tagger(sc)) for sc in schemes]
     allp = arrs[0] if len(arrs) == 1 else F.concat(*arrs)
     x = docs.select("doc_id", *keep, F.explode(allp).alias("_t")).select("doc_id", *keep, "_t.*")
-    x = with_offsets(x, order=("tok_id",), parts=("doc_id", *keep, "scheme"), chars=False)
-    return x.select("doc_id", *keep, "scheme", F.col("tok_id").cast("int"),
-                    F.col("b0").alias("s"), F.col("b1").alias("e"), "piece", "is_last")
+    w = Window.partitionBy("doc_id", *keep, "scheme").orderBy("tok_id")
+    x = (x.withColumn("e", F.sum("nb").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+          .withColumn("is_last", F.lead(F.lit(1)).over(w).isNull()))
+    return x.select("doc_id", *keep, "scheme", F.col("tok_id").cast("int"), (F.col("e") - F.col("nb")).alias("s"), "e",
+                    *(["piece"] if with_piece else []), "is_last")
+
+
+def boundaries(docs: DataFrame, scheme: str, keep=("grp",)) -> DataFrame:
+    """Token offsets of one covering scheme without the token strings
+    (enough for tolerance, nearest-token and token-cut tests)."""
+    return multi_scheme_tokens(docs, [scheme], keep=keep).drop("scheme")
 
 
 def token_counts(docs: DataFrame, schemes, keep=("grp",)) -> DataFrame:

@@ -10,7 +10,7 @@ from spanalign.operators.align import (align_detail, boundary_context, boundary_
 from spanalign.operators.clean import only_unaligned
 from spanalign.operators.scores import unaligned_list
 from spanalign.operators.spans import chunk_spans, extract_spans, with_word_split
-from spanalign.operators.tokens import tokens, word_runs
+from spanalign.operators.tokens import boundaries, tokens, word_runs
 from spanalign.plans.catalog import ONE_WORD, SQL_DOCS, r6, register
 from spanalign.plans.common import CHUNK, DOC_PATTERNS, DOC_PATTERNS_RE2, docs_by_doc, sql_spans
 
@@ -105,7 +105,7 @@ def containing_token_q(spark, sf):
     """ALN-1: for every chunk border, the piece4 token strictly containing it."""
     d = docs_by_doc(spark, sf)
     pts = boundary_points(chunk_spans(d, CHUNK))
-    r = stab(pts, tokens(d, "piece4", keep=("grp",)))
+    r = stab(pts, boundaries(d, "piece4"))
     return r.groupBy("grp").agg(F.count(F.lit(1)).alias("n_points"), F.count("tok").alias("n_inside"),
                                 F.sum("tok.tok_id").cast("bigint").alias("sum_tok_id"),
                                 F.sum("tok.s").cast("bigint").alias("sum_tok_s"))
@@ -122,7 +122,7 @@ SELECT grp, count(*) AS n_rules, count(*) FILTER (WHERE sa) AS n_start_aligned,
 
 def _tol(spark, sf, tol):
     d = docs_by_doc(spark, sf)
-    return _flag_counts(tolerance_align(chunk_spans(d, CHUNK), tokens(d, "pretok", keep=("grp",)), tol=tol, covering=True), ["grp"])
+    return _flag_counts(tolerance_align(chunk_spans(d, CHUNK), boundaries(d, "pretok"), tol=tol, covering=True), ["grp"])
 
 
 @register("tolerance_scores", _tol_sql(1))
@@ -147,7 +147,7 @@ SELECT doc_id, span_id, start_token, CAST(start_distance AS BIGINT) AS start_dis
 def nearest_token_q(spark, sf):
     """ALN-4: nearest pretok token to each chunk border (ties -> lowest id)."""
     d = docs_by_doc(spark, sf)
-    n = nearest_token(chunk_spans(d, CHUNK), tokens(d, "pretok", keep=("grp",)), keep=(), covering=True)
+    n = nearest_token(chunk_spans(d, CHUNK), boundaries(d, "pretok"), keep=(), covering=True)
     return n.select("doc_id", "span_id", "start_token", "start_distance", "end_token", "end_distance")
 
 
@@ -161,7 +161,7 @@ SELECT grp, count(*) AS n_rules, count(*) FILTER (WHERE sc) AS n_start_cut, coun
 def token_cut_score_q(spark, sf):
     """ALN-6 (M3 as a score): chunk borders strictly inside pretok tokens."""
     d = docs_by_doc(spark, sf)
-    t = token_cut(chunk_spans(d, CHUNK), tokens(d, "pretok", keep=("grp",)))
+    t = token_cut(chunk_spans(d, CHUNK), boundaries(d, "pretok"))
     g = t.groupBy("grp").agg(F.count(F.lit(1)).alias("n_rules"), F.count_if("start_cut").alias("n_start_cut"),
                              F.count_if("end_cut").alias("n_end_cut"), F.count_if("uncut").alias("n_uncut"))
     return r6(g.withColumn("uncut_pct", F.col("n_uncut") * 100.0 / F.col("n_rules")))
