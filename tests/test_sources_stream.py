@@ -73,3 +73,16 @@ def test_stream_equals_batch_and_resumes(spark):
     got = {r.grp: (r.file_count, r.total_rules) for r in spark.read.parquet(out).collect()}
     batch = {r.grp: (r.file_count, r.total_rules) for r in group_stats(doc_scores_covering(df, chunk_pieces("text", 5))).collect()}
     assert got == batch
+
+
+def test_run_index_and_timing(spark):
+    from spanalign.operators.scores import with_timing
+    from spanalign.sources.reports import write_run_index
+    out = tempfile.mkdtemp(prefix="runs-") + "/index"
+    log = spark.createDataFrame([("r1", "a", "word", "ok", 2, 4.0)], "run_id string, grp string, scheme string, status string, n long, seconds double")
+    write_run_index(log, out)
+    write_run_index(log.withColumn("run_id", F.lit("r2")), out)
+    assert sorted(r.run_id for r in spark.read.json(out).collect()) == ["r1", "r2"]
+    stats = spark.createDataFrame([("a", 100), ("b", 50)], "grp string, total_code_size long")
+    t = {r.grp: (r.total_analysis_time, r.avg_processing_speed) for r in with_timing(stats, log).collect()}
+    assert t["a"] == (4.0, 25.0) and t["b"] == (None, 0.0)
