@@ -75,11 +75,18 @@ def batch_stats(scores: DataFrame, size: int, start_index: int = 0, max_files: i
 
 
 def flush_parts(scores: DataFrame, every: int, group: str = "grp", order_by="doc_id",
-                include_perfect: bool = True) -> DataFrame:
+                include_perfect: bool = True, report_convention: bool = False) -> DataFrame:
     """AGG-10: part k holds accepted documents (k-1)*every .. k*every-1 of
-    its group; the last part holds the remainder."""
+    its group; the last part holds the remainder.
+
+    ``report_convention`` reproduces the reference's part files exactly:
+    numbering still counts every accepted document, but a part's totals,
+    file count and average cover only its imperfect documents (parts made
+    only of perfect documents then have no row)."""
     x = with_index(scores, order_by, group)
     x = x.withColumn("part", F.floor(F.col("idx") / every).cast("int") + 1)
+    if report_convention:
+        x = x.filter(~F.col("is_perfect"))
     return _part_stats(x, [group, "part"], include_perfect)
 
 

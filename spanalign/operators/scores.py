@@ -147,3 +147,14 @@ def unaligned_list(detail: DataFrame, compact: bool = False, keep=()) -> DataFra
                     F.col("span_id").alias("_o3"), *[F.col(c) for c in fields])
     g = f.groupBy("doc_id", *keep).agg(F.sort_array(F.collect_list(item)).alias("_l"))
     return g.select("doc_id", *keep, F.transform("_l", lambda x: F.struct(*[x[c].alias(c) for c in fields])).alias("unaligned_rules"))
+
+
+def file_results(scores: DataFrame, unaligned: DataFrame, extra=("grp",)) -> DataFrame:
+    """The reference's per-file record: score, distinct rule totals, failing
+    rules, size and the perfect flag. Both inputs are keyed and partitioned
+    by doc_id, so the join needs no exchange of its own."""
+    x = scores.join(unaligned.select("doc_id", "unaligned_rules"), "doc_id", "left")
+    return x.select("doc_id", *[c for c in extra if c in x.columns], "score",
+                    F.col("n_distinct_rules").alias("total_rules"), F.col("n_distinct_aligned").alias("aligned_rules"),
+                    F.coalesce("unaligned_rules", F.array()).alias("unaligned_rules"),
+                    F.col("n_chars").alias("code_size"), "is_perfect")

@@ -142,3 +142,12 @@ def stop_after_q(spark, sf):
     then totals of totals per language."""
     b = batch_stats(chunk_doc_scores(spark, sf), 50)
     return r6(totals_of_totals(stop_after(b, 120)))
+
+
+@register("flush_parts_report", SQL_IDX + f"""
+SELECT grp, CAST(floor(idx / 40) + 1 AS INTEGER) AS part, {PART_COLS.format(avg="avg(score)")}
+FROM ix WHERE NOT is_perfect GROUP BY 1, 2""")
+def flush_parts_report_q(spark, sf):
+    """AGG-10 with the reports' convention: parts numbered over all
+    documents, totals over the imperfect ones only."""
+    return r6(flush_parts(chunk_doc_scores(spark, sf), 40, report_convention=True))

@@ -233,3 +233,20 @@ def phase_compare_q(spark, sf):
     e = read_table(spark, sf, "events")
     ph = (F.floor((F.dayofmonth("ts") - 1) / 7) + 1).cast("int")
     return r6(phase_compare(e, "event_type", ph).withColumnRenamed("event_type", "model"))
+
+
+@register("report_round_trip", SQL_GS + """
+SELECT count(*) AS total_languages, CAST(sum(file_count) AS BIGINT) AS total_files,
+  CAST(sum(total_rules) AS BIGINT) AS total_rules, CAST(sum(total_aligned) AS BIGINT) AS total_aligned,
+  CAST(sum(total_code_size) AS BIGINT) AS total_code_size, 'chunk64' AS scheme FROM gs""")
+def report_round_trip_q(spark, sf):
+    """SNK-1 + SRC-8: the run report (summary, languages, files) is written
+    as a report folder under the shared checkpoint folder and read back."""
+    import uuid
+    from spanalign.session import scratch_path
+    from spanalign.sources.reports import read_report, write_report
+    scores = chunk_doc_scores(spark, sf)
+    path = scratch_path(spark, f"report-{uuid.uuid4().hex}")
+    write_report(group_stats(scores, "grp"), scores, path, "chunk64")
+    summary, _, _ = read_report(spark, path)
+    return summary.select("summary.*", "scheme")
