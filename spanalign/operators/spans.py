@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from spanalign.functions.patterns import SENTINEL
 from spanalign.functions.text import preview, rule_key, show_newlines
-from spanalign.operators.offsets import explode_pieces, running, with_offsets
+from spanalign.operators.offsets import running, with_offsets
 
 # Private-use code points tried in turn as the split sentinel; the first one
 # absent from a text is used for that text.

@@ -10,7 +10,6 @@ from pyspark.sql import types as T
 
 from spanalign.functions.patterns import RUN_PATTERN, TOKEN_SCHEMES, WORD_CHAR
 from spanalign.operators.offsets import with_offsets
-from spanalign.operators.spans import regex_parts
 
 
 def scheme_pattern(scheme: str) -> str:

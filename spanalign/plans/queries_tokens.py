@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanalign.functions.patterns import TOKEN_SCHEMES
-from spanalign.operators.offsets import byte_to_char, with_offsets
+from spanalign.operators.offsets import byte_to_char
 from spanalign.operators.tokens import (fill_missing_tokens, token_counts, token_table, tokens,
                                         tokens_from_table)
-from spanalign.plans.catalog import SQL_DOCS, r6, register
+from spanalign.plans.catalog import SQL_DOCS, register
 from spanalign.plans.common import conversations_corpus, docs, docs_by_doc
 from spanalign.sources.tables import spread
 

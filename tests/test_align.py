@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from spanalign.operators.align import (boundary_context, covering_word_split, nearest_token, rule_word_split, stab,
+from spanalign.operators.align import (covering_word_split, nearest_token, rule_word_split, stab,
                                        tolerance_align)
 from spanalign.operators.spans import chunk_pieces, chunk_spans, extract_spans, span_tree, spans_from_table
 from spanalign.operators.tokens import tokens, word_runs

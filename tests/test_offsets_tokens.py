@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from spanalign.operators.offsets import byte_to_char, with_offsets
+from spanalign.operators.offsets import byte_to_char
 from spanalign.operators.tokens import (clean_offsets, fill_missing_tokens, locate_pieces, token_counts, tokens,
                                         tokens_from_table)
 
@@ -72,3 +72,25 @@ def test_locate_pieces_found_missing_blank_repeated(spark):
     # found 0-2, repeated found 3-5, missing -> placeholder 5-6, blank -> placeholder 6-7 (cursor 7),
     # so "x" is not found after the cursor: empty placeholder capped at the text end
     assert got == [(0, 0, 2), (1, 3, 5), (2, 5, 6), (3, 6, 7), (4, 7, 7)]
+
+
+def test_blank_and_quarantine(spark, texts):
+    from spanalign.operators.clean import drop_blank, quarantine
+    assert sorted(r.doc_id for r in drop_blank(texts).collect()) == [1, 2, 6, 7]
+    q = {r.doc_id: r.reason for r in quarantine(texts, max_size=10, allowed=["py"]).collect()}
+    assert q == {1: "oversize", 2: "oversize", 3: "blank", 4: "blank", 5: "blank", 6: "oversize", 7: "not_allowed"}
+
+
+def test_duplicate_offset_pairs_lowest_id(spark):
+    from spanalign.operators.align import stab
+    P = spark.createDataFrame([(1, 0, 2)], "doc_id long, pid int, p long")
+    I = spark.createDataFrame([(1, 5, 0, 4), (1, 3, 0, 4), (1, 9, 4, 6)], "doc_id long, tok_id int, s long, e long")
+    r = stab(P, I).first()
+    assert r.tok.tok_id == 3 and r.in_token
+
+
+def test_rank_speed_zero_seconds(spark):
+    from spanalign.operators.scores import rank_speed
+    runs = spark.createDataFrame([("a", 10, 0.0), ("b", 10, 2.0)], "grp string, total_code_size long, total_analysis_time double")
+    got = {r.grp: (r.speed, r["rank"]) for r in rank_speed(runs).collect()}
+    assert got == {"b": (5.0, 1), "a": (0.0, 2)}
