@@ -126,3 +126,20 @@ def span_tree_q(spark, sf):
     """SPN-5 on the nested document spans (line > sentence > word/number)."""
     from spanalign.operators.spans import span_tree
     return span_tree(doc_spans(spark, sf))
+
+
+PAGE_NESTED = {k: PAGE_PATTERNS[k] for k in ("tag", "attr", "entity")}  # properly nested family
+
+
+@register("page_tag_tree", f"""WITH {SQL_PAGES}, {sql_spans('pg', PAGE_NESTED)},
+o AS (SELECT doc_id, type, span_id, s, e, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s, e DESC, type, span_id) - 1 AS INTEGER) AS id FROM sp),
+p AS (SELECT x.doc_id, x.id, max(y.id) AS parent_id, count(y.id) AS depth FROM o x LEFT JOIN o y
+      ON y.doc_id = x.doc_id AND y.id < x.id AND y.s <= x.s AND x.e <= y.e GROUP BY x.doc_id, x.id)
+SELECT o.type, count(*) AS n_spans, count(p.parent_id) AS n_with_parent, CAST(max(p.depth) AS INTEGER) AS max_depth,
+  CAST(sum(p.parent_id) AS BIGINT) AS sum_parent_id FROM o JOIN p ON p.doc_id = o.doc_id AND p.id = o.id GROUP BY o.type""")
+def page_tag_tree_q(spark, sf):
+    """SPN-5 on HTML pages: attributes and entities nest inside tags."""
+    from spanalign.operators.spans import span_tree
+    t = span_tree(extract_spans(pages_corpus(spark, sf), PAGE_NESTED))
+    return t.groupBy("type").agg(F.count(F.lit(1)).alias("n_spans"), F.count("parent_id").alias("n_with_parent"),
+                                 F.max("depth").alias("max_depth"), F.sum("parent_id").cast("bigint").alias("sum_parent_id"))
