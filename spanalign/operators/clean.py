@@ -21,10 +21,11 @@ def normalize_language(df: DataFrame, col: str = "grp", aliases: dict | None = N
 def keep_languages(df: DataFrame, languages, col: str = "grp") -> DataFrame:
     """Allow-list; rows with unknown (null) groups are dropped too. A Python
     list becomes an ``isin`` literal; a DataFrame of allowed names becomes a
-    left-semi join (broadcast only when it is a small dimension)."""
+    left-semi join whose build side AQE broadcasts only when its measured
+    size is below spark.sql.adaptive.autoBroadcastJoinThreshold."""
     if isinstance(languages, DataFrame):
         allowed = languages.select(F.col(languages.columns[0]).alias("_allowed")).distinct()
-        return df.join(F.broadcast(allowed), F.col(col) == F.col("_allowed"), "left_semi")
+        return df.join(allowed, F.col(col) == F.col("_allowed"), "left_semi")
     return df.filter(F.col(col).isin(list(languages)))
 
 

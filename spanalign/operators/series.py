@@ -2,9 +2,9 @@
 
 Per-series results come from aggregates with map-side partial aggregation
 (min_by / max_by), so one series holding a third of all samples costs one
-partial row per task. Joining a per-series result back to the samples
-broadcasts it only when its row count is below a checked bound; otherwise
-it is a shuffle join whose hot key AQE's skew-join handling splits.
+partial row per task. Joining a per-series result back to the samples is
+left to AQE: a broadcast when the measured per-series table is small,
+otherwise a shuffle join whose hot key the skew-join rule splits.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 1_000_000
 
 
 def micros(ts) -> F.Column:
@@ -41,8 +40,11 @@ def series_summary(samples: DataFrame, series: str = "series_id", ts: str = "ts"
 
 
 def _join_small(big: DataFrame, small: DataFrame, on) -> DataFrame:
-    n = small.limit(BROADCAST_ROWS + 1).count()
-    return big.join(F.broadcast(small) if n <= BROADCAST_ROWS else small, on)
+    """Per-series results back onto the samples. No broadcast hint: AQE
+    measures the per-series side after its (partial) aggregation and turns
+    the join into a broadcast only below its runtime threshold; otherwise it
+    stays a shuffle join whose hot series the skew-join rule splits."""
+    return big.join(small, on)
 
 
 def baseline_delta(samples: DataFrame, series: str = "series_id", ts: str = "ts", value: str = "value",
