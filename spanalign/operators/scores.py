@@ -103,7 +103,7 @@ def rank_groups(stats: DataFrame, by: str = "grp", metric: str = "avg_score") ->
     already aggregated per-group table (one row per group), so an
     unpartitioned window is fine here."""
     w = Window.orderBy(F.col(metric).desc_nulls_last(), F.col(by).asc())
-    return stats.withColumn("rank", F.row_number().over(w))
+    return stats.withColumn("rank", F.row_number().over(w).cast("bigint"))
 
 
 def rank_speed(runs: DataFrame, by: str = "grp", size: str = "total_code_size",
@@ -112,7 +112,7 @@ def rank_speed(runs: DataFrame, by: str = "grp", size: str = "total_code_size",
     ranked desc, ties by name."""
     sp = F.coalesce(F.try_divide(F.col(size).cast("double"), F.col(seconds).cast("double")), F.lit(0.0))
     x = runs.withColumn("speed", sp)
-    return x.withColumn("rank", F.row_number().over(Window.orderBy(F.col("speed").desc(), F.col(by).asc())))
+    return x.withColumn("rank", F.row_number().over(Window.orderBy(F.col("speed").desc(), F.col(by).asc())).cast("bigint"))
 
 
 def top_and_bottom(stats: DataFrame, n: int = 5, by: str = "grp", metric: str = "avg_score") -> DataFrame:
