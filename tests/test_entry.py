@@ -41,3 +41,4 @@ def test_analyze_metrics(spark):
         assert st["a"].total_rules == 2 and st["b"].total_rules == 0 and st["b"].file_count == 1
     w = {r.grp: r.total_aligned for r in analyze(d, 4).group_stats.collect()}
     assert w["b"] == 1
+
