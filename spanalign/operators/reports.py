@@ -129,3 +129,17 @@ def project_cost(stats: DataFrame, speed_col: str = "speed", avg_size_col: str =
     return x.select(by, F.col("_s.files").alias("files"), F.col("_s.label").alias("label"), "used_size",
                     sec.alias("seconds"), _human(sec).alias("human"),
                     (sec / F.col("_s.files") * 1000.0).alias("ms_per_file"))
+
+
+def comparison_document(cmp_long: DataFrame, by: str = "grp") -> DataFrame:
+    """SNK-4 document shape: one row {languages, models, data: map<group,
+    map<scheme, struct<avg_score, overall_alignment, file_count>>>}. Its
+    size is groups x schemes (a handful x a handful), so one row is safe."""
+    metrics = F.struct("avg_score", "overall_alignment", "file_count")
+    per_group = cmp_long.groupBy(by).agg(
+        F.map_from_entries(F.collect_list(F.struct("scheme", metrics))).alias("_m"),
+        F.collect_set("scheme").alias("_s"))
+    return per_group.agg(
+        F.sort_array(F.collect_list(by)).alias("languages"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list("_s")))).alias("models"),
+        F.map_from_entries(F.collect_list(F.struct(by, "_m"))).alias("data"))

@@ -91,3 +91,12 @@ def test_series(spark):
     assert bd[4] == (-3.0, 30.0)
     ph = phase_compare(s, "series_id", F.lit("all")).filter("series_id = 1").first()
     assert (ph.start_value, ph.end_value, ph.increase) == (5.0, 2.0, -3.0)
+
+
+def test_comparison_document(spark):
+    from spanalign.operators.reports import comparison_document
+    st = spark.createDataFrame([("a", "word", 1.0, 2.0, 3), ("b", "char", 4.0, 5.0, 6)],
+                               "grp string, scheme string, avg_score double, overall_alignment double, file_count long")
+    doc = comparison_document(compare_schemes(st, ["word", "char"])).first()
+    assert doc.languages == ["a", "b"] and doc.models == ["char", "word"]
+    assert doc.data["a"]["word"].avg_score == 1.0 and doc.data["a"]["char"].avg_score is None
