@@ -4,6 +4,12 @@ All of them are per-document as-of lookups written as one union of
 "points" and "targets" followed by ordered windows partitioned by doc_id:
 O((points + targets) log) per document instead of a quadratic range join,
 and no exchange when both inputs come from a doc_id-partitioned corpus.
+
+Fast paths (each pinned to its general form by a property test):
+covering token tables need one ascending window (``_as_of_covering``);
+covering spans score word splits inside one row (``covering_word_split``);
+regex / chunk spans carrying border characters need no word-run table
+(``spans.with_word_split`` and ``align_detail(runs=None)``).
 """
 
 from __future__ import annotations
@@ -26,10 +32,6 @@ def boundary_points(rules: DataFrame, keep=("grp",), carry=()) -> DataFrame:
     return rules.select(*RULE_ID, *keep, *carry, F.inline(sides))
 
 
-def _null(df: DataFrame, col: str):
-    return F.lit(None).cast(df.schema[col].dataType)
-
-
 def boundary_context(points: DataFrame, runs: DataFrame | None = None,
                      toks: DataFrame | None = None, p: str = "p") -> DataFrame:
     """For every point: the word run and the token that start strictly before
