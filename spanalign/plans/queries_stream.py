@@ -33,8 +33,11 @@ def stream_group_stats_q(spark, sf):
     return r6(spark.read.parquet(out))
 
 
-@register("stream_flush_parts", f"""WITH {SQL_DOCS}, x AS (SELECT grp, floor((row_number() OVER (PARTITION BY grp ORDER BY doc_id) - 1) / 40) + 1 AS part FROM d)
-SELECT grp, CAST(part AS INTEGER) AS part, count(*) AS file_count FROM x GROUP BY 1, 2""")
+ORACLE_PARTS = f"""WITH {SQL_DOCS}, x AS (SELECT grp, floor((row_number() OVER (PARTITION BY grp ORDER BY doc_id) - 1) / 40) + 1 AS part FROM d)
+SELECT grp, CAST(part AS INTEGER) AS part, count(*) AS file_count FROM x GROUP BY 1, 2"""
+
+
+@register("stream_flush_parts", ORACLE_PARTS)
 def stream_flush_parts_q(spark, sf):
     """STR-2: a part after every 40 documents of a language, assigned by a
     stateful streaming operator; the remainder forms the last part."""
@@ -45,6 +48,18 @@ def stream_flush_parts_q(spark, sf):
     return spark.read.parquet(out).groupBy("grp", "part").agg(F.count(F.lit(1)).alias("file_count"))
 
 
+@register("stream_flush_parts_distributed", ORACLE_PARTS)
+def stream_flush_parts_distributed_q(spark, sf):
+    """STR-2 via foreachBatch: per micro-batch distributed per-language
+    numbering plus a per-language counter table kept per epoch."""
+    import uuid
+    from spanalign.streaming.stream import flush_parts_sink
+    base = scratch_path(spark, f"stream-parts-d-{uuid.uuid4().hex}")
+    run_available(_doc_stream(spark, sf).select("doc_id", "grp"), flush_parts_sink(f"{base}/out", f"{base}/state", 40),
+                  mode="append", name="flush-parts-d")
+    return spark.read.parquet(f"{base}/out").groupBy("grp", "part").agg(F.count(F.lit(1)).alias("file_count"))
+
+
 @register("stream_limit", f"""WITH {SQL_DOCS} SELECT count(*) AS n_rows FROM (SELECT 1 FROM d LIMIT 300)""")
 def stream_limit_q(spark, sf):
     """STR-3: the stream stops after 300 accepted documents."""

@@ -94,3 +94,43 @@ def stream_flush_parts(docs_stream: DataFrame, every: int, group: str = "grp") -
 def stream_limit(stream: DataFrame, n: int) -> DataFrame:
     """STR-3: stop after n accepted rows (streaming limit, append mode)."""
     return stream.limit(n)
+
+
+def flush_parts_sink(out: str, state: str, every: int, group: str = "grp", order_by: str = "doc_id"):
+    """STR-2 without a per-group task: a foreachBatch sink that numbers each
+    micro-batch with the distributed per-group index (hot groups are spread
+    by a range sort) and keeps the running count per group as a tiny table
+    under ``state`` (one folder per epoch). A replayed epoch reads the
+    counts of the epochs before it and overwrites its own output, so the
+    result is exactly once."""
+    from spanalign.operators.batching import with_index
+
+    def sink(batch: DataFrame, epoch_id: int):
+        spark = batch.sparkSession
+        prev = _latest_counts(spark, state, epoch_id, group)
+        x = with_index(batch.select(F.col(order_by).cast("long").alias("doc_id"), F.col(group).alias("grp")),
+                       "doc_id", "grp")
+        if prev is not None:
+            x = x.join(prev, "grp", "left")   # one row per group: AQE broadcasts it
+        else:
+            x = x.withColumn("_seen", F.lit(0).cast("long"))
+        seq = F.coalesce(F.col("_seen"), F.lit(0)) + F.col("idx")
+        parts = x.select("doc_id", "grp", (F.floor(seq / every) + 1).cast("int").alias("part"), seq.alias("seq"))
+        parts.write.mode("overwrite").parquet(f"{out}/epoch={epoch_id}")
+        cnt = batch.groupBy(F.col(group).alias("grp")).agg(F.count(F.lit(1)).alias("_n"))
+        new = cnt.withColumn("_seen", F.lit(0).cast("long")) if prev is None else cnt.join(prev, "grp", "full")
+        new = new.select("grp", (F.coalesce("_seen", F.lit(0)) + F.coalesce("_n", F.lit(0))).cast("long").alias("_seen"))
+        new.write.mode("overwrite").parquet(f"{state}/epoch={epoch_id}")
+    return sink
+
+
+def _latest_counts(spark: SparkSession, state: str, epoch_id: int, group: str):
+    """Counts after the newest epoch before ``epoch_id`` (None at start)."""
+    try:
+        done = spark.read.parquet(state).select("epoch").distinct().filter(F.col("epoch") < epoch_id)
+        last = done.agg(F.max("epoch")).first()[0]
+    except Exception:  # noqa: BLE001  (no state yet)
+        return None
+    if last is None:
+        return None
+    return spark.read.parquet(f"{state}/epoch={last}").select("grp", "_seen")

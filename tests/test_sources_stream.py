@@ -86,3 +86,21 @@ def test_run_index_and_timing(spark):
     stats = spark.createDataFrame([("a", 100), ("b", 50)], "grp string, total_code_size long")
     t = {r.grp: (r.total_analysis_time, r.avg_processing_speed) for r in with_timing(stats, log).collect()}
     assert t["a"] == (4.0, 25.0) and t["b"] == (None, 0.0)
+
+
+def test_distributed_stream_parts_across_epochs(spark):
+    from spanalign.operators.batching import with_index
+    from spanalign.streaming.stream import corpus_stream, flush_parts_sink, run_available
+    src = tempfile.mkdtemp(prefix="src-")
+    rows = [(i, "de" if i % 4 else "en") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, grp string")
+    # one file per half: arrival order (one file per micro-batch) is then doc order
+    df.filter("doc_id < 23").coalesce(1).write.parquet(f"{src}/p1")
+    df.filter("doc_id >= 23").coalesce(1).write.parquet(f"{src}/p2")
+    base = tempfile.mkdtemp(prefix="parts-")
+    run_available(corpus_stream(spark, f"{src}/*", df.schema, max_files_per_trigger=1),
+                  flush_parts_sink(f"{base}/out", f"{base}/state", 5), mode="append")
+    got = {r.doc_id: (r.part, r.seq) for r in spark.read.parquet(f"{base}/out").collect()}
+    idx = {r.doc_id: r.idx for r in with_index(df, "doc_id", "grp").collect()}
+    assert got == {d: (i // 5 + 1, i) for d, i in idx.items()}
+    assert spark.read.parquet(f"{base}/state").select("epoch").distinct().count() >= 2
