@@ -31,13 +31,13 @@ class Analysis:
         return self.rule_flags
 
 
-def _rules(docs: DataFrame, rules, border_chars: bool) -> DataFrame:
+def _rules(docs: DataFrame, rules, border_chars: bool, keep=("grp",)) -> DataFrame:
     if isinstance(rules, DataFrame):
         return rules
     if isinstance(rules, int):
-        return chunk_spans(docs, rules, border_chars=border_chars)
+        return chunk_spans(docs, rules, keep=keep, border_chars=border_chars)
     if isinstance(rules, dict):
-        return extract_spans(docs, rules, border_chars=border_chars)
+        return extract_spans(docs, rules, keep=keep, border_chars=border_chars)
     raise TypeError("rules: chunk size (int), {type: regex} or a span DataFrame")
 
 
@@ -80,3 +80,27 @@ def analyze_detail(corpus: DataFrame, rules=64, scheme: str = "pretok", partitio
     """The reference's per-rule detail records (M1 with token context)."""
     docs = corpus if partitioned else by_doc(corpus)
     return align_detail(_rules(docs, rules, border_chars=True), None, tokens(docs, scheme, keep=(by,)))
+
+
+def folder_runs(files: DataFrame, schemes, rules=64, tol: int = 1, run_id: str = "run",
+                folder: str = "dir_prefix") -> tuple[DataFrame, DataFrame]:
+    """E3: the folder batch runner as ONE job. ``files`` is the corpus of
+    ``code_output_dirs`` (doc_id, grp, text, dir_prefix); every scheme of the
+    literal list is scored (M2, tolerance ``tol``) in the same pass, and
+    statistics are grouped by (folder, language, scheme). Returns
+    (stats, run_log) - the run log holds one row per folder, language and
+    scheme with status ``ok`` (documents scored) or ``empty``."""
+    from spanalign.operators.tokens import multi_scheme_tokens
+    docs = by_doc(files.select("doc_id", "grp", "text", F.col(folder).alias("folder")))
+    r = _rules(docs, rules, border_chars=False, keep=("grp", "folder"))
+    toks = multi_scheme_tokens(docs, list(schemes), keep=("grp", "folder"))
+    fl = nearest_token(r, toks, tol=tol, keep=("grp", "folder"), schemes=list(schemes), covering=True)
+    per_doc = fl.groupBy("doc_id", "grp", "folder", "scheme").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("fully_aligned").alias("a"))
+    stats = per_doc.groupBy("folder", "grp", "scheme").agg(
+        F.count(F.lit(1)).alias("file_count"), F.avg(F.col("a") * 100.0 / F.col("n")).alias("avg_score"),
+        F.sum("n").alias("total_rules"), F.sum("a").alias("total_aligned"))
+    run_log = stats.select(F.lit(run_id).alias("run_id"), "folder", "grp", "scheme",
+                           F.when(F.col("file_count") > 0, "ok").otherwise("empty").alias("status"),
+                           F.col("file_count").alias("n"))
+    return stats, run_log

@@ -104,3 +104,20 @@ def test_distributed_stream_parts_across_epochs(spark):
     idx = {r.doc_id: r.idx for r in with_index(df, "doc_id", "grp").collect()}
     assert got == {d: (i // 5 + 1, i) for d, i in idx.items()}
     assert spark.read.parquet(f"{base}/state").select("epoch").distinct().count() >= 2
+
+
+def test_folder_runs_one_job(spark):
+    from spanalign.analysis import folder_runs
+    from spanalign.operators.series import run_summary
+    base = tempfile.mkdtemp(prefix="runs-")
+    write(f"{base}/py_code_output/a.py", b"def foo_bar(x):\n    return x + 1\n")
+    write(f"{base}/py_code_output/b.py", b"print('hello world')\n")
+    write(f"{base}/go_code_output/c.go", b"func main() { fmt.Println(1) }\n")
+    files, _ = code_output_dirs(spark, base)
+    stats, log = folder_runs(files, ["word", "char"], rules=8)
+    got = {(r.folder, r.grp, r.scheme): r.file_count for r in stats.collect()}
+    assert got == {("py", "python", "word"): 2, ("py", "python", "char"): 2, ("go", "go", "word"): 1, ("go", "go", "char"): 1}
+    ch = {(r.folder, r.scheme): r.total_aligned == r.total_rules for r in stats.collect()}
+    assert ch[("py", "char")] and ch[("go", "char")]  # every border is a char-token border
+    s = {r.run: r.n_success for r in run_summary(log.withColumnRenamed("folder", "run"), "run").collect()}
+    assert s == {"py": 2, "go": 2}
