@@ -157,12 +157,16 @@ def fill_missing_tokens(docs: DataFrame, toks: DataFrame, keep=("grp",)) -> Data
     return base.unionByName(fb)
 
 
-def token_table(toks: DataFrame, keep=("grp",)) -> DataFrame:
-    """TOK-5: id, piece, start, end, quoted text and per-document count."""
+def token_table(toks: DataFrame, keep=("grp",), token_source: str | None = None) -> DataFrame:
+    """TOK-5: id, piece, start, end, quoted text, per-document count and
+    (when given, or carried by ``fill_missing_tokens``) the source label
+    offset_mapping / heuristic_decode / single_byte_fallback."""
     w = F.count(F.lit(1)).over(Window.partitionBy("doc_id"))
+    src = ([F.lit(token_source).alias("token_source")] if token_source
+           else [F.col("token_source")] if "token_source" in toks.columns else [])
     return toks.select("doc_id", *keep, "tok_id", "s", "e", "piece",
                        F.concat(F.lit("'"), F.col("piece"), F.lit("'")).alias("quoted"),
-                       w.alias("n_tokens"))
+                       w.alias("n_tokens"), *src)
 
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("s", T.LongType()), T.StructField("e", T.LongType())])))

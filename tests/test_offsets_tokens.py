@@ -94,3 +94,9 @@ def test_rank_speed_zero_seconds(spark):
     runs = spark.createDataFrame([("a", 10, 0.0), ("b", 10, 2.0)], "grp string, total_code_size long, total_analysis_time double")
     got = {r.grp: (r.speed, r["rank"]) for r in rank_speed(runs).collect()}
     assert got == {"b": (5.0, 1), "a": (0.0, 2)}
+
+
+def test_token_table_source_label(spark, texts):
+    from spanalign.operators.tokens import token_table
+    t = token_table(tokens(texts.filter("doc_id = 7"), "char"), token_source="offset_mapping").first()
+    assert (t.piece, t.quoted, t.n_tokens, t.token_source) == ("x", "'x'", 1, "offset_mapping")

@@ -121,3 +121,11 @@ def test_folder_runs_one_job(spark):
     assert ch[("py", "char")] and ch[("go", "char")]  # every border is a char-token border
     s = {r.run: r.n_success for r in run_summary(log.withColumnRenamed("folder", "run"), "run").collect()}
     assert s == {"py": 2, "go": 2}
+
+
+def test_single_file_path(spark):
+    root = tempfile.mkdtemp(prefix="one-")
+    write(f"{root}/x/only.rs", b"fn main() {}\n")
+    got = [(r.file, r.grp) for r in code_files(spark, f"{root}/x/only.rs", ["rust", "python"]).collect()]
+    assert got == [("only.rs", "rust")]
+    assert code_files(spark, f"{root}/x/only.rs", ["python"]).count() == 0
