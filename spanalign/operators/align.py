@@ -193,12 +193,13 @@ def nearest_token(rules: DataFrame, toks: DataFrame, tol: int = 1, keep=("grp",)
     pts = boundary_points(rules, keep=keep, carry=carry)
     extra = []
     if schemes:
-        pts = pts.withColumn("scheme", F.explode(F.array(*[F.lit(x) for x in schemes])))
-        extra = ["scheme"]
+        ids = F.array(*[F.struct(F.lit(k).alias("scheme_id"), F.lit(x).alias("scheme")) for k, x in enumerate(schemes)])
+        pts = pts.select("*", F.inline(ids))
+        extra = ["scheme_id"]
     fast = covering and "is_last" in toks.columns
     x = _as_of_covering(pts, toks, extra) if fast else _as_of_targets(pts, toks, extra_parts=extra)
     side = lambda sd, c: F.max(F.when(F.col("side") == sd, F.col(c)))
-    g = x.groupBy(*RULE_ID, *extra, *keep).agg(
+    g = x.groupBy(*RULE_ID, *extra, *(["scheme"] if schemes else []), *keep).agg(
         *[F.first(c).alias(c) for c in carry],
         side("s", "nearest").alias("start_token"), side("s", "dist").alias("start_distance"),
         side("e", "nearest").alias("end_token"), side("e", "dist").alias("end_distance"))

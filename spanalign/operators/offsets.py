@@ -26,19 +26,20 @@ def explode_pieces(docs: DataFrame, pieces: Column, keep=("grp",), pos: str = "i
 
 
 def with_offsets(pieces: DataFrame, piece: str = "piece", order=("i",), parts=("doc_id",),
-                 chars: bool = True, utf16: bool = False, prefix: str = "") -> DataFrame:
+                 chars: bool = True, utf16: bool = False, prefix: str = "", carried=()) -> DataFrame:
     """Start/end of each piece in bytes (b0, b1), characters (c0, c1) and
     optionally UTF-16 code units (u0, u1), from ordered covering pieces.
 
-    ``parts`` is doc_id plus any per-document columns carried along (e.g.
-    grp): they do not change the groups, but keep those columns alive down
-    to the doc_id exchange, so every branch built from one corpus frame has
-    the same exchange and AQE runs it once."""
-    w = running(parts, order)
+    ``carried`` are per-document columns (e.g. grp) placed after the order
+    key: constant within a document they never decide a comparison (so the
+    sort stays on longs), yet being referenced they stay alive down to the
+    doc_id exchange, so every branch built from one corpus frame has the
+    same exchange and AQE runs it once."""
+    w = running(parts, [*order, *carried])
     nb = F.octet_length(piece).cast("bigint")
     out = pieces.withColumn(prefix + "b1", F.sum(nb).over(w)) \
                 .withColumn(prefix + "b0", F.col(prefix + "b1") - nb) \
-                .withColumn(prefix + "is_last", F.lead(F.lit(1)).over(Window.partitionBy(*parts).orderBy(*order)).isNull())
+                .withColumn(prefix + "is_last", F.lead(F.lit(1)).over(Window.partitionBy(*parts).orderBy(*order, *carried)).isNull())
     if chars:
         nc = F.char_length(piece).cast("bigint")
         out = out.withColumn(prefix + "c1", F.sum(nc).over(w)) \

@@ -89,7 +89,7 @@ def extract_spans(docs: DataFrame, patterns: dict, keep=("grp",), border_chars:
 
         def f(x, i):
             extra = _border_chars(F.col(arr), i, x, n) if border_chars else []
-            return F.struct(F.lit(t).alias("type"), i.alias("i"),
+            return F.struct(F.lit(types.index(t)).alias("type_id"), i.alias("i"),
                             F.octet_length(x).cast("bigint").alias("nb"),
                             F.char_length(x).cast("bigint").alias("nc"),
                             F.when(i % 2 == 1, x).alias("piece"),
@@ -99,11 +99,13 @@ def extract_spans(docs: DataFrame, patterns: dict, keep=("grp",), border_chars:
     arrs = [F.transform(F.col(f"_parts{k}"), tagger(t, f"_parts{k}")) for k, t in enumerate(types)]
     allp = arrs[0] if len(arrs) == 1 else F.concat(*arrs)
     x = base.select("doc_id", *keep, F.explode(allp).alias("_p")).select("doc_id", *keep, "_p.*")
-    w = running(["doc_id", *keep, "type"], ["i"])
+    # integer type id in the partition key, carried columns after the order key
+    w = running(["doc_id", "type_id"], ["i", *keep])
     extra = ["ls", "rs", "le", "re"] if border_chars else []
+    tname = F.element_at(F.array(*[F.lit(t) for t in types]), F.col("type_id") + 1)
     x = (x.withColumn("e", F.sum("nb").over(w)).withColumn("ce", F.sum("nc").over(w))
           .filter(F.col("i") % 2 == 1)
-          .select("doc_id", *keep, "type", ((F.col("i") - 1) / 2).cast("int").alias("span_id"),
+          .select("doc_id", *keep, tname.alias("type"), ((F.col("i") - 1) / 2).cast("int").alias("span_id"),
                   (F.col("e") - F.col("nb")).alias("s"), "e",
                   (F.col("ce") - F.col("nc")).alias("cs"), "ce", "piece", *extra))
     return x
@@ -124,7 +126,7 @@ def chunk_spans(docs: DataFrame, k: int = 64, keep=("grp",), border_chars: bool
     else:
         arr = F.transform("_c", lambda x, i: F.struct(x.alias("piece")))
     x = base.select("doc_id", *keep, F.posexplode(arr).alias("span_id", "_p")).select("doc_id", *keep, "span_id", "_p.*")
-    x = with_offsets(x, order=("span_id",), parts=("doc_id", *keep))
+    x = with_offsets(x, order=("span_id",), carried=keep)
     extra = ["ls", "rs", "le", "re"] if border_chars else []
     return x.select("doc_id", *keep, F.lit("chunk").alias("type"), F.col("span_id").cast("int"),
                     F.col("b0").alias("s"), F.col("b1").alias("e"),

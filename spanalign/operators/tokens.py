@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanalign.functions.patterns import RUN_PATTERN, TOKEN_SCHEMES, WORD_CHAR
-from spanalign.operators.offsets import with_offsets
+from spanalign.operators.offsets import running, with_offsets
 
 
 def scheme_pattern(scheme: str) -> str:
@@ -33,7 +33,7 @@ def tokens(docs: DataFrame, scheme: str = "word", keep=("grp",), covering: bool
         covering = scheme in TOKEN_SCHEMES or scheme == RUN_PATTERN
     if covering:
         x = docs.select("doc_id", *keep, F.posexplode(scheme_pieces("text", scheme)).alias("tok_id", "piece"))
-        x = with_offsets(x, order=("tok_id",), parts=("doc_id", *keep), utf16=utf16)
+        x = with_offsets(x, order=("tok_id",), carried=keep, utf16=utf16)
         return x.select("doc_id", *keep, F.lit(scheme).alias("scheme"), F.col("tok_id").cast("int"),
                         F.col("b0").alias("s"), F.col("b1").alias("e"),
                         F.col("c0").alias("cs"), F.col("c1").alias("ce"), "piece", "is_last",
@@ -47,27 +47,35 @@ def tokens(docs: DataFrame, scheme: str = "word", keep=("grp",), covering: bool
 def multi_scheme_tokens(docs: DataFrame, schemes, keep=("grp",), with_piece: bool = False) -> DataFrame:
     """Tokens of several covering schemes from one generator per document.
     Without ``with_piece`` the rows carry only byte lengths (computed inside
-    the generator), not the token strings."""
-    def tagger(sc):
+    the generator), not the token strings; ``is_last`` comes from the piece
+    array's size, so the offset window holds a single running sum."""
+    arrays = {f"_a{k}": scheme_pieces("text", sc) for k, sc in enumerate(schemes)}
+    base = docs.select("doc_id", *keep, *[c.alias(n) for n, c in arrays.items()])
+
+    def tagger(sc, arr):
+        last = F.size(F.col(arr)) - 1
+
         def f(x, i):
-            cols = [F.lit(sc).alias("scheme"), i.alias("tok_id"), F.octet_length(x).cast("bigint").alias("nb")]
+            cols = [F.lit(schemes.index(sc)).alias("scheme_id"), i.alias("tok_id"),
+                    F.octet_length(x).cast("bigint").alias("nb"), (i == last).alias("is_last")]
             return F.struct(*cols, *([x.alias("piece")] if with_piece else []))
         return f
 
-    arrs = [F.transform(scheme_pieces("text", sc), tagger(sc)) for sc in schemes]
+    arrs = [F.transform(F.col(n), tagger(sc, n)) for n, sc in zip(arrays, schemes)]
     allp = arrs[0] if len(arrs) == 1 else F.concat(*arrs)
-    x = docs.select("doc_id", *keep, F.explode(allp).alias("_t")).select("doc_id", *keep, "_t.*")
-    w = Window.partitionBy("doc_id", *keep, "scheme").orderBy("tok_id")
-    x = (x.withColumn("e", F.sum("nb").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-          .withColumn("is_last", F.lead(F.lit(1)).over(w).isNull()))
-    return x.select("doc_id", *keep, "scheme", F.col("tok_id").cast("int"), (F.col("e") - F.col("nb")).alias("s"), "e",
-                    *(["piece"] if with_piece else []), "is_last")
+    x = base.select("doc_id", *keep, F.explode(allp).alias("_t")).select("doc_id", *keep, "_t.*")
+    # integer scheme id in the partition key, carried columns after the order key
+    w = running(["doc_id", "scheme_id"], ["tok_id", *keep])
+    x = x.withColumn("e", F.sum("nb").over(w))
+    name = F.element_at(F.array(*[F.lit(sc) for sc in schemes]), F.col("scheme_id") + 1)
+    return x.select("doc_id", *keep, name.alias("scheme"), "scheme_id", F.col("tok_id").cast("int"),
+                    (F.col("e") - F.col("nb")).alias("s"), "e", *(["piece"] if with_piece else []), "is_last")
 
 
 def boundaries(docs: DataFrame, scheme: str, keep=("grp",)) -> DataFrame:
     """Token offsets of one covering scheme without the token strings
     (enough for tolerance, nearest-token and token-cut tests)."""
-    return multi_scheme_tokens(docs, [scheme], keep=keep).drop("scheme")
+    return multi_scheme_tokens(docs, [scheme], keep=keep).drop("scheme", "scheme_id")
 
 
 def _count(sc: str):
@@ -89,7 +97,7 @@ def word_runs(docs: DataFrame, keep=()) -> DataFrame:
     targets): alternating runs cover the text, word runs are kept."""
     x = docs.select("doc_id", *keep, F.posexplode(F.regexp_extract_all(
         "text", F.lit(RUN_PATTERN), F.lit(0))).alias("i", "piece"))
-    x = with_offsets(x, parts=("doc_id", *keep), chars=False)
+    x = with_offsets(x, carried=keep, chars=False)
     return x.filter(F.col("piece").rlike("^" + WORD_CHAR)).select(
         "doc_id", *keep, F.col("b0").alias("s"), F.col("b1").alias("e"), "piece")
 
