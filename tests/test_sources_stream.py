@@ -129,3 +129,24 @@ def test_single_file_path(spark):
     got = [(r.file, r.grp) for r in code_files(spark, f"{root}/x/only.rs", ["rust", "python"]).collect()]
     assert got == [("only.rs", "rust")]
     assert code_files(spark, f"{root}/x/only.rs", ["python"]).count() == 0
+
+
+def test_corpus_from_table_without_ids_and_formats(spark):
+    from spanalign.sources.tables import corpus_from_table, read_any
+    from spanalign.functions.patterns import LANGUAGE_ALIASES
+    d = tempfile.mkdtemp(prefix="fmt-")
+    rows = [("x = 1", " Py "), ("let a", "JS"), ("?", "cobol")]
+    df = spark.createDataFrame(rows, "code string, language string")
+    df.write.option("header", "true").csv(f"{d}/csv")
+    df.write.json(f"{d}/json")
+    for fmt, opts in (("csv", {"header": "true"}), ("json", {})):
+        src = read_any(spark, f"{d}/{fmt}", fmt, **opts)
+        c = corpus_from_table(src, id_col=None, text_col="code", language_col="language", aliases=LANGUAGE_ALIASES)
+        got = sorted((r.doc_id.startswith("sample_"), r.grp or "") for r in c.collect())
+        assert got == [(True, ""), (True, "javascript"), (True, "python")]
+        assert sorted(r.doc_id for r in c.collect()) == ["sample_0", "sample_1", "sample_2"]
+    fixed = corpus_from_table(df, id_col=None, text_col="code", fixed_language="go")
+    assert {r.grp for r in fixed.collect()} == {"go"}
+    import pytest
+    with pytest.raises(ValueError):
+        corpus_from_table(df, text_col="code")
