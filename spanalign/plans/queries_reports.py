@@ -30,8 +30,14 @@ def lang_stats(spark, sf):
 
 
 def source_stats(spark, sf):
-    return group_stats(chunk_doc_scores(spark, sf).drop("grp").join(
-        read_table(spark, sf, "documents").select("doc_id", F.col("source").alias("grp")), "doc_id"), "grp")
+    """Group statistics by source: the corpus carries source along, so no
+    join back to the documents table is needed."""
+    from spanalign.operators.scores import doc_scores_covering
+    from spanalign.operators.spans import chunk_pieces
+    from spanalign.plans.common import docs
+    from spanalign.sources.tables import spread
+    d = spread(docs(spark, sf)).select("doc_id", F.col("source").alias("grp"), "text")
+    return group_stats(doc_scores_covering(d, chunk_pieces("text", CHUNK)), "grp")
 
 
 @register("top_and_bottom", SQL_GS + """,
