@@ -259,6 +259,13 @@ def align_detail(rules: DataFrame, runs: DataFrame | None, toks: DataFrame, keep
         F.first(F.when(F.col("side") == "e", F.col("_ctx")), ignorenulls=True).alias("token_end_context"))
     reason = lambda fmt, pos, l, r: F.format_string(fmt, F.col(pos), F.coalesce(F.col(l), F.lit("")),
                                                     F.coalesce(F.col(r), F.lit("")))
+    source = F.lit(token_source)
+    if "token_source" in toks.columns:
+        # per-document label (e.g. single_byte_fallback from fill_missing_tokens);
+        # both sides are keyed and partitioned by doc_id, so the join adds no exchange
+        labels = toks.groupBy("doc_id").agg(F.max("token_source").alias("_src"))
+        g = g.join(labels, "doc_id", "left")
+        source = F.coalesce(F.col("_src"), source)
     return g.select(
         *RULE_ID, *keep, rule_key("type", "s", "e").alias("rule_key"),
         F.col("s").alias("start_byte"), F.col("e").alias("end_byte"),
@@ -268,6 +275,6 @@ def align_detail(rules: DataFrame, runs: DataFrame | None, toks: DataFrame, keep
         F.when(F.col("crossing_end"), reason(END_REASON, "e", "_le", "_re")).alias("crossing_end_reason"),
         "token_start_context", "token_end_context",
         F.format_string(EXPLAIN_SPAN, F.col("type"), F.col("s"), F.col("e")).alias("explain_tree_sitter"),
-        F.format_string(EXPLAIN_TOKENS, F.lit(token_source)).alias("explain_tokenizer"),
+        F.format_string(EXPLAIN_TOKENS, source).alias("explain_tokenizer"),
         (~F.col("crossing_start") & ~F.col("crossing_end")).alias("fully_aligned"),
         *([preview("piece", PREVIEW_CHARS).alias("text_preview")] if "piece" in carry else []))

@@ -140,3 +140,15 @@ def test_border_chars_equal_word_runs(spark):
     c1 = sorted((r.doc_id, r.span_id, r.fully_aligned) for r in with_word_split(ch).collect())
     c2 = sorted((r.doc_id, r.span_id, r.fully_aligned) for r in rule_word_split(chunk_spans(d, 4), word_runs(d), carry=()).collect())
     assert c1 == c2
+
+
+def test_detail_token_source_per_document(spark):
+    from spanalign.operators.align import align_detail
+    from spanalign.operators.tokens import fill_missing_tokens
+    d = spark.createDataFrame([(1, "g", "abc1 def"), (2, "g", "xyzw")], "doc_id long, grp string, text string")
+    toks = fill_missing_tokens(d, tokens(d, r"\p{N}+"))
+    det = align_detail(chunk_spans(d, 2, border_chars=True), None, toks.withColumn("piece", F.lit("")))
+    got = {r.doc_id: r.explain_tokenizer for r in det.collect()}
+    assert "via offset_mapping" in got[1] and "via single_byte_fallback" in got[2]
+    crossing = [r for r in det.collect() if r.doc_id == 2 and r.crossing_start]
+    assert crossing and crossing[0].token_start_context is None  # byte tokens never strictly contain a char border
