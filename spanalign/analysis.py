@@ -76,10 +76,12 @@ def analyze(corpus: DataFrame, rules=64, metric: str = "word_split", scheme: str
     return Analysis(flags, scores, stats, rank_groups(stats, by), corpus_summary(stats))
 
 
-def analyze_detail(corpus: DataFrame, rules=64, scheme: str = "pretok", partitioned: bool = False) -> DataFrame:
+def analyze_detail(corpus: DataFrame, rules=64, scheme: str = "pretok", partitioned: bool = False,
+                   by: str = "grp") -> DataFrame:
     """The reference's per-rule detail records (M1 with token context)."""
     docs = corpus if partitioned else by_doc(corpus)
-    return align_detail(_rules(docs, rules, border_chars=True), None, tokens(docs, scheme, keep=(by,)))
+    return align_detail(_rules(docs, rules, border_chars=True, keep=(by,)), None, tokens(docs, scheme, keep=(by,)),
+                        keep=(by,))
 
 
 def folder_runs(files: DataFrame, schemes, rules=64, tol: int = 1, run_id: str = "run",

@@ -42,3 +42,13 @@ def test_analyze_metrics(spark):
     w = {r.grp: r.total_aligned for r in analyze(d, 4).group_stats.collect()}
     assert w["b"] == 1
 
+
+
+def test_analyze_detail(spark):
+    from spanalign.analysis import analyze_detail
+    d = spark.createDataFrame([(1, "a", "abcdef gh"), (2, "b", "")], "doc_id long, grp string, text string")
+    det = {r.span_id: r for r in analyze_detail(d, rules=4).collect()}
+    # chunks abcd|ef g|h: border 4 splits "abcdef", border 8 splits "gh"
+    assert det[0].crossing_end and det[1].crossing_start and det[1].crossing_end and det[2].crossing_start
+    assert det[0].crossing_end_reason == "rule.end_byte=4 splits word between 'd' and 'e'"
+    assert det[0].grp == "a" and det[0].text_preview == "abcd"
