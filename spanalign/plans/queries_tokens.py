@@ -115,8 +115,13 @@ def _conv_char_offsets(spark, sf):
     upstream tokenizer would hand them over (array<struct<s,e>> per turn)."""
     cv = conversations_corpus(spark, sf)
     t = tokens(cv, "ws", keep=("grp",)).filter(~F.col("piece").rlike(r"^[\t\n\x0B\f\r ]"))
-    offs = t.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(F.col("cs").alias("s"), F.col("ce").alias("e")))).alias("offsets"))
-    return cv.join(offs, "doc_id", "left")
+    # one row per turn (carrying the text once) unioned with the offset rows and
+    # grouped by doc_id: no join, and the grouping reuses the doc_id partitioning
+    off = F.struct(F.col("cs").alias("s"), F.col("ce").alias("e"))
+    rows = cv.select("doc_id", "grp", "text", F.lit(None).cast("struct<s:bigint,e:bigint>").alias("_o")).unionByName(
+        t.select("doc_id", "grp", F.lit(None).cast("string").alias("text"), off.alias("_o")))
+    return rows.groupBy("doc_id", "grp").agg(F.max("text").alias("text"),
+                                             F.sort_array(F.collect_list("_o")).alias("offsets"))
 
 
 @register("conversation_tokens", f"""WITH {SQL_CONV}, {SQL_WS_PIECES}
