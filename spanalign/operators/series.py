@@ -11,12 +11,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 
-def micros(ts) -> F.Column:
+def micros(ts, ntz: bool = True) -> F.Column:
+    """Microseconds since the epoch. A TIMESTAMP_NTZ (wall-clock) column is
+    measured against the NTZ epoch, so the result does not depend on the
+    session time zone; a TIMESTAMP column uses unix_micros."""
     c = F.col(ts) if isinstance(ts, str) else ts
-    return F.unix_micros(c.cast("timestamp"))
+    if ntz:
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
+                                c.cast("timestamp_ntz"))
+    return F.unix_micros(c)
+
+
+def _is_ntz(df: DataFrame, ts: str) -> bool:
+    return isinstance(df.schema[ts].dataType, T.TimestampNTZType)
 
 
 def run_summary(run_log: DataFrame, by="run", status: str = "status", ok_value: str = "ok") -> DataFrame:
@@ -31,10 +42,11 @@ def series_summary(samples: DataFrame, series: str = "series_id", ts: str = "ts"
                    tie: str = "event_id") -> DataFrame:
     """AGG-19: initial, peak, final, increase, sample count and duration
     (seconds) per series; ties in time broken by ``tie``."""
-    key = F.struct(micros(ts).alias("t"), F.col(tie).alias("k"))
+    nz = _is_ntz(samples, ts)
+    key = F.struct(micros(ts, nz).alias("t"), F.col(tie).alias("k"))
     g = samples.groupBy(series).agg(
         F.min_by(value, key).alias("initial"), F.max(value).alias("peak"), F.max_by(value, key).alias("final"),
-        F.count(F.lit(1)).alias("n_samples"), F.min(micros(ts)).alias("_t0"), F.max(micros(ts)).alias("_t1"))
+        F.count(F.lit(1)).alias("n_samples"), F.min(micros(ts, nz)).alias("_t0"), F.max(micros(ts, nz)).alias("_t1"))
     return g.select(series, "initial", "peak", "final", (F.col("final") - F.col("initial")).alias("increase"),
                     "n_samples", ((F.col("_t1") - F.col("_t0")) / 1e6).alias("duration"))
 
@@ -51,18 +63,20 @@ def baseline_delta(samples: DataFrame, series: str = "series_id", ts: str = "ts"
                    tie: str = "event_id") -> DataFrame:
     """AGG-20: every sample minus its series' first sample, and seconds since
     that first sample."""
-    key = F.struct(micros(ts).alias("t"), F.col(tie).alias("k"))
-    base = samples.groupBy(series).agg(F.min_by(value, key).alias("_v0"), F.min(micros(ts)).alias("_t0"))
+    nz = _is_ntz(samples, ts)
+    key = F.struct(micros(ts, nz).alias("t"), F.col(tie).alias("k"))
+    base = samples.groupBy(series).agg(F.min_by(value, key).alias("_v0"), F.min(micros(ts, nz)).alias("_t0"))
     x = _join_small(samples, base, series)
     return x.select(series, tie, (F.col(value) - F.col("_v0")).alias("delta"),
-                    ((micros(ts) - F.col("_t0")) / 1e6).alias("elapsed"))
+                    ((micros(ts, nz) - F.col("_t0")) / 1e6).alias("elapsed"))
 
 
 def peak_point(samples: DataFrame, series: str = "series_id", ts: str = "ts", value: str = "value",
                tie: str = "event_id") -> DataFrame:
     """AGG-21: first time at which each series reaches its maximum."""
-    key = F.struct((-F.col(value)).alias("v"), micros(ts).alias("t"), F.col(tie).alias("k"))
-    g = samples.groupBy(series).agg(F.min_by(F.struct(F.col(value).alias("peak"), micros(ts).alias("peak_us"),
+    nz = _is_ntz(samples, ts)
+    key = F.struct((-F.col(value)).alias("v"), micros(ts, nz).alias("t"), F.col(tie).alias("k"))
+    g = samples.groupBy(series).agg(F.min_by(F.struct(F.col(value).alias("peak"), micros(ts, nz).alias("peak_us"),
                                                       F.col(tie).alias("peak_id")), key).alias("_p"))
     return g.select(series, "_p.*")
 
@@ -71,7 +85,7 @@ def phase_compare(samples: DataFrame, model: str, phase, ts: str = "ts", value:
                   tie: str = "event_id") -> DataFrame:
     """AGG-22: per model and phase the start value, end value and increase
     (end - start) - the long form of the model x phase matrix."""
-    key = F.struct(micros(ts).alias("t"), F.col(tie).alias("k"))
+    key = F.struct(micros(ts, _is_ntz(samples, ts)).alias("t"), F.col(tie).alias("k"))
     ph = F.col(phase) if isinstance(phase, str) else phase
     g = samples.withColumn("phase", ph).groupBy(model, "phase").agg(
         F.min_by(value, key).alias("start_value"), F.max_by(value, key).alias("end_value"))

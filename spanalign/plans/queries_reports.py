@@ -9,7 +9,8 @@ from spanalign.operators.align import nearest_token
 from spanalign.operators.reports import (category_stats, compare_schemes, cross_group_report, project_cost,
                                          ranking_bars, rules_vs_alignment, score_histogram)
 from spanalign.operators.scores import efficiency, group_stats, rank_speed, top_and_bottom
-from spanalign.operators.series import (baseline_delta, peak_point, phase_compare, run_summary, series_summary)
+from spanalign.operators.series import (baseline_delta, micros, peak_point, phase_compare, run_summary,
+                                        series_summary)
 from spanalign.operators.spans import chunk_spans
 from spanalign.operators.tokens import multi_scheme_tokens
 from spanalign.plans.catalog import (SQL_CHUNKS, SQL_DOC_SCORES, SQL_DOCS, r6, register, sql_group_stats)
@@ -199,8 +200,7 @@ def rank_speed_q(spark, sf):
     e = read_table(spark, sf, "events")
     r = e.groupBy(F.col("user_id").alias("grp")).agg(
         F.sum("value").alias("total_code_size"),
-        ((F.max(F.unix_micros(F.col("ts").cast("timestamp"))) - F.min(F.unix_micros(F.col("ts").cast("timestamp")))) / 1e6)
-        .alias("total_analysis_time"))
+        ((F.max(micros("ts")) - F.min(micros("ts"))) / 1e6).alias("total_analysis_time"))
     return r6(rank_speed(r).select("grp", "speed", "rank"))
 
 
