@@ -152,3 +152,24 @@ def test_detail_token_source_per_document(spark):
     assert "via offset_mapping" in got[1] and "via single_byte_fallback" in got[2]
     crossing = [r for r in det.collect() if r.doc_id == 2 and r.crossing_start]
     assert crossing and crossing[0].token_start_context is None  # byte tokens never strictly contain a char border
+
+
+def test_chunk_scores_match_python_definition(spark):
+    """Brute force: M1 as the original defines it (str.isalnum() or '_')
+    on random texts over several scripts, digits of other kinds, combining
+    marks and an astral character."""
+    from spanalign.operators.scores import doc_scores_covering
+    random.seed(21)
+    alphabet = list("aZ_9 .,-\n") + ["é", "ß", "字", "ж", "ع", "²", "½", "٣", "́", "😀", "Ⅻ", " "]
+    texts = [(i, "g", "".join(random.choice(alphabet) for _ in range(random.randint(0, 90)))) for i in range(60)]
+    d = spark.createDataFrame(texts, "doc_id long, grp string, text string")
+    got = {r.doc_id: (r.n_rules, r.n_aligned) for r in doc_scores_covering(d, chunk_pieces("text", 6)).collect()}
+
+    def word(ch):
+        return ch.isalnum() or ch == "_"
+
+    for i, _, t in texts:
+        n = (len(t) + 5) // 6
+        mid = [0 < k < len(t) and word(t[k - 1]) and word(t[k]) for k in range(0, 6 * n + 1, 6)]
+        aligned = sum(1 for c in range(n) if not mid[c] and not mid[c + 1])
+        assert got[i] == (n, aligned), t
