@@ -173,3 +173,25 @@ def test_chunk_scores_match_python_definition(spark):
         mid = [0 < k < len(t) and word(t[k - 1]) and word(t[k]) for k in range(0, 6 * n + 1, 6)]
         aligned = sum(1 for c in range(n) if not mid[c] and not mid[c + 1])
         assert got[i] == (n, aligned), t
+
+
+def test_tolerance_and_nearest_match_definition(spark):
+    random.seed(33)
+    alphabet = list("ab1 .\n") + ["é", "字"]
+    texts = [(i, "g", "".join(random.choice(alphabet) for _ in range(random.randint(1, 80)))) for i in range(40)]
+    d = spark.createDataFrame(texts, "doc_id long, grp string, text string").repartition(4, "doc_id")
+    rules = chunk_spans(d, 5)
+    toks = tokens(d, "pretok", keep=())
+    got = {(r.doc_id, r.span_id): r for r in nearest_token(rules, toks, tol=1, covering=True).collect()}
+    rs = {(r.doc_id, r.span_id): (r.s, r.e) for r in rules.collect()}
+    tk = {}
+    for r in toks.orderBy("doc_id", "tok_id").collect():
+        tk.setdefault(r.doc_id, []).append((r.s, r.e))
+    for (doc, sid), (s, e) in rs.items():
+        tb = tk.get(doc, [])
+        best_s = min(range(len(tb)), key=lambda k: (abs(s - tb[k][0]), k))
+        best_e = min(range(len(tb)), key=lambda k: (abs(e - tb[k][1]), k))
+        g = got[(doc, sid)]
+        assert (g.start_token, g.start_distance) == (best_s, abs(s - tb[best_s][0]))
+        assert (g.end_token, g.end_distance) == (best_e, abs(e - tb[best_e][1]))
+        assert g.fully_aligned == (any(abs(s - a) <= 1 for a, _ in tb) and any(abs(e - b) <= 1 for _, b in tb))
