@@ -35,3 +35,10 @@ def op10_sampled_splitters(spark, sf_dir):
     from spanalign.llm.sharding import place
 
     return place(table(spark, sf_dir, "documents")).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@register
+def op9_deletion_variants(spark, sf_dir):
+    from spanalign.llm.simhash import clusters
+
+    return clusters(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
