@@ -42,3 +42,12 @@ def op9_deletion_variants(spark, sf_dir):
     from spanalign.llm.simhash import clusters
 
     return clusters(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
+
+
+@register
+def op2_importance_resampling(spark, sf_dir):
+    from spanalign.llm.quality import sample
+
+    rows, kept = sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    chosen = kept.select(F.col("doc_id").alias("_id"), F.col("_tie").alias("_t"), F.lit(True).alias("_kept"))
+    return rows.join(chosen, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_t") == F.col("_tie")), "left").select("doc_id", "n_grams", "weight", F.col("_key").alias("sample_key"), F.coalesce("_kept", F.lit(False)).alias("kept"))

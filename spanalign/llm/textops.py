@@ -30,9 +30,10 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 1
 def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of the texts (null: empty) and the n + 1 offsets into them."""
     a = pc.fill_null(texts, "").cast(pa.large_binary())
-    size = pc.binary_length(a).to_numpy(zero_copy_only=False)
-    data = np.frombuffer(pc.binary_join(pa.LargeListArray.from_arrays([0, len(a)], a), b"")[0].as_buffer(), dtype=np.uint8)
-    return data, np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+    _, ends, data = a.buffers()
+    offsets = np.frombuffer(ends, dtype=np.int64)[a.offset : a.offset + len(a) + 1]
+    every = np.frombuffer(data, dtype=np.uint8) if data else np.zeros(0, dtype=np.uint8)
+    return every[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
