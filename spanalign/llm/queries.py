@@ -51,3 +51,11 @@ def op2_importance_resampling(spark, sf_dir):
     rows, kept = sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     chosen = kept.select(F.col("doc_id").alias("_id"), F.col("_tie").alias("_t"), F.lit(True).alias("_kept"))
     return rows.join(chosen, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_t") == F.col("_tie")), "left").select("doc_id", "n_grams", "weight", F.col("_key").alias("sample_key"), F.coalesce("_kept", F.lit(False)).alias("kept"))
+
+
+@register
+def op4_skip_chain(spark, sf_dir):
+    from spanalign.llm.pii import detect
+
+    found = detect(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
