@@ -59,3 +59,10 @@ def op4_skip_chain(spark, sf_dir):
 
     found = detect(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+@register
+def op3_subword_lattice(spark, sf_dir):
+    from spanalign.llm.lattice import score
+
+    return score(table(spark, sf_dir, "documents"))
