@@ -66,3 +66,10 @@ def op3_subword_lattice(spark, sf_dir):
     from spanalign.llm.lattice import score
 
     return score(table(spark, sf_dir, "documents"))
+
+
+@register
+def op7_multiset_hash(spark, sf_dir):
+    from spanalign.llm.multiset import compare
+
+    return compare(table(spark, sf_dir, "documents"))
