@@ -73,3 +73,15 @@ def op7_multiset_hash(spark, sf_dir):
     from spanalign.llm.multiset import compare
 
     return compare(table(spark, sf_dir, "documents"))
+
+
+@register
+def op1_budgeted_windows(spark, sf_dir):
+    from spanalign.llm.chat import digest, windows
+
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
+    return digest(windows(rows.union(more)))
+
+
