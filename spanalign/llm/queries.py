@@ -85,3 +85,10 @@ def op1_budgeted_windows(spark, sf_dir):
     return digest(windows(rows.union(more)))
 
 
+
+
+@register
+def op6_pruned_graph(spark, sf_dir):
+    from spanalign.llm.graph import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
