@@ -63,8 +63,9 @@ def windows(rows: DataFrame, budget: Budget = Budget()) -> DataFrame:
     The tokens left for new turns are cut into cells of three quarters of
     them; a turn belongs to the cell in which it starts, so the last turn of a
     span may reach into the fourth quarter. A turn longer than that quarter is
-    a span of its own, whole even if that and the system turn alone are over
-    the budget; no other window is. Null texts and roles are empty, null conv_ids one conversation;
+    a span of its own. No turn is cut and the system turn is always retained,
+    so a window is over the budget (and says so) where such a turn is too long
+    or the system turn leaves less than a quarter of the budget; no other is. Null texts and roles are empty, null conv_ids one conversation;
     repeated rows are turns; no rows give no windows; other columns are not
     used."""
     conv = ["_no", "_conv"]
