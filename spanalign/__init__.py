@@ -8,4 +8,11 @@ Modules:
   streaming  Structured Streaming variants of the group statistics
 """
 
+import sys
+
+from pyspark import cloudpickle
+
+# Executors get this package's Python functions with the job and need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __version__ = "0.1.0"

@@ -96,6 +96,3 @@ TOKEN_SCHEMES = {
 }
 # alternating word / non-word runs: the M1 test stabs boundaries into word runs
 RUN_PATTERN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"
-
-# sentinel used to split texts around regex matches (private-use code point)
-SENTINEL = "\ue000"

@@ -15,6 +15,7 @@ __all__ = [
 
 # Python's str.strip() whitespace set, written out: ASCII controls 9-13 and
 # 28-31, U+0085, and every Unicode separator (Zs, Zl, Zp).
+_SPACE = r"[\t\n\x0B\f\r\x1C-\x1F \x85\p{Z}]"
 _NOT_SPACE = r"[^\t\n\x0B\f\r\x1C-\x1F \x85\p{Z}]"
 
 
@@ -58,10 +59,14 @@ def map_lookup(mapping: dict, key) -> Column:
     return F.try_element_at(F.create_map(*kv), col_of(key))
 
 
+def stripped(c) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(col_of(c), f"^{_SPACE}+|{_SPACE}+$", "")
+
+
 def normalize_language(c, aliases: dict | None = None) -> Column:
-    """trim + lower + alias lookup; unknown or blank -> null."""
-    return map_lookup(aliases if aliases is not None else LANGUAGE_ALIASES,
-                      F.lower(F.trim(col_of(c))))
+    """strip + lower + alias lookup; unknown or blank -> null."""
+    return map_lookup(aliases if aliases is not None else LANGUAGE_ALIASES, F.lower(stripped(c)))
 
 
 def preview(c, n: int = 50) -> Column:

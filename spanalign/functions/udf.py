@@ -2,14 +2,16 @@
 
 A plug-in is a plain Python function ``text -> list of (type, s, e)`` or
 ``text -> list of (s, e)``. It runs inside Arrow-batched pandas UDFs on the
-executors, is created lazily once per Python worker (the factory is called
-on first use, e.g. to load a parser or a tokenizer model there), and its
-offsets go through the same cleaning as pre-tokenised input. Character
+executors, is created once per task from the factory that travels with the
+job (e.g. to load a parser or a tokenizer model there), and its offsets go
+through the same cleaning as pre-tokenised input. Character
 offsets are mapped to bytes with the vectorised ``char_to_byte``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,24 +21,16 @@ SPAN_TYPE = T.ArrayType(T.StructType([T.StructField("type", T.StringType()),
                                       T.StructField("s", T.LongType()), T.StructField("e", T.LongType())]))
 OFFSET_TYPE = T.ArrayType(T.StructType([T.StructField("s", T.LongType()), T.StructField("e", T.LongType())]))
 
-_CACHE: dict = {}
-
-
-def _lazy(factory):
-    key = id(factory)
-    if key not in _CACHE:
-        _CACHE[key] = factory()
-    return _CACHE[key]
-
 
 def span_extractor_udf(factory):
     """UDF-1: ``factory()`` returns ``fn(text) -> [(type, s, e), ...]`` with
     byte offsets (a parser binding plugs in here)."""
     @F.pandas_udf(SPAN_TYPE)
-    def extract(text: pd.Series) -> pd.Series:
-        fn = _lazy(factory)
-        return text.map(lambda t: None if t is None else [
-            {"type": ty, "s": int(s), "e": int(e)} for ty, s, e in fn(t)])
+    def extract(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        fn = factory()
+        for text in texts:
+            yield text.map(lambda t: None if t is None else [
+                {"type": ty, "s": int(s), "e": int(e)} for ty, s, e in fn(t)])
     return extract
 
 
@@ -44,10 +38,11 @@ def tokenizer_udf(factory):
     """UDF-2: ``factory()`` returns ``fn(text) -> [(s, e), ...]`` offsets
     (characters or bytes, see ``apply_tokenizer``)."""
     @F.pandas_udf(OFFSET_TYPE)
-    def tok(text: pd.Series) -> pd.Series:
-        fn = _lazy(factory)
-        return text.map(lambda t: None if t is None else [
-            {"s": None if s is None else int(s), "e": None if e is None else int(e)} for s, e in fn(t)])
+    def tok(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        fn = factory()
+        for text in texts:
+            yield text.map(lambda t: None if t is None else [
+                {"s": None if s is None else int(s), "e": None if e is None else int(e)} for s, e in fn(t)])
     return tok
 
 
@@ -72,12 +67,10 @@ def word_class_runs(docs: DataFrame, word_class: str = r"[\p{L}\p{N}_]", keep=()
     """UDF-3: the M1 word-character class as a parameter: runs of the given
     class (JVM regex) with byte offsets, usable as ``runs`` in the word-split
     and detail operators."""
-    from spanalign.operators.offsets import with_offsets
+    from spanalign.operators.tokens import _runs, bounded_runs
     neg = "[^" + word_class[1:] if word_class.startswith("[") and not word_class.startswith("[^") else None
     if neg is None:
         raise ValueError("word_class must be a positive character class like [...]")
-    pat = f"{word_class}+|{neg}+"
+    pat = bounded_runs(word_class, neg)
     x = docs.select("doc_id", *keep, F.posexplode(F.regexp_extract_all("text", F.lit(pat), F.lit(0))).alias("i", "piece"))
-    x = with_offsets(x, chars=False)
-    return x.filter(F.col("piece").rlike("^" + word_class)).select(
-        "doc_id", *keep, F.col("b0").alias("s"), F.col("b1").alias("e"), "piece")
+    return _runs(x, word_class, keep)

@@ -14,8 +14,12 @@ regex / chunk spans carrying border characters need no word-run table
 
 from __future__ import annotations
 
+import heapq
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanalign.functions.patterns import (END_REASON, EXPLAIN_SPAN, EXPLAIN_TOKENS, PREVIEW_CHARS,
                                           START_REASON)
@@ -44,8 +48,10 @@ def boundary_context(points: DataFrame, runs: DataFrame | None = None,
     P = points.select("doc_id", F.col(p).alias("_k"), F.lit(0).alias("_kind"), F.struct(*pcols).alias("_pt"))
     parts = []
     if runs is not None:
+        # a run cut into bounded pieces goes on with ``next_ch``; a user's own runs end where they end
+        following = F.col("next_ch") if "next_ch" in runs.columns else F.lit(None).cast("string")
         parts.append(runs.select("doc_id", F.col("s").alias("_k"), F.lit(1).alias("_kind"),
-                                 F.struct("s", "e", "piece").alias("_run")))
+                                 F.struct("s", "e", "piece", following.alias("next_ch")).alias("_run")))
     if toks is not None:
         tcols = ["tok_id", "s", "e"] + (["piece"] if "piece" in toks.columns else [])
         parts.append(toks.select("doc_id", F.col("s").alias("_k"), F.lit(1).alias("_kind"),
@@ -70,12 +76,14 @@ def boundary_context(points: DataFrame, runs: DataFrame | None = None,
         r = F.col("_lrun")
         off = k - r["s"]
         rb = F.encode(r["piece"], "UTF-8")
-        inside = r.isNotNull() & (r["e"] > k)
-        mid = inside & ~is_continuation_byte(rb, off + 1)
-        out += [F.coalesce(mid, F.lit(False)).alias("mid_word"),
-                F.when(mid, F.right(F.decode(F.substring(rb, F.lit(1), off), "UTF-8"), F.lit(1))).alias("left_ch"),
-                F.when(mid, F.left(F.decode(F.substring(rb, off + 1, F.octet_length(r["piece"]) - off), "UTF-8"),
-                                   F.lit(1))).alias("right_ch")]
+        at_cut = (r["e"] == k) & r["next_ch"].isNotNull()
+        within = r.isNotNull() & (r["e"] > k) & ~is_continuation_byte(rb, off + 1)
+        out += [F.coalesce(within | at_cut, F.lit(False)).alias("mid_word"),
+                F.when(at_cut, F.right(r["piece"], F.lit(1)))
+                 .when(within, F.right(F.decode(F.substring(rb, F.lit(1), off), "UTF-8"), F.lit(1))).alias("left_ch"),
+                F.when(at_cut, r["next_ch"])
+                 .when(within, F.left(F.decode(F.substring(rb, off + 1, F.octet_length(r["piece"]) - off), "UTF-8"),
+                                      F.lit(1))).alias("right_ch")]
     if toks is not None:
         t = F.col("_ltok")
         out += [F.when(t.isNotNull() & (t["e"] > k), t).alias("tok"),
@@ -83,10 +91,49 @@ def boundary_context(points: DataFrame, runs: DataFrame | None = None,
     return u.select(*out)
 
 
-def stab(points: DataFrame, intervals: DataFrame, p: str = "p") -> DataFrame:
-    """ALN-1: the interval with s < p < e for each point (intervals of one
-    document must not overlap for ``tok``; ``in_token`` is exact always)."""
-    return boundary_context(points, toks=intervals, p=p)
+def stab(points: DataFrame, intervals: DataFrame, p: str = "p", disjoint: bool = False) -> DataFrame:
+    """ALN-1: for each point the interval with s < p < e of the lowest tok_id
+    (``tok``, null if none) and whether there is one (``in_token``).
+
+    Intervals may overlap: the sorted starts and points of a document are
+    swept with a heap of the open intervals, so memory is a batch and what is
+    open at one place. ``disjoint=True`` vouches that they don't (tokens of a
+    covering scheme) and stays in as-of windows."""
+    if disjoint:
+        return boundary_context(points, toks=intervals, p=p)
+    tcols = ["tok_id", "s", "e"] + (["piece"] if "piece" in intervals.columns else [])
+    pcols = [c for c in points.columns if c != "doc_id"]
+    a = points.select("doc_id", F.col(p).cast("bigint").alias("_k"), F.lit(0).alias("_kind"), F.struct(*pcols).alias("_pt"))
+    b = intervals.select("doc_id", F.col("s").cast("bigint").alias("_k"), F.lit(1).alias("_kind"),
+                         F.struct(*tcols).alias("_tok"))
+    u = a.unionByName(b, allowMissingColumns=True).repartition("doc_id").sortWithinPartitions("doc_id", "_k", "_kind")
+    tok = u.schema["_tok"].dataType
+
+    def sweep(batches):
+        doc, heap = object(), []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            col = dict(zip(batch.schema.names, batch.columns))
+            rows, found = [], []
+            for i, (d, k, kind, t) in enumerate(zip(*(col[c].to_pylist() for c in ("doc_id", "_k", "_kind", "_tok")))):
+                if d != doc:
+                    doc, heap = d, []
+                if kind:
+                    if t["tok_id"] is not None and t["e"] is not None:
+                        heapq.heappush(heap, (t["tok_id"], t["s"], t["e"], t.get("piece")))
+                    continue
+                while heap and k is not None and heap[0][2] <= k:   # ended: no later point is inside
+                    heapq.heappop(heap)
+                rows.append(i)
+                found.append(dict(zip(tcols, heap[0])) if heap and k is not None else None)
+            take = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([col["doc_id"].take(take), col["_pt"].take(take), pa.array(found, batch.schema.field("_tok").type)],
+                                             ["doc_id", "_pt", "tok"])
+
+    schema = T.StructType([u.schema["doc_id"], u.schema["_pt"], T.StructField("tok", tok)])
+    out = u.mapInArrow(sweep, schema)
+    return out.select("doc_id", "_pt.*", "tok", F.col("tok").isNotNull().alias("in_token"))
 
 
 def rule_word_split(rules: DataFrame, runs: DataFrame, keep=("grp",), carry=("s", "e", "piece")) -> DataFrame:
@@ -232,6 +279,10 @@ def align_detail(rules: DataFrame, runs: DataFrame | None, toks: DataFrame, keep
     ``runs=None`` the rules must carry their border characters
     (``extract_spans`` / ``chunk_spans`` with ``border_chars=True``)."""
     carry = [c for c in ("s", "e", "piece") if c in rules.columns]
+    if "piece" in toks.columns:   # only a preview of a token is shown: sort and shuffle no more
+        toks = toks.withColumn("piece", preview("piece", PREVIEW_CHARS))
+    if "piece" in rules.columns:
+        rules = rules.withColumn("piece", preview("piece", PREVIEW_CHARS))
     if runs is None:
         # border characters carried by regex / chunk spans decide M1 directly
         from spanalign.functions.text import is_word_char

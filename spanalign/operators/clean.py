@@ -29,9 +29,15 @@ def keep_languages(df: DataFrame, languages, col: str = "grp") -> DataFrame:
     return df.filter(F.col(col).isin(list(languages)))
 
 
+def within_bytes(text: str, limit: int):
+    """True for texts whose UTF-8 size is at most ``limit``, false for others
+    and for null."""
+    return F.coalesce(n_bytes(text) <= F.lit(limit), F.lit(False))
+
+
 def max_bytes(df: DataFrame, limit: int = 1 << 20, text: str = "text") -> DataFrame:
     """Keep texts whose UTF-8 size is at most ``limit`` (drop when > limit)."""
-    return df.filter(n_bytes(text) <= F.lit(limit))
+    return df.filter(within_bytes(text, limit))
 
 
 def limit_accepted(df: DataFrame, n: int, order_by: str = "doc_id") -> DataFrame:
@@ -60,8 +66,7 @@ def quarantine(df: DataFrame, text: str = "text", group: str = "grp", max_size:
          .when(n_bytes(t) > F.lit(max_size), F.lit("oversize")))
     if max_pieces is not None:
         from spanalign.functions.patterns import TOKEN_SCHEMES
-        r = r.when(F.size(F.regexp_extract_all(t, F.lit(TOKEN_SCHEMES["word"]), F.lit(0)))
-                   > F.lit(max_pieces), F.lit("too_many_pieces"))
+        r = r.when(F.regexp_count(t, F.lit(TOKEN_SCHEMES["word"])) > F.lit(max_pieces), F.lit("too_many_pieces"))
     if allowed is not None:
         r = r.when(~F.col(group).isin(list(allowed)), F.lit("not_allowed"))
     return df.withColumn("reason", r)

@@ -54,13 +54,17 @@ def with_offsets(pieces: DataFrame, piece: str = "piece", order=("i",), parts=("
 def byte_to_char(points: DataFrame, pieces: DataFrame, p: str = "p") -> DataFrame:
     """Character index of byte position ``p`` (OFF-2).
 
-    ``pieces`` are covering pieces with b0, c0 and their text. The piece
+    ``pieces`` are covering pieces with b0, c0 and their text; longer ones are
+    cut at 64 characters, so that no point carries a long text. The piece
     holding ``p`` is found with an as-of window (last piece with b0 <= p);
     inside it the offset is resolved on the piece's own bytes. Null when
     ``p`` falls inside a multi-byte character or outside the text.
     """
     pt_cols = [c for c in points.columns if c != "doc_id"]
     pt_type = points.select(F.struct(*pt_cols).alias("x")).schema["x"].dataType
+    cut = F.regexp_extract_all("piece", F.lit("(?s).{1,64}"), F.lit(0))
+    pieces = pieces.select("doc_id", F.col("b0").alias("_b"), F.posexplode(cut).alias("_j", "piece"))
+    pieces = with_offsets(pieces, order=("_b", "_j"))
     pc = pieces.select("doc_id", F.struct("b0", "c0", "piece").alias("_pc"),
                        F.col("b0").alias("_k"), F.lit(0).alias("_kind"),
                        F.lit(None).cast(pt_type).alias("_pt"))

@@ -48,8 +48,9 @@ def doc_scores_covering(docs: DataFrame, pieces_col, keep=("grp",)) -> DataFrame
     """AGG-1 for covering spans (chunks): one row per document straight from
     the fast-path struct; no explode, no shuffle."""
     from spanalign.operators.align import covering_word_split
-    x = docs.select("doc_id", *keep, covering_word_split(pieces_col).alias("_w"),
-                    n_chars("text").alias("n_chars"), n_bytes("text").alias("n_bytes"))
+    # the pieces are a column of their own, so that their regex runs once a row
+    x = docs.select("doc_id", *keep, pieces_col.alias("_pieces"), n_chars("text").alias("n_chars"), n_bytes("text").alias("n_bytes"))
+    x = x.select("doc_id", *keep, covering_word_split("_pieces").alias("_w"), "n_chars", "n_bytes")
     return x.select("doc_id", *keep,
                     F.col("_w.n_rules").cast("bigint").alias("n_rules"),
                     F.col("_w.n_aligned").cast("bigint").alias("n_aligned"),

@@ -7,42 +7,31 @@ span table (SPN-2, e.g. the output of a parser run elsewhere).
 
 from __future__ import annotations
 
-import regex as _re
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanalign.functions.patterns import SENTINEL
 from spanalign.functions.text import preview, rule_key, show_newlines
 from spanalign.operators.offsets import running, with_offsets
 
-# Private-use code points tried in turn as the split sentinel; the first one
-# absent from a text is used for that text.
-_SENTINELS = [SENTINEL, "\ue001", "\ue002"]
-
-
-def check_pattern(pattern: str) -> None:
-    """Reject patterns that can match the empty string (they would split
-    between every character)."""
-    probe = "aA1_ .\né-"
-    for m in _re.finditer(pattern, probe):
-        if m.end() == m.start():
-            raise ValueError(f"pattern matches the empty string: {pattern!r}")
-
-
-def _sentinel(text: Column) -> Column:
-    c = F.lit(_SENTINELS[-1])
-    for z in reversed(_SENTINELS[:-1]):
-        c = F.when(F.instr(text, z) == 0, F.lit(z)).otherwise(c)
-    return c
+def check_pattern(spark: SparkSession, pattern: str) -> None:
+    """Reject a pattern that matches the empty text, as Spark's own matcher
+    sees it (a constant expression, no job)."""
+    if spark.sql("SELECT size(regexp_extract_all('', :p, 0)) AS n", args={"p": pattern}).first()["n"]:
+        raise ValueError(f"pattern matches the empty string: {pattern!r}")
 
 
 def regex_parts(text, pattern: str) -> Column:
-    """[gap0, match1, gap1, match2, ...]: odd positions are the matches."""
-    check_pattern(pattern)
+    """[gap0, match1, gap1, match2, ...]: odd positions are the matches.
+
+    The gaps between the matches and the matches come from the same Java
+    matcher and are interleaved, so no mark is put into the text and the
+    pattern's own groups keep their numbers. A pattern that matches the empty
+    string in a text is an error when that text is read."""
     text = F.col(text) if isinstance(text, str) else text
-    z = _sentinel(text)
-    marked = F.regexp_replace(text, F.lit(f"({pattern})"), F.concat(z, F.lit("$1"), z))
-    return F.split(marked, z, -1)
+    gaps, hits = F.split(text, F.lit(pattern), -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    parts = F.flatten(F.zip_with(gaps, hits, lambda g, m: F.when(m.isNull(), F.array(g)).otherwise(F.array(g, m))))
+    wrong = F.exists(hits, lambda m: m == "") | (F.size(gaps) != F.size(hits) + 1)
+    return F.when(wrong, F.raise_error(F.lit(f"pattern matches the empty string: {pattern}"))).otherwise(parts)
 
 
 def _border_chars(arr, i, piece, n):
@@ -81,6 +70,8 @@ def extract_spans(docs: DataFrame, patterns: dict, keep=("grp",), border_chars:
     ``border_chars`` the characters around both borders of every match come
     along (ls, rs, le, re) for the M1 test."""
     types = list(patterns)
+    for p in patterns.values():
+        check_pattern(docs.sparkSession, p)
     cols = {f"_parts{k}": regex_parts("text", patterns[t]) for k, t in enumerate(types)}
     base = docs.select("doc_id", *keep, *[c.alias(n) for n, c in cols.items()])
 
@@ -193,32 +184,43 @@ def first_spans(spans: DataFrame, n: int = 5, keep=()) -> DataFrame:
         "doc_id", *keep, "rank", "type", "s", "e", show_newlines("piece").alias("text"))
 
 
-_TREE_SCHEMA = "doc_id long, type string, span_id int, s long, e long, id int, parent_id int, depth int"
-
-
-def _tree_group(pdf):
-    import pandas as pd
-    pdf = pdf.sort_values(["s", "e", "type", "span_id"], ascending=[True, False, True, True], kind="mergesort")
-    ids, parents, depths, stack = [], [], [], []   # stack of (s, e, id)
-    for k, (s, e) in enumerate(zip(pdf["s"].tolist(), pdf["e"].tolist())):
-        while stack and not (stack[-1][0] <= s and e <= stack[-1][1]):
-            stack.pop()
-        ids.append(k)
-        parents.append(stack[-1][2] if stack else None)
-        depths.append(len(stack))
-        stack.append((s, e, k))
-    out = pdf[["doc_id", "type", "span_id", "s", "e"]].copy()
-    out["id"] = ids
-    out["parent_id"] = pd.array(parents, dtype="Int32")
-    out["depth"] = depths
-    return out
-
-
-def span_tree(spans: DataFrame) -> DataFrame:
+def span_tree(spans: DataFrame, types=None) -> DataFrame:
     """SPN-5: 0-based pre-order id (s asc, e desc), parent = innermost
     enclosing span earlier in pre-order, and depth. ERROR spans are removed
     beforehand (spans_from_table), so their children attach to the nearest
-    kept ancestor. One document per group: grouping on doc_id reuses the
-    corpus partitioning, and a document is bounded by the size guard."""
-    x = spans.select(F.col("doc_id").cast("long"), "type", F.col("span_id").cast("int"), "s", "e")
-    return x.groupBy("doc_id").applyInPandas(_tree_group, _TREE_SCHEMA)
+    kept ancestor.
+
+    With ``types`` (a short list of types, each without overlaps among its own
+    spans, as regex spans are) the last span of each type before a row is the
+    only one of that type that can enclose it: running windows, no Python.
+    Without, any nesting: a stack runs over the sorted spans of a partition
+    and is emptied at each new document, so memory is a batch and the depth."""
+    x = spans.select("doc_id", "type", F.col("span_id").cast("int"), "s", "e")
+    if types is not None:
+        x = x.withColumn("id", (F.row_number().over(preorder(x)) - 1).cast("int"))
+        before = preorder(x).rowsBetween(Window.unboundedPreceding, -1)
+        last = [F.last(F.when(F.col("type") == t, F.struct("id", "e")), ignorenulls=True).over(before).alias(f"_l{k}") for k, t in enumerate(types)]
+        x = x.select("*", *last)
+        around = F.filter(F.array(*[F.when(F.col(f"_l{k}.e") >= F.col("e"), F.col(f"_l{k}.id")) for k in range(len(types))]), lambda i: i.isNotNull())
+        return x.select("doc_id", "type", "span_id", "s", "e", "id", F.array_max(around).alias("parent_id"), F.size(around).alias("depth"))
+
+    def stack(batches):
+        import pandas as pd
+        doc, n, open_ = object(), 0, []   # open_: (s, e, id) of the enclosing spans
+        for pdf in batches:
+            ids, parents, depths = [], [], []
+            for d, s, e in zip(pdf["doc_id"].tolist(), pdf["s"].tolist(), pdf["e"].tolist()):
+                if d != doc:
+                    doc, n, open_ = d, 0, []
+                while open_ and not (open_[-1][0] <= s and e <= open_[-1][1]):
+                    open_.pop()
+                ids.append(n)
+                parents.append(open_[-1][2] if open_ else None)
+                depths.append(len(open_))
+                open_.append((s, e, n))
+                n += 1
+            yield pdf.assign(id=ids, parent_id=pd.array(parents, dtype="Int32"), depth=depths)
+
+    kind = x.schema["doc_id"].dataType.simpleString()
+    ordered = x.repartition("doc_id").sortWithinPartitions("doc_id", "s", F.col("e").desc(), "type", "span_id")
+    return ordered.mapInPandas(stack, f"doc_id {kind}, type string, span_id int, s long, e long, id int, parent_id int, depth int")

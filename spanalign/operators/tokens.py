@@ -8,10 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanalign.functions.patterns import RUN_PATTERN, TOKEN_SCHEMES, WORD_CHAR
+from spanalign.functions.patterns import NON_WORD_CHAR, RUN_PATTERN, TOKEN_SCHEMES, WORD_CHAR
 from spanalign.operators.offsets import running, with_offsets
 
 
+#: Characters of a word run that one row carries.
+RUN_CHARS = 64
+
+
 def scheme_pattern(scheme: str) -> str:
     return TOKEN_SCHEMES.get(scheme, scheme)
 
@@ -44,11 +48,21 @@ def tokens(docs: DataFrame, scheme: str = "word", keep=("grp",), covering: bool
                      "s", "e", "cs", "ce", "piece")
 
 
-def multi_scheme_tokens(docs: DataFrame, schemes, keep=("grp",), with_piece: bool = False) -> DataFrame:
-    """Tokens of several covering schemes from one generator per document.
+def _covering(schemes, covering: bool) -> None:
+    for sc in schemes:
+        if not (covering or sc in TOKEN_SCHEMES or sc == RUN_PATTERN):
+            raise ValueError(f"offsets from piece lengths need a scheme whose pieces cover the text: {sc!r} is not known to "
+                             "(use tokens(), or covering=True if its pieces do)")
+
+
+def multi_scheme_tokens(docs: DataFrame, schemes, keep=("grp",), with_piece: bool = False,
+                        covering: bool = False) -> DataFrame:
+    """Tokens of several covering schemes from one generator per document (a
+    user's regex only with ``covering=True``, which vouches for it).
     Without ``with_piece`` the rows carry only byte lengths (computed inside
     the generator), not the token strings; ``is_last`` comes from the piece
     array's size, so the offset window holds a single running sum."""
+    _covering(schemes, covering)
     arrays = {f"_a{k}": scheme_pieces("text", sc) for k, sc in enumerate(schemes)}
     base = docs.select("doc_id", *keep, *[c.alias(n) for n, c in arrays.items()])
 
@@ -92,14 +106,26 @@ def token_counts(docs: DataFrame, schemes, keep=("grp",)) -> DataFrame:
     return docs.select("doc_id", *keep, F.inline(arr))
 
 
-def word_runs(docs: DataFrame, keep=()) -> DataFrame:
-    """Maximal runs of word characters with byte offsets (the M1 stab
-    targets): alternating runs cover the text, word runs are kept."""
+def word_runs(docs: DataFrame, keep=(), longest: int = RUN_CHARS) -> DataFrame:
+    """Runs of word characters with byte offsets (the M1 stab targets): word
+    and other runs cover the text, word runs are kept. A run of more than
+    ``longest`` characters is several rows, so that no row carries a long
+    text; ``next_ch`` is the character with which the run goes on, else null."""
     x = docs.select("doc_id", *keep, F.posexplode(F.regexp_extract_all(
-        "text", F.lit(RUN_PATTERN), F.lit(0))).alias("i", "piece"))
-    x = with_offsets(x, carried=keep, chars=False)
-    return x.filter(F.col("piece").rlike("^" + WORD_CHAR)).select(
-        "doc_id", *keep, F.col("b0").alias("s"), F.col("b1").alias("e"), "piece")
+        "text", F.lit(bounded_runs(WORD_CHAR, NON_WORD_CHAR, longest)), F.lit(0))).alias("i", "piece"))
+    return _runs(x, WORD_CHAR, keep)
+
+
+def bounded_runs(inside: str, outside: str, longest: int = RUN_CHARS) -> str:
+    return f"{inside}{{1,{longest}}}|{outside}{{1,{longest}}}"
+
+
+def _runs(pieces: DataFrame, inside: str, keep) -> DataFrame:
+    x = with_offsets(pieces, carried=keep, chars=False)
+    following = F.lead("piece").over(Window.partitionBy("doc_id").orderBy("i", *keep))
+    x = x.withColumn("next_ch", F.when(following.rlike("^" + inside), F.left(following, F.lit(1))))
+    return x.filter(F.col("piece").rlike("^" + inside)).select(
+        "doc_id", *keep, F.col("b0").alias("s"), F.col("b1").alias("e"), "piece", "next_ch")
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -130,25 +156,20 @@ def tokens_from_table(df: DataFrame, offsets: str = "offsets", text: str = "text
                       unit: str = "char", keep=()) -> DataFrame:
     """TOK-2: pre-tokenised input, ``offsets`` = array<struct<s,e>> in
     characters (or bytes). Pairs are cleaned (OFF-4), character offsets are
-    mapped to bytes, and pairs empty after mapping are dropped."""
+    mapped to bytes, pairs empty after mapping are dropped, and the pairs that
+    are left are numbered from 0."""
     nlen = F.char_length(text) if unit == "char" else F.octet_length(text)
     clamp = lambda v: F.greatest(F.lit(0).cast("bigint"), F.least(v.cast("bigint"), nlen.cast("bigint")))
-    ok = F.filter(F.transform(offsets, lambda o, i: F.struct(i.alias("tok_id"), o["s"].alias("s"), o["e"].alias("e"))),
-                  lambda o: o["s"].isNotNull() & o["e"].isNotNull() & (o["e"] > o["s"]))
-    cl = F.transform(ok, lambda o: F.struct(o["tok_id"].alias("tok_id"), clamp(o["s"]).alias("s"), clamp(o["e"]).alias("e")))
+    ok = F.filter(offsets, lambda o: o["s"].isNotNull() & o["e"].isNotNull() & (o["e"] > o["s"]))
+    cl = F.transform(ok, lambda o: F.struct(clamp(o["s"]).alias("s"), clamp(o["e"]).alias("e")))
     x = df.select("doc_id", *keep, text, cl.alias("_cl"))
-    if unit == "char":
-        x = x.withColumn("_bs", char_to_byte(F.col(text), F.transform("_cl", lambda o: o["s"]))) \
-             .withColumn("_be", char_to_byte(F.col(text), F.transform("_cl", lambda o: o["e"])))
-    else:
-        x = x.withColumn("_bs", F.transform("_cl", lambda o: o["s"])) \
-             .withColumn("_be", F.transform("_cl", lambda o: o["e"]))
-    z = F.arrays_zip(F.col("_cl").alias("c"), F.col("_bs").alias("bs"), F.col("_be").alias("be"))
-    x = x.select("doc_id", *keep, F.explode(z).alias("_z"))
-    return x.select("doc_id", *keep, F.col("_z.c.tok_id").cast("int").alias("tok_id"),
-                    F.col("_z.bs").alias("s"), F.col("_z.be").alias("e"),
-                    F.col("_z.c.s").alias("cs"), F.col("_z.c.e").alias("ce")) \
-            .filter(F.col("e") > F.col("s"))
+    n = F.size("_cl")
+    both = F.concat(F.transform("_cl", lambda o: o["s"]), F.transform("_cl", lambda o: o["e"]))
+    # starts and ends in one call, so that a text goes to Python once
+    x = x.withColumn("_b", char_to_byte(F.col(text), both) if unit == "char" else both)
+    z = F.transform("_cl", lambda c, i: F.struct(F.get("_b", i).alias("s"), F.get("_b", i + n).alias("e"), c["s"].alias("cs"), c["e"].alias("ce")))
+    x = x.select("doc_id", *keep, F.posexplode(F.filter(z, lambda o: o["e"] > o["s"])).alias("tok_id", "_z"))
+    return x.select("doc_id", *keep, F.col("tok_id").cast("int"), "_z.s", "_z.e", "_z.cs", "_z.ce")
 
 
 def fill_missing_tokens(docs: DataFrame, toks: DataFrame, keep=("grp",)) -> DataFrame:

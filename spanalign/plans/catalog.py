@@ -35,7 +35,7 @@ NOT_SPACE = r"[^\t\n\x0B\f\r\x1C-\x1F \x85\p{Z}]"
 
 SQL_DOCS = rf"""d AS (
   SELECT doc_id, lang AS grp, text, source FROM documents
-  WHERE text IS NOT NULL AND regexp_matches(text, '{NOT_SPACE}') AND strlen(text) <= 1048576)"""
+  WHERE text IS NOT NULL AND regexp_matches(text, '{NOT_SPACE}'))"""
 
 # chunk i of a document covers characters [64 i, 64 i + 64); a border at
 # character c splits a word when characters c-1 and c are both word chars.

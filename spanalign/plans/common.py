@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanalign.operators.clean import drop_blank, max_bytes
+from spanalign.operators.clean import drop_blank
 from spanalign.sources.tables import by_doc, documents_corpus, read_table
 
 CHUNK = 64            # characters per chunk rule
-MAX_BYTES = 1 << 20   # size guard (bytes, strict >)
 
 # Span patterns over the documents corpus (our declarative rule set).
 DOC_PATTERNS = {
@@ -27,14 +26,16 @@ DOC_PATTERNS_RE2 = dict(DOC_PATTERNS, sentence=r"[^.!?\n]+[.!?]")
 PAGE_PATTERNS = {
     "tag": r"<[^<>]+>",
     "entity": r"&[a-zA-Z]+;",
-    "attr": r"[a-zA-Z-]+=\"[^\"]*\"",
+    # starts only where a run of name characters starts, as "sentence" does
+    "attr": r"(?<![a-zA-Z-])[a-zA-Z-]++=\"[^\"]*\"",
     "text": r">[^<>]+<",
 }
+PAGE_PATTERNS_RE2 = dict(PAGE_PATTERNS, attr=r"[a-zA-Z-]+=\"[^\"]*\"")
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accepted documents (FLT-1, FLT-4) as the corpus."""
-    return max_bytes(drop_blank(documents_corpus(spark, sf_dir)), MAX_BYTES)
+    """Accepted documents (FLT-1) as the corpus: texts of any length."""
+    return drop_blank(documents_corpus(spark, sf_dir))
 
 
 def docs_by_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,14 +49,14 @@ def pages_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = p.select(F.col("page_id").alias("doc_id"),
                  F.regexp_extract("url", r"/(de|en|es|fr)/", 1).alias("grp"),
                  F.col("html").alias("text"))
-    return by_doc(max_bytes(drop_blank(d), MAX_BYTES))
+    return by_doc(drop_blank(d))
 
 
 def conversations_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """conversations turns as documents: doc_id = conv_id * 1000 + turn,
-    role is the group."""
+    """conversations turns as documents: doc_id = "conv_id/turn", role is the
+    group."""
     c = read_table(spark, sf_dir, "conversations")
-    d = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.col("role").alias("grp"),
+    d = c.select(F.concat_ws("/", "conv_id", "turn").alias("doc_id"), F.col("role").alias("grp"),
                  F.col("text"))
     return by_doc(drop_blank(d))
 
@@ -77,4 +78,4 @@ sp AS (SELECT doc_id, {keep}, type, CAST(k / 2 - 1 AS INTEGER) AS span_id, CAST(
 
 
 SQL_PAGES = """pg AS (SELECT page_id AS doc_id, regexp_extract(url, '/(de|en|es|fr)/', 1) AS grp, html AS text FROM pages
-  WHERE html IS NOT NULL AND regexp_matches(html, '[^\\t\\n\\x0B\\f\\r\\x1C-\\x1F \\x85\\p{Z}]') AND strlen(html) <= 1048576)"""
+  WHERE html IS NOT NULL AND regexp_matches(html, '[^\\t\\n\\x0B\\f\\r\\x1C-\\x1F \\x85\\p{Z}]'))"""

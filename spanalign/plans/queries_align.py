@@ -105,7 +105,7 @@ def containing_token_q(spark, sf):
     """ALN-1: for every chunk border, the piece4 token strictly containing it."""
     d = docs_by_doc(spark, sf)
     pts = boundary_points(chunk_spans(d, CHUNK))
-    r = stab(pts, boundaries(d, "piece4"))
+    r = stab(pts, boundaries(d, "piece4"), disjoint=True)
     return r.groupBy("grp").agg(F.count(F.lit(1)).alias("n_points"), F.count("tok").alias("n_inside"),
                                 F.sum("tok.tok_id").cast("bigint").alias("sum_tok_id"),
                                 F.sum("tok.s").cast("bigint").alias("sum_tok_s"))

@@ -21,7 +21,8 @@ def chunk_doc_scores(spark, sf):
 SELECT grp, count(*) AS n_chunks, count(*) FILTER (WHERE NOT ms AND NOT me) AS n_no_split FROM ch GROUP BY grp""")
 def chunk_word_split(spark, sf):
     """SPN-3 + ALN-2 fast path: chunks per language and chunks with no split word."""
-    x = spread(docs(spark, sf)).select("grp", covering_word_split(chunk_pieces("text", CHUNK)).alias("w"))
+    x = spread(docs(spark, sf)).select("grp", chunk_pieces("text", CHUNK).alias("pieces"))
+    x = x.select("grp", covering_word_split("pieces").alias("w"))
     return x.groupBy("grp").agg(F.sum("w.n_rules").cast("bigint").alias("n_chunks"),
                                 F.sum("w.n_aligned").cast("bigint").alias("n_no_split"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from spanalign.operators.batching import batch_stats, flush_parts, slice_docs, stop_after, totals_of_totals
 from spanalign.operators.clean import (drop_blank, keep_languages, limit_accepted, max_bytes, normalize_language,
-                                       only_imperfect, quarantine)
+                                       only_imperfect, quarantine, within_bytes)
 from spanalign.plans.catalog import (NOT_SPACE, SQL_CHUNKS, SQL_DOC_SCORES, SQL_DOCS, r6, register)
 from spanalign.plans.queries_core import chunk_doc_scores
 from spanalign.sources.tables import corpus_from_table, documents_corpus, read_table
@@ -15,7 +15,7 @@ LANG_NAMES = {"de": "german", "en": "english", "es": "spanish", "fr": "french"}
 EVENT_ALIASES = {"click": "ui", "view": "ui", "purchase": "sale"}
 
 
-@register("corpus_by_lang", """SELECT CASE lower(trim(lang)) WHEN 'de' THEN 'german' WHEN 'en' THEN 'english'
+@register("corpus_by_lang", r"""SELECT CASE lower(regexp_replace(lang, '^[\t\n\x0B\f\r\x1C-\x1F \x85\p{Z}]+|[\t\n\x0B\f\r\x1C-\x1F \x85\p{Z}]+$', '', 'g')) WHEN 'de' THEN 'german' WHEN 'en' THEN 'english'
   WHEN 'es' THEN 'spanish' WHEN 'fr' THEN 'french' END AS grp, count(*) AS n_docs,
   CAST(sum(strlen(text)) AS BIGINT) AS n_bytes, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM documents GROUP BY 1""")
 def corpus_by_lang_q(spark, sf):
@@ -42,7 +42,7 @@ def drop_blank_q(spark, sf):
     return drop_blank(c).groupBy("grp").agg(F.count(F.lit(1)).alias("n_kept"))
 
 
-@register("normalize_language", """SELECT CASE lower(trim(event_type)) WHEN 'click' THEN 'ui' WHEN 'view' THEN 'ui'
+@register("normalize_language", r"""SELECT CASE lower(regexp_replace(event_type, '^[\t\n\x0B\f\r\x1C-\x1F \x85\p{Z}]+|[\t\n\x0B\f\r\x1C-\x1F \x85\p{Z}]+$', '', 'g')) WHEN 'click' THEN 'ui' WHEN 'view' THEN 'ui'
   WHEN 'purchase' THEN 'sale' END AS grp, count(*) AS n FROM events GROUP BY 1""")
 def normalize_language_q(spark, sf):
     """FLT-2: trim + lower + alias map, unknown labels become null."""
@@ -60,11 +60,8 @@ def keep_languages_q(spark, sf):
   count(*) FILTER (WHERE strlen(text) > 4096) AS n_rejected FROM documents GROUP BY lang""")
 def size_guard_q(spark, sf):
     """FLT-4: UTF-8 size guard (strictly greater than the limit is dropped)."""
-    d = documents_corpus(spark, sf)
-    acc = max_bytes(d, 4096).groupBy("grp").agg(F.count(F.lit(1)).alias("n_accepted"))
-    tot = d.groupBy("grp").agg(F.count(F.lit(1)).alias("n_all"))
-    return tot.join(acc, "grp", "left").select("grp", F.coalesce("n_accepted", F.lit(0)).alias("n_accepted"),
-                                               (F.col("n_all") - F.coalesce("n_accepted", F.lit(0))).alias("n_rejected"))
+    ok = within_bytes("text", 4096)
+    return documents_corpus(spark, sf).groupBy("grp").agg(F.count_if(ok).alias("n_accepted"), F.count_if(~ok).alias("n_rejected"))
 
 
 @register("limit_accepted", f"""SELECT doc_id, lang AS grp, CAST(strlen(text) AS BIGINT) AS n_bytes FROM documents

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from spanalign.operators.spans import (extract_spans, first_spans, rule_type_counts, span_keys,
                                        span_previews, spans_from_table, dedup_spans)
 from spanalign.plans.catalog import SQL_DOCS, register
-from spanalign.plans.common import (DOC_PATTERNS, DOC_PATTERNS_RE2, PAGE_PATTERNS, SQL_PAGES, docs_by_doc, pages_corpus,
+from spanalign.plans.common import (DOC_PATTERNS, DOC_PATTERNS_RE2, PAGE_PATTERNS, PAGE_PATTERNS_RE2, SQL_PAGES, docs_by_doc, pages_corpus,
                                     sql_spans)
 
 SPAN_AGG_SQL = """SELECT grp, type, count(*) AS n_spans, CAST(sum(s) AS BIGINT) AS sum_s, CAST(sum(e) AS BIGINT) AS sum_e,
@@ -35,7 +35,7 @@ def doc_rule_spans_q(spark, sf):
     return _span_agg(doc_spans(spark, sf))
 
 
-@register("page_tag_spans", f"WITH {SQL_PAGES}, {sql_spans('pg', PAGE_PATTERNS)}\n{SPAN_AGG_SQL}")
+@register("page_tag_spans", f"WITH {SQL_PAGES}, {sql_spans('pg', PAGE_PATTERNS_RE2)}\n{SPAN_AGG_SQL}")
 def page_tag_spans_q(spark, sf):
     """SPN-1 on raw HTML: tags, entities, attributes, text nodes."""
     return _span_agg(page_spans(spark, sf))
@@ -116,30 +116,35 @@ def first_spans_q(spark, sf):
     return first_spans(doc_spans(spark, sf), 5)
 
 
-@register("span_tree", f"""WITH {SQL_DOCS}, {sql_spans('d', DOC_PATTERNS_RE2)},
-o AS (SELECT doc_id, type, span_id, s, e, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s, e DESC, type, span_id) - 1 AS INTEGER) AS id FROM sp),
-p AS (SELECT x.doc_id, x.id, max(y.id) AS parent_id, count(y.id) AS depth FROM o x LEFT JOIN o y
-      ON y.doc_id = x.doc_id AND y.id < x.id AND y.s <= x.s AND x.e <= y.e GROUP BY x.doc_id, x.id)
-SELECT o.doc_id, o.type, o.span_id, o.s, o.e, o.id, p.parent_id, CAST(p.depth AS INTEGER) AS depth
-FROM o JOIN p ON p.doc_id = o.doc_id AND p.id = o.id""")
+def sql_tree(types) -> str:
+    """CTEs o, p, t: pre-order ids; per type the last span before each row
+    (spans of one type are disjoint, so it has the greatest end); the parent
+    is the latest of those that enclose the row, the depth their number."""
+    w = "OVER (PARTITION BY doc_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    last = ", ".join(f"max(id) FILTER (WHERE type = '{t}') {w} AS i{k}, max(e) FILTER (WHERE type = '{t}') {w} AS e{k}" for k, t in enumerate(types))
+    ids = ", ".join(f"CASE WHEN e{k} >= e THEN i{k} END" for k in range(len(types)))
+    return f"""o AS (SELECT doc_id, type, span_id, s, e, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s, e DESC, type, span_id) - 1 AS INTEGER) AS id FROM sp),
+p AS (SELECT *, {last} FROM o),
+t AS (SELECT doc_id, type, span_id, s, e, id, list_filter([{ids}], lambda x: x IS NOT NULL) AS a FROM p)"""
+
+
+@register("span_tree", f"""WITH {SQL_DOCS}, {sql_spans('d', DOC_PATTERNS_RE2)}, {sql_tree(DOC_PATTERNS_RE2)}
+SELECT doc_id, type, span_id, s, e, id, list_max(a) AS parent_id, CAST(len(a) AS INTEGER) AS depth FROM t""")
 def span_tree_q(spark, sf):
     """SPN-5 on the nested document spans (line > sentence > word/number)."""
     from spanalign.operators.spans import span_tree
-    return span_tree(doc_spans(spark, sf))
+    return span_tree(doc_spans(spark, sf), types=list(DOC_PATTERNS))
 
 
 PAGE_NESTED = {k: PAGE_PATTERNS[k] for k in ("tag", "attr", "entity")}  # properly nested family
 
 
-@register("page_tag_tree", f"""WITH {SQL_PAGES}, {sql_spans('pg', PAGE_NESTED)},
-o AS (SELECT doc_id, type, span_id, s, e, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s, e DESC, type, span_id) - 1 AS INTEGER) AS id FROM sp),
-p AS (SELECT x.doc_id, x.id, max(y.id) AS parent_id, count(y.id) AS depth FROM o x LEFT JOIN o y
-      ON y.doc_id = x.doc_id AND y.id < x.id AND y.s <= x.s AND x.e <= y.e GROUP BY x.doc_id, x.id)
-SELECT o.type, count(*) AS n_spans, count(p.parent_id) AS n_with_parent, CAST(max(p.depth) AS INTEGER) AS max_depth,
-  CAST(sum(p.parent_id) AS BIGINT) AS sum_parent_id FROM o JOIN p ON p.doc_id = o.doc_id AND p.id = o.id GROUP BY o.type""")
+@register("page_tag_tree", f"""WITH {SQL_PAGES}, {sql_spans('pg', {k: PAGE_PATTERNS_RE2[k] for k in PAGE_NESTED})}, {sql_tree(PAGE_NESTED)}
+SELECT type, count(*) AS n_spans, count(list_max(a)) AS n_with_parent, CAST(max(len(a)) AS INTEGER) AS max_depth,
+  CAST(sum(list_max(a)) AS BIGINT) AS sum_parent_id FROM t GROUP BY type""")
 def page_tag_tree_q(spark, sf):
     """SPN-5 on HTML pages: attributes and entities nest inside tags."""
     from spanalign.operators.spans import span_tree
-    t = span_tree(extract_spans(pages_corpus(spark, sf), PAGE_NESTED))
+    t = span_tree(extract_spans(pages_corpus(spark, sf), PAGE_NESTED), types=list(PAGE_NESTED))
     return t.groupBy("type").agg(F.count(F.lit(1)).alias("n_spans"), F.count("parent_id").alias("n_with_parent"),
                                  F.max("depth").alias("max_depth"), F.sum("parent_id").cast("bigint").alias("sum_parent_id"))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanalign.operators.clean import drop_blank, max_bytes
+from spanalign.operators.clean import drop_blank
 from spanalign.operators.spans import chunk_pieces
 from spanalign.plans.catalog import (GS_COLS, SQL_CHUNKS, SQL_DOC_SCORES, SQL_DOCS, r6, register, sql_group_stats)
-from spanalign.plans.common import CHUNK, MAX_BYTES
+from spanalign.plans.common import CHUNK
 from spanalign.session import scratch_path
 from spanalign.streaming.stream import (corpus_stream, overwrite_sink, run_available, stream_doc_scores,
                                         stream_flush_parts, stream_group_stats, stream_limit)
@@ -18,7 +18,7 @@ def _doc_stream(spark, sf):
     schema = read_table(spark, sf, "documents").schema
     s = corpus_stream(spark, sf, schema, glob="documents.parquet", max_files_per_trigger=1)
     d = s.select("doc_id", F.col("lang").alias("grp"), "text")
-    return max_bytes(drop_blank(d), MAX_BYTES)
+    return drop_blank(d)
 
 
 @register("stream_group_stats", f"""WITH {SQL_DOCS}, {SQL_CHUNKS}, {SQL_DOC_SCORES}, {sql_group_stats(True)}

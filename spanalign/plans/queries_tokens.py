@@ -14,7 +14,7 @@ from spanalign.sources.tables import spread
 
 SCHEMES = ["word", "piece4", "ws", "char", "pretok"]
 
-SQL_CONV = """cv AS (SELECT conv_id * 1000 + turn AS doc_id, role AS grp, text FROM conversations
+SQL_CONV = """cv AS (SELECT conv_id || '/' || turn AS doc_id, role AS grp, text FROM conversations
   WHERE text IS NOT NULL AND regexp_matches(text, '[^\\t\\n\\x0B\\f\\r\\x1C-\\x1F \\x85\\p{Z}]'))"""
 
 

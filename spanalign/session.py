@@ -29,6 +29,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    # small local tables are one row group each: deal their texts over the cores
+    spark.conf.set("spanalign.textExchange", "on")
     ensure_checkpoint_dir(spark)
     return spark
 
@@ -36,14 +38,20 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is. Only when it is unset (local tests) a scratch folder is created.
+    On a cluster ``spark.checkpoint.dir``, or else the folder the user gave to
+    ``setCheckpointDir``, is shared and used as is. Only a local session
+    without either gets a scratch folder; a cluster without one is an error,
+    since files in a machine's own folder are lost to the other machines.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    own = spark.sparkContext.getCheckpointDir()
+    d = spark.conf.get("spark.checkpoint.dir", None) or own
     if not d:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="spanalign-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    if spark.sparkContext.getCheckpointDir() is None:
+    if own is None:
         spark.sparkContext.setCheckpointDir(d)
     return d
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanalign.functions.patterns import BATCH_LANGUAGES, LANGUAGE_ALIASES, LANGUAGE_EXTENSIONS
-from spanalign.functions.text import map_lookup
+from spanalign.functions.text import map_lookup, stripped
 
 
 def extension_map(languages=None) -> dict:
@@ -38,6 +38,10 @@ def read_text(content) -> "F.Column":
     return F.regexp_replace(_decode_ignore(c), r"\r\n?", "\n")
 
 
+def _plain_path(path):
+    return F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+
+
 def code_files(spark: SparkSession, root: str, languages=None, prefer_language_dirs: bool = True) -> DataFrame:
     """SRC-1 + SRC-2: files of the asked languages under ``root``.
 
@@ -51,8 +55,9 @@ def code_files(spark: SparkSession, root: str, languages=None, prefer_language_d
     x = raw.select("path", "length", "content", language_from_path("path", languages).alias("language"))
     x = x.filter(F.col("language").isNotNull())
     if prefer_language_dirs:
-        base = root.rstrip("/")
-        in_dir = F.col("path").contains(F.concat(F.lit(base + "/"), F.col("language"), F.lit("/")))
+        # the reader reports paths as URIs; compare both without scheme and authority, from the start
+        base = _plain_path(F.lit(root.rstrip("/") + "/"))
+        in_dir = _plain_path(F.col("path")).startswith(F.concat(base, F.col("language"), F.lit("/")))
         x = x.withColumn("_in", in_dir)
         has = x.groupBy("language").agg(F.max("_in").alias("_has"))   # <= one row per language
         x = x.join(F.broadcast(has), "language").filter(~F.col("_has") | F.col("_in")).drop("_in", "_has")
@@ -64,17 +69,18 @@ def code_files(spark: SparkSession, root: str, languages=None, prefer_language_d
 def normalize_batch_language(c):
     """Alias map restricted to the languages the folder runner accepts."""
     al = {k: v for k, v in LANGUAGE_ALIASES.items() if v in BATCH_LANGUAGES}
-    return map_lookup(al, F.lower(F.trim(c)))
+    return map_lookup(al, F.lower(stripped(c)))
 
 
 def code_output_dirs(spark: SparkSession, base: str):
     """SRC-4: files under ``<base>/<lang>_code_output/`` folders; the language
-    comes from the folder prefix through the alias map (nine languages).
+    comes from the folder prefix through the alias map (nine languages), and
+    only files with a suffix of that language are taken.
     Returns (files, skipped_dirs)."""
     raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base.rstrip("/") + "/*_code_output"))
     d = F.regexp_extract("path", r"/([^/]+)_code_output/", 1)
     x = raw.select("path", "content", d.alias("dir_prefix"), normalize_batch_language(d).alias("language"))
-    files = x.filter(F.col("language").isNotNull()).select(
+    files = x.filter(language_from_path("path") == F.col("language")).select(
         F.col("path").alias("doc_id"), F.col("language").alias("grp"), read_text("content").alias("text"), "dir_prefix")
     skipped = x.filter(F.col("language").isNull()).select("dir_prefix").distinct()
     return files, skipped

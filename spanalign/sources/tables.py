@@ -85,11 +85,11 @@ def by_doc(df: DataFrame, n: int | None = None) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """For map-only plans: the same doc_id exchange, so a source that cannot
-    be split (one parquet row group) still spreads over all cores. Set the
-    session conf ``spanalign.textExchange=off`` when the corpus is already
-    read in parallel (many row groups / files) to keep such plans shuffle-free."""
-    if df.sparkSession.conf.get(TEXT_EXCHANGE_CONF, "on").lower() == "off":
+    """For map-only plans. A corpus of many files or row groups is read in
+    parallel as it is, so such plans stay shuffle-free; a session that reads a
+    table of one row group can set ``spanalign.textExchange=on`` (as
+    ``local_session`` does) to deal the texts over the cores by doc_id."""
+    if df.sparkSession.conf.get(TEXT_EXCHANGE_CONF, "off").lower() != "on":
         return df
     return by_doc(df)
 

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from spanalign.operators.align import (covering_word_split, nearest_token, rule_word_split, stab,
+from spanalign.operators.align import (boundary_context, covering_word_split, nearest_token, rule_word_split, stab,
                                        tolerance_align)
 from spanalign.operators.spans import chunk_pieces, chunk_spans, extract_spans, span_tree, spans_from_table
 from spanalign.operators.tokens import tokens, word_runs
@@ -195,3 +195,65 @@ def test_tolerance_and_nearest_match_definition(spark):
         assert (g.start_token, g.start_distance) == (best_s, abs(s - tb[best_s][0]))
         assert (g.end_token, g.end_distance) == (best_e, abs(e - tb[best_e][1]))
         assert g.fully_aligned == (any(abs(s - a) <= 1 for a, _ in tb) and any(abs(e - b) <= 1 for _, b in tb))
+
+
+def test_stab_overlapping_intervals_lowest_index_wins(spark):
+    """Nested, overlapping and repeated intervals against the definition."""
+    random.seed(11)
+    ivs = [(0, 0, 0, 10), (0, 1, 4, 5)]
+    pts = [(0, 0, 6), (0, 1, 10), (0, 2, 0)]
+    for doc in ("x", "y"):
+        for k in range(80):
+            s = random.randint(0, 60)
+            ivs.append((doc, k, s, s + random.randint(0, 25)))
+        pts += [(doc, j, random.randint(-1, 90)) for j in range(80)]
+    P = spark.createDataFrame([(str(d), i, p) for d, i, p in pts], "doc_id string, pid int, p long")
+    I = spark.createDataFrame([(str(d), k, s, e) for d, k, s, e in ivs], "doc_id string, tok_id int, s long, e long")
+    got = {(r.doc_id, r.pid): (r.tok.tok_id if r.tok else None, r.in_token) for r in stab(P, I).collect()}
+    for doc, pid, p in pts:
+        inside = [k for d_, k, s, e in ivs if d_ == doc and s < p < e]
+        assert got[(str(doc), pid)] == (min(inside) if inside else None, bool(inside))
+
+
+def test_word_split_in_long_runs(spark):
+    """Runs longer than the pieces they are cut into: borders inside them, at
+    the cuts, between multi-byte characters and at their ends."""
+    text = "a" * 64 + "é" * 100 + " " + "b" * 128 + "!" + "字" * 70
+    d = spark.createDataFrame([(1, "g", text)], "doc_id long, grp string, text string")
+    data = text.encode()
+    pts = spark.createDataFrame([(1, p) for p in range(len(data) + 1)], "doc_id long, p long")
+    got = {r.p: (r.mid_word, r.left_ch, r.right_ch) for r in boundary_context(pts, runs=word_runs(d)).collect()}
+    at = {len(text[:i].encode()): i for i in range(len(text) + 1)}
+    word = lambda c: c.isalnum() or c == "_"
+    for p in range(len(data) + 1):
+        i = at.get(p)
+        mid = i is not None and 0 < i < len(text) and word(text[i - 1]) and word(text[i])
+        assert got[p] == ((True, text[i - 1], text[i]) if mid else (False, None, None)), p
+
+
+def test_spans_with_former_marks_back_references_and_empty_matches(spark):
+    text = " 12 x aa bc dd"
+    d = spark.createDataFrame([(1, "g", text)], "doc_id long, grp string, text string")
+    n = lambda p: [r.piece for r in extract_spans(d, {"t": p}).orderBy("s").collect()]
+    assert n(r"\p{N}+") == ["12"]
+    assert n(r"(\w)\1") == ["aa", "dd"]
+    import pytest
+    with pytest.raises(Exception, match="matches the empty string"):
+        n(r"(?=bc)")
+
+
+def test_tree_of_string_ids_and_window_form(spark):
+    rows = [("p/a", "line", 0, 0, 20), ("p/a", "word", 0, 2, 5), ("p/a", "word", 1, 5, 9), ("p/a", "sent", 0, 2, 9), ("p/b", "line", 0, 0, 3)]
+    x = spark.createDataFrame(rows, "doc_id string, type string, span_id int, s long, e long")
+    key = lambda df: sorted((r.doc_id, r.id, r.parent_id, r.depth) for r in df.collect())
+    want = [("p/a", 0, None, 0), ("p/a", 1, 0, 1), ("p/a", 2, 1, 2), ("p/a", 3, 1, 2), ("p/b", 0, None, 0)]
+    assert key(span_tree(x)) == want and key(span_tree(x, types=["line", "sent", "word"])) == want
+
+
+def test_text_over_one_mebibyte_is_scored(spark):
+    from spanalign.operators.scores import doc_scores_covering
+    from spanalign.operators.clean import drop_blank
+    text = "word " * 300_000
+    d = drop_blank(spark.createDataFrame([(1, "g", text)], "doc_id long, grp string, text string"))
+    r = doc_scores_covering(d, chunk_pieces("text", 64)).first()
+    assert r.n_bytes == len(text) > (1 << 20) and r.n_rules == -(-len(text) // 64)
