@@ -27,9 +27,6 @@ class Analysis:
     rankings: DataFrame        # AGG-5
     summary: DataFrame         # AGG-4
 
-    def detail(self) -> DataFrame:
-        return self.rule_flags
-
 
 def _rules(docs: DataFrame, rules, border_chars: bool, keep=("grp",)) -> DataFrame:
     if isinstance(rules, DataFrame):
@@ -85,24 +82,34 @@ def analyze_detail(corpus: DataFrame, rules=64, scheme: str = "pretok", partitio
 
 
 def folder_runs(files: DataFrame, schemes, rules=64, tol: int = 1, run_id: str = "run",
-                folder: str = "dir_prefix") -> tuple[DataFrame, DataFrame]:
+                folder: str = "dir_prefix", skipped: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """E3: the folder batch runner as ONE job. ``files`` is the corpus of
     ``code_output_dirs`` (doc_id, grp, text, dir_prefix); every scheme of the
     literal list is scored (M2, tolerance ``tol``) in the same pass, and
-    statistics are grouped by (folder, language, scheme). Returns
-    (stats, run_log) - the run log holds one row per folder, language and
-    scheme with status ``ok`` (documents scored) or ``empty``."""
+    statistics are grouped by (folder, language, scheme). Documents without
+    any rule count as files with score 0. Returns (stats, run_log) - the run
+    log holds one row per folder, language and scheme with status ``ok``, or
+    ``empty`` when none of its documents has a rule, and a row with status
+    ``skipped`` for each folder of ``skipped`` (of ``code_output_dirs``)."""
     from spanalign.operators.tokens import multi_scheme_tokens
     docs = by_doc(files.select("doc_id", "grp", "text", F.col(folder).alias("folder")))
     r = _rules(docs, rules, border_chars=False, keep=("grp", "folder"))
     toks = multi_scheme_tokens(docs, list(schemes), keep=("grp", "folder"))
     fl = nearest_token(r, toks, tol=tol, keep=("grp", "folder"), schemes=list(schemes), covering=True)
-    per_doc = fl.groupBy("doc_id", "grp", "folder", "scheme").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("fully_aligned").alias("a"))
+    # one marker row per document and scheme keeps documents without rules
+    marks = docs.select("doc_id", "grp", "folder", F.explode(F.array(*[F.lit(s) for s in schemes])).alias("scheme"),
+                        F.lit(None).cast("boolean").alias("fully_aligned"))
+    every = marks.unionByName(fl.select("doc_id", "grp", "folder", "scheme", "fully_aligned"))
+    per_doc = every.groupBy("doc_id", "grp", "folder", "scheme").agg(
+        F.count("fully_aligned").alias("n"), F.count_if("fully_aligned").alias("a"))
+    score = F.coalesce(F.try_divide(F.col("a") * 100.0, F.col("n").cast("double")), F.lit(0.0))
     stats = per_doc.groupBy("folder", "grp", "scheme").agg(
-        F.count(F.lit(1)).alias("file_count"), F.avg(F.col("a") * 100.0 / F.col("n")).alias("avg_score"),
+        F.count(F.lit(1)).alias("file_count"), F.avg(score).alias("avg_score"),
         F.sum("n").alias("total_rules"), F.sum("a").alias("total_aligned"))
     run_log = stats.select(F.lit(run_id).alias("run_id"), "folder", "grp", "scheme",
-                           F.when(F.col("file_count") > 0, "ok").otherwise("empty").alias("status"),
+                           F.when(F.col("total_rules") > 0, "ok").otherwise("empty").alias("status"),
                            F.col("file_count").alias("n"))
+    if skipped is not None:
+        run_log = run_log.unionByName(skipped.select(F.lit(run_id).alias("run_id"), F.col(skipped.columns[0]).alias("folder"),
+                                                     F.lit("skipped").alias("status"), F.lit(0).cast("long").alias("n")), allowMissingColumns=True)
     return stats, run_log

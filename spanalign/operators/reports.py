@@ -35,23 +35,19 @@ def score_histogram(values: DataFrame, col: str = "avg_score", bins: int = 8) ->
     """AGG-13: equal-width histogram from min to max, the last bin closed
     (values equal to max fall in it); all-equal values use [v-0.5, v+0.5]
     as the range. Every bin is kept and the mean is attached as the marker
-    line. Two passes: one global aggregate (three scalars come back), then
-    a map-side binned count."""
-    ext = values.agg(F.min(col).alias("lo"), F.max(col).alias("hi"), F.avg(col).alias("mean")).first()
-    spark = values.sparkSession
-    if ext["lo"] is None:
-        return spark.createDataFrame([], "bin int, lo double, hi double, n bigint, mean double")
-    lo, hi = float(ext["lo"]), float(ext["hi"])
-    if lo == hi:
-        lo, hi = lo - 0.5, hi + 0.5
-    w = (hi - lo) / bins
-    b = values.select(F.least(F.floor((F.col(col) - F.lit(lo)) / F.lit(w)).cast("int"), F.lit(bins - 1)).alias("bin"))
-    counts = b.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
-    all_bins = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
-    return (all_bins.join(counts, "bin", "left")
-            .select("bin", (F.lit(lo) + F.col("bin") * F.lit(w)).alias("lo"),
-                    (F.lit(lo) + (F.col("bin") + 1) * F.lit(w)).alias("hi"),
-                    F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), F.lit(float(ext["mean"])).alias("mean")))
+    line. The values are read once: the counts of distinct values are joined
+    with their one-row extremes."""
+    counts = values.groupBy(F.col(col).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    every = counts.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.try_divide(F.sum(F.col("v") * F.col("n")), F.sum(F.when(F.col("v").isNotNull(), F.col("n")))).alias("mean"))
+    half = F.when(F.col("lo") == F.col("hi"), F.lit(0.5)).otherwise(F.lit(0.0))
+    ends = every.filter(F.col("lo").isNotNull()).select((F.col("lo") - half).alias("lo"), (F.col("hi") + half).alias("hi"), "mean")
+    ends = ends.withColumn("w", (F.col("hi") - F.col("lo")) / bins)
+    place = F.least(F.floor((F.col("v") - F.col("lo")) / F.col("w")).cast("int"), F.lit(bins - 1))
+    n = counts.filter(F.col("v").isNotNull()).join(F.broadcast(ends)).groupBy(place.alias("bin")).agg(F.sum("n").alias("n"))
+    all_bins = ends.select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    return (all_bins.join(n, "bin", "left")
+            .select("bin", (F.col("lo") + F.col("bin") * F.col("w")).alias("lo"), (F.col("lo") + (F.col("bin") + 1) * F.col("w")).alias("hi"),
+                    F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), "mean"))
 
 
 def cross_group_report(stats: DataFrame, by: str = "grp"):

@@ -83,20 +83,23 @@ def with_timing(stats: DataFrame, run_log: DataFrame, by="grp") -> DataFrame:
     """Attach measured seconds per group from a run log (the reference's
     total_analysis_time / avg_processing_speed); the run log is one small
     row per group and run."""
-    t = run_log.groupBy(by).agg(F.sum("seconds").alias("total_analysis_time"))
-    return (stats.join(t, by, "left")
+    t = run_log.groupBy(F.col(by).alias("_by")).agg(F.sum("seconds").alias("total_analysis_time"))
+    return (stats.join(t, F.col(by).eqNullSafe(F.col("_by")), "left").drop("_by")
             .withColumn("avg_processing_speed",
                         F.coalesce(F.try_divide(F.col("total_code_size").cast("double"),
                                                 F.col("total_analysis_time")), F.lit(0.0))))
 
 
 def corpus_summary(stats: DataFrame) -> DataFrame:
-    """AGG-4: grand totals over all groups."""
+    """AGG-4: grand totals over all groups; with measured seconds (stats from
+    ``with_timing``) also the average processing speed, characters a second."""
+    timed = [F.coalesce(F.try_divide(F.sum("total_code_size").cast("double"), F.sum("total_analysis_time")), F.lit(0.0))
+             .alias("avg_processing_speed")] if "total_analysis_time" in stats.columns else []
     return stats.agg(F.count(F.lit(1)).alias("total_languages"),
                      F.sum("file_count").alias("total_files"),
                      F.sum("total_rules").alias("total_rules"),
                      F.sum("total_aligned").alias("total_aligned"),
-                     F.sum("total_code_size").alias("total_code_size"))
+                     F.sum("total_code_size").alias("total_code_size"), *timed)
 
 
 def rank_groups(stats: DataFrame, by: str = "grp", metric: str = "avg_score") -> DataFrame:
@@ -110,10 +113,12 @@ def rank_groups(stats: DataFrame, by: str = "grp", metric: str = "avg_score") ->
 def rank_speed(runs: DataFrame, by: str = "grp", size: str = "total_code_size",
                seconds: str = "total_analysis_time") -> DataFrame:
     """AGG-6: processing speed = size / seconds (0 when seconds is 0),
-    ranked desc, ties by name."""
+    ranked desc, ties by name. There may be a row per user: the ranks come
+    from a range sort, not from one window over all rows."""
+    from spanalign.operators.batching import with_index
     sp = F.coalesce(F.try_divide(F.col(size).cast("double"), F.col(seconds).cast("double")), F.lit(0.0))
-    x = runs.withColumn("speed", sp)
-    return x.withColumn("rank", F.row_number().over(Window.orderBy(F.col("speed").desc(), F.col(by).asc())).cast("bigint"))
+    x = with_index(runs.withColumn("speed", sp), [F.col("speed").desc(), F.col(by).asc()], name="rank")
+    return x.withColumn("rank", (F.col("rank") + 1).cast("bigint"))
 
 
 def top_and_bottom(stats: DataFrame, n: int = 5, by: str = "grp", metric: str = "avg_score") -> DataFrame:

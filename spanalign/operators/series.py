@@ -51,14 +51,6 @@ def series_summary(samples: DataFrame, series: str = "series_id", ts: str = "ts"
                     "n_samples", ((F.col("_t1") - F.col("_t0")) / 1e6).alias("duration"))
 
 
-def _join_small(big: DataFrame, small: DataFrame, on) -> DataFrame:
-    """Per-series results back onto the samples. No broadcast hint: AQE
-    measures the per-series side after its (partial) aggregation and turns
-    the join into a broadcast only below its runtime threshold; otherwise it
-    stays a shuffle join whose hot series the skew-join rule splits."""
-    return big.join(small, on)
-
-
 def baseline_delta(samples: DataFrame, series: str = "series_id", ts: str = "ts", value: str = "value",
                    tie: str = "event_id") -> DataFrame:
     """AGG-20: every sample minus its series' first sample, and seconds since
@@ -66,7 +58,8 @@ def baseline_delta(samples: DataFrame, series: str = "series_id", ts: str = "ts"
     nz = _is_ntz(samples, ts)
     key = F.struct(micros(ts, nz).alias("t"), F.col(tie).alias("k"))
     base = samples.groupBy(series).agg(F.min_by(value, key).alias("_v0"), F.min(micros(ts, nz)).alias("_t0"))
-    x = _join_small(samples, base, series)
+    # no broadcast hint: AQE broadcasts the per-series side only where it is measured to be small
+    x = samples.join(base, series)
     return x.select(series, tie, (F.col(value) - F.col("_v0")).alias("delta"),
                     ((micros(ts, nz) - F.col("_t0")) / 1e6).alias("elapsed"))
 

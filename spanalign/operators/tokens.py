@@ -158,8 +158,10 @@ def tokens_from_table(df: DataFrame, offsets: str = "offsets", text: str = "text
     characters (or bytes). Pairs are cleaned (OFF-4), character offsets are
     mapped to bytes, pairs empty after mapping are dropped, and the pairs that
     are left are numbered from 0."""
-    nlen = F.char_length(text) if unit == "char" else F.octet_length(text)
-    clamp = lambda v: F.greatest(F.lit(0).cast("bigint"), F.least(v.cast("bigint"), nlen.cast("bigint")))
+    # the length is a column of its own: inside the lambdas it would be taken of the whole text for every pair
+    nlen = (F.char_length(text) if unit == "char" else F.octet_length(text)).cast("bigint")
+    df = df.withColumn("_len", nlen)
+    clamp = lambda v: F.greatest(F.lit(0).cast("bigint"), F.least(v.cast("bigint"), F.col("_len")))
     ok = F.filter(offsets, lambda o: o["s"].isNotNull() & o["e"].isNotNull() & (o["e"] > o["s"]))
     cl = F.transform(ok, lambda o: F.struct(clamp(o["s"]).alias("s"), clamp(o["e"]).alias("e")))
     x = df.select("doc_id", *keep, text, cl.alias("_cl"))
@@ -167,9 +169,9 @@ def tokens_from_table(df: DataFrame, offsets: str = "offsets", text: str = "text
     both = F.concat(F.transform("_cl", lambda o: o["s"]), F.transform("_cl", lambda o: o["e"]))
     # starts and ends in one call, so that a text goes to Python once
     x = x.withColumn("_b", char_to_byte(F.col(text), both) if unit == "char" else both)
-    z = F.transform("_cl", lambda c, i: F.struct(F.get("_b", i).alias("s"), F.get("_b", i + n).alias("e"), c["s"].alias("cs"), c["e"].alias("ce")))
+    z = F.arrays_zip(F.col("_cl").alias("c"), F.slice("_b", 1, n).alias("s"), F.slice("_b", n + 1, n).alias("e"))
     x = x.select("doc_id", *keep, F.posexplode(F.filter(z, lambda o: o["e"] > o["s"])).alias("tok_id", "_z"))
-    return x.select("doc_id", *keep, F.col("tok_id").cast("int"), "_z.s", "_z.e", "_z.cs", "_z.ce")
+    return x.select("doc_id", *keep, F.col("tok_id").cast("int"), "_z.s", "_z.e", F.col("_z.c.s").alias("cs"), F.col("_z.c.e").alias("ce"))
 
 
 def fill_missing_tokens(docs: DataFrame, toks: DataFrame, keep=("grp",)) -> DataFrame:

@@ -77,3 +77,4 @@ from spanalign.plans import queries_align  # noqa: E402,F401
 from spanalign.plans import queries_filters  # noqa: E402,F401
 from spanalign.plans import queries_reports  # noqa: E402,F401
 from spanalign.plans import queries_stream  # noqa: E402,F401
+from spanalign.plans import queries_io  # noqa: E402,F401

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from spanalign.functions.patterns import COST_SCALES, TIME_UNITS
 from spanalign.operators.align import nearest_token
 from spanalign.operators.reports import (category_stats, compare_schemes, cross_group_report, project_cost,
                                          ranking_bars, rules_vs_alignment, score_histogram)
@@ -153,13 +154,9 @@ SPEED = 1_000_000.0  # bytes per second, given
 
 
 def _cost_sql():
-    lad = [(60, 1, "seconds"), (3600, 60, "minutes"), (86400, 3600, "hours"), (2592000, 86400, "days"),
-           (31536000, 2592000, "months")]
-    case = "CASE " + " ".join(f"WHEN sec < {u} THEN printf('%.2f {n}', sec / {d})" for u, d, n in lad) + \
-        " ELSE printf('%.2f years', sec / 31536000) END"
-    scales = ", ".join(f"({n}, '{lbl}')" for n, lbl in [(100, "100 files"), (1000, "1,000 files"), (10000, "10,000 files"),
-                                                       (100000, "100,000 files"), (1000000, "1,000,000 files"),
-                                                       (10000000, "10,000,000 files"), (100000000, "100,000,000 files")])
+    case = "CASE " + " ".join(f"WHEN sec < {u} THEN printf('%.2f {n}', sec / {d})" for u, d, n in TIME_UNITS if u) + \
+        " ".join(f" ELSE printf('%.2f {n}', sec / {d}) END" for u, d, n in TIME_UNITS if not u)
+    scales = ", ".join(f"({n}, '{lbl}')" for n, lbl in COST_SCALES)
     return f"""WITH {SQL_DOCS}, g AS (SELECT grp, avg(strlen(text)) AS used_size FROM d GROUP BY grp),
 x AS (SELECT grp, CAST(files AS BIGINT) AS files, label, used_size, used_size * files / {SPEED} AS sec
       FROM g, (VALUES {scales}) s(files, label))
@@ -253,6 +250,6 @@ def report_round_trip_q(spark, sf):
     from spanalign.sources.reports import read_report, write_report
     scores = chunk_doc_scores(spark, sf)
     path = scratch_path(spark, f"report-{uuid.uuid4().hex}")
-    write_report(group_stats(scores, "grp"), scores, path, "chunk64")
+    write_report(None, scores, path, "chunk64")
     summary, _, _ = read_report(spark, path)
-    return summary.select("summary.*", "scheme")
+    return summary.select("summary.*", "scheme").drop("avg_processing_speed")

@@ -10,7 +10,7 @@ from spanalign.plans.catalog import (GS_COLS, SQL_CHUNKS, SQL_DOC_SCORES, SQL_DO
 from spanalign.plans.common import CHUNK
 from spanalign.session import scratch_path
 from spanalign.streaming.stream import (corpus_stream, overwrite_sink, run_available, stream_doc_scores,
-                                        stream_flush_parts, stream_group_stats, stream_limit)
+                                        stream_group_stats, stream_limit)
 from spanalign.sources.tables import read_table
 
 
@@ -37,27 +37,27 @@ ORACLE_PARTS = f"""WITH {SQL_DOCS}, x AS (SELECT grp, floor((row_number() OVER (
 SELECT grp, CAST(part AS INTEGER) AS part, count(*) AS file_count FROM x GROUP BY 1, 2"""
 
 
-@register("stream_flush_parts", ORACLE_PARTS)
-def stream_flush_parts_q(spark, sf):
-    """STR-2: a part after every 40 documents of a language, assigned by a
-    stateful streaming operator; the remainder forms the last part."""
+def _flushed(spark, stream, every):
     import uuid
-    parts = stream_flush_parts(_doc_stream(spark, sf), 40)
-    out = scratch_path(spark, f"stream-parts-{uuid.uuid4().hex}")
-    run_available(parts, out, mode="append", name="flush-parts")
-    return spark.read.parquet(out).groupBy("grp", "part").agg(F.count(F.lit(1)).alias("file_count"))
+    from spanalign.streaming.stream import flush_parts_sink
+    base = scratch_path(spark, f"stream-parts-{uuid.uuid4().hex}")
+    run_available(stream.select("doc_id", "grp"), flush_parts_sink(f"{base}/out", f"{base}/state", every), mode="append", name="flush-parts")
+    return spark.read.parquet(f"{base}/out")
+
+
+@register("stream_flush_parts", f"""WITH {SQL_DOCS}, x AS (SELECT doc_id, grp, row_number() OVER (PARTITION BY grp ORDER BY doc_id) - 1 AS seq FROM d)
+SELECT doc_id, grp, CAST(floor(seq / 40) + 1 AS INTEGER) AS part, CAST(seq AS BIGINT) AS seq FROM x""")
+def stream_flush_parts_q(spark, sf):
+    """STR-2: the part and number of every document of the stream, a part
+    after every 40 documents of a language; the remainder is the last part."""
+    return _flushed(spark, _doc_stream(spark, sf), 40).select("doc_id", "grp", "part", "seq")
 
 
 @register("stream_flush_parts_distributed", ORACLE_PARTS)
 def stream_flush_parts_distributed_q(spark, sf):
-    """STR-2 via foreachBatch: per micro-batch distributed per-language
-    numbering plus a per-language counter table kept per epoch."""
-    import uuid
-    from spanalign.streaming.stream import flush_parts_sink
-    base = scratch_path(spark, f"stream-parts-d-{uuid.uuid4().hex}")
-    run_available(_doc_stream(spark, sf).select("doc_id", "grp"), flush_parts_sink(f"{base}/out", f"{base}/state", 40),
-                  mode="append", name="flush-parts-d")
-    return spark.read.parquet(f"{base}/out").groupBy("grp", "part").agg(F.count(F.lit(1)).alias("file_count"))
+    """STR-2: files per part (per micro-batch distributed per-language
+    numbering plus a per-language counter table kept per epoch)."""
+    return _flushed(spark, _doc_stream(spark, sf), 40).groupBy("grp", "part").agg(F.count(F.lit(1)).alias("file_count"))
 
 
 @register("stream_limit", f"""WITH {SQL_DOCS} SELECT count(*) AS n_rows FROM (SELECT 1 FROM d LIMIT 300)""")

@@ -29,7 +29,8 @@ def corpus_from_table(df: DataFrame, id_col: str | None = "doc_id", text_col: st
 
     Either ``fixed_language`` labels every row or ``language_col`` holds a
     per-row label (normalised through ``aliases`` when given). Rows without
-    an id get ``sample_<i>`` from a stable distributed index.
+    an id get ``sample_<i>``, i counting the rows in the order in which the
+    files are read.
     """
     if language_col is None and fixed_language is None:
         raise ValueError("give language_col or fixed_language")
@@ -40,8 +41,8 @@ def corpus_from_table(df: DataFrame, id_col: str | None = "doc_id", text_col: st
     else:
         grp = F.col(language_col)
     if id_col is None or id_col not in df.columns:
-        from spanalign.operators.batching import with_index
-        df = with_index(df, order_by=None, name="_i")
+        from spanalign.operators.batching import with_read_index
+        df = with_read_index(df, name="_i")
         doc = F.concat(F.lit("sample_"), F.col("_i").cast("string"))
     else:
         doc = F.col(id_col)

@@ -2,7 +2,7 @@
 
 Per-document scoring of covering spans is row-local, so it runs unchanged
 on a stream; running totals per group are a stateful streaming aggregate;
-flush parts are an arbitrary-state operator keyed by group; every query
+flush parts number each micro-batch with the distributed per-group index; every query
 keeps its progress in a checkpoint folder under ``spark.checkpoint.dir`` and
 so resumes exactly once after a restart or a lost executor.
 """
@@ -11,11 +11,9 @@ from __future__ import annotations
 
 import uuid
 
-import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from spanalign.session import scratch_path
 
@@ -63,41 +61,14 @@ def overwrite_sink(path: str):
     return sink
 
 
-_PART_OUT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("grp", T.StringType()),
-                          T.StructField("part", T.IntegerType()), T.StructField("seq", T.LongType())])
-_PART_STATE = T.StructType([T.StructField("seen", T.LongType())])
-
-
-def _assign_parts(every: int):
-    def fn(key, pdfs, state):
-        seen = state.get[0] if state.exists else 0
-        for pdf in pdfs:
-            pdf = pdf.sort_values("doc_id", kind="mergesort")
-            n = len(pdf)
-            seq = pd.Series(range(seen, seen + n), index=pdf.index, dtype="int64")
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("int64"), "grp": key[0],
-                                "part": (seq // every + 1).astype("int32"), "seq": seq})
-            seen += n
-        state.update((seen,))
-    return fn
-
-
-def stream_flush_parts(docs_stream: DataFrame, every: int, group: str = "grp") -> DataFrame:
-    """STR-2: part number of every document in arrival order per group
-    (a new part after every ``every`` documents; the open remainder is the
-    last part). State per group is one counter."""
-    x = docs_stream.select(F.col("doc_id").cast("long"), F.col(group).alias("grp"))
-    return x.groupBy("grp").applyInPandasWithState(
-        _assign_parts(every), _PART_OUT, _PART_STATE, "append", GroupStateTimeout.NoTimeout)
-
-
 def stream_limit(stream: DataFrame, n: int) -> DataFrame:
     """STR-3: stop after n accepted rows (streaming limit, append mode)."""
     return stream.limit(n)
 
 
 def flush_parts_sink(out: str, state: str, every: int, group: str = "grp", order_by: str = "doc_id"):
-    """STR-2 without a per-group task: a foreachBatch sink that numbers each
+    """STR-2, a part after every ``every`` documents of a group in arrival
+    order, without a per-group task: a foreachBatch sink that numbers each
     micro-batch with the distributed per-group index (hot groups are spread
     by a range sort) and keeps the running count per group as a tiny table
     under ``state`` (one folder per epoch). A replayed epoch reads the
@@ -108,18 +79,17 @@ def flush_parts_sink(out: str, state: str, every: int, group: str = "grp", order
     def sink(batch: DataFrame, epoch_id: int):
         spark = batch.sparkSession
         prev = _latest_counts(spark, state, epoch_id, group)
-        x = with_index(batch.select(F.col(order_by).cast("long").alias("doc_id"), F.col(group).alias("grp")),
-                       "doc_id", "grp")
-        if prev is not None:
-            x = x.join(prev, "grp", "left")   # one row per group: AQE broadcasts it
+        x = with_index(batch.select(F.col(order_by).alias("doc_id"), F.col(group).alias("grp")), "doc_id", "grp")
+        if prev is not None:   # one row per group: AQE broadcasts it; null is a group
+            x = x.join(prev, F.col("grp").eqNullSafe(F.col("_grp")), "left").drop("_grp")
         else:
             x = x.withColumn("_seen", F.lit(0).cast("long"))
         seq = F.coalesce(F.col("_seen"), F.lit(0)) + F.col("idx")
         parts = x.select("doc_id", "grp", (F.floor(seq / every) + 1).cast("int").alias("part"), seq.alias("seq"))
         parts.write.mode("overwrite").parquet(f"{out}/epoch={epoch_id}")
         cnt = batch.groupBy(F.col(group).alias("grp")).agg(F.count(F.lit(1)).alias("_n"))
-        new = cnt.withColumn("_seen", F.lit(0).cast("long")) if prev is None else cnt.join(prev, "grp", "full")
-        new = new.select("grp", (F.coalesce("_seen", F.lit(0)) + F.coalesce("_n", F.lit(0))).cast("long").alias("_seen"))
+        both = cnt if prev is None else cnt.union(prev.select(F.col("_grp").alias("grp"), F.col("_seen").alias("_n")))
+        new = both.groupBy("grp").agg(F.sum("_n").cast("long").alias("_seen"))
         new.write.mode("overwrite").parquet(f"{state}/epoch={epoch_id}")
     return sink
 
@@ -127,10 +97,12 @@ def flush_parts_sink(out: str, state: str, every: int, group: str = "grp", order
 def _latest_counts(spark: SparkSession, state: str, epoch_id: int, group: str):
     """Counts after the newest epoch before ``epoch_id`` (None at start)."""
     try:
-        done = spark.read.parquet(state).select("epoch").distinct().filter(F.col("epoch") < epoch_id)
-        last = done.agg(F.max("epoch")).first()[0]
-    except Exception:  # noqa: BLE001  (no state yet)
-        return None
+        table = spark.read.parquet(state)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":   # no epoch has been counted yet
+            return None
+        raise
+    last = table.filter(F.col("epoch") < epoch_id).agg(F.max("epoch")).first()[0]
     if last is None:
         return None
-    return spark.read.parquet(f"{state}/epoch={last}").select("grp", "_seen")
+    return spark.read.parquet(f"{state}/epoch={last}").select(F.col("grp").alias("_grp"), "_seen")
