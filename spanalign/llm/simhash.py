@@ -175,15 +175,15 @@ def links(fps: DataFrame, max_bits: int = 2, crowd: int = CROWD) -> DataFrame:
     """Links ``(u, v)`` among distinct ``_fp``, enough to connect all pairs
     within ``max_bits``.
 
-    Groups of one are dropped before Python sees them. A group of more than
+    Groups of one, most of them, are dropped before anything is kept. A group of more than
     ``crowd`` is not held in one task: its rows are indexed once more by
     variants of the other bits, after which only the bits of the last segment
     and two wiped ones are free, so a group is bounded by construction."""
     first = segments(list(range(64)), max_bits)
     rows = variants(fps, list(enumerate(first)), [])
     keys = ["_part0", "_kept0"]
-    rows = rows.withColumn("_n", F.count("*").over(W.partitionBy(*keys))).filter("_n > 1")
-    out = linked(rows.filter(F.col("_n") <= crowd), keys, max_bits)
+    rows = cut(rows.withColumn("_n", F.count("*").over(W.partitionBy(*keys))).filter("_n > 1"), "met")
+    out = linked(rows.filter(F.col("_n") <= crowd).repartition(*keys).sortWithinPartitions(*keys), keys, max_bits)
     if max_bits < 2:
         return out
     crowded = rows.filter(F.col("_n") > crowd)
