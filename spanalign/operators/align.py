@@ -17,7 +17,7 @@ from __future__ import annotations
 import heapq
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -261,6 +261,27 @@ def tolerance_align(rules: DataFrame, toks: DataFrame, tol: int = 1, keep=("grp"
     return nearest_token(rules, toks, tol=tol, keep=keep, schemes=schemes, covering=covering)
 
 
+def covering_tolerance(rules: DataFrame, toks: DataFrame, schemes, tol: int = 1, keep=("grp",)) -> DataFrame:
+    """ALN-3 (M2) for covering rules (chunks) under several covering schemes
+    (``multi_scheme_tokens``): one row per rule and scheme with its flags.
+
+    The end of a rule is the start of the next one, so each border is one
+    point; the token that holds it gives the nearest starts and ends on both
+    sides, and a rule takes the start flag of the border before it. The first
+    rule starts at 0, where the first token starts."""
+    ids = F.array(*[F.struct(F.lit(k).alias("scheme_id"), F.lit(x).alias("scheme")) for k, x in enumerate(schemes)])
+    pts = rules.select("doc_id", *keep, F.col("e").alias("_k"), F.inline(ids)).withColumn("_kind", F.lit(1))
+    tks = toks.select("doc_id", "scheme_id", F.col("s").alias("_k"), F.lit(0).alias("_kind"), F.struct("tok_id", "s", "e", "is_last").alias("_tk"))
+    at = running(["doc_id", "scheme_id"], ["_k", "_kind"])
+    u = pts.unionByName(tks, allowMissingColumns=True).withColumn("_t", F.last("_tk", ignorenulls=True).over(at)).filter(F.col("_kind") == 1)
+    low, high = F.col("_k") - F.col("_t.s") <= tol, F.col("_t.e") - F.col("_k") <= tol
+    u = u.select("doc_id", *keep, "scheme_id", "scheme", "_k", (low | (high & ~F.col("_t.is_last"))).alias("_starts"),
+                 ((low & (F.col("_t.tok_id") > 0)) | high).alias("end_aligned"))
+    before = Window.partitionBy("doc_id", "scheme_id").orderBy("_k")
+    return u.select("doc_id", *keep, "scheme", F.col("_k").alias("e"), F.lag("_starts", 1, True).over(before).alias("start_aligned"), "end_aligned") \
+            .withColumn("fully_aligned", F.col("start_aligned") & F.col("end_aligned"))
+
+
 def token_cut(rules: DataFrame, toks: DataFrame, keep=("grp",)) -> DataFrame:
     """ALN-6 (M3 promoted): a border is cut when it lies strictly inside a
     token. One row per rule with both flags."""

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanalign.functions.patterns import COST_SCALES, TIME_UNITS
-from spanalign.operators.align import nearest_token
+from spanalign.operators.align import covering_tolerance
 from spanalign.operators.reports import (category_stats, compare_schemes, cross_group_report, project_cost,
                                          ranking_bars, rules_vs_alignment, score_histogram)
 from spanalign.operators.scores import efficiency, group_stats, rank_speed, top_and_bottom
@@ -141,8 +141,7 @@ def compare_schemes_q(spark, sf):
     """AGG-16: M2 (tol=1) of chunk rules under three token schemes computed
     in one job, as a language x scheme table."""
     d = docs_by_doc(spark, sf)
-    fl = nearest_token(chunk_spans(d, CHUNK), multi_scheme_tokens(d, CMP_SCHEMES, keep=("grp",)), schemes=CMP_SCHEMES,
-                       covering=True)
+    fl = covering_tolerance(chunk_spans(d, CHUNK), multi_scheme_tokens(d, CMP_SCHEMES, keep=("grp",)), CMP_SCHEMES)
     ds = fl.groupBy("doc_id", "grp", "scheme").agg(F.count(F.lit(1)).alias("n"), F.count_if("fully_aligned").alias("a"))
     st = ds.groupBy("grp", "scheme").agg(F.avg(F.col("a") * 100.0 / F.col("n")).alias("avg_score"),
                                          (F.sum("a") * 100.0 / F.sum("n")).alias("overall_alignment"),

@@ -257,3 +257,18 @@ def test_text_over_one_mebibyte_is_scored(spark):
     d = drop_blank(spark.createDataFrame([(1, "g", text)], "doc_id long, grp string, text string"))
     r = doc_scores_covering(d, chunk_pieces("text", 64)).first()
     assert r.n_bytes == len(text) > (1 << 20) and r.n_rules == -(-len(text) // 64)
+
+
+def test_covering_tolerance_equals_nearest_token(spark):
+    """One point per border against two points per rule, for several schemes."""
+    from spanalign.operators.align import covering_tolerance
+    from spanalign.operators.tokens import multi_scheme_tokens
+    random.seed(8)
+    texts = ["", "a", "été 12!"] + ["".join(random.choice("ab é字 \n.1") for _ in range(random.randint(1, 90))) for _ in range(30)]
+    d = spark.createDataFrame([(i, "g", t) for i, t in enumerate(texts)], "doc_id long, grp string, text string")
+    schemes = ["word", "ws", "pretok"]
+    toks = multi_scheme_tokens(d, schemes)
+    for tol in (0, 1, 3):
+        key = lambda df: sorted((r.doc_id, r.scheme, r.e, r.start_aligned, r.end_aligned, r.fully_aligned) for r in df.collect())
+        want = nearest_token(chunk_spans(d, 5), toks, tol=tol, schemes=schemes, covering=True)
+        assert key(covering_tolerance(chunk_spans(d, 5), toks, schemes, tol=tol)) == key(want)
