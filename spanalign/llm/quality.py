@@ -21,7 +21,7 @@ from spanalign.llm.textops import SPACE, mixed, raw, slices, span_hashes
 #: Orders of the n-grams and hash buckets of their models. On the test corpus words alone separate best: with
 #: pairs too, 2.7 times the grams share the buckets and rare telling words drown (toxic found: 0.73, else 0.99).
 ORDERS, BUCKETS = (1,), 1 << 20
-#: Labelled target documents that the target model reads at most (their ids are sent to the tasks).
+#: Labelled target documents that the target model reads, about, at most (their ids are sent to the tasks).
 TARGET_DOCS = 200_000
 #: Added to every count, and the least |log ratio| that counts: what the labels don't clearly tell from chance weighs 0.
 SMOOTH, CLEAR = 2.0, 2.5
@@ -102,7 +102,8 @@ def fit(docs: DataFrame, labels: DataFrame, target_docs: int = TARGET_DOCS) -> n
     that what both hold alike weighs 0 however long the text. At most BUCKETS
     ratios come to the driver."""
     clean = labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("x")).filter("q = 1 and x = 0")
-    ids = clean.select(F.xxhash64("doc_id").alias("h")).orderBy("h").limit(target_docs).toPandas()["h"].to_numpy(dtype=np.int64)
+    share = target_docs / max(1, labels.count())
+    ids = clean.filter(uniform("doc_id", seed=1) < share).select(F.xxhash64("doc_id").alias("h")).toPandas()["h"].to_numpy(dtype=np.int64)
     table = cut(counts(docs, np.sort(ids)), "grams")
     scale = table.agg(F.percentile(F.when(F.col("r") >= 200, F.col("t") / F.col("r")), F.lit(0.5)), F.sum("t") / F.sum("r")).first()
     by = next((x for x in scale if x is not None), 0.0)
