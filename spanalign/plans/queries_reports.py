@@ -9,7 +9,8 @@ from spanalign.functions.patterns import COST_SCALES, TIME_UNITS
 from spanalign.operators.align import covering_tolerance
 from spanalign.operators.reports import (category_stats, compare_schemes, cross_group_report, project_cost,
                                          ranking_bars, rules_vs_alignment, score_histogram)
-from spanalign.operators.scores import efficiency, group_stats, rank_speed, top_and_bottom
+from spanalign.operators.scores import (corpus_summary, efficiency, group_stats, rank_speed, top_and_bottom,
+                                        with_timing)
 from spanalign.operators.series import (baseline_delta, micros, peak_point, phase_compare, run_summary,
                                         series_summary)
 from spanalign.operators.spans import chunk_spans
@@ -119,6 +120,34 @@ def ranking_bars_q(spark, sf):
     return r6(ranking_bars(lang_stats(spark, sf)))
 
 
+# a run log derived from the corpus: a run per source and language that took a second for each million characters
+SQL_TIMED = SQL_GS + """,
+lg AS (SELECT grp, sum(s) AS total_analysis_time FROM (SELECT grp, source, sum(length(text)) / 1e6 AS s FROM d GROUP BY 1, 2) GROUP BY grp)"""
+
+
+def timed_stats(spark, sf):
+    from spanalign.plans.common import docs
+    runs = docs(spark, sf).groupBy("grp", "source").agg((F.sum(F.char_length("text")) / 1e6).alias("seconds"))
+    return with_timing(lang_stats(spark, sf), runs)
+
+
+@register("group_stats_timed", SQL_TIMED + """
+SELECT gs.grp, total_code_size, round(total_analysis_time, 6) AS total_analysis_time,
+  round(total_code_size / total_analysis_time, 6) AS avg_processing_speed FROM gs JOIN lg ON lg.grp = gs.grp""")
+def group_stats_timed_q(spark, sf):
+    """AGG-3 with the seconds of a run log: time and speed per language."""
+    return r6(timed_stats(spark, sf).select("grp", "total_code_size", "total_analysis_time", "avg_processing_speed"))
+
+
+@register("corpus_summary_timed", SQL_TIMED + """
+SELECT count(*) AS total_languages, CAST(sum(file_count) AS BIGINT) AS total_files, CAST(sum(total_rules) AS BIGINT) AS total_rules,
+  CAST(sum(total_aligned) AS BIGINT) AS total_aligned, CAST(sum(total_code_size) AS BIGINT) AS total_code_size,
+  round(sum(total_code_size) / sum(total_analysis_time), 6) AS avg_processing_speed FROM gs JOIN lg ON lg.grp = gs.grp""")
+def corpus_summary_timed_q(spark, sf):
+    """AGG-4 with the average processing speed."""
+    return r6(corpus_summary(timed_stats(spark, sf)))
+
+
 CMP_SCHEMES = ["word", "pretok", "piece4"]
 
 
