@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from spanalign.llm.common import cut, numbered, word_count
+from spanalign.llm.common import cut, word_count
+from spanalign.operators.prefix import prefix_sums
 
 #: The template's own marks, and control strings of other templates: in a text each is broken by a backslash.
 BEGIN, MIDDLE, END = "<|turn|>", "<|says|>", "<|end|>"
@@ -42,15 +43,15 @@ def unescape(text: Column) -> Column:
 
 
 def turns(rows: DataFrame, per_turn: int, block: int = 256) -> DataFrame:
-    """Rows in the order (turn, role, text; null turns last), numbered within
+    """Rows in the order (turn, role, text; null turns last) within
     their conversation (``ord``) with the tokens before them (``before``).
 
     Prefix sums run within blocks of ``block`` turn values and over the blocks'
     totals, so that a conversation with a third of all rows is summed in many
-    tasks."""
+    tasks. ``rows`` is read twice."""
     t = rows.select(F.col("conv_id"), F.col("conv_id").isNull().alias("_no"), F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("_conv"), F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     t = t.withColumn("_block", F.coalesce(F.floor(F.col("turn") / block), F.lit((1 << 63) - 1))).withColumn("tokens", word_count(F.col("text")) + F.lit(per_turn))
-    t = numbered(cut(t, "turns"), ["_no", "_conv"], ["_block"], ["turn", "role", "text"], {"ord": "1", "before": "tokens"})
+    t = prefix_sums(t, ["_no", "_conv"], ["_block"], ["turn", "role", "text"], {"ord": "1", "before": "tokens"})
     return t.drop("_block", "turn")
 
 
@@ -69,29 +70,30 @@ def windows(rows: DataFrame, budget: Budget = Budget()) -> DataFrame:
     repeated rows are turns; no rows give no windows; other columns are not
     used."""
     conv = ["_no", "_conv"]
-    t = cut(turns(rows, budget.per_turn), "ordered")
-    system = t.filter("ord = 0 and role = 'system'").select(*conv, F.col("text").alias("_system"), F.col("tokens").alias("_system_tokens"))
-    t = t.join(system, conv, "left")
-    room = F.greatest(F.lit(budget.window // 4), F.lit(budget.window - budget.history) - F.coalesce("_system_tokens", F.lit(0)))
-    first = F.when(F.col("_system").isNotNull(), F.col("_system_tokens")).otherwise(F.lit(0))
-    t = t.withColumn("_is_system", F.col("_system").isNotNull() & (F.col("ord") == 0)).withColumn("_from", F.greatest(F.lit(0), F.col("before") - first))
+    texts = cut(turns(rows, budget.per_turn), "ordered")
+    # the spans are chosen on rows without texts
+    system = texts.filter("ord = 0 and role = 'system'").select(*conv, F.col("tokens").alias("_system"))
+    t = texts.select("conv_id", *conv, "ord", "before", "tokens").join(system, conv, "left")
+    room = F.greatest(F.lit(budget.window // 4), F.lit(budget.window - budget.history) - F.coalesce("_system", F.lit(0)))
+    t = t.withColumn("_is_system", F.col("_system").isNotNull() & (F.col("ord") == 0)).withColumn("_from", F.greatest(F.lit(0), F.col("before") - F.coalesce("_system", F.lit(0))))
     t = t.withColumn("_long", ~F.col("_is_system") & (F.col("tokens") > F.floor(room / 4))).withColumn("_cell", F.floor(F.col("_from") / F.greatest(F.lit(1), F.floor(room * 3 / 4))))
     # a long turn stands alone; turns after it in its cell are a span of their own
     t = t.withColumn("_block", F.floor(F.col("ord") / 256)).withColumn("_one", F.col("_long").cast("long"))
-    t = cut(numbered(t, conv, ["_block"], ["ord"], {"_longs": "_one"}), "spans")
+    t = cut(prefix_sums(t, conv, ["_block"], ["ord"], {"_longs": "_one"}), "spans")
     span = [*conv, "_cell", "_longs", "_long"]
-    starts = t.groupBy(*span).agg(F.min("ord").alias("_start"), F.min("_from").alias("_at"), F.max("conv_id").alias("conv_id"), F.max("_system").alias("_system"), F.sum("tokens").alias("_own"), F.max(F.coalesce("_system_tokens", F.lit(0))).alias("_head"))
-    left = F.least(F.lit(budget.history), F.lit(budget.window) - F.col("_own") - F.col("_head"))
+    starts = t.groupBy(*span).agg(F.min("ord").alias("_start"), F.min("_from").alias("_at"), F.max("conv_id").alias("conv_id"), F.max("_system").alias("_system"), F.sum("tokens").alias("_own"))
+    left = F.least(F.lit(budget.history), F.lit(budget.window) - F.col("_own") - F.coalesce("_system", F.lit(0)))
     piece = lambda role, text: F.concat(F.lit(BEGIN), escape(role), F.lit(MIDDLE), escape(text), F.lit(END))
-    own = t.join(starts.select(*span, "_start"), span).select(*conv, "_start", "ord", "role", "text", "tokens", F.lit(False).alias("_again"))
+    own = t.join(starts.select(*span, "_start"), span).select(*conv, "_start", "ord", F.lit(False).alias("_again"))
     # history: turns that end before a span starts and begin at most ``history`` tokens before it, as far as the window has room
     h = max(1, budget.history)
     some = starts.filter("_start > 0").select(*conv, "_start", "_at", F.explode(F.array(F.floor(F.col("_at") / h), F.floor(F.col("_at") / h) - 1)).alias("_bin"), left.alias("_left"))
-    past = t.filter(~F.col("_is_system")).select(*conv, "ord", "role", "text", "tokens", "_from", F.floor(F.col("_from") / h).alias("_bin"))
+    past = t.filter(~F.col("_is_system")).select(*conv, "ord", "_from", F.floor(F.col("_from") / h).alias("_bin"))
     past = past.join(some, [*conv, "_bin"]).filter((F.col("ord") < F.col("_start")) & (F.col("_at") - F.col("_from") <= F.col("_left")))
-    past = past.select(*conv, "_start", "ord", "role", "text", "tokens", F.lit(True).alias("_again"))
-    head = starts.filter("_start > 0 and _system is not null").select(*conv, "_start", F.lit(0).cast("long").alias("ord"), F.lit("system").alias("role"), F.col("_system").alias("text"), (word_count(F.col("_system")) + budget.per_turn).alias("tokens"), F.lit(True).alias("_again"))
-    every = own.union(past).union(head).withColumn("piece", piece(F.col("role"), F.col("text")))
+    past = past.select(*conv, "_start", "ord", F.lit(True).alias("_again"))
+    head = starts.filter("_start > 0 and _system is not null").select(*conv, "_start", F.lit(0).cast("long").alias("ord"), F.lit(True).alias("_again"))
+    every = own.union(past).union(head).join(texts.select(*conv, "ord", "role", "text", "tokens"), [*conv, "ord"])
+    every = every.withColumn("piece", piece(F.col("role"), F.col("text")))
     upto = W.partitionBy(*conv, "_start").orderBy("ord").rowsBetween(W.unboundedPreceding, -1)
     every = every.withColumn("_shift", F.coalesce(F.sum(F.char_length("piece")).over(upto), F.lit(0)))
     lead = F.col("_shift") + F.char_length(F.concat(F.lit(BEGIN), escape(F.col("role")), F.lit(MIDDLE)))
@@ -102,7 +104,7 @@ def windows(rows: DataFrame, budget: Budget = Budget()) -> DataFrame:
     names = starts.select(*conv, "_start", "conv_id")
     out = out.join(names, [*conv, "_start"])
     # a conversation has many fewer windows than rows; their numbers go by blocks of turns as well
-    out = numbered(out.withColumn("_block", F.floor(F.col("_start") / 4096)), conv, ["_block"], ["_start"], {"window": "1"})
+    out = prefix_sums(out.withColumn("_block", F.floor(F.col("_start") / 4096)), conv, ["_block"], ["_start"], {"window": "1"})
     return out.select("conv_id", "window", "formatted", "loss", "n_turns", "n_repeated", "n_tokens", (F.col("n_tokens") > budget.window).alias("over_budget"))
 
 
