@@ -1,5 +1,5 @@
-"""Shared pieces of the operators: tables cut into the shared folder, prefix
-sums that never put one group into one task, and connected components."""
+"""Shared pieces of the operators: tables cut into the shared folder, hashes,
+bins and connected components."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from spanalign.session import ensure_checkpoint_dir
 
@@ -47,25 +46,6 @@ def bin_of(n: Column, steps: int = 16) -> Column:
     return F.when(n < steps, n.cast("int")).otherwise(octave * steps + F.greatest(F.lit(0), F.least(frac, F.lit(steps - 1))))
 
 
-def numbered(df: DataFrame, group: list[str], block: list[str], order: list, sums: dict[str, str]) -> DataFrame:
-    """Add exclusive prefix sums within ``group``, in the order (block, order).
-
-    ``sums`` maps a new column to the summed one (``"1"`` counts rows). Rows
-    are sorted only within (group, block); the blocks' totals, a table smaller
-    by the block size, carry the sums across blocks, so a group that holds a
-    third of all rows is spread over its blocks. ``group`` and ``block`` must
-    not hold nulls; ``df`` is read twice, so cut it first if it is dear."""
-    keys = [*group, *block]
-    one = lambda c: F.lit(1).cast("long") if c == "1" else F.col(c)
-    totals = df.groupBy(*keys).agg(*[F.sum(one(c)).alias(f"_t_{n}") for n, c in sums.items()])
-    before = W.partitionBy(*group).orderBy(*block).rowsBetween(W.unboundedPreceding, -1)
-    base = totals.select(*keys, *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums])
-    within = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    rows = df.select("*", *[F.coalesce(F.sum(one(c)).over(within), F.lit(0)).alias(f"_w_{n}") for n, c in sums.items()])
-    out = rows.join(base, keys)
-    return out.select(*df.columns, *[(F.col(f"_b_{n}") + F.col(f"_w_{n}")).alias(n) for n in sums])
-
-
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(u, v)`` (longs): ``(node, label)`` with
     the smallest node of each component as label, for every node on an edge.

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from spanalign.llm.common import bin_of, cut, numbered, uniform, word_count
+from spanalign.llm.common import bin_of, cut, uniform, word_count
+from spanalign.operators.prefix import prefix_sums
 
 #: Weights of the sources by code point, null last, repeating.
 WEIGHTS = (3, 1, 2)
@@ -56,7 +57,7 @@ def copies(docs: DataFrame, seed: int = 0, sub: int = 256) -> DataFrame:
     narrow = cut(docs.select("doc_id", F.xxhash64("text", "doc_id").alias("_tie"), F.col("source").isNull().alias("_null"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_source"), word_count(F.col("text")).alias("size")), "mix")
     goal = targets(narrow.groupBy("_null", "_source").agg(F.sum("size").alias("source_size")))
     keyed = narrow.withColumn("_bin", bin_of(F.col("size"))).withColumn("_sub", F.pmod("_tie", F.lit(sub)).cast("int"))
-    placed = numbered(keyed, ["_null", "_source"], ["_bin", "_sub"], ["size", "_tie", "doc_id"], {"_before": "1"})
+    placed = prefix_sums(keyed, ["_null", "_source"], ["_bin", "_sub"], ["size", "_tie", "doc_id"], {"_before": "1"})
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     u = uniform("_null", "_source", seed=seed)
     out = placed.join(goal, ["_null", "_source"]).withColumn("_each", each)

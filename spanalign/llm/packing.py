@@ -8,7 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanalign.llm.common import bin_of, cut, numbered, word_count
+from spanalign.llm.common import bin_of, cut, word_count
+from spanalign.operators.prefix import prefix_sums
 
 #: Buckets at most, tokens in a batch (rows times the bucket's bound).
 BUCKETS, BUDGET = 16, 16_384
@@ -70,7 +71,7 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, seed: in
     ends_col = F.array(*[F.lit(int(x)).cast("long") for x in ends])
     bucket = F.size(F.filter(ends_col, lambda e: e < F.col("n_tokens")))
     rows = narrow.withColumn("bucket", bucket).withColumn("_sub", F.pmod("_tie", F.lit(sub)).cast("int"))
-    rows = numbered(rows, ["bucket"], ["_sub"], ["_tie", "doc_id"], {"_rank": "1"})
+    rows = prefix_sums(rows, ["bucket"], ["_sub"], ["_tie", "doc_id"], {"_rank": "1"})
     padded = F.element_at(ends_col, F.col("bucket") + 1)
     rows = rows.withColumn("padded", padded).withColumn("_fit", F.greatest(F.lit(1).cast("long"), F.floor(F.lit(budget) / F.col("padded"))))
     return rows.select("doc_id", "n_tokens", "bucket", "padded", F.floor(F.col("_rank") / F.col("_fit")).alias("batch"), (F.col("_rank") % F.col("_fit")).alias("slot"))
