@@ -17,15 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanalign.llm.common import components, cut
+from spanalign.llm.common import components, cut, uniform
 
 
 @dataclass(frozen=True)
 class Plan:
-    """Vectors in a block of a shard; numbers that the centroids are fitted on
-    at most; centroids at most; shards of a vector; neighbours kept, near and
-    far candidates of a vector; slack of the pruning; beam and medoids of the
-    search; vectors audited, and the recall below which overlap and beam are
+    """Vectors in a block of a shard; numbers that the centroids are fitted on,
+    about, at most; centroids at most; shards of a vector; neighbours kept, near
+    and far candidates of a vector; slack of the pruning; beam and medoids of
+    the search; vectors audited, about, at most, and the recall below which overlap and beam are
     doubled and all is done again."""
 
     block: int = 2048
@@ -49,13 +49,6 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 
-def matrix(column: pa.Array | list) -> np.ndarray:
-    """Vectors of one length as rows."""
-    if isinstance(column, list):
-        return np.array(column)
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
-
-
 def centroids(sample: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
     """k directions by spherical k-means."""
     rows = unit(sample)
@@ -191,7 +184,8 @@ def dealt(reps: DataFrame, plan: Plan) -> DataFrame:
     a cluster meet. ``_home`` marks the one shard in which pairs of one block
     are counted."""
     n, dim = reps.agg(F.count("*"), F.max(F.size("v"))).first()
-    sample = reps.orderBy(F.xxhash64("rep", "v")).select("v").limit(max(1, plan.fit_numbers // max(1, dim or 1))).toPandas()["v"]
+    share = plan.fit_numbers / max(1, n * (dim or 1))
+    sample = reps.filter(uniform("rep", "v", seed=2) < share).select("v").toPandas()["v"]
     by_length: dict[int, list] = {}
     for x in sample:
         by_length.setdefault(len(x), []).append(x)
@@ -277,7 +271,7 @@ def audit(reps: DataFrame, links: DataFrame, least: float, queries: int) -> floa
     """Recall of ``links(rep, links)`` for a bounded sample of vectors, each
     compared with all rows in blocks by brute force (nothing found is wrong,
     so the counts' ratio is the recall)."""
-    chosen = reps.orderBy(F.xxhash64(F.lit(1), "rep", "v")).limit(queries).select("rep", "v").toPandas()
+    chosen = reps.filter(uniform("rep", "v", seed=3) < queries / max(1, reps.count())).select("rep", "v").toPandas()
     if not len(chosen):
         return 1.0
     ids, q = chosen["rep"].to_numpy(), {}
