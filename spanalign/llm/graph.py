@@ -9,7 +9,7 @@ is verified in double precision, and recall is audited by brute force."""
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -317,7 +317,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, plan: Plan = Plan()
             break
         if plan.overlap > 64:
             raise RuntimeError(f"recall {recall:.3f} with {plan.overlap} shards a vector")
-        plan = Plan(**{**plan.__dict__, "overlap": plan.overlap * 2, "beam": plan.beam * 2})
+        plan = replace(plan, overlap=plan.overlap * 2, beam=plan.beam * 2)
     label = components(links.select(F.col("rep").alias("u"), F.col("label").alias("v")))
     known = reps.join(counts, "rep", "left").join(label, F.col("rep") == F.col("node"), "left")
     known = known.select(F.col("v").alias("_v"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("label", "rep").alias("component_id"))

@@ -61,3 +61,13 @@ def test_audit_counts_missing_links(spark, cloud):
     full = spark.createDataFrame([(i, int(n)) for i, n in enumerate(links)], "rep long, links long")
     assert graph.audit(reps, full, 0.95, 200) == 1.0
     assert graph.audit(reps, full.selectExpr("rep", "cast(floor(links / 2) as long) links"), 0.95, 200) < 0.6
+
+
+def test_overlap_is_doubled_until_the_audit_is_content(spark, cloud):
+    """A plan that finds too little by itself: one cluster a vector, few neighbours."""
+    rows = [(i, v.tolist()) for i, v in enumerate(cloud[:600])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    poor = graph.Plan(block=64, overlap=1, degree=2, near=2, far=0, beam=1, medoids=1, audited=600)
+    got = {r.vec_id: r.n_links for r in graph.near_duplicates(df, plan=poor).collect()}
+    links, _ = brute(range(600), cloud[:600])
+    assert sum(got.values()) >= 0.94 * links.sum()
