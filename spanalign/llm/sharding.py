@@ -38,13 +38,15 @@ def range_of(key: Column, splits: list[int]) -> Column:
     return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda acc, s: F.when((acc + s <= n) & (at(acc + s - 1) <= key), acc + s).otherwise(acc))
 
 
-def place(docs: DataFrame, shards: int = 16, per_shard: int = 256, sample: int = 1 << 16, seed: int = 0) -> DataFrame:
+def place(docs: DataFrame, shards: int = 16, per_shard: int = 256, sample: int = 1 << 16, overfull: float = 8.0, seed: int = 0) -> DataFrame:
     """``docs(doc_id, text)`` -> ``doc_id, _tie, size, text_crc32, shard, slot``.
 
     The key is a hash of the text, so equal texts are neighbours in key order
     and share a shard where their range is not overfull. A range of more than
-    the mean bytes (a text with very many copies) is cut into slices by a hash
-    of the row; slices of a range are neighbours too. Slots are numbered
+    ``overfull`` times the mean bytes (a text with very many copies; by default
+    a 32nd of a shard) is cut into slices of the mean by a hash of the row;
+    slices of a range are neighbours too. A shard's bytes are off by half an
+    unsliced range at either end at most. Slots are numbered
     within each slice and shifted by the rows of the slices before it, so no
     shard is sorted in one task."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -53,7 +55,7 @@ def place(docs: DataFrame, shards: int = 16, per_shard: int = 256, sample: int =
     ranged = narrow.withColumn("_range", range_of(F.col("_key"), splitters(narrow, ranges, sample, seed)))
     full = ranged.groupBy("_range").agg(F.sum("size").alias("_bytes"))
     mean = F.sum("_bytes").over(W.partitionBy()) / F.lit(ranges)
-    parts = full.select(F.col("_range").alias("_r"), F.ceil(F.col("_bytes") / F.greatest(mean, F.lit(1.0))).cast("int").alias("_parts"))
+    parts = full.select(F.col("_range").alias("_r"), F.when(F.col("_bytes") > overfull * mean, F.ceil(F.col("_bytes") / mean)).otherwise(F.lit(1)).cast("int").alias("_parts"))
     # at most two slices a range on average: 2 * ranges rows in all, whatever the input's size
     sliced = ranged.join(F.broadcast(parts), F.col("_range") == F.col("_r")).withColumn("_slice", F.pmod(F.xxhash64(F.lit(seed), "_tie"), F.col("_parts")).cast("int"))
     held = sliced.groupBy("_range", "_slice").agg(F.sum("size").alias("_bytes"), F.count("*").alias("_rows"))
