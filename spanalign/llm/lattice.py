@@ -31,7 +31,7 @@ PASSES, SMOOTH = 2, 0.01
 #: Taken off the count of each word edge.
 DISCOUNT = 0.75
 #: A word that makes up at least 1 / FREQUENT of all words and has at most SHORT bytes is looked up in the tasks, by
-#: hash: at most FREQUENT words of 24 bytes each are sent there, whatever the input. All others are joined.
+#: hash: at most FREQUENT words of 32 bytes each are sent there, whatever the input. All others are joined.
 FREQUENT, SHORT = 1 << 20, 64
 #: Marks a word's start in the vocabulary.
 MARK = "▁"
@@ -275,9 +275,15 @@ def score(docs: DataFrame, model: str = MODEL, passes: int = PASSES) -> DataFram
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(base), pa.array(lattice)], ["word", "c", "every", "base", "lattice"])
 
     priced = cut(counted.mapInArrow(price, "word string, c long, every long, base double, lattice double"), "priced")
-    common = priced.filter((F.col("every") * FREQUENT >= every) & (F.octet_length("word") <= SHORT)).toPandas()
-    data, offsets = raw(pa.array(common["word"], pa.string()))
-    h = span_hashes(data, offsets[:-1], offsets[1:])
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, offsets = raw(b.column("word"))
+            h = span_hashes(data, offsets[:-1], offsets[1:]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h), *(b.column(c) for c in ("c", "base", "lattice"))], ["h", "c", "base", "lattice"])
+
+    common = priced.filter((F.col("every") * FREQUENT >= every) & (F.octet_length("word") <= SHORT)).mapInArrow(hashed, "h long, c long, base double, lattice double").toPandas()
+    h = common["h"].to_numpy(dtype=np.int64).view(np.uint64)
     order = np.argsort(h)
     h = np.append(h[order], np.uint64(2**64 - 1))  # so that a search always lands on an entry
     known, base, lattice = ((np.append(common[c].to_numpy(dtype=np.float64)[order], 0.0)) for c in ("c", "base", "lattice"))
