@@ -18,13 +18,15 @@ from pyspark.sql.window import Window as W
 from spanalign.llm.common import cut, uniform
 from spanalign.llm.textops import SPACE, mixed, raw, slices, span_hashes
 
-#: Orders of the n-grams and hash buckets of their models. On the test corpus words alone separate best: with
-#: pairs too, 2.7 times the grams share the buckets and rare telling words drown (toxic found: 0.73, else 0.99).
+#: Orders of the n-grams and hash buckets of their models. On the test corpus with pairs too, 2.7 times the
+#: grams share the buckets.
 ORDERS, BUCKETS = (1,), 1 << 20
-#: Labelled target documents that the target model reads, about, at most (their ids are sent to the tasks).
+#: Labelled documents that the models read, about, at most (their ids are sent to the tasks).
 TARGET_DOCS = 200_000
-#: Added to every count, and the least |log ratio| that counts: what the labels don't clearly tell from chance weighs 0.
-SMOOTH, CLEAR = 2.0, 2.5
+#: Added to every count; the standard errors by which the clean share of a bucket's labelled documents must differ from
+#: that of all labelled documents for its log ratio to count; and the |log ratio| that counts whatever the labels say, as
+#: where none of many documents is labelled. What neither supports weighs 0.
+SMOOTH, CLEAR, FAR = 2.0, 3.0, 2.5
 #: Scale of the Gumbel noise: weights are raised to 1 / TEMPERATURE.
 TEMPERATURE = 0.1
 #: Bins of the labelled weights from which the least kept weight is chosen.
@@ -74,24 +76,31 @@ def grams(texts: pa.Array, orders: tuple[int, ...] = ORDERS, buckets: int = BUCK
     return key // buckets, key % buckets
 
 
-def counts(docs: DataFrame, target: np.ndarray, buckets: int = BUCKETS) -> DataFrame:
-    """``bucket, t, r``: target documents and all documents that hold a gram of
-    the bucket. ``target`` has the sorted id hashes of the target documents."""
+def counts(docs: DataFrame, labelled: np.ndarray, clean: np.ndarray, buckets: int = BUCKETS) -> DataFrame:
+    """``bucket, t, l, r``: target documents, labelled documents and all
+    documents that hold a gram of the bucket; bucket -1 has all of them.
+    ``labelled`` has the sorted id hashes of the labelled documents, ``clean``
+    whether each is a target document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, r = np.zeros(buckets, dtype=np.int64), np.zeros(buckets, dtype=np.int64)
+        t, m, r = (np.zeros(buckets + 1, dtype=np.int64) for _ in range(3))
         for b in slices(batches):
             doc, bucket = grams(b.column("text"), buckets=buckets)
-            r += np.bincount(bucket, minlength=buckets)
-            chosen = np.isin(b.column("_id").to_numpy(zero_copy_only=False), target)
-            t += np.bincount(bucket[chosen[doc]], minlength=buckets)
+            doc, bucket = np.append(doc, np.arange(b.num_rows)), np.append(bucket, np.full(b.num_rows, buckets))
+            ids = b.column("_id").to_numpy(zero_copy_only=False)
+            at = np.minimum(np.searchsorted(labelled, ids), max(len(labelled) - 1, 0))
+            known = labelled[at] == ids if len(labelled) else np.zeros(len(ids), dtype=bool)
+            chosen = known & clean[at] if len(labelled) else known
+            r += np.bincount(bucket, minlength=buckets + 1)
+            m += np.bincount(bucket[known[doc]], minlength=buckets + 1)
+            t += np.bincount(bucket[chosen[doc]], minlength=buckets + 1)
         some = np.flatnonzero(r)
         for at in range(0, len(some), 1 << 16):
             k = some[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(t[k]), pa.array(r[k])], ["bucket", "t", "r"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.where(k < buckets, k, -1).astype(np.int32)), pa.array(t[k]), pa.array(m[k]), pa.array(r[k])], ["bucket", "t", "l", "r"])
 
-    part = docs.select(F.xxhash64("doc_id").alias("_id"), "text").mapInArrow(run, "bucket int, t long, r long")
-    return part.groupBy("bucket").agg(F.sum("t").alias("t"), F.sum("r").alias("r"))
+    part = docs.select(F.xxhash64("doc_id").alias("_id"), "text").mapInArrow(run, "bucket int, t long, l long, r long")
+    return part.groupBy("bucket").agg(F.sum("t").alias("t"), F.sum("l").alias("l"), F.sum("r").alias("r"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, target_docs: int = TARGET_DOCS) -> np.ndarray:
@@ -99,16 +108,22 @@ def fit(docs: DataFrame, labels: DataFrame, target_docs: int = TARGET_DOCS) -> n
 
     The raw counts are brought to the target's scale by the median ratio of
     the buckets that at least 200 documents share (else by the totals), so
-    that what both hold alike weighs 0 however long the text. At most BUCKETS
-    ratios come to the driver."""
-    clean = labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("x")).filter("q = 1 and x = 0")
+    that what both hold alike weighs 0 however long the text. A ratio counts if
+    t of l labelled documents is CLEAR standard errors to its side of the
+    clean share of all labelled ones, on the arcsine scale, where an error is
+    as wide at every l and share, or if it reaches FAR. At most BUCKETS ratios come to the driver."""
+    clean = labels.groupBy("doc_id").agg(((F.min("quality") == 1) & (F.max("toxic") == 0)).alias("clean"))
     share = target_docs / max(1, labels.count())
-    ids = clean.filter(uniform("doc_id", seed=1) < share).select(F.xxhash64("doc_id").alias("h")).toPandas()["h"].to_numpy(dtype=np.int64)
-    table = cut(counts(docs, np.sort(ids)), "grams")
+    ids = clean.filter(uniform("doc_id", seed=1) < share).select(F.xxhash64("doc_id").alias("h"), F.coalesce("clean", F.lit(False)).alias("clean")).toPandas().sort_values("h")
+    every = cut(counts(docs, ids["h"].to_numpy(dtype=np.int64), ids["clean"].to_numpy(dtype=bool)), "grams")
+    table = every.filter("bucket >= 0")
     scale = table.agg(F.percentile(F.when(F.col("r") >= 200, F.col("t") / F.col("r")), F.lit(0.5)), F.sum("t") / F.sum("r")).first()
     by = next((x for x in scale if x is not None), 0.0)
+    known = every.filter("bucket < 0 and l > 0").select(F.col("t") / F.col("l")).first()
     ratio = F.log((F.col("t") + F.lit(SMOOTH)) / (F.col("r") * F.lit(float(by)) + F.lit(SMOOTH)))
-    clear = table.select("bucket", ratio.alias("w")).filter(F.abs("w") >= CLEAR).toPandas()
+    arc = F.asin(F.sqrt((F.col("t") + F.lit(0.375)) / (F.col("l") + F.lit(0.75)))) - F.lit(float(np.arcsin(np.sqrt(known[0] if known else 0.5))))
+    errors = 2 * F.sqrt(F.col("l") + F.lit(0.5)) * arc
+    clear = table.select("bucket", ratio.alias("w"), errors.alias("z")).filter(((F.abs("z") >= CLEAR) & (F.col("w") * F.col("z") > 0)) | (F.abs("w") >= FAR)).toPandas()
     weights = np.zeros(BUCKETS)
     weights[clear["bucket"].to_numpy(dtype=np.int64)] = clear["w"].to_numpy(dtype=np.float64)
     return weights

@@ -49,6 +49,21 @@ def test_quality_keeps_clean_and_rejects_the_rest(labelled):
     assert Counter(kept_ids) == Counter(again)
 
 
+def test_quality_with_few_documents_to_a_telling_word(spark):
+    rng = random.Random(8)
+    rows, labels = [], []
+    for i in range(1000):
+        words = [f"good{rng.randrange(60)}" for _ in range(rng.randint(10, 40))]
+        if i % 10 == 0:  # each of the four words is in 25 documents
+            words.insert(3, f"vile{i // 20 % 4}")
+        rows.append((i, " ".join(words)))
+        if i % 20 < 10:
+            labels.append((i, 1, int(i % 10 == 0)))
+    kept = {r.doc_id for r in quality.sample(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))[1].select("doc_id").collect()}
+    assert sum(i in kept for i in range(0, 1000, 10)) <= 2
+    assert sum(i in kept for i in range(1000) if i % 10) >= 0.99 * 900
+
+
 def test_quality_without_labels_or_rows(labelled):
     docs, labels = labelled
     assert quality.fit_and_keep(docs, labels.limit(0)).count() == docs.count()
