@@ -226,6 +226,23 @@ def test_field_carries_labels_to_equal_tokens(spark, field):
     assert clean[0] == ([], []) and set(clean[1][0]) == set()
 
 
+def test_field_carries_labels_to_all_mentions(field):
+    text = "call +1 (319) 555-5132 now" + " later (319) 555-5132 we said" * 20
+    base, all_ = pii.found([text], field)[0]
+    assert len(base) == 1
+    assert [text[a:b] for _, a, b in sorted(set(all_) - set(base), key=lambda x: x[1])] == ["(319) 555-5132"] * 20
+    late = "later (319) 555-5132 we said " * 20 + "call +1 (319) 555-5132 now"
+    assert len(pii.found([late], field)[0][1]) == 21
+
+
+def test_field_reads_numbers_with_letters_around():
+    assert set(pii.keys("tel:319-555-5132")) == set(pii.keys("319-555-5132")) and pii.keys("v2.0") == pii.keys("x123") == []
+    nodes, text = pii.Nodes(), "call +1 (319) 555-5132 now, in a file tel:5555132 and again"
+    nodes.add(0, text, pii.base(text))
+    at = [text[a:b] for a, b in nodes.at]
+    assert ("555-5132", "tel:5555132") in [(at[i], at[j]) for i, j in nodes.skip]
+
+
 def test_detect_and_redact(spark, docs, no_docs, field):
     some = docs.union(docs.limit(1).withColumn("doc_id", F.lit(9999).cast("long")).withColumn("text", F.lit(TEXT)))
     got = pii.detect(some, field).collect()
