@@ -21,8 +21,9 @@ from pyspark.sql.window import Window as W
 from spanalign.llm.sharding import range_of
 from spanalign.llm.textops import mixed, raw, slices, span_hashes, words
 
-#: Lanes modulo 2 ** 64 for equality, lanes modulo 2 ** 16 for likeness, words in a run.
+#: Lanes modulo 2 ** 64 for equality, lanes modulo 2 ** 32 for likeness, words in a run.
 EQUAL, ALIKE, RUN = 4, 128, 3
+MASK = (1 << 32) - 1
 #: Blocks of neighbouring ids at most (their bounds are sent to the tasks).
 BLOCKS = 4096
 
@@ -64,22 +65,22 @@ def fingerprint_many(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         e, a = paragraph_vectors(parts)
         np.add.at(equal, of, e)
         np.add.at(alike, of, a)
-    return equal, alike & 0xFFFF
+    return equal, alike & MASK
 
 
 def add(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprint after inserting paragraphs."""
-    return one[0] + two[0], (one[1] + two[1]) & 0xFFFF
+    return one[0] + two[0], (one[1] + two[1]) & MASK
 
 
 def subtract(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprint after deleting paragraphs."""
-    return one[0] - two[0], (one[1] - two[1]) & 0xFFFF
+    return one[0] - two[0], (one[1] - two[1]) & MASK
 
 
 def printed(f: tuple[np.ndarray, np.ndarray]) -> list[str]:
     """Hex of the lanes, those for equality first."""
-    both = np.concatenate([f[0].astype("<u8").view(np.uint8).reshape(len(f[0]), -1), f[1].astype("<u2").view(np.uint8).reshape(len(f[1]), -1)], axis=1)
+    both = np.concatenate([f[0].astype("<u8").view(np.uint8).reshape(len(f[0]), -1), f[1].astype("<u4").view(np.uint8).reshape(len(f[1]), -1)], axis=1)
     return [r.tobytes().hex() for r in both]
 
 
@@ -87,9 +88,9 @@ def likeness(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarr
     """1 for equal fingerprints; else 1 - |a - b| ** 2 / (|a| ** 2 + |b| ** 2) of
     the ALIKE lanes, which estimates the share of word runs in common, from 0
     (or just below 1 if only order or blanks within paragraphs differ)."""
-    signed = lambda x: ((x + 0x8000) & 0xFFFF) - 0x8000
+    signed = lambda x: ((x + (1 << 31)) & MASK) - (1 << 31)
     a, b = signed(one[1]).astype(np.float64), signed(two[1]).astype(np.float64)
-    gap, size = (signed((one[1] - two[1]) & 0xFFFF).astype(np.float64) ** 2).sum(axis=1), (a * a).sum(axis=1) + (b * b).sum(axis=1)
+    gap, size = (signed((one[1] - two[1]) & MASK).astype(np.float64) ** 2).sum(axis=1), (a * a).sum(axis=1) + (b * b).sum(axis=1)
     alike = np.clip(1 - gap / np.maximum(size, 1), 0, 1 - 2**-20)
     return np.where(np.all(one[0] == two[0], axis=1), 1.0, alike)
 

@@ -134,3 +134,10 @@ def test_likeness_follows_the_share_in_common():
         a = multiset.fingerprint_many([s for s in shared])
         b = multiset.fingerprint_many(["\n".join([*s.split("\n")[:share], text(40 - share)]) for s in shared])
         assert abs(multiset.likeness(a, b).mean() - share / 40) < 0.07
+
+
+def test_likeness_of_long_repetitive_texts():
+    line = multiset.fingerprint_many(["p q r\n" * n for n in (35_000, 40_000, 65_536, 70_000, 131_072)])
+    one = lambda k: tuple(x[k : k + 1] for x in line)
+    for i, j, want in ((0, 3, 0.8), (2, 4, 0.8), (1, 3, 1 - 9 / 65)):
+        assert abs(multiset.likeness(one(i), one(j))[0] - want) < 1e-9
