@@ -235,6 +235,11 @@ def test_field_carries_labels_to_all_mentions(field):
     assert len(pii.found([late], field)[0][1]) == 21
 
 
+def test_fitting_sample_of_many_documents(spark):
+    ids = spark.range(1 << 23).withColumnRenamed("id", "doc_id")
+    assert 1 <= pii.drawn(ids, 20_000 / 2.1e10).count() <= 30  # 8 expected
+
+
 def test_field_reads_numbers_with_letters_around():
     assert set(pii.keys("tel:319-555-5132")) == set(pii.keys("319-555-5132")) and pii.keys("v2.0") == pii.keys("x123") == []
     nodes, text = pii.Nodes(), "call +1 (319) 555-5132 now, in a file tel:5555132 and again"
