@@ -59,6 +59,20 @@ n AS (SELECT u, count(*) AS n FROM l GROUP BY u)
 SELECT x.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.component_id, x.vec_id = c.component_id AS kept
 FROM embeddings x JOIN c ON c.u = x.vec_id LEFT JOIN n ON n.u = x.vec_id"""
 
+# every document against every item, by the definition
+SQL_SEARCH = r"""WITH words AS (SELECT doc_id, list_distinct(t) AS ts, t, len(t) AS n FROM (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents)),
+g AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS len FROM words WHERE n > 0),
+tf AS (SELECT doc_id, term, count(*) AS tf, any_value(n) AS n FROM (SELECT doc_id, n, unnest(t) AS term FROM words) GROUP BY doc_id, term),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM df, g),
+q AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)),
+s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // len)))) AS BIGINT) AS score
+  FROM q JOIN w USING (term) JOIN tf USING (term), g GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0
+QUALIFY rank <= 50"""
+
 
 @register()
 def op5_systematic_mix(spark, sf_dir):
@@ -136,3 +150,10 @@ def op6_pruned_graph(spark, sf_dir):
     from spanalign.llm.graph import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@register(SQL_SEARCH)
+def op11_max_sketches(spark, sf_dir):
+    from spanalign.llm.search import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

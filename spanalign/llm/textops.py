@@ -78,3 +78,27 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     total = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
     return mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
+def runs(on: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and text number of every maximal run of marked bytes."""
+    last = np.zeros(len(on) + 1, dtype=bool)  # the last byte of a text: a run ends there
+    last[offsets[1:]] = True
+    begin, end = on.copy(), on.copy()
+    begin[1:] &= ~on[:-1] | last[1:-1]
+    end[:-1] &= ~on[1:] | last[1:-1]
+    starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
+    return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
+
+
+def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int = 1 << 22) -> np.ndarray:
+    """``span_hashes`` of ascending spans, worked on in windows of about
+    ``most`` bytes, so that work memory doesn't follow a text."""
+    out = np.zeros(len(starts), dtype=np.uint64)
+    at = 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + most, side="right")))
+        a, b = int(starts[at]), int(ends[to - 1])
+        out[at:to] = span_hashes(data[a:b], starts[at:to] - a, ends[at:to] - a)
+        at = to
+    return out
