@@ -157,3 +157,18 @@ def op11_max_sketches(spark, sf_dir):
     from spanalign.llm.search import search
 
     return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register()
+def op12_bit_sliced_index(spark, sf_dir):
+    from spanalign.llm.spelling import group
+
+    return group(table(spark, sf_dir, "documents"), least=5, often=3, typos=97)
+
+
+@register()
+def op13_chain_field(spark, sf_dir):
+    from spanalign.llm.secret_scan import scan
+
+    rows = scan(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
