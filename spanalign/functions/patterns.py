@@ -5,8 +5,9 @@ tool's definitions for results to match: the word-character class, the
 language table with file extensions, the language alias table, the
 languages accepted by the folder batch runner, the scale ladder of the
 cost projection and the time units it prints, and the text of the
-reason/explanation strings. Token schemes are our own regex stand-ins
-for learned tokenizers (no tokenizer model is available to Spark here).
+reason/explanation strings, and the pattern that splits texts before the merges
+of a public byte-pair vocabulary. The other token schemes are our own
+regexes.
 """
 
 # --- fixed values: word characters (str.isalnum() or '_') ------------------
@@ -96,3 +97,39 @@ TOKEN_SCHEMES = {
 }
 # alternating word / non-word runs: the M1 test stabs boundaries into word runs
 RUN_PATTERN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"
+
+# --- fixed values: pre-tokens of byte-level byte-pair vocabularies -----------
+# white space as the vocabularies' own tools know it, written out (Java's \s is ASCII only)
+BPE_SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+BPE_PRETOKEN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + BPE_SPACE + r"\p{L}\p{N}]+"
+                r"|[" + BPE_SPACE + r"]+(?![^" + BPE_SPACE + r"])|[" + BPE_SPACE + r"]+")
+
+# --- delimiters of nested spans in code (patterns in RE2 syntax) ---------------
+BRACKETS = {"paren": "()", "bracket": "[]", "brace": "{}"}
+# an unclosed block comment goes to the end of the text
+COMMENT_STYLES = {
+    "c": r"//[^\n]*|/\*[^*]*(?:\*+[^*/][^*]*)*(?:\*+/|\**\z)",
+    "hash": r"#[^\n]*",
+    "none": "",
+}
+STRING_PATTERNS = {q: rf"{q}[^{q}\\\n]*(?:\\[^\n][^{q}\\\n]*)*{q}" for q in "\"'`"}
+
+# --- fixed values: HTML's void and raw text elements, and implied ends --------
+VOID_ELEMENTS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"]
+RAW_ELEMENTS = ["script", "style", "textarea", "title"]
+# a tag whose quoted values may hold ">" but not "<"
+TAG = r"</?[A-Za-z][^<>\"']*(?:\"[^\"<]*\"[^<>\"']*|'[^'<]*'[^<>\"']*)*>"
+# start tags, the open elements that they end, and the elements that such an end doesn't cross
+IMPLIED_ENDS = [
+    (["address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer",
+      "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section",
+      "table", "ul"], ["p"], ["button", "caption", "object", "table", "td", "th"]),
+    (["li"], ["li"], ["menu", "ol", "ul"]),
+    (["dd", "dt"], ["dd", "dt"], ["dl"]),
+    (["option"], ["option"], ["datalist", "optgroup", "select"]),
+    (["optgroup"], ["optgroup", "option"], ["select"]),
+    (["tbody", "tfoot", "thead"], ["tbody", "tfoot", "thead"], ["table"]),
+    (["tr"], ["tr"], ["table", "tbody", "tfoot", "thead"]),
+    (["td", "th"], ["td", "th"], ["table", "tr"]),
+    (["body"], ["head"], ["html"]),
+]

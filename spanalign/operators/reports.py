@@ -89,7 +89,7 @@ def compare_schemes(stats_by_scheme: DataFrame, schemes, by: str = "grp") -> Dat
     rows by a generator - no join, and the input lineage runs once."""
     metrics = ["avg_score", "overall_alignment", "file_count"]
     wide = stats_by_scheme.groupBy(by).pivot("scheme", list(schemes)).agg(*[F.first(m).alias(m) for m in metrics])
-    rows = F.array(*[F.struct(F.lit(s).alias("scheme"), *[F.col(f"{s}_{m}").alias(m) for m in metrics]) for s in schemes])
+    rows = F.array(*[F.struct(F.lit(s).alias("scheme"), *[F.col(f"`{s}_{m}`").alias(m) for m in metrics]) for s in schemes])
     return wide.select(by, F.inline(rows))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanalign.functions.patterns import NON_WORD_CHAR, RUN_PATTERN, TOKEN_SCHEMES, WORD_CHAR
+from spanalign.operators.bpe import bpe_tokens, is_bpe
 from spanalign.operators.offsets import running, with_offsets
 
 
@@ -31,8 +32,13 @@ def tokens(docs: DataFrame, scheme: str = "word", keep=("grp",), covering: bool
     """TOK-1: token table (doc_id, scheme, tok_id, s, e, cs, ce, piece).
 
     Known schemes cover the text, so a running sum of piece lengths gives
-    offsets. Any other regex is treated as non-covering and split around its
-    matches (gaps carry only lengths)."""
+    offsets. ``bpe:<path>`` is a learned byte-pair vocabulary (``operators.bpe``).
+    Any other regex is treated as non-covering and split around its matches
+    (gaps carry only lengths)."""
+    if is_bpe(scheme):
+        if utf16:
+            raise ValueError("UTF-16 offsets are of regex schemes")
+        return bpe_tokens(docs, [scheme], keep=keep).drop("scheme_id")
     if covering is None:
         covering = scheme in TOKEN_SCHEMES or scheme == RUN_PATTERN
     if covering:
@@ -61,7 +67,11 @@ def multi_scheme_tokens(docs: DataFrame, schemes, keep=("grp",), with_piece: boo
     user's regex only with ``covering=True``, which vouches for it).
     Without ``with_piece`` the rows carry only byte lengths (computed inside
     the generator), not the token strings; ``is_last`` comes from the piece
-    array's size, so the offset window holds a single running sum."""
+    array's size, so the offset window holds a single running sum. Learned
+    vocabularies (``bpe:<path>``) stand by themselves: all or none of
+    ``schemes``."""
+    if all(map(is_bpe, schemes)):
+        return bpe_tokens(docs, schemes, keep=keep).drop("cs", "ce", *([] if with_piece else ["piece"]))
     _covering(schemes, covering)
     arrays = {f"_a{k}": scheme_pieces("text", sc) for k, sc in enumerate(schemes)}
     base = docs.select("doc_id", *keep, *[c.alias(n) for n, c in arrays.items()])
@@ -89,10 +99,14 @@ def multi_scheme_tokens(docs: DataFrame, schemes, keep=("grp",), with_piece: boo
 def boundaries(docs: DataFrame, scheme: str, keep=("grp",)) -> DataFrame:
     """Token offsets of one covering scheme without the token strings
     (enough for tolerance, nearest-token and token-cut tests)."""
+    if is_bpe(scheme):
+        return bpe_tokens(docs, [scheme], keep=keep).drop("scheme", "scheme_id", "cs", "ce", "piece")
     return multi_scheme_tokens(docs, [scheme], keep=keep).drop("scheme", "scheme_id")
 
 
 def _count(sc: str):
+    if is_bpe(sc):
+        raise ValueError("tokens of a learned vocabulary are counted by bpe.bpe_token_counts")
     # the char scheme has one piece per code point: its count is the length
     if sc == "char":
         return F.char_length("text")
