@@ -9,7 +9,7 @@ from spanalign.functions.patterns import LANGUAGE_ALIASES, WORD_CHAR
 
 __all__ = [
     "col_of", "is_word_char", "non_blank", "n_bytes", "n_chars", "n_utf16",
-    "map_lookup", "normalize_language", "preview", "show_newlines",
+    "map_lookup", "normalize_language", "possessive", "preview", "show_newlines",
     "is_continuation_byte", "rule_key", "round6",
 ]
 
@@ -69,6 +69,13 @@ def normalize_language(c, aliases: dict | None = None) -> Column:
     return map_lookup(aliases if aliases is not None else LANGUAGE_ALIASES, F.lower(stripped(c)))
 
 
+def possessive(pattern: str) -> str:
+    """A pattern of character classes and plain groups with possessive loops,
+    for patterns whose loops never have to give anything back: the same
+    matches, and the matcher neither recurses nor reads anything twice."""
+    return (pattern.replace(")*", ")*+").replace("]*", "]*+").replace("]+", "]++").replace(r"\*+", r"\*++"))
+
+
 def preview(c, n: int = 50) -> Column:
     return F.left(col_of(c), F.lit(n))
 
