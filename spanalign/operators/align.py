@@ -91,14 +91,18 @@ def boundary_context(points: DataFrame, runs: DataFrame | None = None,
     return u.select(*out)
 
 
-def stab(points: DataFrame, intervals: DataFrame, p: str = "p", disjoint: bool = False) -> DataFrame:
+def stab(points: DataFrame, intervals: DataFrame, p: str = "p", disjoint: bool = False, block: int | None = None) -> DataFrame:
     """ALN-1: for each point the interval with s < p < e of the lowest tok_id
     (``tok``, null if none) and whether there is one (``in_token``).
 
     Intervals may overlap: the sorted starts and points of a document are
     swept with a heap of the open intervals, so memory is a batch and what is
     open at one place. ``disjoint=True`` vouches that they don't (tokens of a
-    covering scheme) and stays in as-of windows."""
+    covering scheme) and stays in as-of windows. With ``block`` (bytes) a
+    document is many tasks' work (``operators.blocks``)."""
+    if block:
+        from spanalign.operators import blocks
+        return blocks.unplaced(stab(blocks.placed(points, block, p), blocks.overlapping(intervals, block), p, disjoint))
     if disjoint:
         return boundary_context(points, toks=intervals, p=p)
     tcols = ["tok_id", "s", "e"] + (["piece"] if "piece" in intervals.columns else [])
@@ -136,11 +140,17 @@ def stab(points: DataFrame, intervals: DataFrame, p: str = "p", disjoint: bool =
     return out.select("doc_id", "_pt.*", "tok", F.col("tok").isNotNull().alias("in_token"))
 
 
-def rule_word_split(rules: DataFrame, runs: DataFrame, keep=("grp",), carry=("s", "e", "piece")) -> DataFrame:
+def rule_word_split(rules: DataFrame, runs: DataFrame, keep=("grp",), carry=("s", "e", "piece"), block: int | None = None) -> DataFrame:
     """ALN-2 (M1): a border is crossing when it falls strictly inside a run
-    of word characters (and on a character boundary). One row per rule."""
+    of word characters (and on a character boundary). One row per rule. With
+    ``block`` (bytes) a document is many tasks' work (``operators.blocks``)."""
     carry = [c for c in carry if c in rules.columns]
-    ctx = boundary_context(boundary_points(rules, keep=keep, carry=carry), runs=runs)
+    pts = boundary_points(rules, keep=keep, carry=carry)
+    if block:
+        from spanalign.operators import blocks
+        ctx = blocks.unplaced(boundary_context(blocks.placed(pts, block), runs=blocks.overlapping(runs, block, touch=True)))
+    else:
+        ctx = boundary_context(pts, runs=runs)
     side = lambda sd, c: F.max(F.when(F.col("side") == sd, F.col(c)))
     g = ctx.groupBy(*RULE_ID, *keep).agg(
         *[F.first(c).alias(c) for c in carry],
@@ -228,14 +238,15 @@ def _as_of_covering(points: DataFrame, toks: DataFrame, extra_parts=()) -> DataF
 
 
 def nearest_token(rules: DataFrame, toks: DataFrame, tol: int = 1, keep=("grp",), schemes=None,
-                  covering: bool = False) -> DataFrame:
+                  covering: bool = False, block: int | None = None) -> DataFrame:
     """ALN-3/ALN-4 (M2): per rule the nearest token start to its start and the
     nearest token end to its end (ties -> lowest token id; no tokens -> null)
     and the tolerance flags |distance| <= tol.
 
     With ``schemes`` (a short list of names) ``toks`` holds several schemes;
     rule points are repeated per scheme by a generator over that literal
-    list, never by a join, and the windows run per (doc_id, scheme)."""
+    list, never by a join, and the windows run per (doc_id, scheme). With
+    ``block`` (bytes) a document is many tasks' work (``operators.blocks``)."""
     carry = [c for c in ("s", "e") if c in rules.columns]
     pts = boundary_points(rules, keep=keep, carry=carry)
     extra = []
@@ -244,7 +255,13 @@ def nearest_token(rules: DataFrame, toks: DataFrame, tol: int = 1, keep=("grp",)
         pts = pts.select("*", F.inline(ids))
         extra = ["scheme_id"]
     fast = covering and "is_last" in toks.columns
+    if block:
+        from spanalign.operators import blocks
+        spread = blocks.overlapping(toks, block, touch=True) if fast else blocks.with_nearest(toks, pts, block, extra)
+        pts, toks = blocks.placed(pts, block), spread
     x = _as_of_covering(pts, toks, extra) if fast else _as_of_targets(pts, toks, extra_parts=extra)
+    if block:
+        x = blocks.unplaced(x)
     side = lambda sd, c: F.max(F.when(F.col("side") == sd, F.col(c)))
     g = x.groupBy(*RULE_ID, *extra, *(["scheme"] if schemes else []), *keep).agg(
         *[F.first(c).alias(c) for c in carry],
@@ -256,9 +273,9 @@ def nearest_token(rules: DataFrame, toks: DataFrame, tol: int = 1, keep=("grp",)
 
 
 def tolerance_align(rules: DataFrame, toks: DataFrame, tol: int = 1, keep=("grp",), schemes=None,
-                    covering: bool = False) -> DataFrame:
+                    covering: bool = False, block: int | None = None) -> DataFrame:
     """ALN-3 (M2) flags per rule (and scheme)."""
-    return nearest_token(rules, toks, tol=tol, keep=keep, schemes=schemes, covering=covering)
+    return nearest_token(rules, toks, tol=tol, keep=keep, schemes=schemes, covering=covering, block=block)
 
 
 def covering_tolerance(rules: DataFrame, toks: DataFrame, schemes, tol: int = 1, keep=("grp",)) -> DataFrame:
@@ -282,11 +299,17 @@ def covering_tolerance(rules: DataFrame, toks: DataFrame, schemes, tol: int = 1,
             .withColumn("fully_aligned", F.col("start_aligned") & F.col("end_aligned"))
 
 
-def token_cut(rules: DataFrame, toks: DataFrame, keep=("grp",)) -> DataFrame:
+def token_cut(rules: DataFrame, toks: DataFrame, keep=("grp",), block: int | None = None) -> DataFrame:
     """ALN-6 (M3 promoted): a border is cut when it lies strictly inside a
-    token. One row per rule with both flags."""
+    token. One row per rule with both flags. With ``block`` (bytes) a document
+    is many tasks' work (``operators.blocks``)."""
     carry = [c for c in ("s", "e") if c in rules.columns]
-    ctx = boundary_context(boundary_points(rules, keep=keep, carry=carry), toks=toks)
+    pts = boundary_points(rules, keep=keep, carry=carry)
+    if block:
+        from spanalign.operators import blocks
+        ctx = blocks.unplaced(boundary_context(blocks.placed(pts, block), toks=blocks.overlapping(toks, block)))
+    else:
+        ctx = boundary_context(pts, toks=toks)
     side = lambda sd: F.max(F.when(F.col("side") == sd, F.col("in_token")))
     g = ctx.groupBy(*RULE_ID, *keep).agg(*[F.first(c).alias(c) for c in carry],
                                          side("s").alias("start_cut"), side("e").alias("end_cut"))

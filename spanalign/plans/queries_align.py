@@ -12,7 +12,9 @@ from spanalign.operators.scores import unaligned_list
 from spanalign.operators.spans import chunk_spans, extract_spans, with_word_split
 from spanalign.operators.tokens import boundaries, tokens, word_runs
 from spanalign.plans.catalog import ONE_WORD, SQL_DOCS, r6, register
-from spanalign.plans.common import CHUNK, DOC_PATTERNS, DOC_PATTERNS_RE2, docs_by_doc, sql_spans
+from spanalign.operators.blocks import chunks_in_segments, tokens_in_segments
+from spanalign.plans.common import CHUNK, DOC_PATTERNS, DOC_PATTERNS_RE2, docs, docs_by_doc, sql_spans
+from spanalign.sources.tables import spread
 
 # ------------------------------------------------------------------ oracle CTEs
 SQL_CHARS = """chars AS (
@@ -173,8 +175,11 @@ def _detail(spark, sf):
 
 
 SQL_DETAIL = f"""WITH {SQL_DOCS}, {SQL_CHUNK_RULES}, {SQL_CHARS}, {sql_points('cr')}, {SQL_MW}, {sql_tokens('tk', 'pretok')},
-ctx AS (SELECT mw.*, tk.tok_id, tk.s AS ts, tk.e AS te, left(tk.piece, 50) AS tp FROM mw
-        LEFT JOIN tk ON mw.mid AND tk.doc_id = mw.doc_id AND tk.s < mw.p AND mw.p < tk.e),
+-- tokens don't overlap: the last one that starts before a border is the only one that can hold it
+near AS (SELECT mw.*, mw.mid AND tk.e > mw.p AS inside, tk.tok_id AS i, tk.s AS j, tk.e AS k, left(tk.piece, 50) AS l
+         FROM mw ASOF LEFT JOIN tk ON tk.doc_id = mw.doc_id AND mw.p > tk.s),
+ctx AS (SELECT * EXCLUDE (i, j, k, l), CASE WHEN inside THEN i END AS tok_id, CASE WHEN inside THEN j END AS ts, CASE WHEN inside THEN k END AS te,
+          CASE WHEN inside THEN l END AS tp FROM near),
 sd AS (SELECT * FROM ctx WHERE side = 's'), ed AS (SELECT * FROM ctx WHERE side = 'e'),
 det AS (
   SELECT cr.doc_id, cr.type, cr.span_id, cr.s, cr.e, cr.piece, sd.mid AS ms, ed.mid AS me,
@@ -219,6 +224,41 @@ def unaligned_list_q(spark, sf):
                      F.element_at("unaligned_rules", -1)["end_byte"].alias("last_end"))
 
 
+# small segments and blocks, so that most documents are cut
+SEGMENT, BLOCK = 1000, 2000
+
+
+@register("containing_token_blocks", f"""WITH {SQL_DOCS}, {SQL_CHUNK_RULES}, {sql_points('cr')}, {sql_tokens('tk', 'piece4')},
+r AS (SELECT pts.grp, pts.p, tk.tok_id, tk.s FROM pts LEFT JOIN tk ON tk.doc_id = pts.doc_id AND tk.s < pts.p AND pts.p < tk.e)
+SELECT grp, count(*) AS n_points, count(tok_id) AS n_inside, CAST(sum(tok_id) AS BIGINT) AS sum_tok_id,
+  CAST(sum(s) AS BIGINT) AS sum_tok_s FROM r GROUP BY grp""")
+def containing_token_blocks_q(spark, sf):
+    """ALN-1 with every document cut into segments and position blocks."""
+    d = spread(docs(spark, sf))
+    pts = boundary_points(chunks_in_segments(d, CHUNK, segment=SEGMENT))
+    r = stab(pts, tokens_in_segments(d, ["piece4"], segment=SEGMENT), disjoint=True, block=BLOCK)
+    return r.groupBy("grp").agg(F.count(F.lit(1)).alias("n_points"), F.count("tok").alias("n_inside"),
+                                F.sum("tok.tok_id").cast("bigint").alias("sum_tok_id"),
+                                F.sum("tok.s").cast("bigint").alias("sum_tok_s"))
+
+
+@register("nearest_token_blocks", f"""WITH {SQL_DOCS}, {SQL_CHUNK_RULES}, {sql_tokens('t0', 'pretok')},
+tk AS (SELECT * FROM t0 WHERE tok_id % 40 = 7),
+st AS (SELECT cr.doc_id, cr.span_id, arg_min(tk.tok_id, abs(cr.s - tk.s) * 1000000 + tk.tok_id) AS start_token,
+         min(abs(cr.s - tk.s)) AS start_distance,
+         arg_min(tk.tok_id, abs(cr.e - tk.e) * 1000000 + tk.tok_id) AS end_token, min(abs(cr.e - tk.e)) AS end_distance
+       FROM cr LEFT JOIN tk ON tk.doc_id = cr.doc_id GROUP BY cr.doc_id, cr.span_id)
+SELECT doc_id, span_id, start_token, CAST(start_distance AS BIGINT) AS start_distance, end_token,
+  CAST(end_distance AS BIGINT) AS end_distance FROM st""")
+def nearest_token_blocks_q(spark, sf):
+    """ALN-4 in position blocks with gapped tokens (every 40th of the pretok
+    scheme), whose nearest lie blocks away."""
+    d = spread(docs(spark, sf))
+    t = tokens_in_segments(d, ["pretok"], segment=SEGMENT).filter("tok_id % 40 = 7").drop("is_last")
+    n = nearest_token(chunks_in_segments(d, CHUNK, segment=SEGMENT), t, keep=(), block=BLOCK // 8)
+    return n.select("doc_id", "span_id", "start_token", "start_distance", "end_token", "end_distance")
+
+
 @register("analyze_tolerance", f"""WITH {SQL_DOCS}, {sql_spans('d', {'sentence': DOC_PATTERNS_RE2['sentence']})},
 {sql_tokens('tk', 'pretok')},
 f AS (SELECT doc_id, grp,
