@@ -3,11 +3,13 @@
 
 from __future__ import annotations
 
+import re
+import time
 import uuid
 
 from pyspark.sql import functions as F
 
-from spanalign.functions.udf import apply_span_extractor, apply_tokenizer, word_class_runs
+from spanalign.functions.udf import apply_span_extractor, apply_tokenizer, register_extractor, run_extractor, word_class_runs
 from spanalign.operators.align import boundary_points, stab
 from spanalign.operators.batching import with_index
 from spanalign.operators.reports import compare_schemes
@@ -119,6 +121,50 @@ def plugin_spans_q(spark, sf):
     return sp.groupBy("grp").agg(F.count(F.lit(1)).alias("n_spans"), F.sum(F.col("e") - F.col("s")).cast("bigint").alias("bytes"))
 
 
+LONG = 30_000
+
+
+def _fragile_extractor():
+    """Lines, but it never ends on texts of more than LONG bytes and raises on
+    five digits in a row."""
+    lines = _line_extractor()
+
+    def spans(text):
+        while len(text.encode()) > LONG:
+            try:
+                time.sleep(0.01)
+            except Exception:  # noqa: BLE001  (a plug-in that catches what it can)
+                pass
+        if re.search(r"[0-9]{5}", text):
+            raise ValueError("five digits")
+        return lines(text)
+    return spans
+
+
+@register("plugin_reasons", f"""WITH {SQL_DOCS},
+r AS (SELECT grp, text, CASE WHEN strlen(text) > {LONG} THEN 'timeout' WHEN regexp_matches(text, '[0-9]{{5}}') THEN 'failed' END AS reason FROM d)
+SELECT grp, reason, count(*) AS n_docs,
+  CAST(sum(CASE WHEN reason IS NULL THEN len(list_filter(string_split(text, chr(10)), lambda x: x <> '')) ELSE 0 END) AS BIGINT) AS n_spans,
+  CASE reason WHEN 'failed' THEN 'ValueError: five digits' WHEN 'timeout' THEN 'more than 1.0 s' END AS error FROM r GROUP BY grp, reason""")
+def plugin_reasons_q(spark, sf):
+    """FLT-8, UDF-1: a plug-in that hangs on some documents and raises on
+    others loses exactly those, each with its reason."""
+    out = run_extractor(docs(spark, sf), _fragile_extractor, seconds=1.0)
+    kept = F.coalesce(F.size(F.filter("found", lambda x: x["type"] != "ERROR")), F.lit(0))
+    return out.groupBy("grp", "reason").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.when(F.col("reason").isNull(), kept).otherwise(0)).alias("n_spans"),
+                                            F.max("error").alias("error"))
+
+
+@register("plugin_spans_sql", f"""WITH {SQL_DOCS}, l AS (SELECT doc_id, grp, unnest(string_split(text, chr(10))) AS x FROM d)
+SELECT grp, count(*) AS n_spans, CAST(sum(strlen(x)) AS BIGINT) AS bytes, min(x) AS first_line FROM l WHERE x <> '' GROUP BY grp""")
+def plugin_spans_sql_q(spark, sf):
+    """UDF-1 from SQL: a plug-in as a table function in a lateral join."""
+    register_extractor(spark, "line_spans", _line_extractor)
+    docs(spark, sf).createOrReplaceTempView("plugin_docs")
+    return spark.sql("""SELECT grp, count(*) AS n_spans, CAST(sum(e - s) AS BIGINT) AS bytes, min(piece) AS first_line
+        FROM plugin_docs d, LATERAL line_spans(d.text, pieces => true) p WHERE reason IS NULL GROUP BY grp""")
+
+
 def _pair_tokenizer():
     return lambda text: [(i, min(i + 2, len(text))) for i in range(0, len(text), 2)]
 
