@@ -78,3 +78,6 @@ from spanalign.plans import queries_filters  # noqa: E402,F401
 from spanalign.plans import queries_reports  # noqa: E402,F401
 from spanalign.plans import queries_stream  # noqa: E402,F401
 from spanalign.plans import queries_io  # noqa: E402,F401
+from spanalign.plans import queries_bpe  # noqa: E402,F401
+from spanalign.plans import queries_structure  # noqa: E402,F401
+from spanalign.plans import queries_files  # noqa: E402,F401

@@ -1,8 +1,10 @@
 """Code-file trees as a corpus (SRC-1..5).
 
-Listing, filtering and reading happen in Spark's binaryFile source; the
-layout rule and language inference are column expressions plus one tiny
-per-language aggregate (bounded by the number of languages)."""
+A tree is listed first, without opening a file: suffixes, the layout rule and
+sizes decide on paths and lengths alone. Only the chosen files are then read:
+the decision is a filter on the files' metadata, which Spark applies to its
+listing before it makes partitions. What passes through the driver is one row
+per language."""
 
 from __future__ import annotations
 
@@ -42,26 +44,76 @@ def _plain_path(path):
     return F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
 
 
-def code_files(spark: SparkSession, root: str, languages=None, prefer_language_dirs: bool = True) -> DataFrame:
-    """SRC-1 + SRC-2: files of the asked languages under ``root``.
+def _tree(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
+    r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    return (r.option("pathGlobFilter", glob) if glob else r).load(root)
+
+
+def _suffix_glob(languages=None) -> str:
+    return "*.{" + ",".join(sorted(e.lstrip(".") for e in extension_map(languages))) + "}"
+
+
+def _in_language_dir(root: str, path, language):
+    """The reader reports paths as URIs; both are compared without scheme and
+    authority, from the start."""
+    base = _plain_path(F.lit(root.rstrip("/") + "/"))
+    return _plain_path(path).startswith(F.concat(base, language, F.lit("/")))
+
+
+def code_listing(spark: SparkSession, root: str, languages=None, prefer_language_dirs: bool = True,
+                 max_size: int | None = None) -> DataFrame:
+    """SRC-1 + SRC-2 on metadata alone: ``path, length, language, reason`` of
+    the files with a suffix of the asked languages; ``reason`` is null for
+    those that ``code_files`` reads, else ``outside_language_dir`` or
+    ``oversize``. No file is opened."""
+    x = _tree(spark, root, _suffix_glob(languages)).select("path", "length", language_from_path("path", languages).alias("language"))
+    x = x.filter(F.col("language").isNotNull())
+    outside = F.lit(False)
+    if prefer_language_dirs:
+        own = _languages_with_dir(x, root)
+        outside = F.col("language").isin(own) & ~_in_language_dir(root, F.col("path"), F.col("language"))
+    reason = F.when(outside, "outside_language_dir")
+    if max_size is not None:
+        reason = reason.when(F.col("length") > max_size, "oversize")
+    return x.withColumn("reason", reason)
+
+
+def _languages_with_dir(listing: DataFrame, root: str) -> list[str]:
+    """Languages whose own folder has files: at most one row per language."""
+    inside = listing.filter(_in_language_dir(root, F.col("path"), F.col("language")))
+    return sorted(r["language"] for r in inside.select("language").distinct().collect())
+
+
+def _read_chosen(files: DataFrame, chosen, max_size: int | None) -> DataFrame:
+    """Contents of the files that ``chosen`` (of a path) accepts: the filter on
+    the hidden metadata column prunes the listing, the one on length is pushed
+    to the reader, so other files are never opened."""
+    files = files.filter(chosen(F.col("_metadata.file_path")))
+    if max_size is not None:
+        files = files.filter((F.col("_metadata.file_size") <= max_size) & (F.col("length") <= max_size))
+    return files
+
+
+def code_files(spark: SparkSession, root: str, languages=None, prefer_language_dirs: bool = True,
+               max_size: int | None = None) -> DataFrame:
+    """SRC-1 + SRC-2: files of the asked languages under ``root``, of at most
+    ``max_size`` bytes if it is given.
 
     For each language the files under ``<root>/<language>/`` are used when
     that folder yields any; otherwise the whole tree is searched. A single
-    file path is accepted when its suffix matches."""
-    exts = extension_map(languages)
-    glob = "*.{" + ",".join(sorted(e.lstrip(".") for e in exts)) + "}"
-    raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-           .option("pathGlobFilter", glob).load(root))
-    x = raw.select("path", "length", "content", language_from_path("path", languages).alias("language"))
-    x = x.filter(F.col("language").isNotNull())
+    file path is accepted when its suffix matches. ``code_listing`` tells which
+    files are left out and why."""
+    raw = _tree(spark, root, _suffix_glob(languages))
+    own = []
     if prefer_language_dirs:
-        # the reader reports paths as URIs; compare both without scheme and authority, from the start
-        base = _plain_path(F.lit(root.rstrip("/") + "/"))
-        in_dir = _plain_path(F.col("path")).startswith(F.concat(base, F.col("language"), F.lit("/")))
-        x = x.withColumn("_in", in_dir)
-        has = x.groupBy("language").agg(F.max("_in").alias("_has"))   # <= one row per language
-        x = x.join(F.broadcast(has), "language").filter(~F.col("_has") | F.col("_in")).drop("_in", "_has")
-    return x.select(F.col("path").alias("doc_id"), F.col("language").alias("grp"),
+        own = _languages_with_dir(raw.select("path", language_from_path("path", languages).alias("language")), root)
+
+    def chosen(path):
+        language = language_from_path(path, languages)
+        return language.isNotNull() & (~language.isin(own) | _in_language_dir(root, path, language))
+
+    x = _read_chosen(raw, chosen, max_size)
+    return x.select(F.col("path").alias("doc_id"), language_from_path("path", languages).alias("grp"),
                     read_text("content").alias("text"), F.col("length").alias("n_file_bytes"),
                     F.element_at(F.split("path", "/"), -1).alias("file"))
 
@@ -72,15 +124,21 @@ def normalize_batch_language(c):
     return map_lookup(al, F.lower(stripped(c)))
 
 
-def code_output_dirs(spark: SparkSession, base: str):
+def code_output_dirs(spark: SparkSession, base: str, max_size: int | None = None):
     """SRC-4: files under ``<base>/<lang>_code_output/`` folders; the language
     comes from the folder prefix through the alias map (nine languages), and
-    only files with a suffix of that language are taken.
+    only files with a suffix of that language, of at most ``max_size`` bytes if
+    it is given, are taken; others are not opened.
     Returns (files, skipped_dirs)."""
-    raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base.rstrip("/") + "/*_code_output"))
-    d = F.regexp_extract("path", r"/([^/]+)_code_output/", 1)
-    x = raw.select("path", "content", d.alias("dir_prefix"), normalize_batch_language(d).alias("language"))
-    files = x.filter(language_from_path("path") == F.col("language")).select(
-        F.col("path").alias("doc_id"), F.col("language").alias("grp"), read_text("content").alias("text"), "dir_prefix")
-    skipped = x.filter(F.col("language").isNull()).select("dir_prefix").distinct()
+    folders = base.rstrip("/") + "/*_code_output"
+    prefix = lambda path: F.regexp_extract(path, r"/([^/]+)_code_output/", 1)
+
+    def chosen(path):
+        return language_from_path(path) == normalize_batch_language(prefix(path))
+
+    x = _read_chosen(_tree(spark, folders, _suffix_glob(BATCH_LANGUAGES)), chosen, max_size)
+    files = x.select(F.col("path").alias("doc_id"), normalize_batch_language(prefix(F.col("path"))).alias("grp"),
+                     read_text("content").alias("text"), prefix(F.col("path")).alias("dir_prefix"))
+    listed = _tree(spark, folders).select(prefix(F.col("path")).alias("dir_prefix"))
+    skipped = listed.filter(normalize_batch_language(F.col("dir_prefix")).isNull()).distinct()
     return files, skipped
