@@ -207,7 +207,7 @@ def dealt(reps: DataFrame, plan: Plan) -> DataFrame:
                     near[i] = [d * (1 << 20) + x for x in row]  # clusters of one length have numbers of their own
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near, pa.list_(pa.int64()))], [*b.schema.names, "clusters"])
 
-    placed = cut(reps.mapInArrow(run, "rep long, n long, v array<float>, clusters array<long>"), "clusters")
+    placed = cut(reps.mapInArrow(run, f"rep long, n long, v {reps.schema['v'].dataType.simpleString()}, clusters array<long>"), "clusters")
     member = placed.select("*", F.explode("clusters").alias("_cluster"))
     blocks = member.groupBy("_cluster").agg(F.ceil(F.count("*") / plan.block).cast("int").alias("_blocks"))
     member = member.join(blocks, "_cluster").withColumn("_block", F.pmod(F.xxhash64("_cluster", "rep"), F.col("_blocks")).cast("int"))
@@ -270,7 +270,9 @@ def linked(members: DataFrame, least: float, plan: Plan) -> DataFrame:
 def audit(reps: DataFrame, links: DataFrame, least: float, queries: int) -> float:
     """Recall of ``links(rep, links)`` for a bounded sample of vectors, each
     compared with all rows in blocks by brute force (nothing found is wrong,
-    so the counts' ratio is the recall)."""
+    so ratios of counts are recalls): the lesser of that of all links and the
+    mean of the vectors that have any, so that one dense group can't hide what
+    sparse ones lose."""
     chosen = reps.filter(uniform("rep", "v", seed=3) < queries / max(1, reps.count())).select("rep", "v").toPandas()
     if not len(chosen):
         return 1.0
@@ -291,8 +293,9 @@ def audit(reps: DataFrame, links: DataFrame, least: float, queries: int) -> floa
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], ["rep", "true"])
 
     true = reps.mapInArrow(run, "rep long, true long").groupBy("rep").agg(F.sum("true").alias("true"))
-    got, want = true.join(links, "rep", "left").agg(F.coalesce(F.sum("links"), F.lit(0)), F.sum("true")).first()
-    return got / want if want else 1.0
+    both = true.join(links, "rep", "left").withColumn("got", F.coalesce("links", F.lit(0)))
+    got, want, each = both.agg(F.sum("got"), F.sum("true"), F.avg(F.when(F.col("true") > 0, F.col("got") / F.col("true")))).first()
+    return min(got / want, each) if want else 1.0
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.95, plan: Plan = Plan()) -> DataFrame:
@@ -303,8 +306,10 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, plan: Plan = Plan()
     one another. Vectors that are null, empty, zero or hold null or non-finite
     numbers, and rows without an id, link with nothing and are components of
     their own; vectors of different lengths don't link; rows that share an id
-    share their links; other columns are not used; no rows give no rows."""
-    e = F.col("embedding").cast("array<float>")
+    share their links; other columns are not used; no rows give no rows.
+    Numbers keep their own precision: floats as floats, others as doubles."""
+    floats = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
+    e = F.col("embedding") if floats else F.col("embedding").cast("array<double>")
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     good = F.coalesce(F.col("vec_id").isNotNull() & ~bad & F.exists("embedding", lambda x: x != 0), F.lit(False))
     rows = vectors.select("vec_id", F.when(good, e).alias("v"))

@@ -71,3 +71,14 @@ def test_overlap_is_doubled_until_the_audit_is_content(spark, cloud):
     got = {r.vec_id: r.n_links for r in graph.near_duplicates(df, plan=poor).collect()}
     links, _ = brute(range(600), cloud[:600])
     assert sum(got.values()) >= 0.94 * links.sum()
+
+
+def test_numbers_keep_their_precision(spark):
+    """Doubles beyond the range of floats, and whole numbers."""
+    pairs = [[1e300, 3e300], [3e300, 1e300], [1e-60, 3e-60], [3e-60, -1e-60], [1e-310, 3.05e-310], [5.0, 5.0]]
+    df = spark.createDataFrame(list(enumerate(pairs)), "vec_id long, embedding array<double>")
+    links, components = brute(range(len(pairs)), np.array(pairs))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in graph.near_duplicates(df).collect()}
+    assert got == {i: (int(n), c) for i, (n, c) in enumerate(zip(links, components, strict=True))} and got[1][0] == 0 and got[0][0] == 2
+    whole = spark.createDataFrame([(1, [1, 2]), (2, [2, 4]), (3, [2, -1])], "vec_id long, embedding array<int>")
+    assert {r.vec_id: r.n_links for r in graph.near_duplicates(whole).collect()} == {1: 1, 2: 1, 3: 0}
