@@ -279,3 +279,53 @@ def test_beliefs_on_a_tree_are_exact():
         for i, v in enumerate(y):
             want[i, v] += p
     assert np.allclose(pii.beliefs(nodes, model, rounds=40), want / want.sum(axis=1, keepdims=True), atol=1e-6)
+
+
+def test_long_texts_are_inferred_in_windows(field):
+    """A mention in the first window labels bare ones in all later ones; what
+    is in one window comes out as without windows."""
+    filler = " ".join(["wa 2.0 of 2024 in wb 3,000"] * 150)
+    text = "call +1 (319) 555-5132 now " + f" {filler} later (319) 555-5132 we said" * 6
+    whole, small = pii.found([text], field)[0], pii.found([text], field, window=150)[0]
+    assert whole == small and len(whole[1]) == 7
+    both = pii.found([text, TEXT, "", text], field, window=150)
+    assert both == [small, pii.found([TEXT], field)[0], ([], []), small]
+
+
+def test_memory_does_not_follow_a_text(field):
+    import tracemalloc
+    peaks = []
+    for n in (20_000, 200_000):
+        text = " ".join(str((i * 7919) % 10_000_019) for i in range(n))
+        tracemalloc.start()
+        pii.found([text], field, window=4096)
+        peaks.append(tracemalloc.get_traced_memory()[1] - 40 * len(text))  # the text, its spans and their joins follow it
+        tracemalloc.stop()
+    assert peaks[1] < 2 * max(peaks[0], 10_000_000)
+
+
+@pytest.mark.parametrize("n", [100, 400, 1200])
+def test_field_adds_planted_repeats(spark, n):
+    """Numbers first with their mark, later without: what the field adds to the
+    patterns, on a table of its own at three sizes."""
+    rng = random.Random(n)
+    rows, bare = [], {}
+    for i in range(n):
+        words = [f"w{rng.choice('abcdef')}" for _ in range(40)] + ["2.0", "2024", "3,000", f"{rng.randint(10, 99)}:{rng.randint(10, 59)}", str(rng.randint(100, 99_999))]
+        rng.shuffle(words)
+        if i % 2 == 0:
+            number = f"({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)}"
+            words.insert(rng.randint(0, 10), f"call +1 {number} for")
+            words.insert(rng.randint(20, len(words)), f"or {number} at")
+            bare[i] = number
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    hits = extra = 0
+    for r in pii.detect(df).collect():
+        base = set(r.base.split(","))
+        added = [s for s in r.spans.split(",") if s and s not in base]
+        text = rows[r.doc_id][1]
+        found = [text[int(a):int(b)] for _, a, b in (s.split(":") for s in added)]
+        hits += bare.get(r.doc_id) in found
+        extra += sum(x != bare.get(r.doc_id) for x in found)
+    assert hits >= 0.9 * len(bare) and extra <= 0.05 * len(bare)
