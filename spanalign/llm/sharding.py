@@ -16,12 +16,12 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
 
 
-def splitters(keyed: DataFrame, ranges: int, sample: int, seed: int) -> list[int]:
+def splitters(keyed: DataFrame, total: int, ranges: int, sample: int, seed: int) -> list[int]:
     """Boundaries of ``ranges`` ranges of ``_key`` from a size-weighted sample.
 
-    A row is drawn with probability sample * size / all sizes, so about
-    ``sample`` keys (8 bytes each) reach the driver, whatever the input's size."""
-    total = keyed.agg(F.sum("size")).first()[0] or 0
+    A row is drawn with probability sample * size / all sizes (``total``), so
+    about ``sample`` keys (8 bytes each) reach the driver, whatever the input's
+    size."""
     drawn = keyed.filter(uniform("_key", "_tie", seed=seed) * F.lit(float(total)) < F.col("size") * F.lit(float(sample)))
     keys = sorted(drawn.select("_key").toPandas()["_key"].tolist())
     return sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)}) if keys else []
@@ -41,23 +41,34 @@ def range_of(key: Column, splits: list[int]) -> Column:
 def place(docs: DataFrame, shards: int = 16, per_shard: int = 256, sample: int = 1 << 16, overfull: float = 8.0, seed: int = 0) -> DataFrame:
     """``docs(doc_id, text)`` -> ``doc_id, _tie, size, text_crc32, shard, slot``.
 
-    The key is a hash of the text, so equal texts are neighbours in key order
-    and share a shard where their range is not overfull. A range of more than
-    ``overfull`` times the mean bytes (a text with very many copies; by default
-    a 32nd of a shard) is cut into slices of the mean by a hash of the row;
-    slices of a range are neighbours too. A shard's bytes are off by half an
-    unsliced range at either end at most. Slots are numbered
-    within each slice and shifted by the rows of the slices before it, so no
-    shard is sorted in one task."""
+    The key is a hash of the text, so equal texts are neighbours in key order.
+    A key that alone has more than ``overfull`` times a range's mean bytes (a
+    text with very many copies; by default a 32nd of a shard) is cut into
+    slices of the mean by a hash of the row; all other equal texts share a
+    shard. What is left of an overfull range is cut into slices by key. A
+    shard's bytes are off by half a slice at either end at most. Slots are
+    numbered within each slice and shifted by the rows of the slices before it,
+    so no shard is sorted in one task."""
     text = F.coalesce(F.col("text"), F.lit(""))
     narrow = cut(docs.select("doc_id", F.xxhash64("text", "doc_id").alias("_tie"), size_of(F.col("text")).alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.xxhash64(text).alias("_key")), "shard")
     ranges = shards * per_shard
-    ranged = narrow.withColumn("_range", range_of(F.col("_key"), splitters(narrow, ranges, sample, seed)))
-    full = ranged.groupBy("_range").agg(F.sum("size").alias("_bytes"))
-    mean = F.sum("_bytes").over(W.partitionBy()) / F.lit(ranges)
-    parts = full.select(F.col("_range").alias("_r"), F.when(F.col("_bytes") > overfull * mean, F.ceil(F.col("_bytes") / mean)).otherwise(F.lit(1)).cast("int").alias("_parts"))
-    # at most two slices a range on average: 2 * ranges rows in all, whatever the input's size
-    sliced = ranged.join(F.broadcast(parts), F.col("_range") == F.col("_r")).withColumn("_slice", F.pmod(F.xxhash64(F.lit(seed), "_tie"), F.col("_parts")).cast("int"))
+    total = narrow.agg(F.sum("size")).first()[0] or 0
+    most = F.lit(overfull * total / ranges)
+    pieces = lambda c: F.when(F.col(c) > most, F.ceil(F.col(c) * ranges / F.lit(max(1, total)))).otherwise(F.lit(1)).cast("int")
+    ranged = narrow.withColumn("_range", range_of(F.col("_key"), splitters(narrow, total, ranges, sample, seed)))
+    full = cut(ranged.groupBy("_range").agg(F.sum("size").alias("_bytes")), "ranges")  # a row a range
+    over = full.filter(F.col("_bytes") > most).select("_range")
+    # keys that alone overfill a range: at most ranges / overfull of them, whatever the input's size
+    hot = ranged.join(F.broadcast(over), "_range", "left_semi").groupBy("_range", "_key").agg(F.sum("size").alias("_bytes")).filter(F.col("_bytes") > most)
+    hot = cut(hot.withColumn("_parts", pieces("_bytes")), "hot")
+    rest = full.join(hot.groupBy("_range").agg(F.sum("_bytes").alias("_hot")), "_range", "left").withColumn("_bytes", F.col("_bytes") - F.coalesce("_hot", F.lit(0)))
+    rest = rest.select(F.col("_range").alias("_r"), pieces("_bytes").alias("_left"))
+    before = W.partitionBy("_range").orderBy("_key").rowsBetween(W.unboundedPreceding, -1)
+    hot = hot.select(F.col("_key").alias("_k"), "_parts", F.coalesce(F.sum("_parts").over(before), F.lit(0)).alias("_at"))
+    # at most two slices a range and hot key on average: a bounded number of rows in all, whatever the input's size
+    sliced = ranged.join(F.broadcast(rest), F.col("_range") == F.col("_r")).join(F.broadcast(hot), F.col("_key") == F.col("_k"), "left")
+    by_key, by_row = F.pmod(F.xxhash64(F.lit(seed), "_key"), F.col("_left")), F.col("_left") + F.col("_at") + F.pmod(F.xxhash64(F.lit(seed), "_tie"), F.col("_parts"))
+    sliced = sliced.withColumn("_slice", F.coalesce(by_row, by_key).cast("int"))
     held = sliced.groupBy("_range", "_slice").agg(F.sum("size").alias("_bytes"), F.count("*").alias("_rows"))
     order = W.orderBy("_range", "_slice")
     upto = order.rowsBetween(W.unboundedPreceding, W.currentRow)

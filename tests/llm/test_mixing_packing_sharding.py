@@ -120,3 +120,16 @@ def test_equal_texts_share_a_shard_where_they_fit(spark):
 def test_write_shards(spark, docs, tmp_path):
     sharding.write_shards(docs, str(tmp_path / "out"), shards=4, per_shard=8, sample=500)
     assert spark.read.parquet(str(tmp_path / "out")).count() == docs.count()
+
+
+def test_only_a_text_that_overfills_a_range_is_split(spark):
+    """A third of the rows are one text; the groups of two in its range stay together."""
+    rows = [(i, f"text number {i // 2} of two") for i in range(8000)] + [(8000 + i, "hot " * 8) for i in range(4000)]
+    got = sharding.place(spark.createDataFrame(rows, "doc_id long, text string"), shards=4, per_shard=8).toPandas()
+    shards = got.groupby("text_crc32")["shard"].nunique()
+    hot = zlib.crc32(("hot " * 8).encode())
+    assert shards[hot] > 1 and (shards.drop(hot) == 1).all()
+    size = got.groupby("shard")["size"].sum()
+    assert size.max() <= 1.2 * size.mean() and size.min() >= 0.8 * size.mean()
+    for _, g in got.groupby("shard"):
+        assert sorted(g["slot"]) == list(range(len(g)))
