@@ -175,18 +175,22 @@ def links(fps: DataFrame, max_bits: int = 2, crowd: int = CROWD) -> DataFrame:
     """Links ``(u, v)`` among distinct ``_fp``, enough to connect all pairs
     within ``max_bits``.
 
-    Groups of one, most of them, are dropped before anything is kept. A group of more than
-    ``crowd`` is not held in one task: its rows are indexed once more by
-    variants of the other bits, after which only the bits of the last segment
-    and two wiped ones are free, so a group is bounded by construction."""
+    Groups of more than ``crowd`` are found by partial counts, before any group
+    is together; groups of one, most of them, are dropped before anything is
+    kept. A crowded group is never held in one task: its rows are indexed once
+    more by variants of the other bits, after which only the bits of the last
+    segment and two wiped ones are free, so a group is bounded by construction."""
     first = segments(list(range(64)), max_bits)
     rows = variants(fps, list(enumerate(first)), [])
     keys = ["_part0", "_kept0"]
-    rows = cut(rows.withColumn("_n", F.count("*").over(W.partitionBy(*keys))).filter("_n > 1"), "met")
-    out = linked(rows.filter(F.col("_n") <= crowd).repartition(*keys).sortWithinPartitions(*keys), keys, max_bits)
-    if max_bits < 2:
+    large = cut(rows.groupBy(*keys).count().filter(F.col("count") > crowd).select(*keys), "crowded")
+    none = max_bits < 2 or large.isEmpty()
+    calm = rows if none else rows.join(large, keys, "left_anti").select(*rows.columns)
+    calm = cut(calm.withColumn("_n", F.count("*").over(W.partitionBy(*keys))).filter("_n > 1"), "met")
+    out = linked(calm.repartition(*keys).sortWithinPartitions(*keys), keys, max_bits)
+    if none:
         return out
-    crowded = rows.filter(F.col("_n") > crowd)
+    crowded = cut(rows.join(large, keys, "left_semi").select(*rows.columns), "crowd")
     for part, bits in enumerate(first):
         rest = [b for b in range(64) if b not in bits]
         deep = variants(crowded.filter(F.floor(F.col("_part0") / 64) == part), list(enumerate(segments(rest, max_bits))), keys)
@@ -220,7 +224,11 @@ def clusters(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
 
 def deduplicated(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
     """One row of each component, with all columns of ``docs``: the one with
-    the smallest doc_id (null last), by text hash among rows that share it."""
+    the smallest doc_id (null last), by text hash among rows that share it.
+
+    Null and empty texts are near each other and one of them stays; of equal
+    rows any one; no rows give no rows; columns may have any names; a text of
+    any length is read whole."""
     prints = cut(fingerprints(docs, shingle), "simhash")
     found = prints.join(classes(prints, max_bits), "_fp")
     first = found.groupBy("_label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "_tie")).alias("_k")).select(F.col("_k.doc_id").alias("_id"), F.col("_k._tie").alias("_tie"))
