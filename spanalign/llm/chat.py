@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from spanalign.llm.common import cut, word_count
-from spanalign.operators.prefix import prefix_sums
+from spanalign.llm.prefix import prefix_sums
 
 #: The template's own marks, and control strings of other templates: in a text each is broken by a backslash.
 BEGIN, MIDDLE, END = "<|turn|>", "<|says|>", "<|end|>"

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from spanalign.llm.common import bin_of, cut, uniform, word_count
-from spanalign.operators.prefix import prefix_sums
+from spanalign.llm.prefix import prefix_sums
 
 #: Weights of the sources by code point, null last, repeating.
 WEIGHTS = (3, 1, 2)

@@ -195,8 +195,11 @@ def sample(docs: DataFrame, labels: DataFrame, seed: int = 0, temperature: float
     for those that the Gumbel top-k draws.
 
     k is the number of documents whose weight reaches ``least_weight``. A null
-    or empty text has no grams and weight 0; rows with equal id and text share
-    weight and noise; labels of unknown documents are not used."""
+    or empty text has no grams and weight 0; a text of any length is read
+    whole; rows with equal id and text share weight and noise; labels of
+    unknown documents are not used; without labels, or with one kind only, all
+    rows are kept; no rows give no rows; other columns are not used, whatever
+    their names."""
     weighed = cut(weigh(docs, fit(docs, labels)), "weights")
     bound = least_weight(weighed, labels)
     gumbel = -F.log(-F.log(uniform("_tie", seed=seed)))
@@ -207,7 +210,7 @@ def sample(docs: DataFrame, labels: DataFrame, seed: int = 0, temperature: float
 
 def fit_and_keep(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` that the sample keeps, with all their columns."""
-    kept = sample(docs, labels, **how)[1].groupBy("_tie").agg(F.count("*").alias("_copies"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.xxhash64("text", "doc_id").alias("_t"))
-    rows = rows.join(kept, F.col("_t") == F.col("_tie")).withColumn("_n", F.row_number().over(W.partitionBy("_t").orderBy(F.lit(1))))
+    kept = sample(docs, labels, **how)[1].groupBy("_tie", F.col("doc_id").alias("_id")).agg(F.count("*").alias("_copies"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.xxhash64("text", "doc_id").alias("_t"), F.col("doc_id").alias("_i"))
+    rows = rows.join(kept, (F.col("_t") == F.col("_tie")) & F.col("_i").eqNullSafe(F.col("_id"))).withColumn("_n", F.row_number().over(W.partitionBy("_t", "_i").orderBy(F.lit(1))))
     return rows.filter("_n <= _copies").select("_row.*")
