@@ -352,8 +352,6 @@ def align_detail(rules: DataFrame, runs: DataFrame | None, toks: DataFrame, keep
         side("e", "left_ch").alias("_le"), side("e", "right_ch").alias("_re"),
         F.first(F.when(F.col("side") == "s", F.col("_ctx")), ignorenulls=True).alias("token_start_context"),
         F.first(F.when(F.col("side") == "e", F.col("_ctx")), ignorenulls=True).alias("token_end_context"))
-    reason = lambda fmt, pos, l, r: F.format_string(fmt, F.col(pos), F.coalesce(F.col(l), F.lit("")),
-                                                    F.coalesce(F.col(r), F.lit("")))
     source = F.lit(token_source)
     if "token_source" in toks.columns:
         # per-document label (e.g. single_byte_fallback from fill_missing_tokens);
@@ -361,6 +359,15 @@ def align_detail(rules: DataFrame, runs: DataFrame | None, toks: DataFrame, keep
         labels = toks.groupBy("doc_id").agg(F.max("token_source").alias("_src"))
         g = g.join(labels, "doc_id", "left")
         source = F.coalesce(F.col("_src"), source)
+    return detail_records(g, keep, source, "piece" in carry)
+
+
+def detail_records(g: DataFrame, keep, source, with_preview: bool) -> DataFrame:
+    """ALN-5's record of each row of ``g``: rule ids, ``s, e``, the crossing
+    flags, the characters around the borders (``_ls, _rs, _le, _re``) and the
+    token contexts."""
+    reason = lambda fmt, pos, l, r: F.format_string(fmt, F.col(pos), F.coalesce(F.col(l), F.lit("")),
+                                                    F.coalesce(F.col(r), F.lit("")))
     return g.select(
         *RULE_ID, *keep, rule_key("type", "s", "e").alias("rule_key"),
         F.col("s").alias("start_byte"), F.col("e").alias("end_byte"),
@@ -372,4 +379,4 @@ def align_detail(rules: DataFrame, runs: DataFrame | None, toks: DataFrame, keep
         F.format_string(EXPLAIN_SPAN, F.col("type"), F.col("s"), F.col("e")).alias("explain_tree_sitter"),
         F.format_string(EXPLAIN_TOKENS, source).alias("explain_tokenizer"),
         (~F.col("crossing_start") & ~F.col("crossing_end")).alias("fully_aligned"),
-        *([preview("piece", PREVIEW_CHARS).alias("text_preview")] if "piece" in carry else []))
+        *([preview("piece", PREVIEW_CHARS).alias("text_preview")] if with_preview else []))

@@ -20,18 +20,28 @@ def check_pattern(spark: SparkSession, pattern: str) -> None:
         raise ValueError(f"pattern matches the empty string: {pattern!r}")
 
 
+#: Marks put around matches; a text that holds one of them is split without marks.
+OPEN, CLOSE = "\uE000", "\uE001"
+
+
 def regex_parts(text, pattern: str) -> Column:
     """[gap0, match1, gap1, match2, ...]: odd positions are the matches.
 
-    The gaps between the matches and the matches come from the same Java
-    matcher and are interleaved, so no mark is put into the text and the
-    pattern's own groups keep their numbers. A pattern that matches the empty
-    string in a text is an error when that text is read."""
+    One pass of the matcher puts marks around the matches, at which the text is
+    then split. A text that holds a mark itself takes two passes instead: the
+    gaps between the matches and the matches, from the same Java matcher,
+    interleaved. A pattern that matches the empty string in a text is an error
+    when that text is read."""
     text = F.col(text) if isinstance(text, str) else text
+    wrong = F.raise_error(F.lit(f"pattern matches the empty string: {pattern}"))
+    marked = F.regexp_replace(text, F.lit(pattern), F.lit(f"{OPEN}$0{CLOSE}"))
+    # one element, so that the marked text is made once
+    fast = F.get(F.transform(F.array(marked), lambda m: F.when(F.contains(m, F.lit(OPEN + CLOSE)), wrong).otherwise(F.split(m, F.lit(f"[{OPEN}{CLOSE}]"), -1))), 0)
     gaps, hits = F.split(text, F.lit(pattern), -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     parts = F.flatten(F.zip_with(gaps, hits, lambda g, m: F.when(m.isNull(), F.array(g)).otherwise(F.array(g, m))))
-    wrong = F.exists(hits, lambda m: m == "") | (F.size(gaps) != F.size(hits) + 1)
-    return F.when(wrong, F.raise_error(F.lit(f"pattern matches the empty string: {pattern}"))).otherwise(parts)
+    empty = F.exists(hits, lambda m: m == "") | (F.size(gaps) != F.size(hits) + 1)
+    own = F.contains(text, F.lit(OPEN)) | F.contains(text, F.lit(CLOSE))
+    return F.when(own, F.when(empty, wrong).otherwise(parts)).otherwise(fast)
 
 
 def _border_chars(arr, i, piece, n):

@@ -13,6 +13,7 @@ from spanalign.operators.spans import chunk_spans, extract_spans, with_word_spli
 from spanalign.operators.tokens import boundaries, tokens, word_runs
 from spanalign.plans.catalog import ONE_WORD, SQL_DOCS, r6, register
 from spanalign.operators.blocks import chunks_in_segments, tokens_in_segments
+from spanalign.operators.inrow import chunk_details, chunk_points, tolerance_counts
 from spanalign.plans.common import CHUNK, DOC_PATTERNS, DOC_PATTERNS_RE2, docs, docs_by_doc, sql_spans
 from spanalign.sources.tables import spread
 
@@ -104,13 +105,12 @@ r AS (SELECT pts.grp, pts.p, tk.tok_id, tk.s FROM pts LEFT JOIN tk ON tk.doc_id
 SELECT grp, count(*) AS n_points, count(tok_id) AS n_inside, CAST(sum(tok_id) AS BIGINT) AS sum_tok_id,
   CAST(sum(s) AS BIGINT) AS sum_tok_s FROM r GROUP BY grp""")
 def containing_token_q(spark, sf):
-    """ALN-1: for every chunk border, the piece4 token strictly containing it."""
-    d = docs_by_doc(spark, sf)
-    pts = boundary_points(chunk_spans(d, CHUNK))
-    r = stab(pts, boundaries(d, "piece4"), disjoint=True)
-    return r.groupBy("grp").agg(F.count(F.lit(1)).alias("n_points"), F.count("tok").alias("n_inside"),
-                                F.sum("tok.tok_id").cast("bigint").alias("sum_tok_id"),
-                                F.sum("tok.s").cast("bigint").alias("sum_tok_s"))
+    """ALN-1: for every chunk border, the piece4 token strictly containing it
+    (``containing_token_blocks`` has the general join)."""
+    r = chunk_points(spread(docs(spark, sf)), CHUNK, "piece4")
+    return r.groupBy("grp").agg(F.count(F.lit(1)).alias("n_points"), F.count("tok_id").alias("n_inside"),
+                                F.sum("tok_id").cast("bigint").alias("sum_tok_id"),
+                                F.sum("tok_s").cast("bigint").alias("sum_tok_s"))
 
 
 def _tol_sql(tol: int) -> str:
@@ -129,8 +129,11 @@ def _tol(spark, sf, tol):
 
 @register("tolerance_scores", _tol_sql(1))
 def tolerance_scores_q(spark, sf):
-    """ALN-3 (M2, tol=1): chunk borders against pretok token borders."""
-    return _tol(spark, sf, 1)
+    """ALN-3 (M2, tol=1): chunk borders against pretok token borders, inside
+    each row (``tolerance_exact`` has the general join)."""
+    c = tolerance_counts(spread(docs(spark, sf)), CHUNK, ["pretok"])
+    return c.groupBy("grp").agg(F.sum("n_rules").alias("n_rules"), F.sum("n_start_aligned").alias("n_start_aligned"),
+                                F.sum("n_end_aligned").alias("n_end_aligned"), F.sum("n_fully_aligned").alias("n_fully"))
 
 
 @register("tolerance_exact", _tol_sql(0))
@@ -170,6 +173,7 @@ def token_cut_score_q(spark, sf):
 
 
 def _detail(spark, sf):
+    """The general form: rules and tokens as rows."""
     d = docs_by_doc(spark, sf)
     return align_detail(chunk_spans(d, CHUNK, border_chars=True), None, tokens(d, "pretok", keep=("grp",)))
 
@@ -202,7 +206,7 @@ FROM det WHERE ms OR me""")
 def alignment_detail_q(spark, sf):
     """ALN-5: detail records of the failing chunk rules, token context of
     the crossing sides from pretok tokens (flattened for comparison)."""
-    x = only_unaligned(_detail(spark, sf))
+    x = chunk_details(spread(docs(spark, sf)), CHUNK, "pretok", failing_only=True)
     ctx = []
     for side, c in (("start", "token_start_context"), ("end", "token_end_context")):
         ctx += [F.col(f"{c}.token_index").alias(f"{side}_token_index"), F.col(f"{c}.token_start").alias(f"{side}_token_start"),

@@ -6,20 +6,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanalign.functions.patterns import COST_SCALES, TIME_UNITS
-from spanalign.operators.align import covering_tolerance
+from spanalign.operators.inrow import tolerance_counts
 from spanalign.operators.reports import (category_stats, compare_schemes, cross_group_report, project_cost,
                                          ranking_bars, rules_vs_alignment, score_histogram)
 from spanalign.operators.scores import (corpus_summary, efficiency, group_stats, rank_speed, top_and_bottom,
                                         with_timing)
 from spanalign.operators.series import (baseline_delta, micros, peak_point, phase_compare, run_summary,
                                         series_summary)
-from spanalign.operators.spans import chunk_spans
-from spanalign.operators.tokens import multi_scheme_tokens
 from spanalign.plans.catalog import (SQL_CHUNKS, SQL_DOC_SCORES, SQL_DOCS, r6, register, sql_group_stats)
-from spanalign.plans.common import CHUNK, docs_by_doc
+from spanalign.plans.common import CHUNK, docs
 from spanalign.plans.queries_align import SQL_CHUNK_RULES, sql_tokens
 from spanalign.plans.queries_core import chunk_doc_scores
-from spanalign.sources.tables import read_table
+from spanalign.sources.tables import read_table, spread
 
 # sources src0..src19 split into two categories by their number
 SOURCE_CATEGORIES = {"low": [f"src{i}" for i in range(10)], "high": [f"src{i}" for i in range(10, 20)]}
@@ -169,11 +167,9 @@ SELECT grp, scheme, round(avg(100.0 * a / n), 6) AS avg_score, round(100.0 * sum
 def compare_schemes_q(spark, sf):
     """AGG-16: M2 (tol=1) of chunk rules under three token schemes computed
     in one job, as a language x scheme table."""
-    d = docs_by_doc(spark, sf)
-    fl = covering_tolerance(chunk_spans(d, CHUNK), multi_scheme_tokens(d, CMP_SCHEMES, keep=("grp",)), CMP_SCHEMES)
-    ds = fl.groupBy("doc_id", "grp", "scheme").agg(F.count(F.lit(1)).alias("n"), F.count_if("fully_aligned").alias("a"))
-    st = ds.groupBy("grp", "scheme").agg(F.avg(F.col("a") * 100.0 / F.col("n")).alias("avg_score"),
-                                         (F.sum("a") * 100.0 / F.sum("n")).alias("overall_alignment"),
+    ds = tolerance_counts(spread(docs(spark, sf)), CHUNK, CMP_SCHEMES).filter("n_rules > 0")
+    st = ds.groupBy("grp", "scheme").agg(F.avg(F.col("n_fully_aligned") * 100.0 / F.col("n_rules")).alias("avg_score"),
+                                         (F.sum("n_fully_aligned") * 100.0 / F.sum("n_rules")).alias("overall_alignment"),
                                          F.count(F.lit(1)).alias("file_count"))
     return r6(compare_schemes(st, CMP_SCHEMES))
 
@@ -196,7 +192,6 @@ SELECT grp, files, label, round(used_size, 6) AS used_size, round(sec, 6) AS sec
 def project_cost_q(spark, sf):
     """AGG-17: projected processing time per language at a given speed of
     1 MB/s from the observed mean document size."""
-    from spanalign.plans.common import docs
     st = docs(spark, sf).groupBy("grp").agg(F.avg(F.octet_length("text")).alias("avg_size")) \
         .withColumn("speed", F.lit(SPEED))
     return r6(project_cost(st))
