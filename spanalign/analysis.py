@@ -73,6 +73,18 @@ def analyze(corpus: DataFrame, rules=64, metric: str = "word_split", scheme: str
     return Analysis(flags, scores, stats, rank_groups(stats, by), corpus_summary(stats))
 
 
+def run_analysis(corpus: DataFrame, out: str, log: str, run_id: str, rules=64, metric: str = "word_split", scheme: str = "pretok",
+                 by: str = "grp", **how) -> tuple[DataFrame, dict]:
+    """``analyze`` carried out and measured: document scores are written to
+    ``out`` (Parquet) and the run's own row (documents, sizes, rules, seconds,
+    speed, status) is appended to ``log``. Returns the written scores and the
+    row; ``rank_speed`` and ``run_summary`` read the log."""
+    from spanalign.sources.runlog import measured
+    scores = analyze(corpus, rules, metric, scheme, by=by, **how).doc_scores
+    row = measured(scores, lambda x: x.write.mode("overwrite").parquet(out), log, run_id, scheme=scheme, output=out)
+    return corpus.sparkSession.read.schema(scores.schema).parquet(out), row
+
+
 def analyze_detail(corpus: DataFrame, rules=64, scheme: str = "pretok", partitioned: bool = False,
                    by: str = "grp") -> DataFrame:
     """The reference's per-rule detail records (M1 with token context)."""
