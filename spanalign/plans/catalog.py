@@ -82,3 +82,4 @@ from spanalign.plans import queries_bpe  # noqa: E402,F401
 from spanalign.plans import queries_structure  # noqa: E402,F401
 from spanalign.plans import queries_files  # noqa: E402,F401
 from spanalign.plans import queries_runs  # noqa: E402,F401
+from spanalign.plans import queries_store  # noqa: E402,F401
