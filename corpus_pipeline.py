@@ -3,7 +3,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written
 as Parquet into the shared folder and read again as the next stage's docs.
-All but the last return the columns of ``documents``."""
+All but the last return the columns of ``documents``.
+
+In every stage a null text counts as empty and stays null, an empty table
+gives no rows, equal rows are rows of their own (near_duplicates keeps one of
+each group), ties are broken by hashes of the row, texts of any length are
+read whole, and more columns, whatever their names, are carried along (packing
+returns its own columns only)."""
 
 from __future__ import annotations
 
@@ -19,27 +25,32 @@ from spanalign.llm.simhash import deduplicated
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the importance resampling keeps."""
+    """Documents that the importance resampling keeps; without labels, or with
+    one kind of them only, all."""
     return fit_and_keep(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id."""
+    """One document of each group of near copies: the one with the smallest id
+    (null last). Null and empty texts are near each other."""
     return deduplicated(docs, shingle=3, max_bits=2)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with each found span replaced by its kind; n_chars follows."""
+    """Texts with each found span replaced by its kind; n_chars follows (0 for
+    a null text)."""
     return redact(docs).withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast("long"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix draws them."""
+    """Documents as often as the mix draws them; those without words, and null
+    sources by their own weight, as in ``mixing.mix``."""
     return mix(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's bucket, batch and slot."""
+    """Each document's bucket, batch and slot; a document without words has one
+    token, its end."""
     return pack(docs)
 
 
