@@ -24,8 +24,9 @@ from spanalign.llm.textops import mixed, raw, slices, span_hashes, words
 #: Lanes modulo 2 ** 64 for equality, lanes modulo 2 ** 32 for likeness, words in a run.
 EQUAL, ALIKE, RUN = 4, 128, 3
 MASK = (1 << 32) - 1
-#: Blocks of neighbouring ids at most (their bounds are sent to the tasks).
-BLOCKS = 4096
+#: Blocks of neighbouring ids: so many, more from ROWS documents a block on, and MOST at most (their bounds are sent to
+#: the tasks, 8 bytes each).
+BLOCKS, ROWS, MOST = 1 << 12, 1 << 15, 1 << 16
 
 
 def paragraph_vectors(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -95,7 +96,7 @@ def likeness(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarr
     return np.where(np.all(one[0] == two[0], axis=1), 1.0, alike)
 
 
-def in_order(docs: DataFrame, blocks: int = BLOCKS) -> DataFrame:
+def in_order(docs: DataFrame, blocks: int | None = None) -> DataFrame:
     """``docs(doc_id, text)`` in descending order of doc_id (null last, then by
     text hash), dealt into blocks of neighbours that each end with the first
     document of the next block: ``_block, _after, doc_id, text``, sorted.
@@ -103,6 +104,7 @@ def in_order(docs: DataFrame, blocks: int = BLOCKS) -> DataFrame:
     Block bounds are quantiles of the ids, so at most ``blocks`` rows are
     broadcast. The one shuffle moves each text once, and the first text of
     each block twice; after the last block comes the first."""
+    blocks = blocks or min(MOST, max(BLOCKS, docs.count() // ROWS))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("_tie"))
     cuts = docs.agg(F.percentile_approx("doc_id", [i / blocks for i in range(1, blocks)], 10 * blocks)).first()[0]
     order = [F.col("doc_id").isNull().alias("_no"), F.bitwise_not("doc_id").alias("_down"), F.col("_tie")]
@@ -150,7 +152,8 @@ def compare(docs: DataFrame) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, fingerprint`` for each row of ``docs(doc_id, text)``, without a shuffle."""
+    """``doc_id, fingerprint`` for each row of ``docs(doc_id, text)``, without a shuffle.
+    Empty lines are no paragraphs: texts that differ in them only have equal fingerprints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
