@@ -29,8 +29,8 @@ TARGET_DOCS = 200_000
 SMOOTH, CLEAR, FAR = 2.0, 3.0, 2.5
 #: Scale of the Gumbel noise: weights are raised to 1 / TEMPERATURE.
 TEMPERATURE = 0.1
-#: Bins of the labelled weights from which the least kept weight is chosen.
-LOW, STEP = -50.0, 0.05
+#: Width of the bins of labelled weights from which the least kept weight is chosen, and their largest number on either side of 0.
+STEP, BINS = 0.05, 1 << 16
 
 LETTER = np.zeros(256, dtype=bool)
 for _a, _b in ((48, 57), (65, 90), (97, 122), (128, 255)):
@@ -151,14 +151,14 @@ def least_weight(weighed: DataFrame, labels: DataFrame) -> float:
     fewest labelled documents on its wrong side, the lowest of equals; below
     all weights if either kind has no label. Reads all labels, in bins."""
     kinds = labels.groupBy("doc_id").agg(((F.min("quality") == 1) & (F.max("toxic") == 0)).alias("clean"))
-    both = weighed.join(kinds, "doc_id").select(F.least(F.greatest(F.floor((F.col("weight") - LOW) / STEP), F.lit(0)), F.lit(int(-2 * LOW / STEP))).alias("b"), "clean")
+    both = weighed.join(kinds, "doc_id").select(F.least(F.greatest(F.floor((F.col("weight") + 50.0) / STEP), F.lit(-BINS)), F.lit(BINS)).alias("b"), "clean")
     bins = both.groupBy("b").agg(F.count_if("clean").alias("good"), F.count_if(~F.col("clean")).alias("bad")).orderBy("b").collect()
     good, bad = np.array([r["good"] for r in bins], dtype=np.int64), np.array([r["bad"] for r in bins], dtype=np.int64)
     if not good.sum() or not bad.sum():
         return -np.inf
     wrong = np.concatenate([[0], np.cumsum(good)]) + bad.sum() - np.concatenate([[0], np.cumsum(bad)])
     at = int(np.argmin(wrong))
-    return LOW + STEP * bins[at]["b"] if at < len(bins) else np.inf
+    return -50.0 + STEP * bins[at]["b"] if at < len(bins) else np.inf
 
 
 def top(keyed: DataFrame, k: int, bins: int = 4096) -> DataFrame:
