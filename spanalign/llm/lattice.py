@@ -30,15 +30,17 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 PASSES, SMOOTH = 2, 0.01
 #: Taken off the count of each word edge.
 DISCOUNT = 0.75
-#: A word that makes up at least 1 / FREQUENT of all words and has at most SHORT bytes is looked up in the tasks, by
-#: hash: at most FREQUENT words of 32 bytes each are sent there, whatever the input. All others are joined.
-FREQUENT, SHORT = 1 << 20, 64
+#: A word that makes up at least 1 / FREQUENT of all words is looked up in the tasks, by hash: at most FREQUENT words of
+#: 32 bytes each, however long they are, are sent there, whatever the input. All others are joined.
+FREQUENT = 1 << 20
 #: Marks a word's start in the vocabulary.
 MARK = "▁"
 #: Added to the code point of a mark that is a character of its word; beyond all code points.
 ASIDE = 0x110000
 #: Lattice cells worked on at once.
 CELLS = 1 << 19
+#: A longer word (in characters) is summed place by place over blocks of its lattice, which isn't held whole.
+LONG = 1 << 13
 
 
 class Vocabulary:
@@ -158,12 +160,82 @@ def forward(piece: np.ndarray, spell: np.ndarray, log_p: np.ndarray) -> tuple[np
     return alpha, edge
 
 
+class LongWord:
+    """The lattice of one long word, made block by block."""
+
+    def __init__(self, text: str, vocabulary: Vocabulary, log_p: np.ndarray, block: int = 0) -> None:
+        self.vocabulary, self.log_p = vocabulary, log_p
+        points = np.frombuffer((MARK + text).encode("utf-32-le"), dtype=np.uint32)
+        self.points = np.where((points == ord(MARK)) & (np.arange(len(points)) > 0), points + np.uint32(ASIDE), points)
+        self.n, self.most = len(points), min(len(points), vocabulary.longest)
+        self.block = block or max(1, CELLS // self.most)
+
+    def parts(self, backwards: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each block of starts: the first, the pieces (length x start), the
+        edges' log probabilities, the characters' own and their bytes."""
+        starts = range(0, self.n, self.block)
+        for a in reversed(starts) if backwards else starts:
+            width = min(self.block, self.n - a)
+            near = self.points[a : a + width + self.most]
+            piece, h = np.full((self.most, width), -1, dtype=np.int32), np.zeros(width, dtype=np.uint64)
+            for k in range(self.most):
+                if (m := min(width, len(near) - k)) <= 0:
+                    break
+                h = Vocabulary.push(h[:m], near[k : k + m])
+                piece[k, :m] = self.vocabulary.find(mixed(h))
+            spell, spelled = byte_scores(near[None, :width], self.log_p)
+            if a:  # only the word's start is a mark that isn't spelled
+                spell[:, :1], spelled[:, :1] = (x[:, 1:] for x in byte_scores(np.append(near[:1], near[:1])[None], self.log_p))
+            edge = np.where(piece >= 0, self.log_p[piece], -np.inf)
+            edge[0] = np.logaddexp(edge[0], spell[0])
+            yield a, piece, edge, spell[0], spelled[0]
+
+    def forward(self) -> np.ndarray:
+        alpha = np.full(self.n + 1, -np.inf)
+        alpha[0] = 0.0
+        for a, _, edge, _, _ in self.parts():
+            for i in range(edge.shape[1]):
+                m = min(self.most, self.n - a - i)
+                to = alpha[a + i + 1 : a + i + 1 + m]
+                np.logaddexp(to, alpha[a + i] + edge[:m, i], out=to)
+        return alpha
+
+    def backward(self) -> np.ndarray:
+        beta = np.full(self.n + 1, -np.inf)
+        beta[self.n] = 0.0
+        for a, _, edge, _, _ in self.parts(backwards=True):
+            for i in reversed(range(edge.shape[1])):
+                m = min(self.most, self.n - a - i)
+                beta[a + i] = np.logaddexp.reduce(beta[a + i + 1 : a + i + 1 + m] + edge[:m, i])
+        return beta
+
+    def expected(self, count: float) -> np.ndarray:
+        alpha, beta, total = self.forward(), self.backward(), np.zeros(len(self.log_p))
+        for a, piece, _, spell, spelled in self.parts():
+            for k in range(self.most):
+                m = min(piece.shape[1], self.n - a - k)
+                if m <= 0:
+                    break
+                outside = alpha[a : a + m] + beta[a + k + 1 : a + k + 1 + m] - alpha[self.n]
+                on = piece[k, :m] >= 0
+                total += np.bincount(piece[k, :m][on], weights=np.exp(outside[on] + self.log_p[piece[k, :m][on]]) * count, minlength=len(total))
+                if k == 0:
+                    post = np.exp(outside + spell) * count
+                    for b in range(4):
+                        on = spelled[:, b] >= 0
+                        total += np.bincount(spelled[on, b], weights=post[on], minlength=len(total))
+        return total
+
+
 def log_words(texts: list[str], vocabulary: Vocabulary, log_p: np.ndarray) -> np.ndarray:
     """Natural log of each word's marginal probability."""
     out = np.zeros(len(texts))
-    for some, piece, points in lattices(texts, vocabulary):
+    short = np.array([i for i, t in enumerate(texts) if len(t) <= LONG], dtype=np.int64)
+    for some, piece, points in lattices([texts[i] for i in short], vocabulary):
         alpha, _ = forward(piece, byte_scores(points, log_p)[0], log_p)
-        out[some] = alpha[:, -1]
+        out[short[some]] = alpha[:, -1]
+    for i in np.setdiff1d(np.arange(len(texts)), short):
+        out[i] = LongWord(texts[i], vocabulary, log_p).forward()[-1]
     return out
 
 
@@ -171,6 +243,11 @@ def expected(texts: list[str], count: np.ndarray, vocabulary: Vocabulary, log_p:
     """How often each piece is expected in all segmentations of the words, by
     forward and backward sums."""
     total = np.zeros(len(log_p))
+    for t, n in zip(texts, count.tolist(), strict=True):
+        if len(t) > LONG:
+            total += LongWord(t, vocabulary, log_p).expected(n)
+    short = [len(t) <= LONG for t in texts]
+    texts, count = [t for t, on in zip(texts, short, strict=True) if on], count[np.array(short, dtype=bool)]
     for some, piece, points in lattices(texts, vocabulary):
         spell, spelled = byte_scores(points, log_p)
         alpha, edge = forward(piece, spell, log_p)
@@ -252,7 +329,8 @@ def score(docs: DataFrame, model: str = MODEL, passes: int = PASSES) -> DataFram
     are words and one end. ``base_score`` is the plain smoothed word model,
     ``score`` the lattice model's log10 probability of the same
     tokens. Null text as empty; repeated rows stay rows; other columns are
-    not used; without training text all pieces weigh alike."""
+    not used; without training text all pieces weigh alike; a word of any
+    length is summed in memory of some 50 bytes a character."""
     vocabulary = Vocabulary.load(model)
     counted = cut(count_words(docs), "words")
     ends = docs.filter(~held_out()).count()
@@ -282,7 +360,7 @@ def score(docs: DataFrame, model: str = MODEL, passes: int = PASSES) -> DataFram
             h = span_hashes(data, offsets[:-1], offsets[1:]).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(h), *(b.column(c) for c in ("c", "base", "lattice"))], ["h", "c", "base", "lattice"])
 
-    common = priced.filter((F.col("every") * FREQUENT >= every) & (F.octet_length("word") <= SHORT)).mapInArrow(hashed, "h long, c long, base double, lattice double").toPandas()
+    common = priced.filter(F.col("every") * FREQUENT >= every).mapInArrow(hashed, "h long, c long, base double, lattice double").toPandas()
     h = common["h"].to_numpy(dtype=np.int64).view(np.uint64)
     order = np.argsort(h)
     h = np.append(h[order], np.uint64(2**64 - 1))  # so that a search always lands on an entry

@@ -329,3 +329,18 @@ def test_field_adds_planted_repeats(spark, n):
         hits += bare.get(r.doc_id) in found
         extra += sum(x != bare.get(r.doc_id) for x in found)
     assert hits >= 0.9 * len(bare) and extra <= 0.05 * len(bare)
+
+
+def test_long_words_in_blocks(monkeypatch):
+    """A lattice made block by block gives the sums of one held whole."""
+    vocabulary = lattice.Vocabulary.load(lattice.MODEL)
+    log_p = np.log(vocabulary.scores)
+    rng = random.Random(4)
+    words = ["".join(rng.choice("theinganéß字▁😀") for _ in range(n)) for n in (1, 2, 30, 200, 700)]
+    count = np.array([1.0, 2.0, 1.0, 3.0, 1.0])
+    whole, sums = lattice.log_words(words, vocabulary, log_p), lattice.expected(words, count, vocabulary, log_p)
+    monkeypatch.setattr(lattice, "LONG", 0)
+    for cells in (lattice.CELLS, 100):
+        monkeypatch.setattr(lattice, "CELLS", cells)
+        assert np.allclose(lattice.log_words(words, vocabulary, log_p), whole)
+        assert np.allclose(lattice.expected(words, count, vocabulary, log_p), sums)
