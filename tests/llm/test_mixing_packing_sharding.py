@@ -1,8 +1,10 @@
+import math
 import re
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -133,3 +135,79 @@ def test_only_a_text_that_overfills_a_range_is_split(spark):
     assert size.max() <= 1.2 * size.mean() and size.min() >= 0.8 * size.mean()
     for _, g in got.groupby("shard"):
         assert sorted(g["slot"]) == list(range(len(g)))
+
+
+def xx(*values, seed=42):
+    """Spark's xxhash64 of longs, ints (as numpy int32), booleans and strings; nulls are passed over."""
+    h = seed
+    for v in values:
+        if v is None:
+            continue
+        data = v.encode() if isinstance(v, str) else np.int32(v).tobytes() if isinstance(v, (bool, np.int32)) else np.int64(v).tobytes()
+        h = xxhash.xxh64_intdigest(data, seed=h % (1 << 64))
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
+def bin_number(n, steps=16):
+    if n < steps:
+        return n
+    octave = int(math.floor(math.log2(n)))
+    return octave * steps + max(0, min(steps - 1, int(n / 2.0**octave * steps) - steps))
+
+
+def test_the_draw_is_replayed(spark, docs):
+    """Every document's copies by the rule: places within the source by size
+    and hash, one offset, a copy per integer boundary crossed."""
+    rows = [(r.doc_id, r.text, r.source) for r in docs.select("doc_id", "text", "source").collect()]
+    sizes = defaultdict(int)
+    for _, t, s in rows:
+        sizes[s] += words(t)
+    goal, want = brute_targets(sizes), []
+    for source, size in sizes.items():
+        own = sorted(((bin_number(words(t)), xx(t, i) % 256, words(t), xx(t, i), (i is not None, i or 0)) for i, t, s in rows if s == source))
+        u = ((xx(np.int32(0), source is None, source or "") % (1 << 64) >> 11) + 0.5) / float(1 << 53)
+        each = goal[source] / size if size else 0.0
+        for k, (_, _, n, tie, (some, i)) in enumerate(own):
+            want.append((i if some else None, tie, n, min(math.floor(each * (k + 1) + u) - math.floor(each * k + u), math.ceil(each))))
+    got = [tuple(r) for r in mixing.copies(docs).select("doc_id", "_tie", "size", "copies").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_places_are_replayed(spark):
+    """Splitters, ranges, slices, shards and slots by the rules, from all rows."""
+    rows = [(i, f"text {i // 3} of some length" + " more" * (i % 11)) for i in range(3000)] + [(3000 + i, "hot " * 9) for i in range(1500)] + [(None, None), (7777, "")]
+    shards, per_shard, sample, overfull = 4, 16, 400, 8.0
+    got = {(r.doc_id, r.text_crc32): (r.shard, r.slot) for r in sharding.place(spark.createDataFrame(rows, "doc_id long, text string"), shards, per_shard, sample, overfull).collect()}
+    ranges = shards * per_shard
+    all_ = [{"id": i, "text": t or "", "tie": xx(t, i), "size": len((t or "").encode()) + 1, "key": xx(t or "")} for i, t in rows]
+    total = sum(r["size"] for r in all_)
+    unit = lambda *v: ((xx(np.int32(0), *v) % (1 << 64) >> 11) + 0.5) / float(1 << 53)
+    keys = sorted(r["key"] for r in all_ if unit(r["key"], r["tie"]) * total < r["size"] * sample)
+    splits = sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)})
+    held, hot = defaultdict(int), defaultdict(int)
+    for r in all_:
+        r["range"] = sum(s <= r["key"] for s in splits)
+        held[r["range"]] += r["size"]
+        hot[r["range"], r["key"]] += r["size"]
+    most = overfull * total / ranges
+    hot = {k: v for k, v in hot.items() if v > most and held[k[0]] > most}
+    parts = lambda b: math.ceil(b * ranges / total) if b > most else 1
+    rest = {k: parts(v - sum(b for (q, _), b in hot.items() if q == k)) for k, v in held.items()}
+    for r in all_:
+        if (r["range"], r["key"]) in hot:
+            before = sum(parts(b) for (q, k), b in hot.items() if q == r["range"] and k < r["key"])
+            r["slice"] = rest[r["range"]] + before + xx(np.int32(0), r["tie"]) % parts(hot[r["range"], r["key"]])
+        else:
+            r["slice"] = xx(np.int32(0), r["key"]) % rest[r["range"]]
+    groups = defaultdict(list)
+    for r in all_:
+        groups[r["range"], r["slice"]].append(r)
+    upto, slots = 0, defaultdict(int)
+    for g in sorted(groups):
+        size = sum(r["size"] for r in groups[g])
+        upto += size
+        shard = min(shards - 1, math.floor((upto - size / 2) * shards / total))
+        for r in sorted(groups[g], key=lambda r: (r["key"], r["tie"], r["id"] is not None, r["id"] or 0)):
+            assert got[r["id"], zlib.crc32(r["text"].encode())] == (shard, slots[shard])
+            slots[shard] += 1
+    assert len(hot) == 1 and len(got) == len(rows)

@@ -64,6 +64,35 @@ def test_quality_with_few_documents_to_a_telling_word(spark):
     assert sum(i in kept for i in range(1000) if i % 10) >= 0.99 * 900
 
 
+def test_weights_against_plain_counts(labelled):
+    """The fitted log ratios, from sets of buckets and plain sums."""
+    docs, labels = labelled
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    kinds = {}
+    for r in labels.collect():
+        q, t = kinds.get(r.doc_id, (1, 0))
+        kinds[r.doc_id] = (min(q, r.quality), max(t, r.toxic))
+    doc, bucket = quality.grams(pa.array([t for _, t in rows], pa.string()))
+    held = {}
+    for d, b in zip(doc.tolist(), bucket.tolist(), strict=True):
+        held.setdefault(b, []).append(rows[d][0])
+    clean = {i for i, k in kinds.items() if k == (1, 0)}
+    table = {b: (sum(i in clean for i in ids), sum(i in kinds for i in ids), len(ids)) for b, ids in held.items()}
+    shares = sorted(t / r for t, _, r in table.values() if r >= 200)
+    by = (shares[(len(shares) - 1) // 2] + shares[len(shares) // 2]) / 2
+    known = sum(i in kinds for i, _ in rows)
+    base = math.asin(math.sqrt(sum(i in clean for i, _ in rows) / known))
+    want = {}
+    for b, (t, m, r) in table.items():
+        w = math.log((t + quality.SMOOTH) / (r * by + quality.SMOOTH))
+        z = 2 * math.sqrt(m + 0.5) * (math.asin(math.sqrt((t + 0.375) / (m + 0.75))) - base)
+        if abs(z) >= quality.CLEAR and w * z > 0 or abs(w) >= quality.FAR:
+            want[b] = w
+    got = quality.fit(docs, labels)
+    assert set(np.flatnonzero(got).tolist()) == set(want) and len(want) > 3
+    assert all(abs(got[b] - w) < 1e-9 for b, w in want.items())
+
+
 def test_quality_without_labels_or_rows(labelled):
     docs, labels = labelled
     assert quality.fit_and_keep(docs, labels.limit(0)).count() == docs.count()
