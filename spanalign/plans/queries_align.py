@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from spanalign.functions.patterns import TOKEN_SCHEMES
 from spanalign.operators.align import (align_detail, boundary_context, boundary_points, nearest_token,
                                        rule_word_split, stab, token_cut, tolerance_align)
-from spanalign.operators.clean import only_unaligned
 from spanalign.operators.scores import unaligned_list
 from spanalign.operators.spans import chunk_spans, extract_spans, with_word_split
 from spanalign.operators.tokens import boundaries, tokens, word_runs
@@ -85,16 +84,15 @@ def mid_word_runs_q(spark, sf):
 
 
 @register("mid_word_points", f"""WITH {SQL_DOCS}, {SQL_CHARS},
-pts AS (SELECT doc_id, grp, NULL AS type, NULL AS span_id, 'p' AS side, unnest(range(0, strlen(text) + 1, 5)) AS p FROM d),
+pts AS (SELECT doc_id, grp, NULL AS type, NULL AS span_id, 'p' AS side, unnest(range(0, strlen(text) + 1)) AS p FROM d),
 {SQL_MW}
 SELECT grp, count(*) AS n_points, count(*) FILTER (WHERE mid) AS n_mid,
   CAST(sum(p) FILTER (WHERE mid) AS BIGINT) AS sum_mid_p FROM mw GROUP BY grp""")
 def mid_word_points_q(spark, sf):
-    """ALN-2 on every 5th byte: a position inside a multi-byte character
+    """ALN-2 on every byte: a position inside a multi-byte character
     never splits a word (no character index, as in the reference)."""
     d = docs_by_doc(spark, sf)
-    pts = d.select("doc_id", "grp", F.explode(F.sequence(F.lit(0).cast("bigint"), F.octet_length("text").cast("bigint"),
-                                                         F.lit(5).cast("bigint"))).alias("p"))
+    pts = d.select("doc_id", "grp", F.explode(F.sequence(F.lit(0).cast("bigint"), F.octet_length("text").cast("bigint"))).alias("p"))
     c = boundary_context(pts, runs=word_runs(d, keep=("grp",)))
     return c.groupBy("grp").agg(F.count(F.lit(1)).alias("n_points"), F.count_if("mid_word").alias("n_mid"),
                                 F.sum(F.when(F.col("mid_word"), F.col("p"))).cast("bigint").alias("sum_mid_p"))

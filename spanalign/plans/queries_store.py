@@ -76,8 +76,10 @@ def stream_jsonl_parts_q(spark, sf):
     """SRC-7, STR-2: a stream over JSON-lines shards whose offsets lie inside
     files; parts of 40 documents over several micro-batches."""
     base = scratch_path(spark, f"jsonl-{uuid.uuid4().hex}")
-    docs(spark, sf).select("doc_id", "grp", "text").repartition(3).write.json(f"{base}/in")
-    s = jsonl_stream(spark, f"{base}/in", "doc_id long, grp string, text string", max_bytes=1 << 19)
+    rows = docs(spark, sf).select("doc_id", "grp", "text")
+    rows.repartition(3).write.json(f"{base}/in")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    s = jsonl_stream(spark, f"{base}/in", "doc_id long, grp string, text string", max_bytes=max(1, size // 5))
     run_to_end(s.select("doc_id", "grp"), flush_parts_sink(f"{base}/out", f"{base}/state", 40), f"{base}/ck")
     out = spark.read.parquet(f"{base}/out")
     batches = out.agg((F.count_distinct("epoch") > 2).alias("several_batches"), F.lit(1).alias("_k"))

@@ -82,18 +82,17 @@ def utf16_offsets_q(spark, sf):
 chars AS (SELECT doc_id, ci - 1 AS ci, sum(strlen(c)) OVER w - strlen(c) AS b0
   FROM (SELECT doc_id, unnest(a) AS c, generate_subscripts(a, 1) AS ci FROM (SELECT doc_id, regexp_extract_all(text, '(?s).') AS a FROM d))
   WINDOW w AS (PARTITION BY doc_id ORDER BY ci ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-pts AS (SELECT doc_id, grp, unnest(range(0, strlen(text) + 1, 7)) AS p, strlen(text) AS nb, length(text) AS nc FROM d),
+pts AS (SELECT doc_id, grp, unnest(range(0, strlen(text) + 1)) AS p, strlen(text) AS nb, length(text) AS nc FROM d),
 r AS (SELECT pts.doc_id, grp, p, CASE WHEN p = nb THEN nc ELSE chars.ci END AS ci
       FROM pts LEFT JOIN chars ON chars.doc_id = pts.doc_id AND chars.b0 = pts.p)
 SELECT grp, count(*) AS n_points, count(*) FILTER (WHERE ci IS NULL) AS n_inside, CAST(sum(ci) AS BIGINT) AS sum_char_index
 FROM r GROUP BY grp""")
 def byte_to_char_q(spark, sf):
-    """OFF-2: character index of every 7th byte position (null inside a
+    """OFF-2: character index of every byte position (null inside a
     multi-byte character), resolved against word pieces."""
     d = docs_by_doc(spark, sf)
     pts = d.select("doc_id", "grp", F.explode(F.sequence(F.lit(0).cast("bigint"),
-                                                         F.octet_length("text").cast("bigint"),
-                                                         F.lit(7).cast("bigint"))).alias("p"))
+                                                         F.octet_length("text").cast("bigint"))).alias("p"))
     pcs = tokens(d, "word", keep=("grp",)).select("doc_id", F.col("s").alias("b0"), F.col("cs").alias("c0"), "piece")
     r = byte_to_char(pts, pcs)
     return r.groupBy("grp").agg(F.count(F.lit(1)).alias("n_points"),
