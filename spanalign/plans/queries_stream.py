@@ -9,14 +9,15 @@ from spanalign.operators.spans import chunk_pieces
 from spanalign.plans.catalog import (GS_COLS, SQL_CHUNKS, SQL_DOC_SCORES, SQL_DOCS, r6, register, sql_group_stats)
 from spanalign.plans.common import CHUNK
 from spanalign.session import scratch_path
-from spanalign.streaming.stream import (corpus_stream, overwrite_sink, run_available, stream_doc_scores,
-                                        stream_group_stats, stream_limit)
+from spanalign.streaming.stream import (overwrite_sink, run_available, stream_doc_scores, stream_group_stats,
+                                        stream_limit, table_stream)
 from spanalign.sources.tables import read_table
 
 
 def _doc_stream(spark, sf):
+    # all files of the table in one trigger, as when it is one file: STR-2 then numbers the documents in doc_id order
     schema = read_table(spark, sf, "documents").schema
-    s = corpus_stream(spark, sf, schema, glob="documents.parquet", max_files_per_trigger=1)
+    s = table_stream(spark, f"{sf.rstrip('/')}/documents.parquet", schema)
     d = s.select("doc_id", F.col("lang").alias("grp"), "text")
     return drop_blank(d)
 

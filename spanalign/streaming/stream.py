@@ -9,6 +9,7 @@ so resumes exactly once after a restart or a lost executor.
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -21,7 +22,8 @@ from spanalign.session import scratch_path
 def corpus_stream(spark: SparkSession, directory: str, schema, glob: str | None = None,
                   max_files_per_trigger: int | None = None, fmt: str = "parquet") -> DataFrame:
     """SRC-7: files of a folder as a stream (a folder, not a single file,
-    is the source; ``glob`` selects files inside it)."""
+    is the source; ``glob`` selects files inside it). ``table_stream`` reads a
+    table that is one file or a folder of part files."""
     r = spark.readStream.format(fmt).schema(schema)
     if glob:
         r = r.option("pathGlobFilter", glob)
@@ -30,6 +32,13 @@ def corpus_stream(spark: SparkSession, directory: str, schema, glob: str | None
     return r.load(directory)
 
 
+def table_stream(spark: SparkSession, path: str, schema, max_files_per_trigger: int | None = None, fmt: str = "parquet") -> DataFrame:
+    """SRC-7: a table as a stream, be it a single file or a folder of part
+    files. Without ``max_files_per_trigger`` a trigger takes all that is there."""
+    # a pattern that matches this one name: the file source takes files and folders from a pattern, without one only folders
+    return corpus_stream(spark, re.sub(r"(.)(/*)$", r"[\1]", path), schema, max_files_per_trigger=max_files_per_trigger, fmt=fmt)
+
+
 def run_available(df: DataFrame, sink, checkpoint: str | None = None, mode: str = "append", name: str = "stream"):
     """Run a streaming query over everything available now, then stop.
     ``sink`` is a foreachBatch function or a folder for the parquet sink."""

@@ -150,3 +150,25 @@ def test_corpus_from_table_without_ids_and_formats(spark):
     import pytest
     with pytest.raises(ValueError):
         corpus_from_table(df, text_col="code")
+
+
+def test_queries_stream_a_table_of_one_file_or_of_part_files(spark):
+    import os
+    import shutil
+    from spanalign.plans.catalog import REGISTRY
+    rows = [(i, "de" if i % 3 else "en", f"Text number {i}.") for i in range(95)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string").withColumn("source", F.lit("s"))
+    one, many = tempfile.mkdtemp(prefix="one-"), tempfile.mkdtemp(prefix="many-")
+    df.coalesce(1).write.parquet(f"{one}/parts")
+    part = next(f for f in os.listdir(f"{one}/parts") if f.endswith(".parquet"))
+    shutil.copyfile(f"{one}/parts/{part}", f"{one}/documents.parquet")
+    df.repartition(4).write.parquet(f"{many}/documents.parquet")   # ids are in no order over the files
+    order = {i: sum(r[1] == g for r in rows[:i]) for i, g, _ in rows}
+    for sf in (one, many):
+        got = {r.doc_id: (r.part, r.seq) for r in REGISTRY["stream_flush_parts"](spark, sf).collect()}
+        assert got == {i: (k // 40 + 1, k) for i, k in order.items()}
+        n = {(r.grp, r.part): r.file_count for r in REGISTRY["stream_flush_parts_distributed"](spark, sf).collect()}
+        assert n == {("de", 1): 40, ("de", 2): 23, ("en", 1): 32}
+        assert REGISTRY["stream_limit"](spark, sf).first().n_rows == 95
+        assert sorted(r.doc_id for r in REGISTRY["run_available"](spark, sf).collect()) == list(range(95))
+        assert {r.grp: r.file_count for r in REGISTRY["stream_group_stats"](spark, sf).collect()} == {"de": 63, "en": 32}
