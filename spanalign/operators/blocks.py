@@ -18,7 +18,7 @@ from spanalign.operators.bpe import is_bpe
 from spanalign.operators.offsets import running
 from spanalign.operators.spans import chunk_spans
 from spanalign.operators.tokens import multi_scheme_tokens, scheme_pattern
-from spanalign.sources.tables import by_doc
+from spanalign.sources.tables import by_doc, text_partitions
 
 #: Characters of a segment and bytes of a block, about.
 SEGMENT, BLOCK = 1 << 18, 1 << 18
@@ -28,10 +28,11 @@ def _segments(docs: DataFrame, pattern: str, keep, counted: dict[str, Column]) -
     """Rows ``doc_id`` (struct of id and segment), keep, ``text`` and ``_b0, _c0``
     (bytes and characters before it), ``_t0..`` (``counted`` before it) and
     ``_end``; dealt over all tasks."""
+    n = text_partitions(docs)   # measured before the texts are cut, so that they are cut once
     x = docs.select("doc_id", *keep, F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("_a"))
     x = x.select("doc_id", *keep, F.size("_a").alias("_k"), F.posexplode(F.col("_a")).alias("_seg", "text"))
     x = x.select(F.struct("doc_id", "_seg").alias("doc_id"), *keep, "_k", "text")
-    x = by_doc(x)   # dealt over all tasks before anything is counted in a segment
+    x = by_doc(x, n)   # dealt over all tasks before anything is counted in a segment
     sizes = {"_b0": F.octet_length("text").cast("bigint"), "_c0": F.char_length("text").cast("bigint"), **counted}
     # the sums are over one narrow row per segment; the columns kept only order them, so that both uses share one exchange of the texts
     w = running([F.col("_d.doc_id")], [F.col("_d._seg"), "_k", *keep])

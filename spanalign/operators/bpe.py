@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from spanalign.functions.patterns import BPE_PRETOKEN
 from spanalign.operators.offsets import running
 from spanalign.session import written
-from spanalign.sources.tables import by_doc
+from spanalign.sources.tables import by_doc, text_partitions
 
 PREFIX = "bpe:"
 #: Entries of a vocabulary at most (the ranks travel to every task).
@@ -156,7 +156,7 @@ def bpe_tokens(docs: DataFrame, schemes, keep=("grp",), whole_characters: bool =
     # the others are looked up by a shuffled join and come back to their documents
     rest = x.filter(F.col("parts").isNull()).drop("scheme_id", "parts").join(seg.select("piece", "scheme_id", "parts"), "piece")
     cols = ["doc_id", *keep, "_n", "i", "piece", "scheme_id", "parts"]
-    x = x.filter(F.col("parts").isNotNull()).select(*cols).union(by_doc(rest.select(*cols)))
+    x = x.filter(F.col("parts").isNotNull()).select(*cols).union(by_doc(rest.select(*cols), text_partitions(docs)))
     w = running(["doc_id", "scheme_id"], ["i", *keep])
     before = lambda c: F.sum(c).over(w) - c
     x = x.select("*", before(F.octet_length("piece").cast("bigint")).alias("_b"), before(F.char_length("piece").cast("bigint")).alias("_c"),

@@ -101,3 +101,15 @@ def test_token_table_source_label(spark, texts):
     from spanalign.operators.tokens import token_table
     t = token_table(tokens(texts.filter("doc_id = 7"), "char"), token_source="offset_mapping").first()
     assert (t.piece, t.quoted, t.n_tokens, t.token_source) == ("x", "'x'", 1, "offset_mapping")
+
+
+def test_text_partitions_follow_the_texts(spark, monkeypatch):
+    from spanalign.sources import tables
+    df = spark.createDataFrame([(i, "a", "x" * 100) for i in range(50)], "doc_id long, grp string, text string")
+    least = tables.doc_partitions(spark)
+    assert tables.by_doc(df).rdd.getNumPartitions() == least
+    monkeypatch.setattr(tables, "TEXT_BYTES", 50)
+    assert tables.by_doc(df).rdd.getNumPartitions() == max(least, 100)
+    assert tables.by_doc(df, 3).rdd.getNumPartitions() == 3
+    assert tables.by_doc(df.drop("text")).rdd.getNumPartitions() == least
+    assert tables.by_doc(df.filter("false")).rdd.getNumPartitions() == least
