@@ -77,3 +77,14 @@ def test_table_function(spark, docs):
     wide = spark.sql("SELECT p.* FROM own_docs d, LATERAL own_spans(d.text, pieces => true) p WHERE doc_id = 4")
     assert wide.columns == ["span_id", "type", "s", "e", "piece", "reason", "error"] and wide.first().piece == "fine é"
     assert docs.filter(F.col("text").isNull()).count() == 1 and not [r for r in rows if r.doc_id == 5]
+
+
+def test_what_a_plugin_finds_is_handed_on_in_small_batches(spark, monkeypatch):
+    from spanalign.functions import udf
+    monkeypatch.setattr(udf, "ITEMS", 10)
+    sizes = []
+    run = udf.plugin_udf(lambda: lambda t: [(i, i + 1) for i in range(len(t))], udf._offset_rows, udf.OFFSET_TYPE, None)
+    import pandas as pd
+    for out in run.func(iter([pd.Series(["abcd"] * 7 + [None, ""]), pd.Series(["a" * 25, "b"])])):
+        sizes.append((len(out), sum(len(f or ()) for f in out["found"])))
+    assert sizes == [(3, 12), (3, 12), (3, 4), (1, 25), (1, 1)]
