@@ -70,6 +70,10 @@ def nested_report_files_q(spark, sf):
     return r6(f.select("language", "file", "score", "total_rules", "aligned_rules", n.cast("bigint").alias("n_unaligned"), F.get("unaligned_rules", 0)["rule_key"].alias("first_rule_key")))
 
 
+#: Text bytes of a shard, about; three shards at least.
+SHARD = 32 << 20
+
+
 @register("stream_jsonl_parts", f"""WITH {SQL_DOCS}, x AS (SELECT grp, floor((row_number() OVER (PARTITION BY grp ORDER BY doc_id) - 1) / 40) + 1 AS part FROM d)
 SELECT grp, CAST(part AS INTEGER) AS part, count(*) AS file_count, true AS several_batches FROM x GROUP BY 1, 2""")
 def stream_jsonl_parts_q(spark, sf):
@@ -77,8 +81,8 @@ def stream_jsonl_parts_q(spark, sf):
     files; parts of 40 documents over several micro-batches."""
     base = scratch_path(spark, f"jsonl-{uuid.uuid4().hex}")
     rows = docs(spark, sf).select("doc_id", "grp", "text")
-    rows.repartition(3).write.json(f"{base}/in")
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    rows.repartition(max(3, -(-size // SHARD))).write.json(f"{base}/in")
     s = jsonl_stream(spark, f"{base}/in", "doc_id long, grp string, text string", max_bytes=max(1, size // 5))
     run_to_end(s.select("doc_id", "grp"), flush_parts_sink(f"{base}/out", f"{base}/state", 40), f"{base}/ck")
     out = spark.read.parquet(f"{base}/out")
