@@ -29,7 +29,7 @@ ROUNDS, DAMPING = 8, 0.7
 #: A token gets a kind if the belief in it is at least this.
 SURE = 0.5
 #: Tokens inferred together, about, and edges whose messages are computed at once. A text of more tokens is inferred in
-#: windows; the sure mentions of what it holds travel from window to window.
+#: windows; each window has the hubs of the keys in it.
 WINDOW, EDGES = 1 << 15, 1 << 15
 
 # The contract's patterns, in forms that read each run of characters once.
@@ -117,8 +117,8 @@ class Nodes:
     that a label is one step from each; ``again`` has each with the one before
     it; ``bare`` are tokens that no pattern matched though one matched an equal
     or similar token. ``own`` marks the nodes that are this window's: a long
-    text's windows share the token before them and the sure mentions of their
-    keys."""
+    text's windows share the token before them and the hubs of their keys, which
+    may stand in any other window."""
 
     def __init__(self) -> None:
         self.doc, self.at, self.features, self.label, self.own = [], [], [], [], []
@@ -147,20 +147,22 @@ class Nodes:
         if i > first:
             self.features[i - 1].append("after " + form(i))
 
-    def link(self, seen: dict[str, list[int]], sure: dict[str, tuple], doc: int) -> None:
-        """Skip edges among the tokens of each key; ``sure`` has the sure
-        mentions of earlier windows and gets those of this one."""
+    def link(self, seen: dict[str, list[int]], hubs: dict[str, tuple], last: dict[str, tuple], doc: int) -> None:
+        """Skip edges among the tokens of each key; ``hubs`` has the hub of the
+        keys that a long text has more than once, ``last`` their last mention."""
         for key, same in seen.items():
-            hub = next((i for i in same if self.label[i]), None)
-            if hub is not None:
-                sure.setdefault(key, (self.at[hub], self.features[hub], self.label[hub]))
-            elif key in sure:
-                hub = self.node(doc, *sure[key], own=False)
-            if hub is None:
-                hub = same[0]
-            elif self.label[hub]:
+            if key in hubs:
+                hub = next((i for i in same if self.at[i] == hubs[key][0]), None)
+                before = last.get(key)
+                last[key] = (self.at[same[-1]], self.features[same[-1]], self.label[same[-1]])
+                hub = self.node(doc, *hubs[key], own=False) if hub is None else hub
+                if before:  # the pair that stands on both sides of a window's start
+                    same = [hub if before[0] == self.at[hub] else self.node(doc, *before, own=False), *same]
+            else:
+                hub = next((i for i in same if self.label[i]), same[0])
+            if self.label[hub]:
                 self.bare.update(i for i in same if not self.label[i])
-            self.skip += [(hub, i) for i in same if i != hub]
+            self.skip += [(hub, i) for i in same if i != hub and self.own[i]]
             self.again += zip(same, same[1:], strict=False)
 
     def add(self, doc: int, text: str, spans: list[tuple[str, int, int]]) -> None:
@@ -168,20 +170,23 @@ class Nodes:
         for _ in self.windows(doc, text, spans, 1 << 62):
             pass
 
-    def windows(self, doc: int, text: str, spans: list[tuple[str, int, int]], window: int) -> Iterator[Nodes]:
-        """Add a document's tokens; each time that ``window`` nodes are there,
-        they are taken, and the token before goes along as context."""
+    def windows(self, doc: int, text: str, spans: list[tuple[str, int, int]], window: int, linked: bool = True) -> Iterator[Nodes]:
+        """Add a document's tokens; each time that ``window`` of them are there,
+        the nodes are taken, and the token before goes along as context. A
+        document of fewer tokens stays together, whatever stands before it."""
         kinds = {k: i + 1 for i, k in enumerate(KINDS)}
         todo = sorted((a, b, kinds[k]) for k, a, b in spans)
-        sure: dict[str, tuple] = {}
+        hubs: dict[str, tuple] | None = None if linked else {}
+        past: dict[str, tuple] = {}
         seen: dict[str, list[int]] = defaultdict(list)
         j, i, last, first = 0, None, None, len(self.at)
         for m in TOKEN.finditer(text):
             a, b = m.span()
-            if i is not None and len(self.at) >= window:
+            if i is not None and len(self.at) - first >= window:
                 before = (self.at[i], self.features[i][:-1], self.label[i])
                 self.features[i].append("after " + (shape(m.group())[0] if a - last <= 2 else "-"))
-                self.link(seen, sure, doc)
+                hubs = hubs_of(text, spans, window) if hubs is None else hubs
+                self.link(seen, hubs, past, doc)
                 yield self.taken()
                 seen.clear()
                 first = i = self.node(doc, *before, own=False)
@@ -196,11 +201,35 @@ class Nodes:
             if last is not None and a - last <= 2:
                 self.chain.append((i - 1, i))
             last = b
-            for key in keys(m.group()):
+            for key in keys(m.group()) if linked else ():
                 seen[key].append(i)
         if i is not None:
             self.features[i].append("after -")
-            self.link(seen, sure, doc)
+            self.link(seen, hubs or {}, past, doc)
+
+
+def hubs_of(text: str, spans: list[tuple[str, int, int]], window: int) -> dict[str, tuple]:
+    """Of each key that a text has more than once, the token that all others are
+    joined to, in whichever window they are: the first sure one in the whole
+    text, else the first. Place, features and kind."""
+    seen, many = set(), set()
+    for m in TOKEN.finditer(text):
+        for key in keys(m.group()):
+            (many if key in seen else seen).add(key)
+    seen.clear()
+    out: dict[str, tuple] = {}
+    nodes = Nodes()
+
+    def kept(nodes: Nodes) -> None:
+        for at, features, label, own in zip(nodes.at, nodes.features, nodes.label, nodes.own, strict=True):
+            for key in keys(text[at[0] : at[1]]) if own else ():
+                if key in many and (key not in out or (label and not out[key][2])):
+                    out[key] = (at, features, label)
+
+    for full in nodes.windows(0, text, spans, window, linked=False):
+        kept(full)
+    kept(nodes)
+    return out
 
 
 def drawn(docs: DataFrame, share: float) -> DataFrame:
@@ -236,6 +265,8 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, fit_tokens: int = FIT_TOKENS,
                 if t:
                     for full in nodes.windows(i, t, base(t), WINDOW):
                         counted(full)
+                    if len(nodes.at) >= WINDOW:
+                        counted(nodes.taken())
             counted(nodes)
             rows = [(f, k, c) for (f, k), c in kinds.items()] + [(p, -1, c) for p, c in pairs.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64())], ["f", "k", "n"])

@@ -373,3 +373,26 @@ def test_long_words_in_blocks(monkeypatch):
         monkeypatch.setattr(lattice, "CELLS", cells)
         assert np.allclose(lattice.log_words(words, vocabulary, log_p), whole)
         assert np.allclose(lattice.expected(words, count, vocabulary, log_p), sums)
+
+
+def test_links_reach_mentions_in_every_window():
+    import numpy as np
+    from spanalign.llm import pii
+    model = {"names": {}, "unary": np.zeros((1, 5)), "none": 3.0, "chain": np.zeros((5, 5)), "skip": np.where(np.eye(5, dtype=bool), 4.0, -4.0)}
+    all_spans = lambda texts, window: [pii.joined(s) for _, s in pii.found(texts, model, window)]
+    text = "call 319-555-5132 or 77 88 99 12 13 14 +1 (319) 555-5132 and 319-555-5132 then 15 16 17 18"
+    whole = "phone:5:17,phone:39:56,phone:61:73"
+    assert all_spans([text], 1 << 20) == [whole]
+    for window in (2, 3, 4, 7):   # the sure mention stands in a later window than the first one
+        assert all_spans([text], window) == [whole]
+    before = "11 22 33 44 55 66 77 " * 3   # what stands before a text doesn't cut it
+    assert all_spans([before, text, before], 25)[1] == whole
+    # without a sure mention the first one is the hub, whichever window a mention is in
+    bare = "319-555-5132 " + "77 " * 9 + "319-555-5132"
+    nodes, full = pii.Nodes(), []
+    full += nodes.windows(0, bare, [], 4)
+    full.append(nodes)
+    last = full[-1]
+    i = max(k for k, own in enumerate(last.own) if own)
+    assert {last.at[h] for h, k in last.skip if k == i} == {(0, 12)}
+    assert len(full) > 2 and sum(sum(x.own) for x in full) == 11
