@@ -3,7 +3,7 @@
 A tree is listed first, without opening a file: suffixes, the layout rule and
 sizes decide on paths and lengths alone. Only the chosen files are then read:
 the decision is a filter on the files' metadata, which Spark applies to its
-listing before it makes partitions. What passes through the driver is one row
+listing before it makes partitions. What passes through the driver is two rows
 per language."""
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from spanalign.functions.patterns import BATCH_LANGUAGES, LANGUAGE_ALIASES, LANGUAGE_EXTENSIONS
 from spanalign.functions.text import map_lookup, stripped
+from spanalign.sources.tables import doc_partitions
 
 
 def extension_map(languages=None) -> dict:
@@ -66,11 +67,11 @@ def code_listing(spark: SparkSession, root: str, languages=None, prefer_language
     the files with a suffix of the asked languages; ``reason`` is null for
     those that ``code_files`` reads, else ``outside_language_dir`` or
     ``oversize``. No file is opened."""
-    x = _tree(spark, root, _suffix_glob(languages)).select("path", "length", language_from_path("path", languages).alias("language"))
+    x = _packed(_tree(spark, root, _suffix_glob(languages)).select("path", "length", language_from_path("path", languages).alias("language")))
     x = x.filter(F.col("language").isNotNull())
     outside = F.lit(False)
     if prefer_language_dirs:
-        own = _languages_with_dir(x, root)
+        own = _listed_sizes(x, root, None)[0]
         outside = F.col("language").isin(own) & ~_in_language_dir(root, F.col("path"), F.col("language"))
     reason = F.when(outside, "outside_language_dir")
     if max_size is not None:
@@ -78,10 +79,36 @@ def code_listing(spark: SparkSession, root: str, languages=None, prefer_language
     return x.withColumn("reason", reason)
 
 
-def _languages_with_dir(listing: DataFrame, root: str) -> list[str]:
-    """Languages whose own folder has files: at most one row per language."""
-    inside = listing.filter(_in_language_dir(root, F.col("path"), F.col("language")))
-    return sorted(r["language"] for r in inside.select("language").distinct().collect())
+#: Bytes and files that a task reads, about.
+TASK_BYTES, TASK_FILES = 32 << 20, 4096
+
+
+def _packed(files: DataFrame, n: int = 0, size: int = 0) -> DataFrame:
+    """Files in tasks of about ``TASK_FILES`` or ``TASK_BYTES``, without a
+    shuffle. The reader counts a file as ``spark.sql.files.openCostInBytes`` (4
+    MB) more than it has, so each of its tasks holds some thirty small files
+    and most of the time goes into starting them."""
+    return files.coalesce(max(doc_partitions(files.sparkSession), -(-n // TASK_FILES) + -(-size // TASK_BYTES)))
+
+
+def _sizes(listing: DataFrame, chosen, *by) -> list:
+    """``by``, number and bytes of the listed files that ``chosen`` accepts."""
+    n, size = F.count_if(chosen), F.coalesce(F.sum(F.when(chosen, F.col("length"))), F.lit(0))
+    return _packed(listing).groupBy(*by).agg(n.alias("n"), size.alias("size")).collect()
+
+
+def _listed_sizes(listing: DataFrame, root: str, max_size: int | None, prefer_language_dirs: bool = True) -> tuple[list[str], int, int]:
+    """Languages whose own folder has files, and the number and bytes of the
+    files that are then read: at most two rows per language."""
+    inside = _in_language_dir(root, F.col("path"), F.col("language")) if prefer_language_dirs else F.lit(False)
+    rows = _sizes(listing.filter(F.col("language").isNotNull()), _small(max_size), "language", inside.alias("inside"))
+    own = sorted({r["language"] for r in rows if r["inside"]})
+    read = [r for r in rows if r["inside"] or r["language"] not in own]
+    return own, sum(r["n"] for r in read), sum(r["size"] for r in read)
+
+
+def _small(max_size: int | None):
+    return F.lit(True) if max_size is None else F.col("length") <= max_size
 
 
 def _read_chosen(files: DataFrame, chosen, max_size: int | None) -> DataFrame:
@@ -104,15 +131,13 @@ def code_files(spark: SparkSession, root: str, languages=None, prefer_language_d
     file path is accepted when its suffix matches. ``code_listing`` tells which
     files are left out and why."""
     raw = _tree(spark, root, _suffix_glob(languages))
-    own = []
-    if prefer_language_dirs:
-        own = _languages_with_dir(raw.select("path", language_from_path("path", languages).alias("language")), root)
+    own, n, size = _listed_sizes(raw.select("path", "length", language_from_path("path", languages).alias("language")), root, max_size, prefer_language_dirs)
 
     def chosen(path):
         language = language_from_path(path, languages)
         return language.isNotNull() & (~language.isin(own) | _in_language_dir(root, path, language))
 
-    x = _read_chosen(raw, chosen, max_size)
+    x = _packed(_read_chosen(raw, chosen, max_size), n, size)
     return x.select(F.col("path").alias("doc_id"), language_from_path("path", languages).alias("grp"),
                     read_text("content").alias("text"), F.col("length").alias("n_file_bytes"),
                     F.element_at(F.split("path", "/"), -1).alias("file"))
@@ -136,9 +161,11 @@ def code_output_dirs(spark: SparkSession, base: str, max_size: int | None = None
     def chosen(path):
         return language_from_path(path) == normalize_batch_language(prefix(path))
 
-    x = _read_chosen(_tree(spark, folders, _suffix_glob(BATCH_LANGUAGES)), chosen, max_size)
+    raw = _tree(spark, folders, _suffix_glob(BATCH_LANGUAGES))
+    [sizes] = _sizes(raw.select("path", "length"), chosen(F.col("path")) & _small(max_size))
+    x = _packed(_read_chosen(raw, chosen, max_size), sizes["n"], sizes["size"])
     files = x.select(F.col("path").alias("doc_id"), normalize_batch_language(prefix(F.col("path"))).alias("grp"),
                      read_text("content").alias("text"), prefix(F.col("path")).alias("dir_prefix"))
-    listed = _tree(spark, folders).select(prefix(F.col("path")).alias("dir_prefix"))
+    listed = _packed(_tree(spark, folders)).select(prefix(F.col("path")).alias("dir_prefix"))
     skipped = listed.filter(normalize_batch_language(F.col("dir_prefix")).isNull()).distinct()
     return files, skipped

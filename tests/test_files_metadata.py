@@ -52,3 +52,17 @@ def test_folders_of_the_batch_runner(spark, tree):
 def test_a_file_that_is_read_must_fit(spark, tree):
     with pytest.raises(Exception, match="(?i)length|size|exceed"):
         code_files(spark, f"{tree}/misc", ["go"]).collect()
+
+
+def test_small_files_are_read_in_few_tasks(spark, tmp_path):
+    from spanalign.sources.tables import doc_partitions
+    n = 32 * (doc_partitions(spark) + 4)   # the reader's own tasks hold 32 of them at most
+    for k, (folder, name) in enumerate([("python", "a.py"), ("py_code_output", "b.py")]):
+        os.makedirs(tmp_path / str(k) / folder)
+        for i in range(n):
+            (tmp_path / str(k) / folder / f"{i}{name}").write_text(f"x = {i}\n")
+    files = code_files(spark, str(tmp_path / "0"), ["python"], max_size=1 << 20)
+    folders, _ = code_output_dirs(spark, str(tmp_path / "1"), max_size=1 << 20)
+    for df in (files, folders, code_listing(spark, str(tmp_path / "0"), ["python"])):
+        assert df.rdd.getNumPartitions() <= doc_partitions(spark)
+        assert df.count() == n
