@@ -37,33 +37,35 @@ def boundary_points(rules: DataFrame, keep=("grp",), carry=()) -> DataFrame:
 
 
 def boundary_context(points: DataFrame, runs: DataFrame | None = None,
-                     toks: DataFrame | None = None, p: str = "p") -> DataFrame:
+                     toks: DataFrame | None = None, p: str = "p", extra_parts=()) -> DataFrame:
     """For every point: the word run and the token that start strictly before
     it (the only candidates to contain it when targets do not overlap), plus
     the running maximum token end (exact containment test for any tokens).
 
     Adds: mid_word, left_ch, right_ch (when mid_word), tok (struct of the
     containing token or null), in_token."""
-    pcols = [c for c in points.columns if c != "doc_id"]
-    P = points.select("doc_id", F.col(p).alias("_k"), F.lit(0).alias("_kind"), F.struct(*pcols).alias("_pt"))
+    key = ["doc_id", *extra_parts]
+    pcols = [c for c in points.columns if c not in key]
+    P = points.select(*key, F.col(p).alias("_k"), F.lit(0).alias("_kind"), F.struct(*pcols).alias("_pt"))
     parts = []
     if runs is not None:
         # a run cut into bounded pieces goes on with ``next_ch``; a user's own runs end where they end
         following = F.col("next_ch") if "next_ch" in runs.columns else F.lit(None).cast("string")
-        parts.append(runs.select("doc_id", F.col("s").alias("_k"), F.lit(1).alias("_kind"),
+        parts.append(runs.select(*key, F.col("s").alias("_k"), F.lit(1).alias("_kind"),
                                  F.struct("s", "e", "piece", following.alias("next_ch")).alias("_run")))
     if toks is not None:
         tcols = ["tok_id", "s", "e"] + (["piece"] if "piece" in toks.columns else [])
-        parts.append(toks.select("doc_id", F.col("s").alias("_k"), F.lit(1).alias("_kind"),
+        parts.append(toks.select(*key, F.col("s").alias("_k"), F.lit(1).alias("_kind"),
                                  F.struct(*tcols).alias("_tok")))
     u = P
     for q in parts:
         u = u.unionByName(q, allowMissingColumns=True)
+    u = _dealt(u)
     order = ["_k", "_kind"]
     if toks is not None:
         # among targets starting at one offset the lowest token id wins
         order.append(F.coalesce(-F.col("_tok.tok_id"), F.lit(0)))
-    w = running(["doc_id"], order)
+    w = running(key, order)
     if runs is not None:
         u = u.withColumn("_lrun", F.last("_run", ignorenulls=True).over(w))
     if toks is not None:
@@ -71,7 +73,7 @@ def boundary_context(points: DataFrame, runs: DataFrame | None = None,
              .withColumn("_maxe", F.max("_tok.e").over(w))
     u = u.filter(F.col("_kind") == 0)
     k = F.col("_k")
-    out = [F.col("doc_id"), F.col("_pt.*")]
+    out = [*map(F.col, key), F.col("_pt.*")]
     if runs is not None:
         r = F.col("_lrun")
         off = k - r["s"]
@@ -91,6 +93,12 @@ def boundary_context(points: DataFrame, runs: DataFrame | None = None,
     return u.select(*out)
 
 
+def _dealt(u: DataFrame) -> DataFrame:
+    """Points and targets in position blocks are dealt by block."""
+    from spanalign.operators import blocks
+    return blocks.dealt(u) if "_block" in u.columns else u
+
+
 def stab(points: DataFrame, intervals: DataFrame, p: str = "p", disjoint: bool = False, block: int | None = None) -> DataFrame:
     """ALN-1: for each point the interval with s < p < e of the lowest tok_id
     (``tok``, null if none) and whether there is one (``in_token``).
@@ -102,6 +110,9 @@ def stab(points: DataFrame, intervals: DataFrame, p: str = "p", disjoint: bool =
     document is many tasks' work (``operators.blocks``)."""
     if block:
         from spanalign.operators import blocks
+        if disjoint:
+            pts, toks = blocks.flat(blocks.placed(points, block, p)), blocks.flat(blocks.overlapping(intervals, block))
+            return boundary_context(pts, toks=toks, p=p, extra_parts=["_block"]).drop("_block")
         return blocks.unplaced(stab(blocks.placed(points, block, p), blocks.overlapping(intervals, block), p, disjoint))
     if disjoint:
         return boundary_context(points, toks=intervals, p=p)
@@ -189,7 +200,7 @@ def _as_of_targets(points: DataFrame, toks: DataFrame, extra_parts=()) -> DataFr
         F.struct(F.lit("e").alias("side"), F.col("e").alias("_k"), F.col("tok_id").alias("_id")))))
     tg = tg.select("doc_id", *extra_parts, "side", "_k", F.lit(0).alias("_kind"),
                    F.struct(F.col("_k").alias("pos"), F.col("_id").alias("id")).alias("_tg"))
-    u = P.unionByName(tg, allowMissingColumns=True)
+    u = _dealt(P.unionByName(tg, allowMissingColumns=True))
     parts = ["doc_id", *extra_parts, "side"]
     tie = F.coalesce(-F.col("_tg.id"), F.lit(0))
     w_up = running(parts, [F.col("_k").asc(), F.col("_kind").asc(), tie])
@@ -219,7 +230,7 @@ def _as_of_covering(points: DataFrame, toks: DataFrame, extra_parts=()) -> DataF
     T = toks.select("doc_id", *extra_parts, F.col("s").alias("_k"), F.lit(0).alias("_kind"),
                     F.struct("tok_id", "s", "e", "is_last").alias("_tk"))
     w = running(["doc_id", *extra_parts], ["_k", "_kind"])
-    u = (P.unionByName(T, allowMissingColumns=True)
+    u = (_dealt(P.unionByName(T, allowMissingColumns=True))
           .withColumn("_t", F.last("_tk", ignorenulls=True).over(w)).filter(F.col("_kind") == 1))
     p, t = F.col("_k"), F.col("_t")
     d_lo, d_hi = p - t["s"], t["e"] - p
@@ -258,10 +269,10 @@ def nearest_token(rules: DataFrame, toks: DataFrame, tol: int = 1, keep=("grp",)
     if block:
         from spanalign.operators import blocks
         spread = blocks.overlapping(toks, block, touch=True) if fast else blocks.with_nearest(toks, pts, block, extra)
-        pts, toks = blocks.placed(pts, block), spread
-    x = _as_of_covering(pts, toks, extra) if fast else _as_of_targets(pts, toks, extra_parts=extra)
-    if block:
-        x = blocks.unplaced(x)
+        pts, toks = blocks.flat(blocks.placed(pts, block)), blocks.flat(spread)
+    parts = [*extra, "_block"] if block else extra
+    x = _as_of_covering(pts, toks, parts) if fast else _as_of_targets(pts, toks, extra_parts=parts)
+    x = x.drop("_block") if block else x
     side = lambda sd, c: F.max(F.when(F.col("side") == sd, F.col(c)))
     g = x.groupBy(*RULE_ID, *extra, *(["scheme"] if schemes else []), *keep).agg(
         *[F.first(c).alias(c) for c in carry],
