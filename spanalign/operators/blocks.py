@@ -87,18 +87,6 @@ def placed(points: DataFrame, block: int, p: str = "p") -> DataFrame:
     return points.select(_key(_of(F.col(p), block)), *[c for c in points.columns if c != "doc_id"])
 
 
-def flat(df: DataFrame) -> DataFrame:
-    """(doc_id, block) as two columns, ``doc_id`` and ``_block``: rows sort by
-    them faster than by a struct."""
-    return df.select(F.col("doc_id.id").alias("doc_id"), F.col("doc_id.block").alias("_block"), *[F.col(c) for c in df.columns if c != "doc_id"])
-
-
-def dealt(df: DataFrame) -> DataFrame:
-    """Rows of ``flat`` dealt by both columns, also where they already lie by
-    doc_id, so that a document is many tasks' work."""
-    return df.repartition("doc_id", "_block")
-
-
 def unplaced(df: DataFrame) -> DataFrame:
     return df.select(F.col("doc_id.id").alias("doc_id"), *[F.col(c) for c in df.columns if c != "doc_id"])
 
@@ -107,8 +95,6 @@ def overlapping(intervals: DataFrame, block: int, touch: bool = False) -> DataFr
     """Each interval in every block that holds a point strictly inside it, or
     with ``touch`` one at its ends too."""
     rest = [c for c in intervals.columns if c != "doc_id"]
-    if not touch:   # no place lies strictly inside a single byte
-        intervals = intervals.filter(F.col("e") - F.col("s") != 1)
     low, high = (F.col("s"), F.col("e")) if touch else (F.col("s") + 1, F.col("e") - 1)
     reach = F.sequence(_of(low, block), F.greatest(_of(low, block), _of(high, block)))
     return intervals.select("doc_id", *rest, F.explode(reach).alias("_block")).select(_key(F.col("_block")), *rest)
