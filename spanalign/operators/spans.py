@@ -218,6 +218,7 @@ def span_tree(spans: DataFrame, types=None) -> DataFrame:
         import pandas as pd
         doc, n, open_ = object(), 0, []   # open_: (s, e, id) of the enclosing spans
         for pdf in batches:
+            pdf = pdf.drop(columns="_n")
             ids, parents, depths = [], [], []
             for d, s, e in zip(pdf["doc_id"].tolist(), pdf["s"].tolist(), pdf["e"].tolist()):
                 if d != doc:
@@ -232,5 +233,7 @@ def span_tree(spans: DataFrame, types=None) -> DataFrame:
             yield pdf.assign(id=ids, parent_id=pd.array(parents, dtype="Int32"), depth=depths)
 
     kind = x.schema["doc_id"].dataType.simpleString()
-    ordered = x.repartition("doc_id").sortWithinPartitions("doc_id", "s", F.col("e").desc(), "type", "span_id")
+    # the window asks for whole documents, which spans by document already are (no
+    # exchange then), and leaves the rows in its order, so that nothing is sorted twice
+    ordered = x.withColumn("_n", F.row_number().over(preorder(x))).sortWithinPartitions("doc_id", "s", F.col("e").desc(), "type", "span_id")
     return ordered.mapInPandas(stack, f"doc_id {kind}, type string, span_id int, s long, e long, id int, parent_id int, depth int")

@@ -73,17 +73,25 @@ def paired(brackets: DataFrame, keep=("grp",), jointly: bool = False) -> DataFra
     nothing else; ``jointly`` counts all kinds together, and a pair of two
     kinds has the type ERROR (which ``spans_from_table`` drops, as it does for
     a parser's error nodes)."""
+    return _partnered(brackets.filter(F.col("kind") == "bracket"), keep, jointly)
+
+
+def _partnered(marks: DataFrame, keep, jointly: bool) -> DataFrame:
+    """``paired``, strings and comments going along with a depth of null: one
+    pass over the marks, no union of two."""
     openers = [o for o, _ in BRACKETS.values()]
-    kind = lambda c: F.element_at(F.create_map(*[F.lit(x) for name, pair in BRACKETS.items() for ch in pair for x in (ch, name)]), c)
-    x = brackets.filter(F.col("kind") == "bracket").withColumn("type", kind(F.col("ch"))).withColumn("up", F.col("ch").isin(openers))
+    name = F.element_at(F.create_map(*[F.lit(x) for name, pair in BRACKETS.items() for ch in pair for x in (ch, name)]), F.col("ch"))
+    leaf = F.col("kind") != "bracket"
+    x = marks.withColumn("type", F.when(leaf, F.col("kind")).otherwise(name)).withColumn("up", F.col("ch").isin(openers))
     part = ["doc_id"] if jointly else ["doc_id", "type"]
-    depth = F.sum(F.when(F.col("up"), 1).otherwise(-1)).over(running(part, ["s"]))
-    x = x.withColumn("depth", F.when(F.col("up"), depth).otherwise(depth + 1).cast("int"))
+    depth = F.sum(F.when(leaf, 0).when(F.col("up"), 1).otherwise(-1)).over(running(part, ["s"]))
+    x = x.withColumn("depth", F.when(leaf, F.lit(None)).when(F.col("up"), depth).otherwise(depth + 1).cast("int"))
     after = Window.partitionBy(*part, "depth").orderBy("s")
     nxt = F.lead(F.struct("e", "ce", F.col("type").alias("t"))).over(after)
-    x = x.withColumn("_n", nxt).filter(F.col("up") & F.col("_n").isNotNull())
-    return x.select("doc_id", *keep, F.when(F.col("type") == F.col("_n.t"), F.col("type")).otherwise(F.lit("ERROR")).alias("type"),
-                    "s", F.col("_n.e").alias("e"), "cs", F.col("_n.ce").alias("ce"), "depth")
+    x = x.withColumn("_n", nxt).filter(leaf | (F.col("up") & F.col("_n").isNotNull()))
+    kind = F.when(leaf | (F.col("type") == F.col("_n.t")), F.col("type")).otherwise(F.lit("ERROR")).alias("type") if jointly else F.col("type")
+    end = lambda c: F.when(leaf, F.col(c)).otherwise(F.col(f"_n.{c}")).alias(c)
+    return x.select("doc_id", *keep, kind, "s", end("e"), "cs", end("ce"), "depth")
 
 
 def bracket_spans(docs: DataFrame, comments: str = "c", strings: str = "\"'", keep=("grp",), jointly: bool = False) -> DataFrame:
@@ -93,9 +101,7 @@ def bracket_spans(docs: DataFrame, comments: str = "c", strings: str = "\"'", ke
     ``comments``: ``c`` (``//`` and ``/* */``), ``hash`` (``#``) or ``none``;
     an unclosed block comment goes to the end. ``strings``: the quotes that
     make strings; a string ends on its line, else its quote is a character."""
-    m = marks(docs, comments, strings, keep)
-    leaves = m.filter(F.col("kind") != "bracket").select("doc_id", *keep, F.col("kind").alias("type"), "s", "e", "cs", "ce", F.lit(None).cast("int").alias("depth"))
-    return _numbered(paired(m, keep, jointly).unionByName(leaves), keep)
+    return _numbered(_partnered(marks(docs, comments, strings, keep), keep, jointly), keep)
 
 
 def indented_lines(docs: DataFrame, keep=("grp",), tab: int = TAB) -> DataFrame:

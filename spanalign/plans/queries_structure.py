@@ -11,20 +11,27 @@ from spanalign.operators.spans import span_tree
 from spanalign.operators.structure import TAB, bracket_spans, indent_spans, piece_pattern
 from spanalign.plans.catalog import register
 from spanalign.plans.common import SQL_PAGES, pages_corpus
-from spanalign.sources.tables import by_doc, read_table
+from spanalign.sources.tables import read_table, text_partitions
 
 
 def code_corpus(spark, sf):
     """Stand-in source files: an order as a block of calls, with brackets in
-    strings and comments and some that are never closed."""
+    strings and comments and some that are never closed.
+
+    The tables' own columns are dealt by order once, over as many partitions as
+    the texts need, and a text is put together where its order is: neither the
+    join nor what runs by document later moves a text."""
+    pad = lambda r, n: F.repeat(F.lit(" "), n + 2 * (r["l_linenumber"] % 3))
+    line = lambda r: F.concat(pad(r, F.lit(2)), F.lit("part("), r["l_partkey"].cast("string"), F.lit(") {\n"), pad(r, F.lit(4)), F.lit("qty["), r["q"].cast("string"),
+                              F.lit('] = "}'), r["l_returnflag"], F.lit('"; /* ) */\n'), F.when(r["l_returnflag"] == "R", F.lit("\n")).otherwise(F.concat(pad(r, F.lit(2)), F.lit("}\n"))))
+    whole = lambda body: F.concat(F.lit("order("), F.col("o_orderkey").cast("string"), F.lit(', "'), F.col("o_orderpriority"), F.lit('") {  // ('), F.col("o_orderstatus"), F.lit("\n"), body, F.lit("}\n"))
     li = read_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("bigint").alias("q"), "l_returnflag")
-    pad = lambda n: F.repeat(F.lit(" "), n + 2 * (F.col("l_linenumber") % 3))
-    line = F.concat(pad(F.lit(2)), F.lit("part("), F.col("l_partkey").cast("string"), F.lit(") {\n"), pad(F.lit(4)), F.lit("qty["), F.col("q").cast("string"),
-                    F.lit('] = "}'), F.col("l_returnflag"), F.lit('"; /* ) */\n'), F.when(F.col("l_returnflag") == "R", F.lit("\n")).otherwise(F.concat(pad(F.lit(2)), F.lit("}\n"))))
-    body = li.groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "q", "l_returnflag", line.alias("t")))), lambda r: r["t"]), "").alias("body"))
-    o = read_table(spark, sf, "orders").join(body, F.col("o_orderkey") == F.col("l_orderkey"))
-    text = F.concat(F.lit("order("), F.col("o_orderkey").cast("string"), F.lit(', "'), F.col("o_orderpriority"), F.lit('") {  // ('), F.col("o_orderstatus"), F.lit("\n"), F.col("body"), F.lit("}\n"))
-    return by_doc(o.select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderstatus").alias("grp"), text.alias("text")))
+    o = read_table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    r = F.struct("l_linenumber", "l_partkey", "l_suppkey", "q", "l_returnflag")
+    n = text_partitions(li.select(line(r).alias("text")).unionAll(o.select(whole(F.lit("")).alias("text"))))
+    body = li.repartition(n, "l_orderkey").groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(r)), line), "").alias("body"))
+    o = o.repartition(n, "o_orderkey").join(body.hint("merge"), F.col("o_orderkey") == F.col("l_orderkey"))
+    return o.select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderstatus").alias("grp"), whole(F.col("body")).alias("text"))
 
 
 SQL_CODE = """code AS (SELECT o_orderkey AS doc_id, o_orderstatus AS grp,

@@ -9,6 +9,7 @@ import pytest
 from spanalign.operators.markup import element_tree
 from spanalign.operators.spans import span_tree, spans_from_table
 from spanalign.operators.structure import bracket_spans, code_spans, indent_spans
+from spanalign.plans.queries_structure import code_corpus, code_span_tree_q
 from spanalign.sources.tables import by_doc
 
 PAIRS = {"(": ")", "[": "]", "{": "}"}
@@ -108,6 +109,27 @@ def test_spans_nest(spark):
     assert tree["(2)"][2] == 2 and tree["{1: (2)}"][2] == 1 and tree["(x)"][2] == 0
 
 
+def test_span_tree_moves_rows_once(spark, tmp_path):
+    """Each table is dealt by order once; no text and no span is dealt again."""
+    lines = [(1, 1, 10, 5, 3.0, "N"), (1, 2, 11, 5, 4.0, "R"), (2, 1, 12, 6, 5.0, "A"), (3, 1, None, 6, 5.0, "A"), (4, 1, 13, 7, 1.0, "N"), (4, 1, 13, 7, 1.0, "N"), (None, 1, 1, 1, 1.0, "N"), (9, 1, 1, 1, 1.0, "N")]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_returnflag string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    orders = [(1, "O", "1-URGENT"), (2, "F", "5-LOW"), (3, "O", "5-LOW"), (4, "P", "5-LOW"), (5, "O", "5-LOW"), (None, "O", "5-LOW")]
+    spark.createDataFrame(orders, "o_orderkey long, o_orderstatus string, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    texts = {r.doc_id: r.text for r in code_corpus(spark, str(tmp_path)).collect()}
+    line = lambda k, part, q, flag: "  " * k + f"  part({part}) {{\n" + "  " * k + f"    qty[{q}] = \"}}{flag}\"; /* ) */\n"
+    one = line(1, 13, 1, "N") + "    }\n"
+    assert texts == {1: 'order(1, "1-URGENT") {  // (O\n' + line(1, 10, 3, "N") + "    }\n" + line(2, 11, 4, "R") + "\n}\n",
+                     2: 'order(2, "5-LOW") {  // (F\n' + line(1, 12, 5, "A") + "    }\n}\n", 3: 'order(3, "5-LOW") {  // (O\n}\n', 4: 'order(4, "5-LOW") {  // (P\n' + one + one + "}\n"}
+    tree = code_span_tree_q(spark, str(tmp_path))
+    want = []
+    for doc, text in texts.items():
+        found = [s for s in plain_brackets(text) if s[0] in NAMES.values()]
+        want += [(doc, *s[:3], sum(o[1] < s[1] and o[2] >= s[2] for o in found)) for s in found]
+    assert sorted(tuple(r) for r in tree.collect()) == sorted(want)
+    plan = tree._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert len(re.findall(r"\bExchange ", plan)) == 2 and "Union" not in plan
+
+
 PAGES = {
     "<ul><li>a<li>b</ul>c": [("ul", None, 0, "closed", "<ul><li>a<li>b</ul>"), ("li", 0, 1, "implied", "<li>a"), ("li", 0, 1, "implied", "<li>b")],
     "<p>one<p>two<div>x</p></div>": [("p", None, 0, "implied", "<p>one"), ("p", None, 0, "implied", "<p>two"), ("div", None, 0, "closed", "<div>x</p></div>")],
