@@ -96,7 +96,7 @@ SELECT grp, scheme, round(avg(100.0 * a / n), 6) AS avg_score, round(100.0 * sum
 def bpe_compare_schemes_q(spark, sf):
     """AGG-16: two learned vocabularies compared by M2 (tol=1) on chunk rules."""
     d = docs_by_doc(spark, sf)
-    fl = covering_tolerance(chunk_spans(d, CHUNK), multi_scheme_tokens(d, SCHEMES), SCHEMES)
+    fl = covering_tolerance(chunk_spans(d, CHUNK), multi_scheme_tokens(d, SCHEMES, counted=docs(spark, sf)), SCHEMES)
     ds = fl.groupBy("doc_id", "grp", "scheme").agg(F.count(F.lit(1)).alias("n"), F.count_if("fully_aligned").alias("a"))
     st = ds.groupBy("grp", "scheme").agg(F.avg(F.col("a") * 100.0 / F.col("n")).alias("avg_score"),
                                          (F.sum("a") * 100.0 / F.sum("n")).alias("overall_alignment"),

@@ -120,3 +120,29 @@ def test_rare_and_frequent_pretokens(spark, corpus, monkeypatch):
     with pytest.raises(ValueError):
         monkeypatch.setattr(bpe, "MAX_RANKS", 10)
         bpe.load_ranks(spark, FILES[0])
+
+
+def test_texts_are_dealt_once_and_lookups_bring_back_offsets_only(spark, monkeypatch):
+    from spanalign.operators.align import covering_tolerance
+    from spanalign.operators.spans import chunk_spans
+    from spanalign.operators.tokens import multi_scheme_tokens
+    monkeypatch.setattr(bpe, "SHORT", 4)   # longer pre-tokens take the shuffled join
+    raw = spark.createDataFrame([(i, "gh"[i % 2], t) for i, t in enumerate(TEXTS)], "doc_id long, grp string, text string")
+    schemes = [bpe.PREFIX + f for f in FILES]
+    d = by_doc(raw)
+    for whole in (False, True):
+        one = bpe.bpe_tokens(d, schemes, whole_characters=whole)
+        assert sorted(map(tuple, bpe.bpe_tokens(d, schemes, whole_characters=whole, counted=raw).collect())) == sorted(map(tuple, one.collect()))
+    small = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        fl = covering_tolerance(chunk_spans(d, 8), multi_scheme_tokens(d, schemes, counted=raw), schemes)
+        plan = fl._jdf.queryExecution().executedPlan().toString().split("\n")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+    dealt = [i for i, line in enumerate(plan) if "REPARTITION_BY_NUM" in line and "ReusedExchange" not in line]
+    assert len(dealt) == 2   # the texts, and what was looked up
+    back = next(plan[i + 1] for i in dealt if "text#" not in plan[i + 1])
+    assert "_es0" in back and "piece#" not in back.split("[", 1)[1].split("]")[0] and "_wss" not in back
