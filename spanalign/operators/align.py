@@ -103,6 +103,9 @@ def stab(points: DataFrame, intervals: DataFrame, p: str = "p", disjoint: bool =
     document is many tasks' work (``operators.blocks``)."""
     if block:
         from spanalign.operators import blocks
+        whole = all(isinstance(intervals.schema[c].dataType, T.IntegerType | T.LongType) for c in ("tok_id", "s", "e"))
+        if disjoint and whole and "piece" not in intervals.columns:
+            return blocks.stab_packed(points, intervals, p, block)
         return blocks.unplaced(stab(blocks.placed(points, block, p), blocks.overlapping(intervals, block), p, disjoint))
     if disjoint:
         return boundary_context(points, toks=intervals, p=p)

@@ -10,8 +10,15 @@ and the first after each block are carried into it, from one row per block."""
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanalign.functions.patterns import NON_WS_CHAR, TOKEN_SCHEMES, WS_CHAR
 from spanalign.operators.bpe import is_bpe
@@ -68,7 +75,7 @@ def chunks_in_segments(docs: DataFrame, k: int, keep=("grp",), segment: int = SE
     """``chunk_spans`` with each text cut at a multiple of ``k`` characters."""
     many = max(1, segment // k)
     seg = _segments(docs, r"(?s).{1,%d}" % (k * many), keep, {})
-    c = chunk_spans(seg, k, keep=[*keep, "_b0", "_c0"])
+    c = chunk_spans(seg, k, keep=[*keep, "_b0", "_c0", "_end"])   # _end: what it is made of stays in the exchange, which the sums then share
     return c.select(F.col("doc_id.doc_id").alias("doc_id"), *keep, "type", (F.col("span_id") + many * F.col("doc_id._seg")).cast("int").alias("span_id"),
                     (F.col("s") + F.col("_b0")).alias("s"), (F.col("e") + F.col("_b0")).alias("e"), (F.col("cs") + F.col("_c0")).alias("cs"),
                     (F.col("ce") + F.col("_c0")).alias("ce"), "piece")
@@ -100,6 +107,145 @@ def overlapping(intervals: DataFrame, block: int, touch: bool = False) -> DataFr
     return intervals.select("doc_id", *rest, F.explode(reach).alias("_block")).select(_key(F.col("_block")), *rest)
 
 
+#: Intervals that are packed at once, about.
+PACK = 1 << 17
+
+
+def _runs(key: pa.Array) -> np.ndarray:
+    """Whether each row's key is another one than the row's before (a null is
+    like a null); true for the first row."""
+    if not len(key):
+        return np.zeros(0, dtype=bool)
+    if pa.types.is_nested(key.type):
+        rows = key.to_pylist()
+        return np.array([True, *(a != b for a, b in zip(rows, rows[1:], strict=False))])
+    a, b = key.slice(0, len(key) - 1), key.slice(1)
+    same = pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b)))
+    return np.append(True, ~same.to_numpy(zero_copy_only=False))
+
+
+def _small(v: np.ndarray) -> bytes:
+    """Numbers in the least width that holds them, led by that width."""
+    most = max(int(v.max()), -int(v.min()) - 1) if len(v) else 0
+    width = next(w for w in (1, 2, 4, 8) if most < 1 << (8 * w - 1))
+    return bytes([width]) + v.astype(f"<i{width}").tobytes()
+
+
+def _pack(tok: np.ndarray, known: np.ndarray, s: np.ndarray, e: np.ndarray) -> bytes:
+    """Intervals as differences: of one token from the next ones there are an
+    id's step, the gap to the end before, and a length."""
+    steps = np.diff(tok, prepend=0), s - np.append(0, e[:-1]), e - s, known.astype(np.int64)
+    return len(s).to_bytes(4, "little") + zlib.compress(b"".join(map(_small, steps)), 1)
+
+
+def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    n, rest, at, steps = int.from_bytes(data[:4], "little"), zlib.decompress(data[4:]), 0, []
+    for _ in range(4):
+        width = rest[at]
+        steps.append(np.frombuffer(rest, dtype=f"<i{width}", count=n, offset=at + 1).astype(np.int64))
+        at += 1 + width * n
+    tok, gap, size, known = steps
+    e = np.cumsum(gap + size)
+    return np.cumsum(tok), known == 1, e - size, e
+
+
+def packed(intervals: DataFrame, block: int) -> DataFrame:
+    """``overlapping`` with one row for the intervals of a block that stand
+    together: ``_pack`` holds their ``tok_id, s, e`` as compressed differences, a
+    byte or less for each, in place of a row."""
+    x = intervals.select("doc_id", *[F.col(c).cast("bigint") for c in ("tok_id", "s", "e")]).filter("s IS NOT NULL AND e IS NOT NULL")
+    schema = T.StructType([T.StructField("doc_id", T.StructType([T.StructField("id", x.schema["doc_id"].dataType), T.StructField("block", T.LongType())])),
+                           T.StructField("_pack", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _gathered(batches, PACK):
+            doc, tok, s, e = b.column("doc_id"), b.column("tok_id"), b.column("s").to_numpy(), b.column("e").to_numpy()
+            known, tok = tok.is_valid().to_numpy(zero_copy_only=False), tok.fill_null(0).to_numpy(zero_copy_only=False)
+            low = (s + 1) // block
+            n = np.maximum(low, (e - 1) // block) - low + 1
+            at = np.repeat(np.arange(len(s)), n)   # once for each block
+            where = low[at] + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+            of = np.cumsum(_runs(doc))[at]
+            order = np.lexsort((where, of))
+            at, where, of = at[order], where[order], of[order]
+            first = np.flatnonzero(np.append(True, (np.diff(of) != 0) | (np.diff(where) != 0)))
+            rows = [_pack(tok[k], known[k], s[k], e[k]) for k in np.split(at, first[1:])]
+            key = pa.StructArray.from_arrays([doc.take(pa.array(at[first])), pa.array(where[first])], ["id", "block"])
+            yield pa.RecordBatch.from_arrays([key, pa.array(rows, pa.binary())], ["doc_id", "_pack"])
+
+    return x.mapInArrow(run, schema)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if n:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def stab_packed(points: DataFrame, intervals: DataFrame, p: str, block: int) -> DataFrame:
+    """``boundary_context`` of tokens for ``placed`` points and ``packed``
+    intervals: the last interval that starts before each point, of equal starts
+    the lowest id, if it ends behind it."""
+    columns = [c for c in points.columns if c != "doc_id"]
+    a = placed(points, block, p).select("doc_id", F.col(p).cast("bigint").alias("_k"), F.struct(*columns).alias("_pt"))
+    u = a.unionByName(packed(intervals, block), allowMissingColumns=True)
+    u = u.repartition("doc_id").sortWithinPartitions("doc_id", F.col("_pt").isNotNull())
+    fields = [intervals.schema[c] for c in ("tok_id", "s", "e")]
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, begun, toks = None, [], None
+        for b in batches:
+            doc, pack, k = b.column("doc_id"), b.column("_pack"), b.column("_k")
+            if not b.num_rows:
+                continue
+            new = _runs(doc.field(0)) | _runs(doc.field(1))
+            new[0] = last is None or _runs(pa.concat_arrays([last, doc.slice(0, 1)]).field(0))[1] or _runs(pa.concat_arrays([last, doc.slice(0, 1)]).field(1))[1]
+            last = doc.slice(b.num_rows - 1)
+            starts = sorted({0, *np.flatnonzero(new).tolist()})
+            point = b.column("_pt").is_valid().to_numpy(zero_copy_only=False)
+            p_known, places = k.is_valid().to_numpy(zero_copy_only=False), k.fill_null(0).to_numpy(zero_copy_only=False)
+            found, inside = [], []
+            for low, high in zip(starts, [*starts[1:], b.num_rows], strict=True):
+                if new[low]:
+                    begun, toks = [], None
+                n = int(point[low:high].argmax()) if point[low:high].any() else high - low
+                begun += [_unpack(x.as_py()) for x in pack.slice(low, n)]
+                if low + n == high:
+                    continue
+                if toks is None:
+                    toks = [np.concatenate(c) for c in zip(*begun, strict=True)] if begun else [np.zeros(0, dtype=np.int64)] * 4
+                    order = np.lexsort((np.where(toks[1], -toks[0], 0), toks[2]))
+                    toks = [c[order] for c in toks]
+                    toks.append(np.maximum.accumulate(toks[3]))
+                at = places[low + n:high]
+                i = np.searchsorted(toks[2], at, side="left") - 1
+                some = (i >= 0) & p_known[low + n:high]
+                i = np.where(some, i, 0)
+                if len(toks[2]):
+                    found.append([c[i] for c in toks[:4]] + [some & (toks[3][i] > at)])
+                    inside.append(some & (toks[4][i] > at))
+                else:
+                    found.append([np.zeros(len(at), dtype=np.int64)] * 4 + [some & False])
+                    inside.append(some & False)
+            if not found:
+                continue
+            tok, known, s, e, ok = (np.concatenate(c) for c in zip(*found, strict=True))
+            kind = [pa.int32() if f.dataType == T.IntegerType() else pa.int64() for f in fields]
+            tok = [pa.array(tok, mask=known == 0).cast(kind[0]), pa.array(s).cast(kind[1]), pa.array(e).cast(kind[2])]
+            take = pa.array(np.flatnonzero(point))
+            struct = pa.StructArray.from_arrays(tok, [f.name for f in fields], mask=pa.array(~ok))
+            yield pa.RecordBatch.from_arrays([doc.take(take), b.column("_pt").take(take), struct, pa.array(np.concatenate(inside))], ["doc_id", "_pt", "tok", "in_token"])
+
+    schema = T.StructType([u.schema["doc_id"], u.schema["_pt"], T.StructField("tok", T.StructType(fields)), T.StructField("in_token", T.BooleanType())])
+    return unplaced(u.mapInArrow(sweep, schema).select("doc_id", "_pt.*", "tok", "in_token"))
+
+
 def with_nearest(toks: DataFrame, points: DataFrame, block: int, extra=()) -> DataFrame:
     """Tokens under the blocks of both their ends; and for each block that has
     points the tokens that are nearest to it on either side, by start and by

@@ -87,3 +87,25 @@ def test_a_long_document_is_spread(spark):
     want = text.count(" of ") + 0
     found = stab(pts, toks, disjoint=True, block=1 << 12)
     assert found.count() == 2 * (-(-len(text) // 64) + 38) and want == 20_000
+
+
+def test_intervals_go_by_block_in_packs(spark):
+    rng = random.Random(9)
+    iv = [(d, None if rng.random() < 0.1 else i % 50, s, s + rng.choice([0, 1, 1, 2, 9, 40])) for d in (1, 2, None) for i, s in enumerate(sorted(rng.choices(range(400), k=200)))]
+    iv += [(1, 7, None, 5), (1, 8, 5, None), (2, 1 << 20, 1 << 40, (1 << 40) + 9)]
+    pts = [(d, "x", p) for d in (1, 2, 3, None) for p in [*range(0, 420, 3), None, (1 << 40) + 3]]
+    a = spark.createDataFrame(iv, "doc_id long, tok_id int, s long, e long").repartition(5)
+    b = spark.createDataFrame(pts, "doc_id long, grp string, p long")
+    for block in (16, 1 << 18):
+        # pieces are not packed: the windows over rows; of equal starts and ids any end may come last there
+        want = stab(b, a.withColumn("piece", F.lit("")), disjoint=True, block=block)
+        got = stab(b, a, disjoint=True, block=block)
+        flat = lambda df: rows(df.select("doc_id", "grp", "p", "in_token"))
+        assert flat(got) == flat(want) and got.schema["tok"].dataType.fieldNames() == ["tok_id", "s", "e"]
+    one = a.dropDuplicates(["doc_id", "s"])
+    for block in (16, 1 << 18):
+        want, got = (stab(b, x, disjoint=True, block=block).select("doc_id", "p", "tok.tok_id", "tok.s", "tok.e", "in_token") for x in (one.withColumn("piece", F.lit("")), one))
+        assert rows(got) == rows(want)
+    many = spark.createDataFrame([(1, i, 3 * i, 3 * i + 3) for i in range(50_000)], "doc_id string, tok_id long, s long, e long").coalesce(1)
+    packs = blocks.packed(many, 1 << 14).collect()
+    assert len(packs) < 20 and sum(len(r["_pack"]) for r in packs) < 5_000   # a row and some sixty bytes each before
