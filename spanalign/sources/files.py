@@ -50,6 +50,67 @@ def _tree(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
     return (r.option("pathGlobFilter", glob) if glob else r).load(root)
 
 
+#: Entries of a folder that leave Python at once.
+ENTRIES = 1 << 14
+
+
+def _hidden(name: str) -> bool:
+    """What Spark's readers leave out of a folder."""
+    kept = name.startswith(("_metadata", "_common_metadata"))
+    return not kept and (name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_"))
+
+
+def _store_path(spark: SparkSession, root: str) -> tuple[str, str, str] | None:
+    """A folder's or file's full name, its URI and its path in the store that
+    tasks can open; None if only Spark's readers can, or if it is a pattern."""
+    from pyarrow import ArrowException, fs
+    try:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        name = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+        if any(c in name for c in "*?[]{}%# \\"):
+            return None
+        uri = "file://" + name[5:] if name.startswith("file:/") and not name.startswith("file://") else name
+        store, base = fs.FileSystem.from_uri(uri)
+        return None if store.get_file_info(base).type == fs.FileType.NotFound else (name, uri, base)
+    except (ArrowException, OSError, NotImplementedError):
+        return None
+
+
+def _listed(spark: SparkSession, root: str, languages=None) -> DataFrame:
+    """``path, length`` of the tree's files with a suffix of the languages,
+    listed by tasks, folder by folder and level by level: the driver sees how many
+    folders there are and no file. Where only Spark's readers reach the tree they list it."""
+    from spanalign.session import written
+    found = _store_path(spark, root)
+    if found is None:
+        return _tree(spark, root, _suffix_glob(languages)).select("path", "length")
+    name, uri, base = found
+    suffixes = tuple(extension_map(languages))
+
+    def entries(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+        store, _ = fs.FileSystem.from_uri(uri)
+        for b in batches:
+            for folder in b.column("at").to_pylist():
+                one = store.get_file_info(folder)
+                inside = [one] if one.is_file else [f for f in store.get_file_info(fs.FileSelector(folder)) if not _hidden(f.base_name)]
+                inside = [f for f in inside if f.type == fs.FileType.Directory or (f.is_file and f.size and f.base_name.endswith(suffixes))]   # nor do the readers show empty files
+                for k in range(0, len(inside), ENTRIES):
+                    part = inside[k:k + ENTRIES]
+                    yield pa.RecordBatch.from_arrays([pa.array([f.path for f in part], pa.string()), pa.array([f.size if f.is_file else None for f in part], pa.int64())], ["at", "length"])
+
+    folders, files = spark.createDataFrame([(base,)], "at string"), None
+    while True:
+        level = written(folders.mapInArrow(entries, "at string, length long"), "listing")
+        own = level.filter("length IS NOT NULL")
+        files = own if files is None else files.unionByName(own)
+        n = level.filter("length IS NULL").count()
+        if not n:
+            return files.select(F.concat(F.lit(name), F.substring("at", F.lit(len(base) + 1), F.char_length("at"))).alias("path"), "length")
+        folders = level.filter("length IS NULL").select("at").repartition(min(n, 4 * doc_partitions(spark)))
+
+
 def _suffix_glob(languages=None) -> str:
     return "*.{" + ",".join(sorted(e.lstrip(".") for e in extension_map(languages))) + "}"
 
@@ -66,8 +127,8 @@ def code_listing(spark: SparkSession, root: str, languages=None, prefer_language
     """SRC-1 + SRC-2 on metadata alone: ``path, length, language, reason`` of
     the files with a suffix of the asked languages; ``reason`` is null for
     those that ``code_files`` reads, else ``outside_language_dir`` or
-    ``oversize``. No file is opened."""
-    x = _packed(_tree(spark, root, _suffix_glob(languages)).select("path", "length", language_from_path("path", languages).alias("language")))
+    ``oversize``. No file is opened, and tasks list the folders."""
+    x = _packed(_listed(spark, root, languages).select("path", "length", language_from_path("path", languages).alias("language")))
     x = x.filter(F.col("language").isNotNull())
     outside = F.lit(False)
     if prefer_language_dirs:

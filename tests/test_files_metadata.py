@@ -75,3 +75,24 @@ def test_output_folders_are_read_whatever_their_files_sizes(spark, tmp_path):
     rows = queries_files.code_output_dirs_q(spark, str(tmp_path)).collect()
     assert sorted(r.file for r in rows if r.file) == sorted(f"{i}{ext}" for i in range(24) for k, ext in ((0, ".py"), (1, ".go"), (3, ".cc")) if i % 6 == k)
     assert [r.dir_prefix for r in rows if not r.file] == ["java"]
+
+
+def test_listing_is_made_by_tasks(spark, tmp_path, monkeypatch):
+    from spanalign.sources import files
+    for i, path in enumerate(["a.py", "python/b.py", "python/x/y/c.go", "python/x/_no/d.py", ".no/e.py", "_k=1/f.py", "g.txt", "_h.py", "empty/z.md"]):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text("x" * i)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    by_reader = files._tree(spark, str(tmp_path), files._suffix_glob(["python", "go"])).select("path", "length")
+    want = rows(by_reader)
+    assert len(want) == 3   # not the empty one
+    one = str(tmp_path / "python" / "b.py")
+    assert rows(files._listed(spark, one, ["python"])) == rows(files._tree(spark, one).select("path", "length"))
+    assert rows(files._listed(spark, str(tmp_path / "pyth*"), ["go"])) == [r for r in want if r[0].endswith(".go")]   # a pattern: Spark's reader
+
+    def never(*a, **b):
+        raise AssertionError("the driver lists no files")
+    monkeypatch.setattr(files, "_tree", never)
+    assert rows(files._listed(spark, str(tmp_path), ["python", "go"])) == rows(files._listed(spark, f"file://{tmp_path}/", ["python", "go"])) == want
+    assert {(os.path.basename(r.path), r.reason) for r in code_listing(spark, str(tmp_path), ["python", "go"]).collect()} == {
+        ("b.py", None), ("f.py", "outside_language_dir"), ("c.go", None)}

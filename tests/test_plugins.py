@@ -88,3 +88,20 @@ def test_what_a_plugin_finds_is_handed_on_in_small_batches(spark, monkeypatch):
     for out in run.func(iter([pd.Series(["abcd"] * 7 + [None, ""]), pd.Series(["a" * 25, "b"])])):
         sizes.append((len(out), sum(len(f or ()) for f in out["found"])))
     assert sizes == [(3, 12), (3, 12), (3, 4), (1, 25), (1, 1)]
+
+
+def test_offsets_stay_numbers(spark):
+    def tokens():
+        import numpy as np
+        found = {"plain": [(0, 2), [2, 9]], "nulls": [(None, 1), (1, None), (1, 2)], "lazy": ((i, i + 1) for i in range(2)), "odd": [("0", 1.9), (np.int64(1), True + 1)],
+                 "three": [(1, 2, 3)], "words": [("a", 1)], "large": [(0, 1 << 70)], "none": []}
+        return lambda t: found[t.split()[0]]
+    names = ["plain é", "nulls é", "lazy x", "odd x", "three", "words", "large", "none", None]
+    d = spark.createDataFrame([(i, "g", t) for i, t in enumerate(names)], "doc_id long, grp string, text string").coalesce(1)
+    out = {r.doc_id: r for r in run_tokenizer(d, tokens, seconds=None).collect()}
+    assert {i: r.reason for i, r in out.items()} == {i: FAILED if i in (4, 5, 6) else None for i in range(9)} and out[8].found is None
+    assert out[1].found == [(None, 1), (1, None), (1, 2)] and out[3].found == [(0, 1), (1, 2)] and out[7].found == []
+    t = apply_tokenizer(d, tokens, "own", seconds=None)
+    assert sorted((r.doc_id, r.tok_id, r.s, r.e, r.cs, r.ce) for r in t.collect()) == [
+        (0, 0, 0, 2, 0, 2), (0, 1, 2, 8, 2, 7), (1, 0, 1, 2, 1, 2), (2, 0, 0, 1, 0, 1), (2, 1, 1, 2, 1, 2), (3, 0, 0, 1, 0, 1), (3, 1, 1, 2, 1, 2)]
+    assert "lambda" not in t._jdf.queryExecution().executedPlan().toString()   # no function is called for each pair
